@@ -4,31 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.license_scan import license_scan
 
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text: piece count, digest of the ids, and whether decoding gives the text back."""
+    from foliant.llm.sentencepiece_codec import decode, encode
+
+    there = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    text = F.coalesce("text", F.lit(""))
+    return there.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.md5("ids").alias("ids_digest"), (F.col("decoded") == text).alias("round_trip"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")).drop("text", "lang")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_scan, op4_toxicity, op7_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
