@@ -1,19 +1,30 @@
-"""Connected components of an edge table, and checkpoints in the folder that all executors share."""
+"""Shared steps of the operators on pairs: cuts of lineage, star links of buckets, connected components.
+
+All of it is DataFrame joins and pre-aggregated minima, so a hot key is combined before
+it is shuffled or is a key of a join that adaptive execution splits.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of two or three longs that may be broadcast (some 100 MB as a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 1_500_000
+#: Centres of a bucket in the first rounds and after.
+CENTRES = (1, 4, 16)
+
 
-def shared_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; only a session without it (a local test) gets a folder of its own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder under spark.checkpoint.dir; only a session without it (a local test) gets a folder of its own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,25 +33,78 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_wide(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, which is smaller and lets readers take some columns."""
+    path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A cut table of few narrow columns, marked for broadcast if its counted rows are within the bound."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every end of `edges` (a, b); the component is the least id reachable.
 
     Each round a node and the node that it points to learn the least label around the node, then
-    labels jump to their labels' labels, so long chains take a logarithm of their length. All
-    steps are joins and pre-aggregated minima; nothing but a count reaches the driver.
+    labels jump to their labels' labels, so long chains take a logarithm of their length.
+    Nothing but one row reaches the driver.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut(both)
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"))
     for _ in range(rounds):
+        label = cut(label)
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         seen = label.join(near, "id")
         told = seen.select("id", "near").unionAll(seen.select(F.col("label").alias("id"), "near")).groupBy("id").agg(F.min("near").alias("near"))
-        low = label.join(told, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        low = cut(low)
-        up = low.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        new = cut(low.join(up, "label").select("id", F.col("top").alias("label"), (F.col("top") < F.col("old")).alias("moved")))
-        label = new.select("id", "label")
-        if new.where("moved").isEmpty():
+        low = cut(label.join(told, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        if low.where("label < old").isEmpty():
             return label.withColumnRenamed("label", "component")
+        up = low.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        label = low.join(up, "label").select("id", F.col("top").alias("label"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], near: str = "true") -> DataFrame | None:
+    """Confirmed links (a, b) of the members (bucket, id, n) of buckets, enough for their components; None if there are no pairs.
+
+    In each round a few centres of each open bucket are paired with its members of other
+    components (where the condition `near` on n and na holds), which is linear in the
+    bucket; then they leave it. A bucket is open while its members are in two components
+    or more, so no pair that matters is left out, and a bucket of copies takes one round.
+    """
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+    left = cut(members.join(bounded(shared), "bucket", "left_semi").distinct())
+    links: DataFrame | None = None
+    label: DataFrame | None = None
+    turn = 0
+    while True:
+        now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if label is not None:
+            still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+            now = cut(now.join(still, "bucket", "left_semi"))
+            if now.isEmpty():
+                return links
+        step = CENTRES[min(turn, len(CENTRES) - 1)]
+        centre = (
+            now.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(step)).alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
+            .select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+        )
+        centre = cut(centre) if label is not None else centre
+        pairs = (
+            now.join(centre, "bucket").where("id <> a and component <> ca").where(near)
+            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        )
+        pairs = cut(pairs)
+        if not pairs.isEmpty():
+            good = confirm(pairs)
+            links = cut(good if links is None else links.unionAll(good))
+            label = connected_components(links)
+        elif label is None:
+            label = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        left = cut(now.join(centre.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n"))
+        turn += 1

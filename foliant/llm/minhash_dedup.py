@@ -3,9 +3,9 @@
 Each text's distinct word shingles are hashed once; the least hash of every bin is its
 signature, and an empty bin takes the value of the first full bin on a probe sequence of its
 own. Texts with equal sets are one class from here on. Class representatives meet in
-buckets of equal bands. Within a bucket one centre a round is paired with the members that are
-not yet in its component, so pairs stay linear in the bucket; pairs are confirmed on full
-sets, and rounds go on until every bucket is one component or all its members have been centres.
+buckets of equal bands. Within a bucket the pairs are stars: a centre and the members that are not
+yet in its component, confirmed on full sets, round after round until the bucket is one
+component or all its members have been centres.
 
 Defined cases: a text with fewer words than a shingle counts its whole sequence as one; a
 null or empty text, or one without words, has no shingles and is linked with nothing;
@@ -21,15 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import connected_components, cut
+from foliant.llm.components import connected_components, cut_wide, star_links
 
 #: Rows of a band and bands: a pair at similarity 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
-#: Centres of a bucket in the first rounds and after.
-CENTRES = (1, 4, 16)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -147,35 +144,12 @@ def _class_of(signed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row with an id; `kept` marks the least id of each component."""
-    signed = cut(sign(docs, shingle, rows, bands))
+    signed = cut_wide(sign(docs, shingle, rows, bands))
     reps = _class_of(signed)
-    member = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    by_bucket = Window.partitionBy("bucket")
-    ranked = member.withColumn("rank", F.row_number().over(by_bucket.orderBy("rep"))).withColumn("size", F.count("*").over(by_bucket)).where("size > 1")
-    buckets = cut(ranked.select("bucket", "rep", "n", "rank"))
+    members = reps.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
     # rows of one id with different texts are one node
     same = signed.where("n > 0").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = None
-    label = buckets.select(F.col("rep").alias("id")).distinct().withColumn("component", F.col("id"))
-    start, turn = 1, 0
-    while True:
-        step = CENTRES[min(turn, len(CENTRES) - 1)]
-        now = buckets.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        lowest, highest = F.min("component").over(by_bucket), F.max("component").over(by_bucket)
-        now = now.withColumn("open", lowest < highest).where("open").drop("open")
-        centre = now.where(F.col("rank").between(start, start + step - 1)).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
-        pairs = (
-            now.join(centre, "bucket").where("rank > ra and component <> ca and 100 * least(n, na) >= " + str(percent) + " * greatest(n, na)")
-            .select("a", F.col("rep").alias("b")).distinct()
-        )
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            good = confirm(pairs, docs, shingle, percent)
-            links = cut(good if links is None else links.unionAll(good))
-            label = connected_components(links)
-        start, turn = start + step, turn + 1
-        if now.where(F.col("rank") >= start).isEmpty():
-            break
+    links = star_links(members, lambda pairs: confirm(pairs, docs, shingle, percent), f"100 * least(n, na) >= {percent} * greatest(n, na)")
     every = same if links is None else links.unionAll(same)
     label = connected_components(every)
     return (
