@@ -6,16 +6,21 @@ it is shuffled or is a key of a join that adaptive execution splits.
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+log = logging.getLogger(__name__)
+
 #: Rows of two or three longs that may be broadcast (some 100 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 #: Centres of a bucket in the first rounds and after.
 CENTRES = (1, 4, 16)
+#: From the third round on, buckets of no more members than this take all of them as centres at once.
+SMALL = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +67,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = label.join(near, "id")
         told = seen.select("id", "near").unionAll(seen.select(F.col("label").alias("id"), "near")).groupBy("id").agg(F.min("near").alias("near"))
         low = cut(label.join(told, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        log.debug("labels")
         if low.where("label < old").isEmpty():
             return label.withColumnRenamed("label", "component")
         up = low.select(F.col("id").alias("label"), F.col("label").alias("top"))
@@ -81,17 +87,20 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
     left = cut(members.join(bounded(shared), "bucket", "left_semi").distinct())
     links: DataFrame | None = None
     label: DataFrame | None = None
+    tried: DataFrame | None = None
     turn = 0
     while True:
         now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if label is not None:
-            still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-            now = cut(now.join(still, "bucket", "left_semi"))
+            still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+            now = cut(now.join(still.select("bucket", "size"), "bucket"))
             if now.isEmpty():
                 return links
-        step = CENTRES[min(turn, len(CENTRES) - 1)]
+        slot = F.pmod(F.xxhash64("id"), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
+        if turn >= 2:
+            slot = F.when(F.col("size") <= SMALL, F.col("id")).otherwise(slot)
         centre = (
-            now.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(step)).alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
+            now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
             .select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
         )
         centre = cut(centre) if label is not None else centre
@@ -99,12 +108,17 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
             now.join(centre, "bucket").where("id <> a and component <> ca").where(near)
             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         )
-        pairs = cut(pairs)
+        # a pair that failed in one bucket is not tried again in another
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else cut(tried.unionAll(pairs))
+        log.debug("round %d: %d pairs", turn, pairs.count() if log.isEnabledFor(logging.DEBUG) else -1)
         if not pairs.isEmpty():
             good = confirm(pairs)
             links = cut(good if links is None else links.unionAll(good))
+            log.debug("round %d: confirmed", turn)
             label = connected_components(links)
         elif label is None:
             label = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
         left = cut(now.join(centre.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n"))
+        log.debug("round %d: done", turn)
         turn += 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import connected_components, cut_wide, star_links
+from foliant.llm.components import bounded, connected_components, cut_wide, star_links
 
 #: Rows of a band and bands: a pair at similarity 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
@@ -113,7 +113,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     Only texts of pairs move. The centre of many pairs is a hot key of a plain inner join, which adaptive
     execution splits.
     """
-    needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    needed = bounded(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(needed, "doc_id", "left_semi")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
 

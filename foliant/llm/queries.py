@@ -50,6 +50,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", F.md5(F.col("text").cast("binary")).alias("text_digest"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
