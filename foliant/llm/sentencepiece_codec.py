@@ -29,6 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import unigram as ug
+from foliant.llm.components import cut_wide
 from foliant.llm.token_counts import MODEL, _strings
 
 #: Characters of a chunk; longer texts are spread over tasks. BLOCK chunks are combined at a time.
@@ -59,6 +60,20 @@ class Encoder(dict):
         return np.array([i for x in self.model.islands(self.model.prepare(text)) for i in self.model.solve(x)], np.int32).tobytes()
 
 
+class Scores(dict):
+    """Best scores of islands, remembered up to a bound."""
+
+    def __init__(self, model: ug.Unigram, room: int = ug.CACHE):
+        super().__init__()
+        self.model, self.room = model, room
+
+    def __missing__(self, island: str) -> int:
+        if len(self) >= self.room:
+            self.clear()
+        got = self[island] = self.model.lattice(island)[0][-1] or 0
+        return got
+
+
 class ChunkLattice:
     """One chunk `core` followed by `halo`, the characters that a last piece may run over."""
 
@@ -75,7 +90,7 @@ class ChunkLattice:
         got = [best[self.n - at + o] if self.n - at + o < len(best) else None for o in range(self.states)]
         return [_NONE if x is None else x for x in got]
 
-    def matrix(self) -> np.ndarray:
+    def matrix(self, scores: Scores) -> np.ndarray:
         """states x states best scores; _NONE where no path leads."""
         out = np.full((self.states, self.states), _NONE, np.int64)
         if self.head is None:
@@ -86,7 +101,7 @@ class ChunkLattice:
                     best, _ = self.model.lattice(self.s[o:], self.n - o)
                     out[o] = self._ends(best, o)
             return out
-        middle = sum(self.model.lattice(x)[0][-1] for x in self.middle)
+        middle = sum(map(scores.__getitem__, self.middle))
         ends = np.array(self._ends(self.model.lattice(self.s[self.tail :], self.n - self.tail)[0], self.tail))
         for o in range(min(self.states, self.head + 1)):
             best = self.model.lattice(self.s[o : self.head])[0][-1]
@@ -158,8 +173,9 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = ug.shared(sent.value)
+        scores = Scores(model)
         for b in batches:
-            made = [ChunkLattice(model, c, h, p).matrix().tobytes() for c, h, p in zip(b["core"], b["halo"], b["before"], strict=True)]
+            made = [ChunkLattice(model, c, h, p).matrix(scores).tobytes() for c, h, p in zip(b["core"], b["halo"], b["before"], strict=True)]
             yield pd.DataFrame({"digest": b["digest"], "block": b["k"] // block, "k": b["k"], "m": made})
 
     def combine(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -214,12 +230,12 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
             state = m[state]
         return pd.DataFrame(rows, columns=["digest", "at", "end"])
 
-    parts = texts.mapInPandas(chunks, "digest string, k long, core string, halo string, before string").repartition("digest", "k")
-    mats = parts.mapInPandas(matrices, "digest string, block long, k long, m binary")
+    parts = cut_wide(texts.mapInPandas(chunks, "digest string, k long, core string, halo string, before string").repartition("digest", "k"))
+    mats = cut_wide(parts.mapInPandas(matrices, "digest string, block long, k long, m binary"))
     blocks = mats.groupBy("digest", "block").applyInPandas(combine, "digest string, block long, m binary")
     before = blocks.groupBy("digest").applyInPandas(enter, "digest string, block long, v binary")
     entries = mats.join(before, ["digest", "block"]).groupBy("digest", "block").applyInPandas(enter, "digest string, block long, k long, v binary")
-    traced = parts.join(entries, ["digest", "k"]).mapInPandas(traces, "digest string, block long, k long, o int, s int, ids binary")
+    traced = cut_wide(parts.join(entries, ["digest", "k"]).mapInPandas(traces, "digest string, block long, k long, o int, s int, ids binary"))
     steps = traced.select("digest", "block", F.col("k").alias("at"), "o", "s")
     whole = steps.groupBy("digest", "block").applyInPandas(join_maps, "digest string, at long, o int, s int")
     ends = whole.groupBy("digest").applyInPandas(leave, "digest string, at long, end int").withColumnRenamed("at", "block")
