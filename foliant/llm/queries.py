@@ -56,6 +56,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.chat_format import quotation_links, reply_order
+
+    out = reply_order(quotation_links(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", "n_quotes", "reply_to", "root_turn", "depth", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_digest"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.line_dedup import line_dedup
 
@@ -63,6 +76,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", F.md5(F.col("text").cast("binary")).alias("text_digest"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_chat_format, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
