@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 log = logging.getLogger(__name__)
 
-#: Rows of two or three longs that may be broadcast (some 100 MB as a hash table); more are joined by a shuffle.
-BROADCAST_ROWS = 1_500_000
+#: Rows of two or three longs that may be broadcast (some 30 MB as a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: Centres of a bucket in the first rounds and after.
 CENTRES = (1, 4, 16)
 #: From the third round on, buckets of no more members than this take all of them as centres at once.
@@ -51,27 +51,37 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def merged(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    """Cut union in no more partitions than a shuffle makes."""
+    if a is None:
+        return cut(b)
+    return cut(a.unionAll(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
     """(id, component) of every end of `edges` (a, b); the component is the least id reachable.
 
-    Each round a node and the node that it points to learn the least label around the node, then
-    labels jump to their labels' labels, so long chains take a logarithm of their length.
-    Nothing but one row reaches the driver.
+    Each round every node points to the least node around it and edges are contracted
+    to what their ends point to, until none is left. The first round goes by id, which resolves stars
+    whose centre is their least node at once; later ones go by a hash, so that
+    the nodes of long chains shrink by a constant share each round, in whatever order their ids are. Nothing but
+    one row reaches the driver.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"))
-    for _ in range(rounds):
-        label = cut(label)
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        seen = label.join(near, "id")
-        told = seen.select("id", "near").unionAll(seen.select(F.col("label").alias("id"), "near")).groupBy("id").agg(F.min("near").alias("near"))
-        low = cut(label.join(told, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
-        log.debug("labels")
-        if low.where("label < old").isEmpty():
-            return label.withColumnRenamed("label", "component")
-        up = low.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        label = low.join(up, "label").select("id", F.col("top").alias("label"))
+    both = cut(edges.select("a", "b").where("a <> b").unionAll(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    root = None
+    for turn in range(rounds):
+        weigh = (lambda c: F.xxhash64(c, F.lit(turn))) if turn else (lambda c: F.lit(0).cast("long"))
+        order = lambda c: F.struct(weigh(c).alias("w"), F.col(c).alias("v"))
+        points = cut(both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("p")))
+        if root is None:
+            root = points.select(F.col("a").alias("id"), F.col("p").alias("root"))
+        else:
+            root = cut(root.join(points.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
+        ends = both.join(points.withColumnRenamed("p", "pa"), "a").join(points.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
+        both = cut(ends.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        if both.isEmpty():
+            least = root.groupBy("root").agg(F.min("id").alias("component"))
+            return cut(root.join(least, "root").select("id", "component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -110,11 +120,11 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
         )
         # a pair that failed in one bucket is not tried again in another
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else cut(tried.unionAll(pairs))
+        tried = pairs if tried is None else merged(tried, pairs)
         log.debug("round %d: %d pairs", turn, pairs.count() if log.isEnabledFor(logging.DEBUG) else -1)
         if not pairs.isEmpty():
             good = confirm(pairs)
-            links = cut(good if links is None else links.unionAll(good))
+            links = merged(links, good)
             log.debug("round %d: confirmed", turn)
             label = connected_components(links)
         elif label is None:
