@@ -60,20 +60,6 @@ class Encoder(dict):
         return np.array([i for x in self.model.islands(self.model.prepare(text)) for i in self.model.solve(x)], np.int32).tobytes()
 
 
-class Scores(dict):
-    """Best scores of islands, remembered up to a bound."""
-
-    def __init__(self, model: ug.Unigram, room: int = ug.CACHE):
-        super().__init__()
-        self.model, self.room = model, room
-
-    def __missing__(self, island: str) -> int:
-        if len(self) >= self.room:
-            self.clear()
-        got = self[island] = self.model.lattice(island)[0][-1] or 0
-        return got
-
-
 class ChunkLattice:
     """One chunk `core` followed by `halo`, the characters that a last piece may run over."""
 
@@ -82,16 +68,18 @@ class ChunkLattice:
         self.states = max(1, model.longest)
         cut = [i for i in range(self.n) if core[i] == ug.SPACE and (core[i - 1] if i else before) != ug.SPACE] if model.cuts else []
         self.head, self.tail = (cut[0], cut[-1]) if cut else (None, None)
-        if cut:
-            self.middle = model.islands(core[self.head : self.tail])
 
     def _ends(self, best: list[int | None], at: int) -> list[int]:
         """Scores of the states at the chunk's end, of a lattice that begins at `at`."""
         got = [best[self.n - at + o] if self.n - at + o < len(best) else None for o in range(self.states)]
         return [_NONE if x is None else x for x in got]
 
-    def matrix(self, scores: Scores) -> np.ndarray:
-        """states x states best scores; _NONE where no path leads."""
+    def matrix(self) -> np.ndarray:
+        """states x states best scores; _NONE where no path leads.
+
+        All paths take the same way between the first and the last cut, so its score, the same in all
+        cells, is left out: no choice depends on it.
+        """
         out = np.full((self.states, self.states), _NONE, np.int64)
         if self.head is None:
             for o in range(min(self.states, len(self.s) + 1)):
@@ -101,11 +89,10 @@ class ChunkLattice:
                     best, _ = self.model.lattice(self.s[o:], self.n - o)
                     out[o] = self._ends(best, o)
             return out
-        middle = sum(map(scores.__getitem__, self.middle))
         ends = np.array(self._ends(self.model.lattice(self.s[self.tail :], self.n - self.tail)[0], self.tail))
         for o in range(min(self.states, self.head + 1)):
             best = self.model.lattice(self.s[o : self.head])[0][-1]
-            out[o] = np.where(ends > _NONE, ends + middle + best, _NONE)
+            out[o] = np.where(ends > _NONE, ends + best, _NONE)
         return out
 
     def traces(self, entry: np.ndarray, encoder: Encoder) -> Iterator[tuple[int, int, bytes]]:
@@ -121,7 +108,7 @@ class ChunkLattice:
             return
         best, back = m.lattice(self.s[: self.head], None, {o: x for o, x in starts.items() if o <= self.head})
         path, begin = m.trace(self.s[: self.head], back, self.head)
-        front = pack(path) + b"".join(encoder[x[1:]] if x[0] == ug.SPACE else pack(m.trace(x, m.lattice(x)[1], len(x))[0]) for x in self.middle)
+        front = pack(path) + b"".join(encoder[x[1:]] if x[0] == ug.SPACE else pack(m.trace(x, m.lattice(x)[1], len(x))[0]) for x in m.islands(self.s[self.head : self.tail]))
         s = self.s[self.tail :]
         best, back = m.lattice(s, self.n - self.tail)
         for o, x in enumerate(self._ends(best, self.tail)):
@@ -173,9 +160,8 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = ug.shared(sent.value)
-        scores = Scores(model)
         for b in batches:
-            made = [ChunkLattice(model, c, h, p).matrix(scores).tobytes() for c, h, p in zip(b["core"], b["halo"], b["before"], strict=True)]
+            made = [ChunkLattice(model, c, h, p).matrix().tobytes() for c, h, p in zip(b["core"], b["halo"], b["before"], strict=True)]
             yield pd.DataFrame({"digest": b["digest"], "block": b["k"] // block, "k": b["k"], "m": made})
 
     def combine(key: tuple, b: pd.DataFrame) -> pd.DataFrame:

@@ -40,25 +40,35 @@ class Counter(dict):
 
     def count(self, island: str) -> int:
         n = len(island)
+        if self.model.single.issuperset(island):  # no unknown character: every node is reached
+            top: list[float] = [0] + [float("-inf")] * n
+            start, many = [0] * (n + 1), [0] * (n + 1)
+            for end, (size, _, score) in self.model.found.iter(island):
+                end += 1
+                begin = end - size
+                x = top[begin] + score
+                if x > top[end] or (x == top[end] and begin < start[end]):
+                    top[end], start[end], many[end] = x, begin, many[begin] + 1
+            return many[n]
         best, many, unknown = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         single, unk = self.model.single, self.model.unk_score
-        at, top, took, lost = 0, None, 0, False
+        at, high, took, lost = 0, None, 0, False
         longest = 0
         found = self.model.found.iter(island)
         nxt = next(found, None)
         for e in range(1, n + 1):
-            top, longest = None, 0
+            high, longest = None, 0
             while nxt is not None and nxt[0] == e - 1:
                 size, _, score = nxt[1]
                 x = best[e - size] + score
-                if top is None or x > top or (x == top and size > longest):
-                    top, took, longest, lost = x, many[e - size] + 1, size, False
+                if high is None or x > high or (x == high and size > longest):
+                    high, took, longest, lost = x, many[e - size] + 1, size, False
                 nxt = next(found, None)
             at = e - 1
-            if island[at] not in single and (top is None or best[at] + unk > top):
-                top, lost = best[at] + unk, True
+            if island[at] not in single and (high is None or best[at] + unk > high):
+                high, lost = best[at] + unk, True
                 took = many[at] + (len(island[at].encode()) if self.bytes else 0 if unknown[at] else 1)
-            best[e], many[e], unknown[e] = top, took, lost
+            best[e], many[e], unknown[e] = high, took, lost
         return many[n]
 
     def text(self, text: str) -> int:

@@ -22,7 +22,7 @@ import ahocorasick
 SPACE = "▁"
 BLOCKED = -1e8
 #: Islands that a worker remembers.
-CACHE = 400_000
+CACHE = 120_000
 
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -136,8 +136,24 @@ class Unigram:
         return out
 
     def solve(self, island: str) -> list[int]:
-        best, back = self.lattice(island)
-        return self.ids(self.trace(island, back, len(island))[0])
+        """Ids of the best path; without unknown characters every node is reached, which saves the general lattice."""
+        if not self.single.issuperset(island):
+            best, back = self.lattice(island)
+            return self.ids(self.trace(island, back, len(island))[0])
+        n = len(island)
+        best: list[float] = [0] + [float("-inf")] * n
+        start, piece = [0] * (n + 1), [0] * (n + 1)
+        for end, (size, which, score) in self.found.iter(island):
+            end += 1
+            begin = end - size
+            x = best[begin] + score
+            if x > best[end] or (x == best[end] and begin < start[end]):
+                best[end], start[end], piece[end] = x, begin, which
+        out = []
+        while n:
+            out.append(piece[n])
+            n = start[n]
+        return out[::-1]
 
     def score(self, prepared: str) -> int:
         """Best score of a whole text."""
