@@ -4,11 +4,635 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from foliant.domain import ctes, table
+from foliant.functions import geometry as g
+from foliant.functions import text as tx
+from foliant.operators import batch as bt
+from foliant.operators import chunks as ch
+from foliant.operators import layout as ly
+from foliant.operators import quality as ql
+from foliant.operators import retrieval as rt
+from foliant.operators import tables as tb
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+NOW = 9000.0
+K = 10
+
+
+def register(sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (ctes(*uses) + "\n" + sql.replace("WITH ", ", ", 1) if sql.lstrip().startswith("WITH ") else ctes(*uses) + "\n" + sql) if uses else sql
+        return f
+
+    return add
+
+
+# ---- retrieval -------------------------------------------------------------------------------
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("dense"))
+    p = table(spark, sf_dir, "points").join(e, "point_id", "left")
+    return p.withColumn("dense", F.coalesce("dense", F.array().cast("array<float>"))).withColumn("headings", F.array(F.concat(F.lit("Part "), "lang")))
+
+
+def _queries(spark: SparkSession, sf_dir: str, scoped: bool = False) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    b = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scope = F.when(F.col("query_id") % 2 == 0, F.array(F.concat(F.lit("src"), F.col("query_id") % 20), F.lit("src3"))) if scoped else F.lit(None)
+    both = b.join(e, "query_id").select("query_id", "query", "qvec", scope.cast("array<string>").alias("document_ids"))
+    return both.withColumn("top_k_candidates", F.lit(None).cast("int")).withColumn("top_k_final", F.lit(None).cast("int"))
+
+
+_Q = """q AS (SELECT item_id AS query_id, b.text AS query, e.embedding AS qvec, {scope} AS document_ids FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE item_id < 20)"""
+_Q_ALL = _Q.format(scope="CAST(NULL AS VARCHAR[])")
+_Q_SCOPED = _Q.format(scope="CASE WHEN item_id % 2 = 0 THEN ['src' || CAST(item_id % 20 AS VARCHAR), 'src3'] END")
+_DENSE = """
+dense_scores AS (SELECT q.query_id, p.point_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.qvec AS DOUBLE[])), 6) + 0.0 AS score
+  FROM points p JOIN embeddings e ON e.vec_id = p.point_id, q WHERE q.document_ids IS NULL OR list_contains(q.document_ids, p.doc_id)),
+dense_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dense_scores) WHERE rank <= 10)"""
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_SPARSE = rf"""
+post AS (SELECT point_id, doc_id, term, dl, count(*) AS tf FROM (SELECT point_id, doc_id, len(ts) AS dl, unnest(ts) AS term FROM (SELECT point_id, doc_id, {_TERMS.format("text")} AS ts FROM points)) GROUP BY ALL),
+stats AS (SELECT count(*) AS n_docs, avg(len({_TERMS.format("text")})) AS avgdl FROM points),
+qt AS (SELECT query_id, document_ids, qdl, term, count(*) AS qtf FROM (SELECT query_id, document_ids, len(ts) AS qdl, unnest(ts) AS term FROM (SELECT query_id, document_ids, {_TERMS.format("query")} AS ts FROM q)) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+sparse_scores AS (SELECT query_id, point_id, round(sum({{weight}}), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term), stats
+  WHERE document_ids IS NULL OR list_contains(document_ids, doc_id) GROUP BY query_id, point_id),
+sparse_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM sparse_scores) WHERE rank <= 10)"""
+_W = "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+_BM25 = _SPARSE.replace("{weight}", f"{_W} * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * qtf")
+_TF = _SPARSE.replace("{weight}", f"{_W} * (qtf * 2.2 / (qtf + 1.2 * (0.25 + 0.75 * qdl / avgdl)))")
+_FUSED = """
+united AS (SELECT query_id, point_id, rank FROM dense_hits UNION ALL SELECT query_id, point_id, rank FROM sparse_hits),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT query_id, point_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM united GROUP BY ALL)) WHERE rank <= 10)"""
+_RERANKED = rf"""
+cand AS (SELECT f.*, p.text, p.doc_id AS document_id, p.page_no, p.chunk_type, ['Part ' || p.lang] AS headings FROM fused f JOIN points p USING (point_id)),
+scored AS (SELECT cand.*, round(len(list_intersect(list_distinct({_TERMS.format("q.query")}), {_TERMS.format("cand.text")})) / len(list_distinct({_TERMS.format("q.query")})), 6) AS rerank_score FROM cand JOIN q USING (query_id)),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS final_rank FROM scored) WHERE final_rank <= 5)"""
+_HITS = ["query_id", "point_id", "score", "rank"]
+
+
+@register(f"WITH {_Q_ALL},{_DENSE} SELECT query_id, point_id, score, rank FROM dense_hits", ("points",))
+def dense_topk(spark, sf_dir):
+    return rt.dense_topk(_points(spark, sf_dir), _queries(spark, sf_dir), K).select(*_HITS)
+
+
+@register(f"WITH {_Q_SCOPED},{_DENSE} SELECT query_id, point_id, score, rank FROM dense_hits", ("points",))
+def dense_topk_filtered(spark, sf_dir):
+    return rt.dense_topk(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
+
+
+@register(f"WITH {_Q_ALL},{_DENSE} SELECT query_id, point_id, score, rank FROM dense_hits WHERE score >= 0.2", ("points",))
+def dense_topk_threshold(spark, sf_dir):
+    return rt.dense_topk(_points(spark, sf_dir), _queries(spark, sf_dir), K, threshold=0.2).select(*_HITS)
+
+
+@register(f"WITH {_Q_SCOPED},{_BM25} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
+def sparse_topk_bm25(spark, sf_dir):
+    return rt.sparse_topk(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
+
+
+@register(f"WITH {_Q_ALL},{_TF} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
+def sparse_topk_tf(spark, sf_dir):
+    return rt.sparse_topk(_points(spark, sf_dir), _queries(spark, sf_dir), K, mode="tf_dot").select(*_HITS)
+
+
+def _ranked(spark, sf_dir):
+    p, q = _points(spark, sf_dir), _queries(spark, sf_dir, scoped=True)
+    cand = rt.with_payload(rt.hybrid(p, q, K), p)
+    return q, cand, rt.rerank(cand, q, 5)
+
+
+_CHAIN = f"WITH {_Q_SCOPED},{_DENSE},{_BM25},{_FUSED},{_RERANKED}"
+
+
+@register(f"WITH {_Q_SCOPED},{_DENSE},{_BM25},{_FUSED} SELECT query_id, point_id, score, rank FROM fused", ("points",))
+def hybrid_rrf(spark, sf_dir):
+    return rt.hybrid(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
+
+
+@register(f"{_CHAIN} SELECT query_id, point_id, document_id, page_no, chunk_type, rerank_score, final_rank FROM ranked", ("points",))
+def rerank_topk(spark, sf_dir):
+    return _ranked(spark, sf_dir)[2].select("query_id", "point_id", "document_id", "page_no", "chunk_type", "rerank_score", "final_rank")
+
+
+@register(f"{_CHAIN} SELECT query_id, point_id, rank AS final_rank FROM fused WHERE rank <= 5", ("points",))
+def rerank_fallback(spark, sf_dir):
+    q, cand, _ = _ranked(spark, sf_dir)
+    return rt.rerank(cand, q, 5, lambda query, text: F.lit(None).cast("double")).select("query_id", "point_id", "final_rank")
+
+
+@register(
+    f"""{_CHAIN}, got AS (SELECT query_id, point_id, rank, CASE WHEN query_id % 3 > 0 AND point_id % 2 = 0 THEN round(point_id / 1000.0, 6) END AS s FROM fused),
+    seen AS (SELECT *, bool_or(s IS NOT NULL) OVER (PARTITION BY query_id) AS has FROM got)
+    SELECT * FROM (SELECT query_id, point_id, s AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank) AS final_rank FROM seen WHERE s IS NOT NULL OR NOT has) WHERE final_rank <= 3""",
+    ("points",),
+)
+def rerank_score_merge(spark, sf_dir):
+    cand = rt.hybrid(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K)
+    scores = cand.where("query_id % 3 > 0 and point_id % 2 = 0").select("query_id", "point_id", F.round(F.col("point_id") / 1000.0, 6).alias("rerank_score"))
+    return rt.merge_scores(cand, scores, 3).select("query_id", "point_id", "rerank_score", "final_rank")
+
+
+@register(
+    """WITH none AS (SELECT item_id AS query_id FROM benchmark WHERE item_id >= 20)
+    SELECT query_id, seq, event FROM none, (VALUES (0, 'data: {"token":"I cannot answer this question based on the provided documents."}' || chr(10) || chr(10)), (1, 'data: {"sources":[]}' || chr(10) || chr(10)), (2, 'data: [DONE]' || chr(10) || chr(10))) AS f(seq, event)"""
+)
+def refusals(spark, sf_dir):
+    every = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return rt.refusals(every, every.where("query_id < 20"))
+
+
+@register(
+    f"""{_CHAIN}, parts AS (SELECT query_id, final_rank, '[' || final_rank || '] Document: ' || document_id || ' | Page: ' || page_no || ' | Type: ' || chunk_type || chr(10) || '     Section: ' || array_to_string(headings, ' > ') || chr(10) || repeat('-', 40) || chr(10) || trim(text, ' ') || chr(10) AS x FROM ranked)
+    SELECT query_id, 'CONTEXT CHUNKS (use these and only these to answer):' || chr(10) || repeat('=', 70) || chr(10) || string_agg(x, chr(10) ORDER BY final_rank) || chr(10) || repeat('=', 70) AS context FROM parts GROUP BY query_id""",
+    ("points",),
+)
+def context_blocks(spark, sf_dir):
+    return rt.context_blocks(_ranked(spark, sf_dir)[2])
+
+
+def _answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    block = F.when(F.col("conv_id") % 5 == 4, F.lit("\n```sources\n[{bad json]\n```")).otherwise(
+        F.concat(F.lit('\n```Sources\n[{"ref": '), F.col("conv_id") % 4 + 1, F.lit(', "document_id": "'), F.when(F.col("conv_id") % 2 == 0, "").otherwise("own"), F.lit('", "page_no": '), F.when(F.col("conv_id") % 3 == 0, "null").otherwise("0"), F.lit(', "chunk_type": "", "excerpt": ""}]\n```'))
+    )
+    return c.where("conv_id < 20").select(F.col("conv_id").alias("query_id"), F.concat("t", block).alias("answer"))
+
+
+@register(
+    f"""{_CHAIN}, a AS (SELECT conv_id AS query_id FROM conversations WHERE role = 'assistant' AND conv_id < 20 AND conv_id % 5 <> 4 GROUP BY conv_id)
+    SELECT a.query_id, 0 AS seq, CAST(a.query_id % 4 + 1 AS VARCHAR) AS ref, CASE WHEN a.query_id % 2 = 0 THEN r.document_id ELSE 'own' END AS document_id, CASE WHEN a.query_id % 3 = 0 THEN r.page_no ELSE 0 END AS page_no, r.chunk_type, left(r.text, 120) AS excerpt
+    FROM a LEFT JOIN ranked r ON r.query_id = a.query_id AND r.final_rank = a.query_id % 4 + 1""",
+    ("points",),
+)
+def citations_enriched(spark, sf_dir):
+    q, cand, ranked = _ranked(spark, sf_dir)
+    return rt.citations(_answers(spark, sf_dir), ranked)
+
+
+@register()
+def event_frames(spark, sf_dir):
+    return rt.events(_answers(spark, sf_dir), _ranked(spark, sf_dir)[2])
+
+
+@register("SELECT point_id, page_no, chunk_type, text FROM points WHERE doc_id = 'src3'", ("points",))
+def document_fetch(spark, sf_dir):
+    return rt.document(_points(spark, sf_dir).withColumn("ord", F.col("point_id")), "src3").select("point_id", "page_no", "chunk_type", "text")
+
+
+@register("SELECT DISTINCT doc_id FROM points WHERE doc_id <> ''", ("points",))
+def document_ids(spark, sf_dir):
+    return rt.document_ids(_points(spark, sf_dir))
+
+
+@register("SELECT count(*) AS points, count(DISTINCT doc_id) AS documents FROM points", ("points",))
+def collection_stats(spark, sf_dir):
+    return table(spark, sf_dir, "points").agg(F.count("*").alias("points"), F.count_distinct("doc_id").alias("documents"))
+
+
+@register("SELECT point_id, page_no FROM points WHERE chunk_type = 'table' AND lang = 'en'", ("points",))
+def payload_filter(spark, sf_dir):
+    return rt.equal_filters(_points(spark, sf_dir), {"chunk_type": "table", "lang": "en"}).select("point_id", "page_no")
+
+
+@register("SELECT item_id AS query_id, CASE WHEN length(text) < 1 OR length(text) > 300 THEN 'query length' END AS error FROM benchmark WHERE FALSE UNION ALL SELECT item_id, CASE WHEN length(text) > 2000 THEN 'query length' WHEN item_id % 120 < 5 THEN 'top_k_candidates' WHEN item_id % 25 = 0 OR item_id % 25 > 20 THEN 'top_k_final' END FROM benchmark")
+def query_validation(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 120).cast("int").alias("top_k_candidates"), (F.col("item_id") % 25).cast("int").alias("top_k_final"))
+    q = q.withColumn("top_k_candidates", F.when(F.col("top_k_candidates") > 100, 100).otherwise(F.col("top_k_candidates")))
+    return rt.validate(q).select("query_id", "error")
+
+
+# ---- layout ----------------------------------------------------------------------------------
+
+_AREA = "(r - l) * (t - b)"
+_ELIGIBLE = f"ok AS (SELECT * FROM items WHERE NOT ((r - l < 20 AND t - b < 10) OR {_AREA} < 500))"
+_INTER = "(CASE WHEN least(i.r, o.r) > greatest(i.l, o.l) AND least(i.t, o.t) > greatest(i.b, o.b) THEN (least(i.r, o.r) - greatest(i.l, o.l)) * (least(i.t, o.t) - greatest(i.b, o.b)) ELSE 0 END)"
+_AI, _AO = "((i.r - i.l) * (i.t - i.b))", "((o.r - o.l) * (o.t - o.b))"
+_J1 = f"j1 AS (SELECT * FROM ok i WHERE NOT EXISTS (SELECT 1 FROM ok o WHERE o.doc_id = i.doc_id AND o.page_no = i.page_no AND o.seq <> i.seq AND {_AO} > {_AI} AND {_AI} > 0 AND {_INTER} >= 0.8 * {_AI}))"
+_J2 = f"j2 AS (SELECT * FROM j1 i WHERE NOT EXISTS (SELECT 1 FROM j1 o WHERE i.item_type = 'picture' AND o.item_type = 'table' AND o.doc_id = i.doc_id AND o.page_no = i.page_no AND {_AI} > 0 AND {_AO} > 0 AND {_INTER} >= 0.9 * {_AI} AND {_INTER} >= 0.9 * {_AO}))"
+_W1 = "boxed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY t DESC, seq) AS box_num FROM j2 WHERE NOT contains(lower(label), 'formula'))"
+_BOX = ["doc_id", "page_no", "seq", "item_type"]
+_DET = "det AS (SELECT * FROM items WHERE item_type = 'table' AND page_no % 2 = 1)"
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "items")
+
+
+def _detected(items):
+    return items.where("item_type = 'table' and page_no % 2 = 1")
+
+
+@register(f"WITH {_ELIGIBLE} SELECT doc_id, page_no, seq, item_type FROM ok", ("items",))
+def eligible_items(spark, sf_dir):
+    return ly.eligible(_items(spark, sf_dir)).select(*_BOX)
+
+
+@register(f"WITH {_ELIGIBLE}, {_J1} SELECT doc_id, page_no, seq, item_type FROM j1", ("items",))
+def contained_boxes(spark, sf_dir):
+    return ly.drop_contained(ly.eligible(_items(spark, sf_dir))).select(*_BOX)
+
+
+@register(f"WITH {_ELIGIBLE}, {_J1}, {_J2} SELECT doc_id, page_no, seq, item_type FROM j2", ("items",))
+def dedup_types(spark, sf_dir):
+    return ly.drop_duplicate_pictures(ly.drop_contained(ly.eligible(_items(spark, sf_dir)))).select(*_BOX)
+
+
+@register(f"WITH {_ELIGIBLE}, {_J1}, {_J2}, {_W1} SELECT doc_id, page_no, seq, box_num FROM boxed", ("items",))
+def reading_order(spark, sf_dir):
+    return ly.number_boxes(_items(spark, sf_dir)).select("doc_id", "page_no", "seq", "box_num")
+
+
+@register(
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, t DESC, seq) AS n FROM items),
+    walk AS (SELECT doc_id, n, seq, CASE WHEN label = 'section_header' AND text <> '' THEN [text] ELSE CAST([] AS VARCHAR[]) END AS headings FROM o WHERE n = 1
+      UNION ALL SELECT o.doc_id, o.n, o.seq, CASE WHEN label = 'section_header' AND text <> '' THEN list_concat(headings[1:level], [text]) ELSE headings END FROM walk JOIN o ON o.doc_id = walk.doc_id AND o.n = walk.n + 1)
+    SELECT doc_id, seq, len(headings) AS depth, array_to_string(headings, ' > ') AS path FROM walk""",
+    ("items",),
+)
+def heading_stack(spark, sf_dir):
+    return ly.heading_stacks(_items(spark, sf_dir)).select("doc_id", "seq", F.size("headings").alias("depth"), F.array_join("headings", " > ").alias("path"))
+
+
+@register("SELECT doc_id, page_no, min(l) AS l, max(t) AS t, max(r) AS r, min(b) AS b FROM items GROUP BY ALL", ("items",))
+def bbox_union(spark, sf_dir):
+    return _items(spark, sf_dir).groupBy("doc_id", "page_no").agg(*ly.union_box())
+
+
+@register(f"WITH {_DET}, p AS (SELECT DISTINCT doc_id, page_no FROM det), n AS (SELECT *, lead(page_no) OVER (PARTITION BY doc_id ORDER BY page_no) AS nxt FROM p) SELECT doc_id, CAST(unnest(generate_series(page_no + 1, nxt - 1)) AS INT) AS page_no FROM n WHERE nxt > page_no + 1", ("items",))
+def gap_pages(spark, sf_dir):
+    return ly.gap_pages(_detected(_items(spark, sf_dir)))
+
+
+def _titled(items):
+    return items.withColumn("text", F.when(F.col("seq") % 34 == 6, F.concat(F.lit("Table "), F.col("seq") % 7 + 1, F.lit(" "), F.left("text", F.lit(20)))).when((F.col("label") == "section_header") & (F.col("seq") % 5 == 0), "References (continued)").otherwise(F.col("text")))
+
+
+_TITLED = "tit AS (SELECT * REPLACE (CASE WHEN seq % 34 = 6 THEN 'Table ' || (seq % 7 + 1) || ' ' || left(text, 20) WHEN label = 'section_header' AND seq % 5 = 0 THEN 'References (continued)' ELSE text END AS text) FROM items), tdet AS (SELECT * FROM tit WHERE item_type = 'table' AND page_no % 2 = 1)"
+_MISSED = r"""txt AS (SELECT *, regexp_matches(trim(text), '(?i)^TABLE\s+([IVXLCDM]+|\d+)') AS is_title FROM tit WHERE item_type = 'text'),
+mk AS (SELECT *, min(CASE WHEN is_title OR (label = 'section_header' AND regexp_matches(upper(text), 'REFERENCE|CONCLUSION|APPENDIX|FIGURE')) THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM txt),
+ti AS (SELECT * FROM mk WHERE is_title AND NOT EXISTS (SELECT 1 FROM tdet d WHERE d.doc_id = mk.doc_id AND d.page_no = mk.page_no AND abs(d.t - mk.t) < 50)),
+missed AS (SELECT ti.doc_id, ti.page_no, ti.seq AS title_seq, trim(ti.text) AS title, min(x.l) AS l, max(x.t) AS t, max(x.r) AS r, min(x.b) AS b FROM ti JOIN txt x ON x.doc_id = ti.doc_id AND x.page_no = ti.page_no AND x.seq >= ti.seq AND (ti.stop IS NULL OR x.seq < ti.stop) GROUP BY ALL)"""
+
+
+@register(f"WITH {_TITLED}, {_MISSED} SELECT * FROM missed", ("items",))
+def missed_tables(spark, sf_dir):
+    items = _titled(_items(spark, sf_dir))
+    return ly.missed_tables(items, _detected(items))
+
+
+@register(f"WITH {_TITLED} SELECT DISTINCT doc_id, page_no FROM tit t WHERE label = 'section_header' AND contains(lower(text), 'continued') AND NOT EXISTS (SELECT 1 FROM tdet d WHERE d.doc_id = t.doc_id AND d.page_no = t.page_no)", ("items",))
+def continued_pages(spark, sf_dir):
+    items = _titled(_items(spark, sf_dir))
+    return ly.continued_pages(items, _detected(items))
+
+
+@register("SELECT DISTINCT doc_id, page_no FROM items WHERE contains(lower(label), 'formula')", ("items",))
+def formula_pages(spark, sf_dir):
+    return ly.formula_pages(_items(spark, sf_dir))
+
+
+@register(
+    """WITH f AS (SELECT doc_id, page_no, seq AS fig, t AS ft, b AS fb FROM items WHERE item_type = 'picture'), x AS (SELECT * FROM items WHERE item_type = 'text' AND text <> '')
+    SELECT f.doc_id, f.page_no, f.fig AS seq, trim(right(coalesce(string_agg(x.text, ' ' ORDER BY x.b, x.seq) FILTER (WHERE x.b > f.ft), ''), 300), ' ') AS above,
+           trim(left(coalesce(string_agg(x.text, ' ' ORDER BY x.t DESC, x.seq) FILTER (WHERE x.t < f.fb), ''), 300), ' ') AS below
+    FROM f LEFT JOIN x ON x.doc_id = f.doc_id AND x.page_no = f.page_no GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY f.doc_id, f.page_no, f.fig"),
+    ("items",),
+)
+def figure_context(spark, sf_dir):
+    return ly.figure_context(_items(spark, sf_dir))
+
+
+@register()
+def table_candidates(spark, sf_dir):
+    items = _titled(_items(spark, sf_dir))
+    return ly.table_candidates(items, _detected(items))
+
+
+@register(
+    f"""WITH nf AS (SELECT * FROM items WHERE NOT contains(lower(label), 'formula')), {_ELIGIBLE.replace('FROM items', 'FROM nf')}, {_J1}, {_J2}, {_W1}
+    SELECT doc_id, page_no, coalesce(string_agg('[' || box_num || '] ' || left(text, 100), chr(10) ORDER BY box_num) FILTER (WHERE item_type = 'text' AND trim(text, ' ') <> ''), '') AS blocks FROM boxed GROUP BY doc_id, page_no""",
+    ("items",),
+)
+def content_blocks(spark, sf_dir):
+    return ly.content_blocks(_items(spark, sf_dir))
+
+
+@register(
+    """SELECT doc_id, seq, greatest(0, l - 70) AS crop_l, t + 70 AS crop_t, r + 70 AS crop_r, greatest(0, b - 70) AS crop_b,
+    greatest(0, l - (r - l) * 0.05) AS x0, greatest(0, 792 - t - (t - b) * 0.05) AS y0, least(612, r + (r - l) * 0.05) AS x1, least(792, 792 - b + (t - b) * 0.05) AS y1, (792 - t) * 2 AS top, abs(r - l) * abs(t - b) >= 50000 AS large FROM items""",
+    ("items",),
+)
+def box_geometry(spark, sf_dir):
+    i = _items(spark, sf_dir)
+    w, h = F.lit(612.0), F.lit(792.0)
+    crop = [c.alias(n) for c, n in zip(g.padded(), ("crop_l", "crop_t", "crop_r", "crop_b"), strict=True)]
+    return i.withColumn("q", g.image_rect(w, h)).withColumn("f", g.flip_y(h, 2.0)).select("doc_id", "seq", *crop, "q.x0", "q.y0", "q.x1", "q.y1", "f.top", g.is_table_picture().alias("large"))
+
+
+# ---- chunks ----------------------------------------------------------------------------------
+
+
+def _chunks(spark, sf_dir):
+    c = table(spark, sf_dir, "chunks")
+    return c.withColumn("headings", F.array(F.concat(F.lit("S"), "section"))).drop("section")
+
+
+_SMALL = """m AS (SELECT *, CASE WHEN chunk_type = 'text' AND length(text) < 150 AND coalesce(lag(chunk_type) OVER w = 'text', FALSE) THEN 0 ELSE 1 END AS starts FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+gs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY ord) AS gid FROM m),
+small AS (SELECT doc_id, min(ord) AS ord, arg_min(chunk_type, ord) AS chunk_type, string_agg(text, chr(10) ORDER BY ord) AS text, arg_min(page_no, ord) AS page_no, arg_min(section, ord) AS section, count(*) > 1 AS merged FROM gs GROUP BY doc_id, gid)"""
+
+
+@register(f"WITH {_SMALL} SELECT doc_id, ord, chunk_type, text, page_no, 'S' || section AS heading, merged AS merged_small FROM small", ("chunks",))
+def merge_small(spark, sf_dir):
+    return ch.merge_small(_chunks(spark, sf_dir)).withColumn("heading", F.get("headings", 0)).drop("headings")
+
+
+@register(
+    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, length(text) AS size FROM chunks),
+    f AS (SELECT doc_id, n, ord, 1 AS gid, size, chunk_type FROM c WHERE n = 1
+      UNION ALL SELECT c.doc_id, c.n, c.ord, f.gid + CASE WHEN f.chunk_type = 'text' AND c.chunk_type = 'text' AND f.size + c.size <= 2000 THEN 0 ELSE 1 END, CASE WHEN f.chunk_type = 'text' AND c.chunk_type = 'text' AND f.size + c.size <= 2000 THEN f.size + c.size ELSE c.size END, c.chunk_type FROM f JOIN c ON c.doc_id = f.doc_id AND c.n = f.n + 1)
+    SELECT c.doc_id, min(c.ord) AS ord, arg_min(c.chunk_type, c.ord) AS chunk_type, string_agg(c.text, chr(10) || chr(10) ORDER BY c.ord) AS text, count(*) > 1 AS merged FROM f JOIN c ON c.doc_id = f.doc_id AND c.n = f.n GROUP BY c.doc_id, f.gid""",
+    ("chunks",),
+)
+def merge_max(spark, sf_dir):
+    return ch.merge_to_max(_chunks(spark, sf_dir)).select("doc_id", "ord", "chunk_type", "text", "merged")
+
+
+_GROUPS = """hg AS (SELECT *, CASE WHEN chunk_type = 'text' AND coalesce(lag(chunk_type) OVER w = 'text' AND lag(ord) OVER w = ord - 1 AND lag(section) OVER w = section, FALSE) THEN 0 ELSE 1 END AS starts FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+grp AS (SELECT * FROM (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY ord) AS grp FROM hg) WHERE chunk_type = 'text')"""
+
+
+@register(f"WITH {_GROUPS} SELECT doc_id, ord, CAST(grp AS BIGINT) AS grp FROM grp", ("chunks",))
+def heading_groups(spark, sf_dir):
+    return ch.heading_groups(_chunks(spark, sf_dir)).select("doc_id", "ord", "grp")
+
+
+@register(
+    f"""WITH {_GROUPS}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY ord) AS n, length(text) AS size FROM grp),
+    f AS (SELECT doc_id, grp, n, 1 AS gid, size FROM c WHERE n = 1
+      UNION ALL SELECT c.doc_id, c.grp, c.n, f.gid + CASE WHEN f.size < 512 AND f.size + c.size + 2 <= 2000 THEN 0 ELSE 1 END, CASE WHEN f.size < 512 AND f.size + c.size + 2 <= 2000 THEN f.size + c.size + 2 ELSE c.size END FROM f JOIN c ON c.doc_id = f.doc_id AND c.grp = f.grp AND c.n = f.n + 1)
+    SELECT c.doc_id, min(c.ord) AS ord, string_agg(c.text, chr(10) || chr(10) ORDER BY c.ord) AS text, string_agg(CAST(c.ord AS VARCHAR), ',' ORDER BY c.ord) AS orders, count(*) > 1 AS merged
+    FROM f JOIN c ON c.doc_id = f.doc_id AND c.grp = f.grp AND c.n = f.n GROUP BY c.doc_id, c.grp, f.gid""",
+    ("chunks",),
+)
+def merge_target(spark, sf_dir):
+    return ch.merge_to_target(_chunks(spark, sf_dir)).select("doc_id", "ord", "text", F.array_join("original_orders", ",").alias("orders"), "merged")
+
+
+@register("SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, CASE WHEN seq % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE t END DESC, seq) - 1 AS ord FROM items", ("items",))
+def renumber(spark, sf_dir):
+    return ch.renumber(_items(spark, sf_dir).withColumn("t", F.when(F.col("seq") % 11 != 0, F.col("t")))).select("doc_id", "seq", "ord")
+
+
+def _formulas(spark, sf_dir):
+    b = table(spark, sf_dir, "boxes").where("label = 'formula'")
+    return b.select("doc_id", "page_no", "seq", F.concat(F.lit("f"), F.col("pos") % 4).alias("formula_id"), F.when(F.col("pos") % 3 > 0, F.left("text", F.lit(30))).alias("latex"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("("), "pos", F.lit(")"))).alias("equation_number"), (F.col("pos") % 25).cast("int").alias("after_box"), F.when(F.col("pos") % 5 == 0, "where").alias("description"))
+
+
+@register(
+    f"""WITH {_ELIGIBLE}, {_J1}, {_J2}, {_W1}, fm AS (SELECT doc_id, page_no, seq, 'f' || (pos % 4) AS formula_id, CASE WHEN pos % 3 > 0 THEN left(text, 30) END AS latex, CASE WHEN pos % 2 = 0 THEN '(' || pos || ')' END AS num, pos % 25 AS after_box, CASE WHEN pos % 5 = 0 THEN 'where' END AS description FROM boxes WHERE label = 'formula'),
+    an AS (SELECT doc_id, page_no, box_num AS after_box, l, r, b AS top, coalesce(lead(t) OVER (PARTITION BY doc_id, page_no ORDER BY box_num), b - 100) AS bottom FROM boxed),
+    jn AS (SELECT fm.*, an.top, an.bottom, an.l IS NOT NULL AS placed FROM fm LEFT JOIN an USING (doc_id, page_no, after_box)),
+    one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, formula_id ORDER BY placed DESC, after_box, seq) AS n FROM jn)
+    SELECT doc_id, page_no, seq, formula_id, placed, top AS t, bottom AS b, coalesce(description || chr(10), '') || '$$' || coalesce(latex, '') || '$$' || coalesce(' ' || num, '') AS text FROM one WHERE n = 1 AND (placed OR coalesce(latex, '') <> '')""",
+    ("items",),
+)
+def formula_place(spark, sf_dir):
+    return ch.place_formulas(ly.number_boxes(_items(spark, sf_dir)), _formulas(spark, sf_dir)).select("doc_id", "page_no", "seq", "formula_id", "placed", "t", "b", "text")
+
+
+@register(
+    f"""WITH {_ELIGIBLE}, {_J1}, {_J2}, {_W1}, rg AS (SELECT doc_id, page_no, seq, pos % 9 AS lo, pos % 9 + 2 AS hi, 'R' || pos AS body FROM boxes WHERE pos % 6 = 1),
+    hit AS (SELECT b.doc_id, b.page_no, b.box_num, arg_max(rg.lo, rg.seq) AS lo, arg_max(rg.body, rg.seq) AS body FROM boxed b JOIN rg ON rg.doc_id = b.doc_id AND rg.page_no = b.page_no AND b.box_num BETWEEN rg.lo AND rg.hi GROUP BY ALL)
+    SELECT * FROM (SELECT b.doc_id, b.page_no, b.seq, CASE WHEN h.lo IS NULL THEN b.text WHEN b.box_num = h.lo THEN h.body END AS text FROM boxed b LEFT JOIN hit h USING (doc_id, page_no, box_num)) WHERE text IS NOT NULL""",
+    ("items",),
+)
+def inline_regions(spark, sf_dir):
+    r = table(spark, sf_dir, "boxes").where("pos % 6 = 1").select("doc_id", "page_no", "seq", (F.col("pos") % 9).cast("int").alias("start_box"), (F.col("pos") % 9 + 2).cast("int").alias("last_box"), F.concat(F.lit("R"), "pos").alias("formatted_text"))
+    return ch.cover_regions(ly.number_boxes(_items(spark, sf_dir)), r).select("doc_id", "page_no", "seq", "text")
+
+
+@register("SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE chunk_type = 'text') AS n_text, count(*) FILTER (WHERE chunk_type = 'table') AS n_table, 0 AS n_picture, 0 AS n_formula FROM chunks GROUP BY doc_id", ("chunks",))
+def chunk_counts(spark, sf_dir):
+    return ch.chunk_counts(_chunks(spark, sf_dir))
+
+
+@register("SELECT doc_id AS point_id, CASE WHEN doc_id % 3 = 0 THEN 'deleted' ELSE 'created' END AS change FROM documents WHERE (doc_id % 3 = 0) <> (doc_id % 5 = 0)")
+def id_changes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"))
+    return ch.id_changes(d.where("point_id % 3 = 0"), d.where("point_id % 5 = 0"))
+
+
+@register("SELECT doc_id, lang AS a_label, source AS b FROM documents")
+def meta_round_trip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("a_label"), "lang", F.lit("b"), "source").alias("meta"))
+    back = ch.unflatten_meta(ch.flatten_meta(d))
+    return back.select("doc_id", F.col("meta")["a_label"].alias("a_label"), F.col("meta")["b"].alias("b"))
+
+
+@register()
+def build_chunks(spark, sf_dir):
+    v = _vision(spark, sf_dir)
+    f = _formulas(spark, sf_dir)
+    r = f.limit(0).select("doc_id", "page_no", "seq", F.lit(1).alias("start_box"), F.lit(1).alias("last_box"), F.lit("").alias("formatted_text"))
+    return ch.build_chunks(_items(spark, sf_dir), v, f, r)
+
+
+# ---- tables ----------------------------------------------------------------------------------
+
+
+def _vision(spark, sf_dir):
+    v = table(spark, sf_dir, "vlm").withColumn("kind", F.lit("table"))
+    nothing = F.lit(None).cast("string")
+    return v.select("*", F.lit(None).cast("boolean").alias("relevant"), nothing.alias("description"), nothing.alias("figure_type"), nothing.alias("caption"))
+
+
+@register(
+    r"""WITH p AS (SELECT doc_id, seq, [trim(x, ' ') FOR x IN string_split(markdown, chr(10)) IF starts_with(trim(x, ' '), '|')] AS bars, markdown FROM vlm),
+    s AS (SELECT *, list_position([regexp_matches(x, '^\|[|:\- ]*$') AND contains(x, '-') FOR x IN bars], TRUE) AS sep FROM p)
+    SELECT doc_id, seq, len(bars) AS n_lines, CASE WHEN sep > 1 THEN bars[sep - 1] END AS header, CASE WHEN sep > 0 THEN len(bars) - sep ELSE len(bars) END AS n_data,
+      len(string_split(trim(bars[CASE WHEN sep > 0 THEN sep ELSE 1 END], '|'), '|')) AS col_count, CASE WHEN doc_id % 3 = 0 THEN 'Title' ELSE '' END AS before FROM s""",
+    ("vlm",),
+)
+def table_parse(spark, sf_dir):
+    p = table(spark, sf_dir, "vlm").withColumn("p", tb.parse_markdown(F.col("markdown")))
+    return p.select("doc_id", "seq", F.size("p.lines").alias("n_lines"), "p.header", F.size("p.data").alias("n_data"), "p.col_count", "p.before")
+
+
+@register("SELECT doc_id, seq FROM vlm WHERE doc_id % 3 < 3", ("vlm",))
+def real_tables(spark, sf_dir):
+    return table(spark, sf_dir, "vlm").where(tb.is_real_table(F.col("markdown"))).select("doc_id", "seq")
+
+
+@register()
+def link_tables(spark, sf_dir):
+    return tb.link_pages(tb.linkable(table(spark, sf_dir, "vlm"))).select("doc_id", "page_no", "seq", "markdown", "continuation_of")
+
+
+@register(
+    "WITH k AS (SELECT * FROM (SELECT doc_id, page_no, t AS bt, seq FROM items WHERE item_type = 'table')) SELECT k.doc_id, k.page_no, k.seq, v.seq AS vseq FROM k JOIN vlm v ON v.doc_id = k.doc_id AND v.page_no = k.page_no AND abs(round_even(v.t, 0) - round_even(k.bt, 0)) <= 5",
+    ("items", "vlm"),
+)
+def vision_match(spark, sf_dir):
+    return tb.nearest_match(_items(spark, sf_dir).where("item_type = 'table'"), table(spark, sf_dir, "vlm"))
+
+
+# ---- quality ---------------------------------------------------------------------------------
+
+_PQ = r"""pq AS (SELECT doc_id, page_no, len(regexp_extract_all(text, '[\p{L}\p{N}]')) AS a, len(regexp_extract_all(text, '[^\s\x{00A0}\x{0085}\x{000B}\x{001C}-\x{001F}]')) AS n, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS alphanum, length(text) AS chars FROM slices),
+pc AS (SELECT doc_id, page_no, CASE WHEN a < 100 THEN 'empty' WHEN a / n < 0.7 THEN 'garbled' ELSE 'ok' END AS page_class, alphanum, chars FROM pq)"""
+
+
+@register(f"WITH {_PQ} SELECT * FROM pc", ("slices",))
+def page_quality(spark, sf_dir):
+    return ql.page_quality(table(spark, sf_dir, "slices"))
+
+
+_DQ = "dq AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE page_class = 'ok') AS ok_pages, count(*) FILTER (WHERE page_class = 'empty') AS empty_pages, count(*) FILTER (WHERE page_class = 'garbled') AS garbled_pages, CAST(sum(alphanum) AS BIGINT) AS alphanum_chars FROM pc GROUP BY doc_id)"
+
+
+@register(f"WITH {_PQ}, {_DQ} SELECT *, pages > empty_pages AND garbled_pages / (pages - empty_pages) > 0.3 AS needs_ocr FROM dq", ("slices",))
+def doc_needs_ocr(spark, sf_dir):
+    return ql.document_quality(table(spark, sf_dir, "slices")).withColumn("needs_ocr", F.coalesce("needs_ocr", F.lit(False)))
+
+
+def _runs(spark, sf_dir):
+    s = table(spark, sf_dir, "state")
+    return s.where("state in ('complete', 'failed')").select(F.concat(F.lit("tool"), F.col("batch") % 3).alias("tool"), (F.col("state") == "complete").alias("ok"), F.col("duration").alias("seconds"), (F.col("doc_id") % 5000).alias("chars"), "pages")
+
+
+@register("SELECT 'tool' || (batch % 3) AS tool, round(sum(duration), 3) AS seconds, CAST(sum(doc_id % 5000) AS BIGINT) AS chars, count(*) FILTER (WHERE state = 'complete') AS n_ok, count(*) FILTER (WHERE state = 'failed') AS n_failed, round(sum(CASE WHEN state = 'complete' THEN duration END) / greatest(count(*) FILTER (WHERE state = 'complete'), 1), 4) AS avg_seconds FROM state WHERE state IN ('complete', 'failed') GROUP BY 1", ("state",))
+def tool_summary(spark, sf_dir):
+    return ql.tool_summary(_runs(spark, sf_dir))
+
+
+@register("WITH u AS (SELECT state = 'complete' AS success, doc_id % 900 AS ti, doc_id % 300 AS tout FROM state), s AS (SELECT sum(ti) AS a, sum(tout) AS b, count(*) FILTER (WHERE success) AS n FROM u) SELECT CAST(a AS BIGINT) AS tokens_in, CAST(b AS BIGINT) AS tokens_out, n AS n_ok, round(a / 1e6 * 0.06 + b / 1e6 * 0.24, 6) AS cost, round((a / 1e6 * 0.06 + b / 1e6 * 0.24) / greatest(n, 1), 6) AS cost_per_doc, round((a / 1e6 * 0.06 + b / 1e6 * 0.24) / greatest(n, 1) * 1000, 4) AS projected_cost FROM s", ("state",))
+def cost_summary(spark, sf_dir):
+    s = table(spark, sf_dir, "state")
+    return ql.cost_summary(s.select((F.col("state") == "complete").alias("success"), (F.col("doc_id") % 900).alias("tokens_in"), (F.col("doc_id") % 300).alias("tokens_out")))
+
+
+@register("SELECT count(*) FILTER (WHERE state = 'complete') AS n_ok, count(*) FILTER (WHERE state <> 'complete') AS n_failed, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(doc_id % 5000) AS BIGINT) AS chars, round(sum(duration), 3) AS cpu_s, CAST(sum(pages % 2) AS BIGINT) AS garbled_pages, CAST(sum(pages % 3) AS BIGINT) AS empty_pages, round(sum(pages) / 50.0 * 60, 2) AS pages_per_min, round(sum(duration) / 50.0, 3) AS effective_parallelism, round(108000 * 50.0 / greatest(count(*) FILTER (WHERE state = 'complete'), 1) / 3600, 3) AS extrapolated_hours FROM state WHERE state IN ('complete', 'failed')", ("state",))
+def corpus_summary(spark, sf_dir):
+    s = table(spark, sf_dir, "state").where("state in ('complete', 'failed')")
+    r = s.select((F.col("state") == "complete").alias("success"), "pages", (F.col("doc_id") % 5000).alias("chars"), F.col("duration").alias("elapsed_s"), (F.col("pages") % 2).alias("garbled_pages"), (F.col("pages") % 3).alias("empty_pages"))
+    return ql.corpus_summary(r, 50.0)
+
+
+@register("WITH b AS (SELECT doc_id, CAST(ceil(length(text) / 500.0) AS INT) AS pages FROM documents), k AS (SELECT *, CASE WHEN pages <= 20 THEN 'small' WHEN pages <= 100 THEN 'medium' ELSE 'large' END AS bucket FROM b WHERE pages > 0), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(doc_id || ':42'), doc_id) AS rank FROM k) SELECT doc_id, pages, bucket, rank FROM r WHERE rank <= CASE WHEN bucket = 'large' THEN 14 ELSE 13 END")
+def stratified_sample(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.length("text") / 500.0).cast("int").alias("pages"))
+    return ql.stratified_sample(d, 40)
+
+
+# ---- batches ---------------------------------------------------------------------------------
+
+
+def _state(spark, sf_dir):
+    return table(spark, sf_dir, "state").withColumn("batch_id", F.concat(F.lit("batch_"), "batch")).drop("batch")
+
+
+def _batches(spark, sf_dir):
+    return table(spark, sf_dir, "state").select(F.concat(F.lit("batch_"), "batch").alias("batch_id"), (F.lit(1000.0) + F.col("batch") * 10).alias("created_ts"), F.lit("running").alias("status")).distinct()
+
+
+_COUNTS = "cn AS (SELECT batch, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'processing') AS processing, count(*) FILTER (WHERE state = 'complete') AS complete, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) AS total FROM state GROUP BY batch)"
+_PROGRESS = f"""{_COUNTS}, pr AS (SELECT 'batch_' || batch AS batch_id, * EXCLUDE (batch), 9000.0 - (1000.0 + batch * 10) AS el FROM cn),
+prog AS (SELECT batch_id, pending, processing, complete, failed, total, round((complete + failed) / total * 100, 1) AS percent, CAST(floor(el) AS BIGINT) AS elapsed_s, round(complete / el * 60, 2) AS docs_per_min, CASE WHEN complete > 0 AND floor((pending + processing) / (complete / el * 60) * 60) > 0 THEN CAST(floor((pending + processing) / (complete / el * 60) * 60) AS BIGINT) END AS eta_s, pending + processing = 0 AS is_complete FROM pr)"""
+
+
+@register(f"WITH {_COUNTS} SELECT 'batch_' || batch AS batch_id, * EXCLUDE (batch) FROM cn", ("state",))
+def state_counts(spark, sf_dir):
+    return bt.counts(_state(spark, sf_dir))
+
+
+@register(f"WITH {_PROGRESS} SELECT * FROM prog", ("state",))
+def batch_progress(spark, sf_dir):
+    return bt.progress(_state(spark, sf_dir), _batches(spark, sf_dir), NOW)
+
+
+@register("SELECT 'batch_' || batch AS batch_id, count(nullif(duration, 0)) AS n, round(min(nullif(duration, 0)), 4) AS min_s, round(max(nullif(duration, 0)), 4) AS max_s, round(avg(nullif(duration, 0)), 4) AS avg_s, round(sum(nullif(duration, 0)), 4) AS sum_s, min(start_ts) AS first_start, max(end_ts) AS last_end, round(max(end_ts) - min(start_ts), 4) AS wall_s, CAST(sum(pages) AS BIGINT) AS total_pages, round(min(CASE WHEN pages > 0 AND duration > 0 THEN duration / pages END), 4) AS min_s_page, round(max(CASE WHEN pages > 0 AND duration > 0 THEN duration / pages END), 4) AS max_s_page, round(avg(CASE WHEN pages > 0 AND duration > 0 THEN duration / pages END), 4) AS avg_s_page FROM state WHERE state = 'complete' GROUP BY batch", ("state",))
+def timing_summary(spark, sf_dir):
+    return bt.timing_summary(_state(spark, sf_dir))
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, 5000.0 - start_ts AS age_s FROM state WHERE state = 'processing' AND 5000.0 - start_ts > 600", ("state",))
+def stale_docs(spark, sf_dir):
+    return bt.stale(_state(spark, sf_dir), 5000.0)
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, CASE WHEN state = 'processing' AND 5000.0 - start_ts > 600 THEN 'pending' ELSE state END AS state FROM state", ("state",))
+def recover_stale(spark, sf_dir):
+    return bt.recover_stale(_state(spark, sf_dir), 5000.0).select("batch_id", "doc_id", "state")
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, CASE WHEN state = 'failed' THEN 'pending' ELSE state END AS state, CASE WHEN state <> 'failed' THEN error END AS error FROM state", ("state",))
+def retry_failed(spark, sf_dir):
+    return bt.retry_failed(_state(spark, sf_dir)).select("batch_id", "doc_id", "state", "error")
+
+
+@register("SELECT 'batch_' || batch AS batch_id, n, doc_id, CASE WHEN length(e) > 60 THEN left(e, 57) || '...' ELSE e END AS error FROM (SELECT batch, doc_id, coalesce(error, 'Unknown error') AS e, row_number() OVER (PARTITION BY batch ORDER BY doc_id) AS n FROM state WHERE state = 'failed') WHERE n <= 20", ("state",))
+def failed_report(spark, sf_dir):
+    return bt.failed_report(_state(spark, sf_dir))
+
+
+_DUR = "CASE WHEN {0} IS NULL THEN 'N/A' WHEN {0} >= 3600 THEN CAST({0} // 3600 AS VARCHAR) || 'h ' || CAST({0} % 3600 // 60 AS VARCHAR) || 'm ' || CAST({0} % 60 AS VARCHAR) || 's' WHEN {0} >= 60 THEN CAST({0} // 60 AS VARCHAR) || 'm ' || CAST({0} % 60 AS VARCHAR) || 's' ELSE CAST({0} AS VARCHAR) || 's' END"
+
+
+@register(f"WITH {_PROGRESS} SELECT batch_id, total, percent, '[' || repeat('█', CAST(floor(40 * percent / 100) AS INT)) || repeat('░', 40 - CAST(floor(40 * percent / 100) AS INT)) || ']' AS bar, {_DUR.format('elapsed_s')} AS elapsed, {_DUR.format('eta_s')} AS eta FROM prog", ("state",))
+def batch_list(spark, sf_dir):
+    return bt.batch_list(_batches(spark, sf_dir), _state(spark, sf_dir), NOW)
+
+
+@register("SELECT 'batch_' || batch AS service, count(*) AS n, round(sum(duration), 3) AS total_ms, round(avg(duration), 4) AS avg_ms, count(*) FILTER (WHERE state <> 'failed') AS n_healthy, bool_and(state <> 'failed') AS all_healthy FROM state GROUP BY batch", ("state",))
+def service_stats(spark, sf_dir):
+    return bt.service_stats(_state(spark, sf_dir).select(F.col("batch_id").alias("service"), F.col("duration").alias("ms"), (F.col("state") != "failed").alias("healthy")))
+
+
+@register("SELECT doc_id, CASE WHEN state = 'complete' THEN CAST(floor(sum(pages) OVER (PARTITION BY batch) / count(*) FILTER (WHERE state = 'complete') OVER (PARTITION BY batch)) AS BIGINT) END AS avg_ms FROM state", ("state",))
+def batch_average(spark, sf_dir):
+    s = _state(spark, sf_dir).select("batch_id", "doc_id", F.col("pages").alias("ms"), (F.col("state") == "complete").alias("success"))
+    return bt.batch_average(s).select("doc_id", "avg_ms")
+
+
+@register("SELECT doc_id, CAST((row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1) % 8 AS INT) AS instance FROM state", ("state",))
+def round_robin(spark, sf_dir):
+    return bt.round_robin(_state(spark, sf_dir).select("batch_id", "doc_id"), 8).select("doc_id", F.col("instance").cast("int").alias("instance"))
+
+
+@register("SELECT doc_id, state = 'failed' AND NOT coalesce(contains(error, 'CUDA out of memory'), FALSE) AS retryable FROM state", ("state",))
+def retry_policy(spark, sf_dir):
+    s = table(spark, sf_dir, "state")
+    return s.select("doc_id", ((F.col("state") == "failed") & tx.retryable(F.col("error"), F.lit(0))).alias("retryable"))
+
+
+# ---- text functions --------------------------------------------------------------------------
+
+
+@register(r"SELECT doc_id, replace(replace(text, chr(173), ''), chr(65534), '') = text AS clean, length(text) AS chars, 'batch_' || strftime(TIMESTAMP '2024-01-02 03:04:05' + to_seconds(doc_id), '%Y%m%d_%H%M%S') AS batch_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short FROM documents")
+def text_functions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ts = F.timestamp_seconds(F.lit(1704164645) + F.col("doc_id"))
+    return d.select("doc_id", (tx.clean_hyphens(F.col("text")) == F.col("text")).alias("clean"), F.length("text").alias("chars"), tx.batch_id(ts).alias("batch_id"), tx.short_error(F.col("text")).alias("short"))
+
+
+@register("SELECT event_id, json_extract_string(props, '$') IS NOT NULL AS parsed, CASE WHEN value < 30 THEN 2.0 WHEN value < 100 THEN 1.5 WHEN value < 200 THEN 1.0 ELSE 0.75 END::DOUBLE AS scale FROM events")
+def event_functions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.try_parse_json("props").isNotNull().alias("parsed"), g.image_scale(F.col("value")).cast("double").alias("scale"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").limit(10)
+    """Hybrid retrieval with rank fusion and reranking for a batch of questions."""
+    return rerank_topk(spark, sf_dir)
