@@ -15,7 +15,7 @@ TOLERANCE, MIN_COLUMNS, TOP, LABEL = 5.0, 3, 650.0, 35
 def parse_markdown(markdown: Column) -> Column:
     """Struct of a table: lines, header, separator, data, col_count and the text before it."""
     lines = F.split(F.coalesce(markdown, F.lit("")), "\n")
-    bars = F.filter(F.transform(lines, F.trim), lambda x: x.startswith("|"))
+    bars = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.startswith("|"))
     first = F.array_position(F.transform(lines, lambda x: F.trim(x).startswith("|")), True)
     before = F.when(first > 0, F.slice(lines, 1, (first - 1).cast("int"))).otherwise(lines)
     sep = F.array_position(F.transform(bars, tx.is_separator), True).cast("int")
@@ -32,7 +32,7 @@ def parse_markdown(markdown: Column) -> Column:
 
 def is_real_table(markdown: Column) -> Column:
     """Two table lines at least, the first of two columns at least."""
-    bars = F.filter(F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), F.trim), lambda x: x.startswith("|"))
+    bars = F.filter(F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
     return (F.size(bars) >= 2) & (tx.column_count(F.get(bars, 0)) >= 2)
 
 

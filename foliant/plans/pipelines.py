@@ -10,11 +10,14 @@ from foliant.plans import models as md
 
 
 def retrieve(points: DataFrame, queries: DataFrame, models: md.Models | None = None, k: int = 30, final: int = 5) -> dict[str, DataFrame]:
-    """Candidates, ranked chunks, prompts, answers, citations, event frames and refusals of a batch of queries."""
+    """Candidates, ranked chunks, prompts, answers, citations, event frames and refusals of a batch of queries.
+
+    What several outputs read (a few rows a query) is persisted; unpersist the candidates and ranked chunks when done.
+    """
     models = models or md.Offline()
     good = rt.validate(queries).where("error is null")
-    candidates = rt.with_payload(rt.hybrid(points, good, k), points)
-    ranked = rt.rerank(candidates, good, final)
+    candidates = rt.with_payload(rt.hybrid(points, good, k), points).persist()
+    ranked = rt.rerank(candidates, good, final).persist()
     prompt = rt.prompts(good, rt.context_blocks(ranked))
     answers = prompt.select("query_id", md.generate(F.col("prompt"), models).alias("answer"))
     return {"candidates": candidates, "ranked": ranked, "prompts": prompt, "answers": answers, "citations": rt.citations(answers, ranked), "events": rt.events(answers, ranked), "refusals": rt.refusals(good, candidates)}
