@@ -17,10 +17,8 @@ log = logging.getLogger(__name__)
 
 #: Rows of two or three longs that may be broadcast (some 30 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Centres of a bucket in the first rounds and after.
-CENTRES = (1, 4, 16)
-#: From the third round on, buckets of no more members than this take all of them as centres at once.
-SMALL = 256
+#: From the second round on, buckets of up to SMALL members take all of them as centres at once, larger ones CENTRES a round.
+SMALL, CENTRES = 256, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,13 +83,13 @@ def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], near: str = "true") -> DataFrame | None:
-    """Confirmed links (a, b) of the members (bucket, id, n) of buckets, enough for their components; None if there are no pairs.
+def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], near: str = "true") -> tuple[DataFrame, DataFrame] | None:
+    """Confirmed links (a, b) of the members (bucket, id, n) of buckets, enough for their components, and (id, component); None if there are no links.
 
-    In each round a few centres of each open bucket are paired with its members of other
-    components (where the condition `near` on n and na holds), which is linear in the
-    bucket; then they leave it. A bucket is open while its members are in two components
-    or more, so no pair that matters is left out, and a bucket of copies takes one round.
+    In each round centres of each open bucket are paired with its members of other components
+    (where the condition `near` on n and na holds); then they leave it. The first round takes the least member, so copies are
+    one star; later ones take all members of buckets up to SMALL and a few of larger ones, so pairs stay linear in a bucket. A
+    bucket is open while its members are in two components or more, so no pair that matters is left out.
     """
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     left = cut(members.join(bounded(shared), "bucket", "left_semi").distinct())
@@ -100,20 +98,20 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
     tried: DataFrame | None = None
     turn = 0
     while True:
-        now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if label is not None:
+        if turn == 0:
+            now = left.withColumn("component", F.col("id"))
+            slot = F.lit(0)
+        else:
+            now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
             now = cut(now.join(still.select("bucket", "size"), "bucket"))
             if now.isEmpty():
-                return links
-        slot = F.pmod(F.xxhash64("id"), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
-        if turn >= 2:
-            slot = F.when(F.col("size") <= SMALL, F.col("id")).otherwise(slot)
+                return None if links is None else (links, label)
+            slot = F.when(F.col("size") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(CENTRES)))
         centre = (
             now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
             .select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
         )
-        centre = cut(centre) if label is not None else centre
         pairs = (
             now.join(centre, "bucket").where("id <> a and component <> ca").where(near)
             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
@@ -123,12 +121,7 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
         tried = pairs if tried is None else merged(tried, pairs)
         log.debug("round %d: %d pairs", turn, pairs.count() if log.isEnabledFor(logging.DEBUG) else -1)
         if not pairs.isEmpty():
-            good = confirm(pairs)
-            links = merged(links, good)
-            log.debug("round %d: confirmed", turn)
+            links = merged(links, confirm(pairs))
             label = connected_components(links)
-        elif label is None:
-            label = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        left = cut(now.join(centre.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n"))
-        log.debug("round %d: done", turn)
+        left = now.join(centre.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
         turn += 1

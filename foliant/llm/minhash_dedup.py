@@ -149,9 +149,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     members = reps.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
     # rows of one id with different texts are one node
     same = signed.where("n > 0").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = star_links(members, lambda pairs: confirm(pairs, docs, shingle, percent), f"100 * least(n, na) >= {percent} * greatest(n, na)")
-    every = same if links is None else links.unionAll(same)
-    label = connected_components(every)
+    found = star_links(members, lambda pairs: confirm(pairs, docs, shingle, percent), f"100 * least(n, na) >= {percent} * greatest(n, na)")
+    if found is None or not same.isEmpty():
+        label = connected_components(same if found is None else found[0].unionAll(same))
+    else:
+        label = found[1]
     return (
         signed.select("doc_id", "n").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
