@@ -31,16 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, with no lineage before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` computed once and kept as Parquet in the shared folder, with no lineage before it.
 
-
-def cut_wide(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table, which is smaller and lets readers take some columns."""
-    path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
+    A table, unlike a checkpoint, does not carry what the optimizer inferred about the plan behind it, which in a loop
+    of self-joins would double with every round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes cut tables that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_foliant_path", None)
+        if path is not None:
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -51,16 +62,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def merged(a: DataFrame | None, b: DataFrame) -> DataFrame:
     """Cut union in no more partitions than a shuffle makes."""
-    if a is None:
-        return cut(b)
-    return cut(a.unionAll(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return cut(b if a is None else a.unionAll(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
     """(id, component) of every end of `edges` (a, b); the component is the least id reachable.
 
-    Each round every node points to the least node around it and edges are contracted
-    to what their ends point to, until none is left. The first round goes by id, which resolves stars
+    Each round every node points to the least node around it, pointers jump to their pointers' pointers, and
+    edges are contracted to what their ends point to, until none is left. The first round goes by id, which resolves stars
     whose centre is their least node at once; later ones go by a hash, so that
     the nodes of long chains shrink by a constant share each round, in whatever order their ids are. Nothing but
     one row reaches the driver.
@@ -70,13 +79,16 @@ def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
     for turn in range(rounds):
         weigh = (lambda c: F.xxhash64(c, F.lit(turn))) if turn else (lambda c: F.lit(0).cast("long"))
         order = lambda c: F.struct(weigh(c).alias("w"), F.col(c).alias("v"))
-        points = cut(both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("p")))
+        near = cut(both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("p")))
+        points = cut(near.join(near.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p")))
+        old = (both, root, near)
         if root is None:
             root = points.select(F.col("a").alias("id"), F.col("p").alias("root"))
         else:
             root = cut(root.join(points.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
         ends = both.join(points.withColumnRenamed("p", "pa"), "a").join(points.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
         both = cut(ends.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        drop(*old)
         if both.isEmpty():
             least = root.groupBy("root").agg(F.min("id").alias("component"))
             return cut(root.join(least, "root").select("id", "component"))

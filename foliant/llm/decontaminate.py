@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.components import bounded, cut, cut_wide
+from foliant.llm.components import bounded, cut
 
 WINDOW, LITERALS, PERCENT = 5, 2, 80
 NUMBER, NAME, UNIT = "", "", ""
@@ -73,13 +73,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
     found = texts.select("k1", "k2", F.posexplode(windows(canonical(F.col("text")))).alias("dpos", "h")).join(hashes, "h", "left_semi").distinct()
     met = found.join(bounded(searched.select("item_id", F.col("k1").alias("ik"), "ipos", "h")), "h").select("k1", "k2", "item_id", "ik", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
-    met = cut_wide(met)
+    met = cut(met)
     by = ["k1", "k2", "item_id", "ik"]
     sized = bounded(size.withColumnRenamed("k1", "ik"))
     enough = lambda x: x.groupBy(*by).agg(F.count_distinct("ipos").alias("hits")).join(sized, ["item_id", "ik"]).where(f"100 * hits >= {PERCENT} * size").select(*by)
     likely = cut(enough(met))
     keys = bounded(likely.select("k1", "k2").distinct())
-    values = cut_wide(texts.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text")).select("k1", "k2", tokens(F.col("text")).alias("dwords")))
+    values = cut(texts.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text")).select("k1", "k2", tokens(F.col("text")).alias("dwords")))
     # slots that the matched windows of an alignment cover, with the value on either side
     aligned = met.join(likely, by, "left_semi")
     covered = aligned.select(*by, "shift", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + WINDOW - 1)).alias("place")).distinct()

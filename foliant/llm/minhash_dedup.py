@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import bounded, connected_components, cut_wide, star_links
+from foliant.llm.components import bounded, connected_components, cut, star_links
 
 #: Rows of a band and bands: a pair at similarity 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
@@ -144,7 +144,7 @@ def _class_of(signed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row with an id; `kept` marks the least id of each component."""
-    signed = cut_wide(sign(docs, shingle, rows, bands))
+    signed = cut(sign(docs, shingle, rows, bands))
     reps = _class_of(signed)
     members = reps.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
     # rows of one id with different texts are one node

@@ -29,7 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import unigram as ug
-from foliant.llm.components import cut_wide
+from foliant.llm.components import cut
 from foliant.llm.token_counts import MODEL, _strings
 
 #: Characters of a chunk; longer texts are spread over tasks. BLOCK chunks are combined at a time.
@@ -216,12 +216,12 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
             state = m[state]
         return pd.DataFrame(rows, columns=["digest", "at", "end"])
 
-    parts = cut_wide(texts.mapInPandas(chunks, "digest string, k long, core string, halo string, before string").repartition("digest", "k"))
-    mats = cut_wide(parts.mapInPandas(matrices, "digest string, block long, k long, m binary"))
+    parts = cut(texts.mapInPandas(chunks, "digest string, k long, core string, halo string, before string").repartition("digest", "k"))
+    mats = cut(parts.mapInPandas(matrices, "digest string, block long, k long, m binary"))
     blocks = mats.groupBy("digest", "block").applyInPandas(combine, "digest string, block long, m binary")
     before = blocks.groupBy("digest").applyInPandas(enter, "digest string, block long, v binary")
     entries = mats.join(before, ["digest", "block"]).groupBy("digest", "block").applyInPandas(enter, "digest string, block long, k long, v binary")
-    traced = cut_wide(parts.join(entries, ["digest", "k"]).mapInPandas(traces, "digest string, block long, k long, o int, s int, ids binary"))
+    traced = cut(parts.join(entries, ["digest", "k"]).mapInPandas(traces, "digest string, block long, k long, o int, s int, ids binary"))
     steps = traced.select("digest", "block", F.col("k").alias("at"), "o", "s")
     whole = steps.groupBy("digest", "block").applyInPandas(join_maps, "digest string, at long, o int, s int")
     ends = whole.groupBy("digest").applyInPandas(leave, "digest string, at long, end int").withColumnRenamed("at", "block")

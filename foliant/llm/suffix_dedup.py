@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import bounded, cut, cut_wide
+from foliant.llm.components import bounded, cut
 
 PASSAGE, SEED = 50, 26
 GAP = PASSAGE - SEED + 1
@@ -94,7 +94,7 @@ def equal_neighbours(rows: DataFrame) -> DataFrame:
                 yield out(held, np.array([0]), np.array([True]))
             yield out(held, np.array([2 if twin else 1]), np.array([True]))
 
-    found = cut_wide(ordered.mapInArrow(compare, "h long, key long, pos int, edge int"))
+    found = cut(ordered.mapInArrow(compare, "h long, key long, pos int, edge int"))
     # at most two rows of each range
     edges = found.where("edge > 0")
     shared = edges.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -152,11 +152,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 n = np.bincount(tb.spans(buf, offs, tb.NONSPACE)[2], minlength=j - i)
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), pa.array(np.zeros(j - i, np.int64)), pa.array(n.astype(np.int64))], ["key", "first_word", "end_word"])
 
-    suffixes = cut_wide(texts.mapInArrow(anchors, "h long, key long, pos int"))
-    marks = cut_wide(equal_neighbours(suffixes).groupBy("key").agg(F.collect_list("pos").alias("marks")))
+    suffixes = cut(texts.mapInArrow(anchors, "h long, key long, pos int"))
+    marks = cut(equal_neighbours(suffixes).groupBy("key").agg(F.collect_list("pos").alias("marks")))
     # in a text with equals elsewhere every word is covered, but other texts may share a part of it
     held = texts.join(bounded(marks.select("key")), "key", "left_semi").join(marks, "key")
-    windows = cut_wide(held.mapInArrow(extend, "h long, key long, pos int"))
+    windows = cut(held.mapInArrow(extend, "h long, key long, pos int"))
     starts = equal_neighbours(windows).groupBy("key").agg(F.collect_list("pos").alias("starts"))
     spans = starts.mapInArrow(merge, "key long, first_word long, end_word long")
     full = cut(copied.select("key", "text").mapInArrow(whole, "key long, first_word long, end_word long").where(F.col("end_word") >= PASSAGE))
