@@ -57,36 +57,26 @@ def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
     return kept.withColumn("box_num", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*reading())))
 
 
-def heading_stacks(items: DataFrame, levels: int = 6) -> DataFrame:
-    """`headings`: at a section header the stack is cut to its level and its text put on top.
+def heading_stacks(items: DataFrame) -> DataFrame:
+    """`headings`: at a section header the stack is cut to its level and its text put on top; other items take the last stack.
 
-    Each level keeps the last header at it or above, and its text counts while no
-    shallower header followed; a window per level replaces the fold.
+    Only headers go through the ordered fold, one short stack each; a window carries the stacks to the items after.
     """
     head = (F.lower("label") == "section_header") & ~tx.falsy(F.col("text"))
-    w = Window.partitionBy("doc_id").orderBy("page_no", *reading()).rowsBetween(Window.unboundedPreceding, 0)
-    out = items.withColumn("_head", head).withColumn("_at", F.when(head, F.struct(F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", *reading())).alias("n"), "text", "level")))
-    # the stack after a header of level v is the earlier stack cut to v entries and this text
-    out = out.withColumn("_heads", F.collect_list("_at").over(w))
-    empty = F.array().cast("array<string>")
-    fold = F.aggregate("_heads", empty, lambda a, x: F.concat(F.slice(a, 1, F.greatest(x["level"], F.lit(0))), F.array(x["text"])))
-    return out.withColumn("headings", fold).drop("_head", "_at", "_heads")
-
-
-def stack_by_levels(items: DataFrame, levels: int = 6) -> DataFrame:
-    """The same stacks in memory bounded by `levels`, for documents with very many headers whose stacks are never shorter than a header's level."""
     order = Window.partitionBy("doc_id").orderBy("page_no", *reading())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    head = (F.lower("label") == "section_header") & ~tx.falsy(F.col("text"))
-    out = items.withColumn("_n", F.row_number().over(order))
-    for k in range(levels):
-        out = out.withColumn(f"_h{k}", F.last(F.when(head & (F.col("level") == k), F.struct("_n", "text")), ignorenulls=True).over(upto))
-    alive: list[Column] = []
-    for k in range(levels):
-        above = [F.coalesce(F.col(f"_h{j}._n"), F.lit(0)) for j in range(k)]
-        newest = F.greatest(*above) if len(above) > 1 else above[0] if above else F.lit(0)
-        alive.append(F.when(F.col(f"_h{k}._n") > newest, F.col(f"_h{k}.text")))
-    return out.withColumn("headings", F.array_compact(F.array(*alive))).drop("_n", *[f"_h{k}" for k in range(levels)])
+    rows = items.withColumn("_n", F.row_number().over(order))
+    kind = "struct<stack:array<string>,out:array<struct<n:int,stack:array<string>>>>"
+    heads = rows.where(head).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.greatest("level", F.lit(0)).alias("level"), "text"))).alias("xs"))
+    zero = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<n:int,stack:array<string>>>").alias("out")).cast(kind)
+
+    def put(a: Column, x: Column) -> Column:
+        stack = F.concat(F.slice(a["stack"], 1, x["level"]), F.array(x["text"]))
+        return F.struct(stack.alias("stack"), F.concat(a["out"], F.array(F.struct(x["n"].alias("n"), stack.alias("stack")))).alias("out")).cast(kind)
+
+    stacks = heads.select("doc_id", F.explode(F.aggregate("xs", zero, put)["out"]).alias("o")).select("doc_id", F.col("o.n").alias("_n"), F.col("o.stack").alias("_stack"))
+    upto = Window.partitionBy("doc_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_stack", ignorenulls=True).over(upto)
+    return rows.join(stacks, ["doc_id", "_n"], "left").withColumn("headings", F.coalesce(found, F.array().cast("array<string>"))).drop("_n", "_stack")
 
 
 def missed_tables(items: DataFrame, detected: DataFrame, band: float = 50.0) -> DataFrame:
