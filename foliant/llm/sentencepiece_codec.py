@@ -6,8 +6,8 @@ best scores from the states at its start to those at its end; max-plus products
 matrices are associative, so blocks of chunks are combined at once and then scanned,
 which gives the scores of the states at every boundary. With these each chunk is traced
 back alone, for every state at its end, and the maps from end state to start state are
-composed from the last chunk to the first, block by block. Texts of one chunk take the
-same steps inside one task.
+composed from the last chunk to the first, block by block. Shorter texts take the
+same cuts inside one task.
 
 Scores are whole numbers, so results do not depend on how a text is cut. Ties follow the
 library: at each end the longest of equally good pieces.
@@ -32,32 +32,30 @@ from foliant.llm import unigram as ug
 from foliant.llm.components import cut
 from foliant.llm.token_counts import MODEL, _strings
 
-#: Characters of a chunk; longer texts are spread over tasks. BLOCK chunks are combined at a time.
+#: Characters of a chunk; texts of two chunks and more are spread over tasks. BLOCK chunks are combined at a time.
 CHUNK_CHARS, BLOCK = 1 << 15, 64
+#: Rows of a batch sent to Python: a row holds a whole text and its ids.
+BATCH_ROWS = 1000
 _NONE = -(1 << 62)
 
 
-class Encoder(dict):
-    """Ids of islands as bytes, remembered up to a bound."""
+class Encoder:
+    """Ids of texts as bytes; those of islands are remembered up to a bound."""
 
     def __init__(self, model: ug.Unigram, room: int = ug.CACHE):
-        super().__init__()
-        self.model, self.room = model, room
+        self.model = model
+        self.words = ug.Memory(lambda word: np.array(model.solve(ug.SPACE + word), np.int32).tobytes(), room)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
-        got = self[word] = np.array(self.model.solve(ug.SPACE + word), np.int32).tobytes()
-        return got
+    def prepared(self, s: str) -> bytes:
+        """Ids of a prepared text, or of a part between two cuts."""
+        if self.model.cuts and s.startswith(ug.SPACE):
+            words = s[1:].split(ug.SPACE)
+            if "" not in words:
+                return b"".join(map(self.words.__getitem__, words))
+        return np.array([i for x in self.model.islands(s) for i in self.model.solve(x)], np.int32).tobytes()
 
     def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.model.cuts and self.model.vocabulary.dummy_prefix and ug.SPACE not in text:
-            words = text.split(" ")
-            if "" not in words:
-                return b"".join(map(self.__getitem__, words))
-        return np.array([i for x in self.model.islands(self.model.prepare(text)) for i in self.model.solve(x)], np.int32).tobytes()
+        return self.prepared(self.model.prepare(text)) if text else b""
 
 
 class ChunkLattice:
@@ -66,8 +64,9 @@ class ChunkLattice:
     def __init__(self, model: ug.Unigram, core: str, halo: str, before: str):
         self.model, self.s, self.n = model, core + halo, len(core)
         self.states = max(1, model.longest)
-        cut = [i for i in range(self.n) if core[i] == ug.SPACE and (core[i - 1] if i else before) != ug.SPACE] if model.cuts else []
-        self.head, self.tail = (cut[0], cut[-1]) if cut else (None, None)
+        is_cut = lambda i: core[i] == ug.SPACE and (core[i - 1] if i else before) != ug.SPACE
+        self.head = next((i for i in range(self.n) if is_cut(i)), None) if model.cuts else None
+        self.tail = next((i for i in range(self.n - 1, -1, -1) if is_cut(i)), None) if self.head is not None else None
 
     def _ends(self, best: list[int | None], at: int) -> list[int]:
         """Scores of the states at the chunk's end, of a lattice that begins at `at`."""
@@ -108,7 +107,7 @@ class ChunkLattice:
             return
         best, back = m.lattice(self.s[: self.head], None, {o: x for o, x in starts.items() if o <= self.head})
         path, begin = m.trace(self.s[: self.head], back, self.head)
-        front = pack(path) + b"".join(encoder[x[1:]] if x[0] == ug.SPACE else pack(m.trace(x, m.lattice(x)[1], len(x))[0]) for x in m.islands(self.s[self.head : self.tail]))
+        front = pack(path) + encoder.prepared(self.s[self.head : self.tail])
         s = self.s[self.tail :]
         best, back = m.lattice(s, self.n - self.tail)
         for o, x in enumerate(self._ends(best, self.tail)):
@@ -257,8 +256,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{into}` binary"
     size = F.coalesce(F.length(column), F.lit(0))
-    small = docs.where(size < chunk_chars).mapInArrow(short, fields)
-    large = docs.where(size >= chunk_chars).withColumn("_digest", F.sha2(F.col(column).cast("binary"), 256))
+    small_batches(docs)
+    small = docs.where(size < 2 * chunk_chars).mapInArrow(short, fields)
+    large = docs.where(size >= 2 * chunk_chars).withColumn("_digest", F.sha2(F.col(column).cast("binary"), 256))
     texts = large.select(F.col("_digest").alias("digest"), F.col(column).alias("text")).dropDuplicates(["digest"])
     ids = encode_long(texts, sent, chunk_chars).select(F.col("digest").alias("_digest"), F.col("ids").alias(into))
     return small.unionByName(large.join(ids, "_digest", "left").drop("_digest"))
@@ -277,9 +277,17 @@ def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "ids", int
                 got = [model.decode(unpack(x)) for x in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(got, pa.string())], [*own, into])
 
+    small_batches(encoded)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*own).schema)
     return encoded.select(*own).mapInArrow(run, f"{fields}, `{into}` string")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Keeps the session's Arrow batches to BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def unpack(ids: bytes | None) -> list[int]:
     return np.frombuffer(ids or b"", np.int32).tolist()

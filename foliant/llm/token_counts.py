@@ -22,21 +22,14 @@ from foliant.llm import unigram as ug
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-class Counter(dict):
-    """Piece counts of islands, remembered up to a bound."""
+class Counter:
+    """Piece counts of texts; those of islands are remembered up to a bound. What stands between two spaces is an island with the mark of the first."""
 
-    def __init__(self, model: ug.Unigram, room: int = ug.CACHE):
-        super().__init__()
-        self.model, self.room = model, room
+    def __init__(self, model: ug.Unigram, room: int = 2 * ug.CACHE):
+        self.model = model
         self.head = ug.SPACE if model.vocabulary.dummy_prefix else ""
         self.bytes = model.vocabulary.byte_fallback and len(model.byte_ids) == 256
-
-    def __missing__(self, word: str) -> int:
-        """`word` is what stands between two spaces; its island begins with the mark of the first."""
-        if len(self) >= self.room:
-            self.clear()
-        n = self[word] = self.count(ug.SPACE + word)
-        return n
+        self.words = ug.Memory(lambda word: self.count(ug.SPACE + word), room)
 
     def count(self, island: str) -> int:
         n = len(island)
@@ -77,7 +70,7 @@ class Counter(dict):
         if self.model.cuts and self.head and ug.SPACE not in text:
             words = text.split(" ")
             if "" not in words:
-                return sum(map(self.__getitem__, words))
+                return sum(map(self.words.__getitem__, words))
         return sum(map(self.count, self.model.islands(self.model.prepare(text))))
 
 

@@ -21,8 +21,8 @@ import ahocorasick
 
 SPACE = "▁"
 BLOCKED = -1e8
-#: Islands that a worker remembers.
-CACHE = 120_000
+#: Islands that a worker remembers: those met since the last turn, and as many before.
+CACHE = 150_000
 
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -167,6 +167,25 @@ class Unigram:
         return out.decode("utf-8", "replace")
 
 
+class Memory(dict):
+    """What was found for words, the latest `room` and the `room` before; words that come back stay."""
+
+    def __init__(self, find, room: int = CACHE):
+        super().__init__()
+        self.find, self.room = find, room
+        self.before: dict = {}
+
+    def __missing__(self, word: str):
+        if len(self) >= self.room:
+            self.before = dict(self)
+            self.clear()
+        got = self.before.get(word)
+        if got is None:
+            got = self.find(word)
+        self[word] = got
+        return got
+
+
 _models: dict[int, Unigram] = {}
 
 
