@@ -17,8 +17,8 @@ log = logging.getLogger(__name__)
 
 #: Rows of two or three longs that may be broadcast (some 30 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: From the second round on, buckets of up to SMALL members take all of them as centres at once, larger ones CENTRES a round.
-SMALL, CENTRES = 256, 16
+#: Most centres of a bucket in the first, the second and each later round.
+CENTRES = (1, 16, 256)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -100,7 +100,8 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
 
     In each round centres of each open bucket are paired with its members of other components
     (where the condition `near` on n and na holds); then they leave it. The first round takes the least member, so copies are
-    one star; later ones take all members of buckets up to SMALL and a few of larger ones, so pairs stay linear in a bucket. A
+    one star, the second a few members, and later ones those outside the bucket's commonest component, a bounded
+    number a round; so pairs stay linear in a bucket, and what is left of it in the end is one component. A
     bucket is open while its members are in two components or more, so no pair that matters is left out.
     """
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
@@ -110,18 +111,18 @@ def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], ne
     tried: DataFrame | None = None
     turn = 0
     while True:
-        if turn == 0:
-            now = left.withColumn("component", F.col("id"))
-            slot = F.lit(0)
-        else:
-            now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-            now = cut(now.join(still.select("bucket", "size"), "bucket"))
+        now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        choice, slots = now, CENTRES[min(turn, len(CENTRES) - 1)]
+        if turn:
+            by = now.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
+            still = by.agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
+            choice = now = cut(now.join(still.select("bucket", "main"), "bucket"))
             if now.isEmpty():
                 return None if links is None else (links, label)
-            slot = F.when(F.col("size") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(CENTRES)))
+            if turn > 1:
+                choice = now.where("component <> main")
         centre = (
-            now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
+            choice.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
             .select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
         )
         pairs = (
