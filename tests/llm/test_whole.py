@@ -35,3 +35,9 @@ def test_similar_lines_equal_all_shingles(spark):
     got = {(x.doc_id, k) for x in ld.line_dedup(spark.read.parquet(f"{SF}/documents.parquet")).collect() for k in x.removed_lines}
     long = {(i, k) for i, k, n in lines if n in of}
     assert got & long == want
+
+
+def test_short_lines_by_equality(spark):
+    rows = [(1, "Menu\n\nfirst text\n \t\n\r"), (2, " menu \n\nMenus\n\t \n\r\nHome"), (3, "home\nMENU\nfirst text")]
+    got = {r.doc_id: (r.removed_lines, r.text) for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ([], rows[0][1]), 2: ([0], "\nMenus\n\t \n\r\nHome"), 3: ([0, 1, 2], "")}
