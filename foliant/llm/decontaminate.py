@@ -6,11 +6,12 @@ by hash with those of the texts. A text and an item that share windows are align
 difference of their places; along an alignment each value of a slot in the item must
 always meet one value in the text, so a question with other names and numbers counts as the same, while
 chance template matches do not. A text is contaminated by an item when its
-consistent windows are PERCENT of the item's.
+consistent windows are PERCENT of the item's, or when it holds all words and numbers of
+the item in a row, in whatever case they and the marks between them are.
 
-Defined cases: a null or empty text or item has no windows; items with fewer than WINDOW
-tokens are not searched, nor are windows with fewer than LITERALS words that are no
-placeholders, and an item left with no window matches nothing; equal texts share one verdict, with or without an id; equal items are
+Defined cases: a null or empty text or item has no windows; template windows with fewer than
+LITERALS words that are no placeholders are not searched, so an item that has no others, as an item of
+fewer than WINDOW tokens, is found by its words and numbers in a row alone; an item without any matches nothing; equal texts share one verdict, with or without an id; equal items are
 all reported; rows of the benchmark without an id are left out; an empty table gives an empty result, and an empty benchmark no
 matches; other columns are kept, but for those named like the results.
 """
@@ -63,6 +64,35 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return out.where(_literal(F.slice("template", F.col("ipos") + 1, F.lit(WINDOW)))).drop("template")
 
 
+def _placed(words: Column, width: int) -> Column:
+    """Place, width and hash of the windows of one width."""
+    of = lambda i: F.struct(i.alias("dpos"), F.lit(width).alias("width"), F.xxhash64(F.slice(words, i + 1, F.lit(width))).alias("h"))
+    n = F.size(words) - width
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), of)).otherwise(F.array().cast("array<struct<dpos:int,width:int,h:bigint>>"))
+
+
+def verbatim(items: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(k1, k2, item_id): the texts that hold all words and numbers of an item in a row; None if no item has any.
+
+    Texts meet an item in the one of its windows that fewest items have, WINDOW words or all of a shorter item, and are then compared whole.
+    """
+    full = items.where(F.size("words") > 0).select("item_id", F.col("k1").alias("ik"), "words", F.least(F.size("words"), F.lit(WINDOW)).alias("width"))
+    widths = sorted(r.width for r in full.select("width").distinct().collect())
+    if not widths:
+        return None
+    of = lambda words: F.transform(F.array(words), lambda w: F.concat(*[_placed(w, k) for k in widths]))[0]
+    own = full.select("item_id", "ik", F.col("width").alias("own"), F.inline(of(F.col("words")))).where("width = own")
+    places = cut(own.select("item_id", "ik", "width", "h", F.col("dpos").alias("ipos")))
+    rare = places.join(places.groupBy("h").agg(F.count("*").alias("c")), "h").groupBy("item_id", "ik", "width").agg(F.min(F.struct("c", "h", "ipos")).alias("x"))
+    anchors = bounded(rare.select("item_id", "ik", "width", F.col("x.h").alias("h"), F.col("x.ipos").alias("ipos")))
+    met = texts.select("k1", "k2", F.inline(of(tokens(F.col("text"))))).join(anchors, ["h", "width"]).select("k1", "k2", "item_id", "ik", (F.col("dpos") - F.col("ipos")).alias("start"))
+    met = cut(met.where("start >= 0").distinct())
+    keys = bounded(met.select("k1", "k2").distinct())
+    values = texts.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text")).select("k1", "k2", tokens(F.col("text")).alias("dwords"))
+    both = met.join(cut(values), ["k1", "k2"]).join(full, ["item_id", "ik"])
+    return both.where(F.slice("dwords", F.col("start") + 1, F.size("words")) == F.col("words")).select("k1", "k2", "item_id").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(k1, k2, item_id): the texts, by two hashes, that hold an item."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -87,7 +117,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = slots.select("item_id", "ik", "place", F.col("x.template").alias("kind"), F.col("x.words").alias("mine"))
     pairs = covered.join(slots, ["item_id", "ik", "place"]).join(values, ["k1", "k2"]).select(*by, "shift", "kind", "mine", F.get("dwords", F.col("place") + F.col("shift")).alias("theirs"))
     wrong = pairs.groupBy(*by, "shift", "kind", "mine").agg(F.min("theirs").alias("lo"), F.max("theirs").alias("hi")).where("lo <> hi").select(*by, "shift").distinct()
-    return enough(aligned.join(wrong, [*by, "shift"], "left_anti")).select("k1", "k2", "item_id").distinct()
+    found = enough(aligned.join(wrong, [*by, "shift"], "left_anti")).select("k1", "k2", "item_id")
+    same = verbatim(items, texts)
+    return (found if same is None else found.unionAll(same)).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

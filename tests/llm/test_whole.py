@@ -6,6 +6,7 @@ import random
 
 import pandas as pd
 
+from foliant.llm import decontaminate as dc
 from foliant.llm import line_dedup as ld
 from tests.conftest import SF
 from tests.llm.test_pairs import components
@@ -41,3 +42,12 @@ def test_short_lines_by_equality(spark):
     rows = [(1, "Menu\n\nfirst text\n \t\n\r"), (2, " menu \n\nMenus\n\t \n\r\nHome"), (3, "home\nMENU\nfirst text")]
     got = {r.doc_id: (r.removed_lines, r.text) for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ([], rows[0][1]), 2: ([0], "\nMenus\n\t \n\r\nHome"), 3: ([0, 1, 2], "")}
+
+
+def test_verbatim_leaks_without_literal_windows_and_in_other_case(spark):
+    capitals, numbers, short, long = "WHAT IS THE CAPITAL OF FRANCE AND GERMANY?", "Solve 3 + 4 * 5 - 6 = 17", "What is 12 + 7?", "Anna Schmidt has 12 apples and gives 5 km of rope to Peter before noon"
+    bench = spark.createDataFrame([(1, capitals), (2, numbers), (3, short), (4, long), (5, "?!"), (6, "What Is The Capital Of Spain")], "item_id long, text string")
+    texts = [f"some words {x} and more" for x in (capitals, numbers, short, long, capitals.lower(), numbers.upper(), short.lower(), long.lower(), long.upper())]
+    rows = [*enumerate(texts), (20, "what is 12"), (21, "what is the capital of france"), (22, long.lower().replace("peter", "otto")), (23, "?!"), (24, short), (25, None)]
+    got = {r.doc_id: r.leaked_items for r in dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == dict(enumerate([[1], [2], [3], [4], [1], [2], [3], [4], [4]])) | {20: [], 21: [], 22: [], 23: [], 24: [3], 25: []}
