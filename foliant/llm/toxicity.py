@@ -4,8 +4,8 @@ A word's vector is the mean of the embeddings of its hash and of the hashes of i
 n-grams. Filters of widths 1, 2 and 3 slide over the words, the maximum of each over the
 whole text feeds a logistic output. A filter's share in each word of a window is a fixed
 vector of that word, so distinct words of a chunk are projected once and windows are sums
-of such vectors. Thresholds are calibrated by language on labelled texts that are not held
-out; language never enters the score.
+of such vectors. Thresholds are calibrated by language on all labelled texts that are neither held
+out nor trained on, whatever the size of the fit's sample, from counts of their scores; language never enters the score.
 
 Defined cases: a null or empty text has pooled values of zero and so a score like any other
 text; with fewer than two classes to learn from, the score is the share of label 1 (0 when
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
+from foliant.llm.components import bounded
 
 #: Bounds on the labelled rows of each class, and on a text's characters, for the fit only; scoring takes all texts whole.
 FIT_ROWS, FIT_CHARS = 2000, 20_000
@@ -33,6 +34,8 @@ BUCKETS, DIM, FILTERS, WIDTHS, GRAMS = 1 << 15, 16, 16, (1, 2, 3), (5, 7)
 CUT = 0.7
 #: Range that language thresholds are kept in, and the labels of each class that a language needs for its own.
 THRESHOLDS, LEAST_LABELS = (0.3, 0.9), 20
+#: Scores are counted in this many steps for the thresholds.
+STEPS = 1000
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +184,28 @@ def best_cut(score: np.ndarray, y: np.ndarray, default: float) -> float:
     return float(np.clip(edges[best[len(best) // 2]], *THRESHOLDS))
 
 
+def best_step(counts: np.ndarray, default: float) -> float:
+    """The threshold of the fewest errors within THRESHOLDS, in the middle of its gap, from counts of scores by label (0, 1) and step."""
+    if counts.sum(1).min() < LEAST_LABELS:
+        return default
+    below = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(counts, 1)), axis=1)
+    wrong = below[1] + counts[0].sum() - below[0]
+    low, high = (round(t * STEPS) for t in THRESHOLDS)
+    best = low + np.flatnonzero(wrong[low : high + 1] == wrong[low : high + 1].min())
+    return float(best[len(best) // 2] / STEPS)
+
+
+def _kept_out(y: np.ndarray) -> np.ndarray:
+    """The rows that the net is not trained on: every fifth of a class of ten or more."""
+    check = np.zeros(len(y), bool)
+    for label in (0, 1):
+        at = np.flatnonzero(y == label)
+        check[at[::5] if len(at) >= 10 else at[:0]] = True
+    return check
+
+
 def fit(rows: pd.DataFrame, epochs: int = 8) -> tuple[Net, dict[str | None, float]]:
-    """From columns text, lang and y: a net trained on four fifths, its scale and thresholds by language fitted on the rest. The key None holds the threshold of all."""
+    """From columns text, lang and y: a net trained on four fifths, its scale fitted on the rest, and thresholds by language on these rows alone. The key None holds the threshold of all."""
     rows = rows.reset_index(drop=True)
     y = rows["y"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
     net = Net.new()
@@ -190,10 +213,7 @@ def fit(rows: pd.DataFrame, epochs: int = 8) -> tuple[Net, dict[str | None, floa
         net.prior = float(y.mean()) if len(y) else 0.0
         return net, {None: CUT}
     texts = rows["text"].fillna("").tolist()
-    check = np.zeros(len(y), bool)
-    for label in (0, 1):
-        at = np.flatnonzero(y == label)
-        check[at[::5] if len(at) >= 10 else at[:0]] = True
+    check = _kept_out(y)
     take = ~check
     net.train([texts[i] for i in np.flatnonzero(take)], y[take], epochs)
     on = check if check.any() else take
@@ -213,18 +233,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def seen_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels that are not held out."""
+    return labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> pd.DataFrame:
     """At most `fit_rows` labelled texts of each class, none held out, those of the lowest id hash."""
-    seen = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    seen = seen_labels(labels)
     pick = lambda v: seen.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select("doc_id", "text", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars)
-    found = texts.join(F.broadcast(pick(0).unionAll(pick(1))), "doc_id").toPandas()
+    found = texts.join(F.broadcast(pick(0).unionAll(pick(1))), "doc_id").withColumn("key", F.xxhash64("text")).toPandas()
     return found.sort_values(["doc_id", "text"], kind="stable")
 
 
+def thresholds(docs: DataFrame, labels: DataFrame, net: Net, trained: pd.DataFrame) -> dict[str | None, float]:
+    """Thresholds by language from all labelled rows that are neither held out nor among `trained` (doc_id, key). The key None holds the threshold of all."""
+    spark = docs.sparkSession
+    used = spark.createDataFrame([(int(i), int(k)) for i, k in zip(trained["doc_id"], trained["key"], strict=True)], "doc_id long, key long")
+    rows = docs.select("doc_id", "text", "lang").join(bounded(seen_labels(labels)), "doc_id").withColumn("key", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(used.distinct()), ["doc_id", "key"], "left_anti").select("text", F.coalesce("lang", F.lit("\0")).alias("lang"), "y")
+    sc = spark.sparkContext.broadcast(net)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, offs in tb.chunks(b.column("text")):
+                at = np.clip(np.floor(sc.value.score(buf, offs) * STEPS), 0, STEPS - 1).astype(np.int32)
+                cut = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([cut.column("lang"), cut.column("y"), pa.array(at)], ["lang", "y", "step"])
+
+    counts: dict[str, np.ndarray] = {}
+    for r in rows.mapInArrow(step, "lang string, y int, step int").groupBy("lang", "y", "step").count().collect():
+        counts.setdefault(r["lang"], np.zeros((2, STEPS), np.int64))[r["y"], r["step"]] = r["count"]
+    every = best_step(sum(counts.values(), np.zeros((2, STEPS), np.int64)), CUT)
+    return {None: every} | {k: best_step(counts[k], every) for k in sorted(counts)}
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, epochs: int = 8) -> DataFrame:
     """All columns of `docs` with held_out, score, predicted, threshold (of its language) and rejected (score at or over it)."""
-    net, cuts = fit(sample(docs, labels, fit_rows, fit_chars), epochs)
+    rows = sample(docs, labels, fit_rows, fit_chars)
+    net, cuts = fit(rows, epochs)
+    if net.prior is None:
+        cuts = thresholds(docs, labels, net, rows[~_kept_out(rows["y"].to_numpy(np.int64))])
     sc = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import pandas as pd
 
 from foliant.llm import decontaminate as dc
 from foliant.llm import line_dedup as ld
+from foliant.llm import toxicity as tx
 from tests.conftest import SF
 from tests.llm.test_pairs import components
 
@@ -51,3 +52,19 @@ def test_verbatim_leaks_without_literal_windows_and_in_other_case(spark):
     rows = [*enumerate(texts), (20, "what is 12"), (21, "what is the capital of france"), (22, long.lower().replace("peter", "otto")), (23, "?!"), (24, short), (25, None)]
     got = {r.doc_id: r.leaked_items for r in dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == dict(enumerate([[1], [2], [3], [4], [1], [2], [3], [4], [4]])) | {20: [], 21: [], 22: [], 23: [], 24: [3], 25: []}
+
+
+def test_toxicity_thresholds_count_all_labels(spark):
+    """Many more clean than toxic labels beyond the fit's sample, some as like toxic ones as can be: the cut counts them all."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(300)}"
+    rows = [(i, " ".join([word() for _ in range(12)] + ["vile"] * (i % 10 < 2)), "en", int(i % 10 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows], "doc_id long, toxic int")
+    out = tx.toxicity(docs, labels, fit_rows=60, epochs=4).toPandas().merge(pd.DataFrame([(x[0], x[3]) for x in rows], columns=["doc_id", "y"]), on="doc_id")
+    fitted = tx.sample(docs, labels, 60, tx.FIT_CHARS)
+    assert sorted(fitted.y.value_counts()) == [60, 60]
+    trained = set(fitted[~tx._kept_out(fitted.y.to_numpy())].doc_id)
+    rest = out[~out.held_out & ~out.doc_id.isin(trained)]
+    wrong = lambda t: int(((rest.score >= t) != (rest.y == 1)).sum())
+    assert len(rest) > 1500 and wrong(out.threshold[0]) <= min(wrong(k / 1000) for k in range(300, 901))
