@@ -1,4 +1,4 @@
-"""Shared steps of the operators on pairs: cuts of lineage, star links of buckets, connected components.
+"""Shared steps of the operators on pairs: cuts of lineage, links within buckets, connected components.
 
 All of it is DataFrame joins and pre-aggregated minima, so a hot key is combined before
 it is shuffled or is a key of a join that adaptive execution splits.
@@ -6,26 +6,27 @@ it is shuffled or is a key of a join that adaptive execution splits.
 
 from __future__ import annotations
 
-import logging
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-log = logging.getLogger(__name__)
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 #: Rows of two or three longs that may be broadcast (some 30 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Most centres of a bucket in the first, the second and each later round.
-CENTRES = (1, 16, 256)
+#: Members of a bucket up to which those that the star left apart are paired with one another, at most 21 pairs a bucket.
+FEW = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder under spark.checkpoint.dir; only a session without it (a local test) gets a folder of its own."""
+    """The folder under spark.checkpoint.dir; only a local session without it (a test) gets a folder of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -54,15 +55,40 @@ def drop(*tables: DataFrame | None) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A cut table of few narrow columns, marked for broadcast if its counted rows are within the bound."""
-    df = cut(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before the next large ones are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """`names` for helper columns, changed where they would clash with columns of the input."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *results: str) -> list[str]:
+    """Names of the columns of `df` that are not named, in any case, like the results."""
+    return [c for c in df.columns if c.lower() not in results]
+
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
-def merged(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    """Cut union in no more partitions than a shuffle makes."""
-    return cut(b if a is None else a.unionAll(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A cut table of few narrow columns, marked for broadcast if its counted rows are within the bound."""
+    made = cut(df)
+    out = F.broadcast(made) if made.limit(rows + 1).count() <= rows else made
+    out._foliant_path = made._foliant_path
+    return out
 
 
 def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
@@ -81,60 +107,124 @@ def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
         order = lambda c: F.struct(weigh(c).alias("w"), F.col(c).alias("v"))
         near = cut(both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("p")))
         points = cut(near.join(near.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p")))
-        old = (both, root, near)
+        old = [both, near]
         if root is None:
             root = points.select(F.col("a").alias("id"), F.col("p").alias("root"))
+            root._foliant_path = points._foliant_path
         else:
+            old += [root]
             root = cut(root.join(points.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
         ends = both.join(points.withColumnRenamed("p", "pa"), "a").join(points.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
         both = cut(ends.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-        drop(*old)
+        drop(*old, *([points] if turn else []))
         if both.isEmpty():
             least = root.groupBy("root").agg(F.min("id").alias("component"))
-            return cut(root.join(least, "root").select("id", "component"))
+            out = cut(root.join(least, "root").select("id", "component"))
+            drop(root, both)
+            return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def star_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], near: str = "true") -> tuple[DataFrame, DataFrame] | None:
-    """Confirmed links (a, b) of the members (bucket, id, n) of buckets, enough for their components, and (id, component); None if there are no links.
+def grown(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) of the components `label` joined by more links (a, b)."""
+    if label is None:
+        return connected_components(links)
+    of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = connected_components(ends)
+    up = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    old = label.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    new = over.join(label, "id", "left_anti")
+    out = cut(old.unionByName(new))
+    drop(over)
+    return out
 
-    In each round centres of each open bucket are paired with its members of other components
-    (where the condition `near` on n and na holds); then they leave it. The first round takes the least member, so copies are
-    one star, the second a few members, and later ones those outside the bucket's commonest component, a bounded
-    number a round; so pairs stay linear in a bucket, and what is left of it in the end is one component. A
-    bucket is open while its members are in two components or more, so no pair that matters is left out.
+
+def bucket_links(
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, near: str = "true"
+) -> DataFrame | None:
+    """(id, component) of the members (bucket, id, n) that have a link to another of their bucket; None if there are no links.
+
+    First the least member of each bucket is paired with the others (where `near` holds of n and na), which `confirm`
+    verifies: so copies are one star. Buckets whose members are then all in one component are done. Of what is left, members
+    of buckets of at most FEW are paired with one another, and larger buckets go to coded_links(), which
+    loses no link of theirs and makes no pairs that their sets rule out.
     """
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    left = cut(members.join(bounded(shared), "bucket", "left_semi").distinct())
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    tried: DataFrame | None = None
-    turn = 0
-    while True:
-        now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        choice, slots = now, CENTRES[min(turn, len(CENTRES) - 1)]
-        if turn:
-            by = now.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
-            still = by.agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
-            choice = now = cut(now.join(still.select("bucket", "main"), "bucket"))
-            if now.isEmpty():
-                return None if links is None else (links, label)
-            if turn > 1:
-                choice = now.where("component <> main")
-        centre = (
-            choice.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("c"))
-            .select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
-        )
-        pairs = (
-            now.join(centre, "bucket").where("id <> a and component <> ca").where(near)
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        )
-        # a pair that failed in one bucket is not tried again in another
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else merged(tried, pairs)
-        log.debug("round %d: %d pairs", turn, pairs.count() if log.isEnabledFor(logging.DEBUG) else -1)
-        if not pairs.isEmpty():
-            links = merged(links, confirm(pairs))
-            label = connected_components(links)
-        left = now.join(centre.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
-        turn += 1
+    spark = members.sparkSession
+    size = members.groupBy("bucket").agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    shared = bounded(size)
+    left = cut(members.join(shared, "bucket"))
+    drop(shared, members)
+    release(spark)
+    centre = left.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c")).select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"))
+    pairs = cut(left.join(centre, "bucket").where("id <> a").where(near).select("a", F.col("id").alias("b")).distinct())
+    if pairs.isEmpty():
+        drop(left, pairs)
+        return None
+    links = cut(confirm(pairs))
+    label = None if links.isEmpty() else connected_components(links)
+    drop(links)
+    left, old = left.where("size > 2"), left
+    now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least")).where("lo < hi").select("bucket", "least")
+    now = cut(now.select("bucket", "id", "n", "size", "component").join(still, "bucket"))
+    drop(old)
+    few, many = now.where(F.col("size") <= FEW), now.where(F.col("size") > FEW)
+    others = few.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    second = few.where("id > least").join(others, "bucket").where("a > least and a < id and ca <> component").where(near).select("a", F.col("id").alias("b")).distinct()
+    # a pair that failed in one bucket is not tried again in another
+    second = cut(second.join(pairs, ["a", "b"], "left_anti"))
+    drop(pairs)
+    more = None if second.isEmpty() else cut(confirm(second))
+    if not many.isEmpty():
+        coded = coded_links(many.select("bucket", "id", "component"), sets, percent)
+        more = coded if more is None else cut(more.unionByName(coded))
+    drop(second, now)
+    if more is not None and not more.isEmpty():
+        label, old = grown(label, more), label
+        drop(old)
+    return label
+
+
+def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b), with 100 * intersection >= percent * union, between members (bucket, id, component) of different components.
+
+    Each bucket has a centre C, the member that is in most buckets, so that many buckets have the same one. Each set is coded by
+    its edits: the l shingles of C that it lacks and the k others that it has. With s edits in common, two sets A and B
+    share |C| - lA - lB + s shingles of |C| + kA + kB - s, so they are linked if
+    (100 + percent) * s >= w(A) + w(B) - (100 - percent) * |C|, where w = 100 * l + percent * k.
+    A set with w <= (100 - percent) * |C| is linked with C itself; of any other link one end A has more, so that
+    its ends must share edits: at least (w(A) - (100 - percent) * |C|) / 100 as B has them all, and more than w(B) / (100 + percent).
+    Hence each set is looked up by so many of its rarest edits that it must share one of them, and pairs that meet
+    are compared by all edits. Edits that one set alone has, as most words that copies add, make no pairs.
+    """
+    rest, both = 100 - percent, 100 + percent
+    degree = members.groupBy("id").agg(F.count("*").alias("c"))
+    centre = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("c", "id", "component")).alias("m")).select("bucket", F.col("m.id").alias("g"), F.col("m.component").alias("home"))
+    nodes = cut(members.join(centre, "bucket").select("g", "home", "id", "component").distinct())
+    # one id may stand for several sets, which u tells apart
+    own = cut(sets(nodes.select("id").distinct()).withColumn("u", F.xxhash64("set")).dropDuplicates(["id", "u"]))
+    core = cut(nodes.select("g").distinct().join(own.select(F.col("id").alias("g"), F.col("set").alias("core")), "g").dropDuplicates(["g"]))
+    coded = nodes.join(own, "id").join(core, "g").select("id", "u", "g", "home", "component", F.size("core").alias("size"), F.array_except("core", "set").alias("lost"), F.array_except("set", "core").alias("more"))
+    coded = coded.select("id", "u", "g", "home", "component", "size", F.size("lost").alias("l"), F.size("more").alias("k"), F.concat("lost", "more").alias("edits"))
+    coded = cut(coded.withColumn("w", 100 * F.col("l").cast("long") + percent * F.col("k")).withColumn("out", F.col("w") > rest * F.col("size")))
+    drop(nodes, own, core)
+    direct = coded.where("not out and component <> home").select(F.col("g").alias("a"), F.col("id").alias("b"))
+    need = F.when(F.col("out"), F.ceil((F.col("w") - rest * F.col("size")) / 100)).otherwise(F.floor(F.col("w") / both) + 1)
+    edits = coded.select("id", "u", "g", "out", "l", F.posexplode("edits").alias("p", "t")).select("id", "u", "g", "out", "t", (F.col("p") < F.col("l")).cast("int").alias("lost"))
+    common = edits.groupBy("g", "t").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").select("g", "t", "f")
+    # of an order in which rare edits come first, and those that no one shares before all: how many shared ones are left from each on
+    rest_of = Window.partitionBy("g", "id", "u").orderBy(F.desc("f"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    met = edits.join(common, ["g", "t"]).select("g", "id", "u", "t", F.count("*").over(rest_of).alias("after"), F.sum("lost").over(rest_of).alias("lost_after"))
+    keys = coded.select("id", "u", "g", "component", "size", "w", "out", need.alias("need")).join(met, ["g", "id", "u"]).where("after >= need")
+    keys = cut(keys.select("id", "u", "g", "component", "size", "w", "out", "t", "lost_after", (F.col("after") - F.col("lost_after")).alias("more_after")))
+    x, y = keys.where("out").alias("x"), keys.alias("y")
+    # two sets meet at the first edit that they share, where what is left must be enough
+    enough: Column = both * (F.least("x.lost_after", "y.lost_after") + F.least("x.more_after", "y.more_after")) >= F.col("x.w") + F.col("y.w") - rest * F.col("x.size")
+    meet = (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | F.expr("x.id < y.id")) & enough
+    pairs = x.join(y, meet).select(F.col("x.g").alias("g"), F.col("x.id").alias("a"), F.col("x.u").alias("ua"), F.col("y.id").alias("b"), F.col("y.u").alias("ub")).distinct()
+    side = lambda k: coded.select("g", F.col("id").alias(k), F.col("u").alias(f"u{k}"), F.col("edits").alias(f"e{k}"), F.col("w").alias(f"w{k}"), F.col("size").alias(f"s{k}"))
+    held = pairs.join(side("a"), ["g", "a", "ua"]).join(side("b").withColumnRenamed("sa", "sb"), ["g", "b", "ub"]).where(both * F.size(F.array_intersect("ea", "eb")) >= F.col("wa") + F.col("wb") - rest * F.col("sa"))
+    out = cut(direct.unionByName(held.select("a", "b")).distinct())
+    drop(coded, keys)
+    return out

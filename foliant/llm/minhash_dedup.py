@@ -3,9 +3,10 @@
 Each text's distinct word shingles are hashed once; the least hash of every bin is its
 signature, and an empty bin takes the value of the first full bin on a probe sequence of its
 own. Texts with equal sets are one class from here on. Class representatives meet in
-buckets of equal bands. Within a bucket the pairs are stars: a centre and the members that are not
-yet in its component, confirmed on full sets, round after round until the bucket is one
-component or all its members have been centres.
+buckets of equal bands. Within a bucket the pairs are a star: a centre and the others, confirmed on full
+sets. Buckets that are then in several components are searched for the links left by coding
+each set against a centre and joining the rarest edits (components.coded_links), so no
+link of theirs is lost and pairs do not grow with the square of a group.
 
 Defined cases: a text with fewer words than a shingle counts its whole sequence as one; a
 null or empty text, or one without words, has no shingles and is linked with nothing;
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import bounded, connected_components, cut, star_links
+from foliant.llm.components import bounded, bucket_links, cut, drop, grown
 
 #: Rows of a band and bands: a pair at similarity 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
@@ -44,8 +45,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     for d in np.flatnonzero((count > 0) & (count < k)):
         whole, _ = tb.window_hash(words[first[d] : first[d] + count[d]], np.zeros(count[d], np.int64), int(count[d]))
         h, owner = np.append(h, whole), np.append(owner, d)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    order = np.argsort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits), kind="stable")
+    order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
     return owner[new], h[new]
@@ -138,24 +138,37 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _class_of(signed: DataFrame) -> DataFrame:
-    return signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of the texts of `ids`, as sorted hashes of their shingles."""
+    few = bounded(ids.select(F.col("id").alias("doc_id")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, offs in tb.chunks(b.column("text")):
+                owner, h = shingle_sets(buf, offs, shingle)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=j - i)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["id", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return texts.join(few, "doc_id", "left_semi").mapInArrow(run, "id long, set array<long>").where("size(set) > 0")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row with an id; `kept` marks the least id of each component."""
     signed = cut(sign(docs, shingle, rows, bands))
-    reps = _class_of(signed)
-    members = reps.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    # rows of one id with different texts are one node
-    same = signed.where("n > 0").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = star_links(members, lambda pairs: confirm(pairs, docs, shingle, percent), f"100 * least(n, na) >= {percent} * greatest(n, na)")
-    if found is None or not same.isEmpty():
-        label = connected_components(same if found is None else found[0].unionAll(same))
-    else:
-        label = found[1]
-    return (
-        signed.select("doc_id", "n").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    reps = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"))
+    reps = cut(reps)
+    members = reps.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket")).distinct()
+    # copies, and rows of one id with different texts, are one node
+    several = reps.where("rep < last").select("s1", "s2", "n", "rep")
+    same = signed.where("n > 0").join(several, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    label = bucket_links(members, lambda pairs: confirm(pairs, docs, shingle, percent), lambda ids: full_sets(ids, docs, shingle), percent, f"100 * least(n, na) >= {percent} * greatest(n, na)")
+    same = cut(same)
+    if not same.isEmpty():
+        label, old = grown(label, same), label
+        drop(old)
+    rows_ = signed.select("doc_id", "n")
+    joined = rows_.withColumn("component", F.col("doc_id")) if label is None else rows_.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    drop(reps, same)
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
