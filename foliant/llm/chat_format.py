@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import cut
+from foliant.llm.components import cut, drop, fresh, others, quoted
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _WROTE = re.compile(r"^\s*(?:(?:on|le|am|el)\b.*|[^\n>]{1,80}\s)(?:wrote|writes|said|a écrit|schrieb|escribió)(?: [^\n:]{0,40})?\s*:\s*$", re.I)
@@ -83,18 +83,19 @@ def _hash(passage: str) -> int:
 
 def quotation_links(messages: DataFrame) -> DataFrame:
     """`messages` (conv_id, turn, text) without quotations, with n_quotes, reply_to, root_turn and depth."""
-    own = [c for c in messages.columns if c not in ("n_quotes", "reply_to", "root_turn", "depth", "_body", "_quotes", "_lines")]
-    kept = messages.select(*own)
+    own = others(messages, "n_quotes", "reply_to", "root_turn", "depth")
+    kept = messages.select(*map(quoted, own))
+    c, t, made, count = fresh(messages.columns, "_c", "_t", "_made", "_count")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [parse(t) for t in b["text"]]
-            quotes = [[{"level": k, "h": _hash(q)} for k, q in qs] for _, qs in made]
-            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "quotes": quotes, "lines": [[_hash(x) for x in passages(t)] for t, _ in made]})
+            parsed = [parse(t) for t in b["text"]]
+            quotes = [[{"level": k, "h": _hash(q)} for k, q in qs] for _, qs in parsed]
+            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "quotes": quotes, "lines": [[_hash(x) for x in passages(t)] for t, _ in parsed]})
 
     def strip(texts: pd.Series) -> pd.DataFrame:
-        made = [parse(t) for t in texts]
-        return pd.DataFrame({"body": [t for t, _ in made], "n": [len(q) for _, q in made]})
+        parsed = [parse(t) for t in texts]
+        return pd.DataFrame({"body": [t for t, _ in parsed], "n": [len(q) for _, q in parsed]})
 
     key = ["conv_id", "turn"]
     told = kept.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
@@ -108,22 +109,26 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     best = cut(best)
     # pointer jumping: up is an ancestor `depth` replies away
     jump = best.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth"))
+    old = None
     while True:
         above = jump.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
         step = jump.join(above, ["conv_id", "up"], "left")
-        jump = cut(step.select("conv_id", "turn", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("top").isNotNull().alias("moved")))
-        if jump.where("moved").isEmpty():
+        step = cut(step.select("conv_id", "turn", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("top").isNotNull().alias("moved")))
+        drop(old)
+        old, jump = step, step.drop("moved")
+        if step.where("moved").isEmpty():
             break
-        jump = jump.drop("moved")
-    links = best.join(jump.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth"), key).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "reply_to", "root_turn", "depth")
+    drop(read_rows)
+    links = best.join(jump.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth"), key).select(F.col("conv_id").alias(c), F.col("turn").alias(t), "reply_to", "root_turn", "depth")
     stripped = F.pandas_udf(strip, "body string, n int")
     has = F.coalesce(F.col("text").rlike(r"(?m)^[ \t]*>"), F.lit(False))
     # texts without a quotation do not pass through Python
-    plain = kept.where(~has).withColumn("n_quotes", F.lit(0))
-    cleaned = kept.where(has).withColumn("_s", stripped("text")).withColumn("text", F.col("_s.body")).withColumn("n_quotes", F.col("_s.n")).drop("_s")
+    plain = kept.where(~has).withColumn(count, F.lit(0))
+    cleaned = kept.where(has).withColumn(made, stripped("text")).withColumn("text", F.col(f"{made}.body")).withColumn(count, F.col(f"{made}.n")).drop(made)
     both = plain.unionByName(cleaned)
-    out = both.join(links, (F.col("conv_id").cast("long") == F.col("_c")) & (F.col("turn").cast("long") == F.col("_t")), "left")
-    return out.select(*own, "n_quotes", "reply_to", F.coalesce("root_turn", F.col("turn").cast("long")).alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    out = both.join(links, (F.col("conv_id").cast("long") == F.col(c)) & (F.col("turn").cast("long") == F.col(t)), "left")
+    first = F.coalesce("root_turn", F.col("turn").cast("long")).alias("root_turn")
+    return out.select(*map(quoted, own), F.col(count).alias("n_quotes"), "reply_to", first, F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
 
 def reply_order(linked: DataFrame) -> DataFrame:

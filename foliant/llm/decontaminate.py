@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.components import bounded, cut
+from foliant.llm.components import bounded, cut, fresh, others, quoted
 
 WINDOW, LITERALS, PERCENT = 5, 2, 80
 NUMBER, NAME, UNIT = "", "", ""
@@ -124,11 +124,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with `contaminated` and the sorted ids of the items found, `leaked_items`."""
-    own = [c for c in docs.columns if c not in ("contaminated", "leaked_items")]
+    own = others(docs, "contaminated", "leaked_items")
+    k1, k2, items = fresh(docs.columns, "_k1", "_k2", "_items")
     found = cut(leaks(docs, benchmark))
-    per = found.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
+    per = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.sort_array(F.collect_set("item_id")).alias(items))
     few = found.limit(100_001).count() <= 100_000
     side = F.broadcast(per) if few else per
     text = F.coalesce("text", F.lit(""))
-    out = docs.select(*own).join(side, (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit(1), text) == F.col("_k2")), "left")
-    return out.select(*own, F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast("array<bigint>")).alias("leaked_items"))
+    out = docs.select(*map(quoted, own)).join(side, (F.xxhash64(text) == F.col(k1)) & (F.xxhash64(F.lit(1), text) == F.col(k2)), "left")
+    return out.select(*map(quoted, own), F.col(items).isNotNull().alias("contaminated"), F.coalesce(items, F.array().cast("array<bigint>")).alias("leaked_items"))

@@ -22,7 +22,7 @@ from foliant.llm import textbytes as tb
 
 #: Bound on the labelled rows that the field is fitted on.
 FIT_DOCS = 3000
-#: Bound on the lines of one text that the fit uses; judging always takes all.
+#: Bound on the lines of one text that the fit uses, a run that begins where a hash of the text says; judging always takes all.
 FIT_LINES = 400
 #: Least share of words in content lines.
 MIN_CONTENT = 0.5
@@ -174,18 +174,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineFie
         labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg((1 - F.max("quality")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("y").cast("int").alias("y"))
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            keys = b.column("key").to_pylist()
             for i, j, buf, offs in tb.chunks(b.column("text")):
                 got = line_features(buf, offs)
-                cut = np.searchsorted(got["line_doc"], np.arange(j - i + 1))
-                made = [np.packbits(got["features"][p : min(q, p + FIT_LINES)], axis=1).tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column("y").slice(i, j - i)], ["x", "y"])
+                cut = np.searchsorted(got["line_doc"], np.arange(j - i + 1)).tolist()
+                at = [p + key % max(1, q - p - FIT_LINES + 1) for p, q, key in zip(cut, cut[1:], keys[i:j], strict=False)]
+                made = [np.packbits(got["features"][p : min(q, p + FIT_LINES)], axis=1).tobytes() for p, q in zip(at, cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], pa.int64()), pa.array(made, pa.binary()), b.column("y").slice(i, j - i)], ["key", "x", "y"])
 
     width = line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))["features"].shape[1]
-    found = rows.mapInArrow(feats, "x binary, y int").toPandas()
+    # rows that repeat an id and text count once, and an id with many texts can't bring more than the bound
+    found = rows.mapInArrow(feats, "key long, x binary, y int").dropDuplicates(["key"]).orderBy("key").limit(fit_docs).toPandas()
     unpack = lambda x: np.unpackbits(np.frombuffer(x, np.uint8).reshape(-1, -(-width // 8)), axis=1)[:, :width]
     found = found.sort_values(["y", "x"])
     return LineField(width).fit([(unpack(x), int(y)) for x, y in zip(found["x"], found["y"], strict=True)])

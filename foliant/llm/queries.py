@@ -25,8 +25,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text: piece count, digest of the ids, and whether decoding gives the text back."""
-    from foliant.llm.sentencepiece_codec import decode, encode
+    from foliant.llm.sentencepiece_codec import decode, encode, small_batches
 
+    small_batches(spark)
     there = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     text = F.coalesce("text", F.lit(""))
     return there.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.md5("ids").alias("ids_digest"), (F.col("decoded") == text).alias("round_trip"))

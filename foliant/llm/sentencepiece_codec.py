@@ -6,8 +6,8 @@ best scores from the states at its start to those at its end; max-plus products
 matrices are associative, so blocks of chunks are combined at once and then scanned,
 which gives the scores of the states at every boundary. With these each chunk is traced
 back alone, for every state at its end, and the maps from end state to start state are
-composed from the last chunk to the first, block by block. Shorter texts take the
-same cuts inside one task.
+composed from the last chunk to the first, block by block. A text of less than two chunks has no boundary
+to scan over and is solved in one task, word by word.
 
 Scores are whole numbers, so results do not depend on how a text is cut. Ties follow the
 library: at each end the longest of equally good pieces.
@@ -26,15 +26,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from foliant.llm import unigram as ug
-from foliant.llm.components import cut
+from foliant.llm.components import cut, fresh, others, quoted
 from foliant.llm.token_counts import MODEL, _strings
 
 #: Characters of a chunk; texts of two chunks and more are spread over tasks. BLOCK chunks are combined at a time.
-CHUNK_CHARS, BLOCK = 1 << 15, 64
-#: Rows of a batch sent to Python: a row holds a whole text and its ids.
+CHUNK_CHARS, BLOCK = 1 << 14, 64
+#: Rows of a batch sent to Python that keep its memory small: a row holds a whole text and its ids.
 BATCH_ROWS = 1000
 _NONE = -(1 << 62)
 
@@ -243,8 +243,8 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
 def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into: str = "ids", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """`docs` with the ids of `column`, four bytes each, lowest first (unpack() reads them)."""
     sent = docs.sparkSession.sparkContext.broadcast(ug.Vocabulary.load(model_path))
-    own = [c for c in docs.columns if c != into]
-    docs = docs.select(*own)
+    own = others(docs, into.lower())
+    docs = docs.select(*map(quoted, own))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ug.shared(sent.value))
@@ -252,22 +252,22 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 got = [encoder.text(x) for x in _strings(part.column(column))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(got, pa.binary())], [*own, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*own, into])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{into}` binary"
     size = F.coalesce(F.length(column), F.lit(0))
-    small_batches(docs)
-    small = docs.where(size < 2 * chunk_chars).mapInArrow(short, fields)
-    large = docs.where(size >= 2 * chunk_chars).withColumn("_digest", F.sha2(F.col(column).cast("binary"), 256))
-    texts = large.select(F.col("_digest").alias("digest"), F.col(column).alias("text")).dropDuplicates(["digest"])
-    ids = encode_long(texts, sent, chunk_chars).select(F.col("digest").alias("_digest"), F.col("ids").alias(into))
-    return small.unionByName(large.join(ids, "_digest", "left").drop("_digest"))
+    (digest,) = fresh([*own, into], "_digest")
+    small = docs.where(size < 2 * chunk_chars).mapInArrow(short, T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())]))
+    large = docs.where(size >= 2 * chunk_chars).withColumn(digest, F.sha2(F.col(column).cast("binary"), 256))
+    texts = large.select(F.col(digest).alias("digest"), F.col(column).alias("text")).dropDuplicates(["digest"])
+    ids = encode_long(texts, sent, chunk_chars).select(F.col("digest").alias(digest), F.col("ids").alias(into))
+    return small.unionByName(large.join(ids, digest, "left").select(*map(quoted, own), quoted(into)))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "ids", into: str = "decoded") -> DataFrame:
     """`encoded` with the text of its ids."""
     sent = encoded.sparkSession.sparkContext.broadcast(ug.Vocabulary.load(model_path))
-    own = [c for c in encoded.columns if c != into]
+    own = others(encoded, into.lower())
+    encoded = encoded.select(*map(quoted, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ug.shared(sent.value)
@@ -275,18 +275,16 @@ def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "ids", int
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 got = [model.decode(unpack(x)) for x in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(got, pa.string())], [*own, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], [*own, into])
 
-    small_batches(encoded)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*own).schema)
-    return encoded.select(*own).mapInArrow(run, f"{fields}, `{into}` string")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def small_batches(df: DataFrame) -> None:
-    """Keeps the session's Arrow batches to BATCH_ROWS rows at most."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+def small_batches(spark: SparkSession) -> None:
+    """For applications: sets the session's Arrow batches to BATCH_ROWS rows at most, which bounds the memory of Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def unpack(ids: bytes | None) -> list[int]:

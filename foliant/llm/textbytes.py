@@ -7,13 +7,16 @@ longer text is a chunk of its own, so memory follows the longest single text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -157,3 +160,11 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 def keyed(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Hashes told apart by text."""
     return mix(hashes + (doc.astype(np.uint64) + np.uint64(1)) * _BYTE_BASE)
+
+
+def trim() -> None:
+    """Gives memory that a fit has used back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

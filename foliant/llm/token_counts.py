@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from foliant.llm import unigram as ug
+from foliant.llm.components import others, quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -78,16 +79,16 @@ def token_counts(docs: DataFrame, model_path: str = MODEL, column: str = "text",
     """`docs` with the number of tokens of `column`."""
     vocabulary = ug.Vocabulary.load(model_path)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    own = [c for c in docs.columns if c != into]
+    own = others(docs, into.lower())
+    docs = docs.select(*map(quoted, own))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ug.shared(sent.value))
         for b in batches:
             n = np.fromiter((counter.text(x) for x in _strings(b.column(column))), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n)], [*own, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], [*own, into])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
-    return docs.select(*own).mapInArrow(count, f"{fields}, `{into}` long")
+    return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
 
 
 def _strings(column: pa.Array, step: int = 500) -> Iterator[str]:

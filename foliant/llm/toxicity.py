@@ -22,13 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import bounded
+from foliant.llm.components import bounded, fresh, others, quoted
 
-#: Bounds on the labelled rows of each class, and on a text's characters, for the fit only; scoring takes all texts whole.
-FIT_ROWS, FIT_CHARS = 2000, 20_000
+#: Bounds of the fit's sample: labelled rows of each class, and characters of all its texts, which are taken whole; scoring takes all texts.
+FIT_ROWS, FIT_CHARS = 2000, 24_000_000
 BUCKETS, DIM, FILTERS, WIDTHS, GRAMS = 1 << 15, 16, 16, (1, 2, 3), (5, 7)
 #: score at which `predicted` is 1
 CUT = 0.7
@@ -239,12 +239,19 @@ def seen_labels(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> pd.DataFrame:
-    """At most `fit_rows` labelled texts of each class, none held out, those of the lowest id hash."""
+    """At most `fit_rows` labelled texts of each class and `fit_chars` characters in all, none held out, those of the lowest id hash; texts are whole and of any length.
+
+    Only lengths of at most three times as many rows come to the driver before the texts that are taken.
+    """
     seen = seen_labels(labels)
     pick = lambda v: seen.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", "text", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars)
-    found = texts.join(F.broadcast(pick(0).unionAll(pick(1))), "doc_id").withColumn("key", F.xxhash64("text")).toPandas()
-    return found.sort_values(["doc_id", "text"], kind="stable")
+    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(pick(0).unionAll(pick(1))), "doc_id").withColumn("key", F.xxhash64("text"))
+    by = F.xxhash64("doc_id").alias("h")
+    sizes = texts.select(by, "doc_id", "key", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct().orderBy("h", "doc_id", "key").limit(3 * 2 * fit_rows).toPandas()
+    sizes = sizes[(sizes.groupby("y").cumcount() < fit_rows) & (sizes["n"].cumsum() <= fit_chars)]
+    chosen = docs.sparkSession.createDataFrame([(int(i), int(k)) for i, k in zip(sizes["doc_id"], sizes["key"], strict=True)], "doc_id long, key long")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).toPandas()
+    return found.sort_values(["doc_id", "key"], kind="stable")
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, net: Net, trained: pd.DataFrame) -> dict[str | None, float]:
@@ -275,23 +282,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_c
     net, cuts = fit(rows, epochs)
     if net.prior is None:
         cuts = thresholds(docs, labels, net, rows[~_kept_out(rows["y"].to_numpy(np.int64))])
+    del rows
+    tb.trim()
     sc = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [f for f in b.schema.names if f != "_score"]
+            names = b.schema.names
             for i, j, buf, offs in tb.chunks(b.column("text")):
                 cut = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(cut.column(n) for n in names), pa.array(sc.value.score(buf, offs))], [*names, "_score"])
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(sc.value.score(buf, offs))], [*names, into])
 
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "threshold", "rejected", "_score")]
-    slim = docs.select(*own)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", _score double"
+    own = others(docs, "held_out", "score", "predicted", "threshold", "rejected")
+    (into,) = fresh(docs.columns, "_score")
+    slim = docs.select(*map(quoted, own))
     at = F.lit(cuts[None])
     for lang, cut in cuts.items():
         if lang is not None:
             at = F.when(F.coalesce(F.col("lang"), F.lit("\0")) == lang, F.lit(cut)).otherwise(at)
-    return (
-        slim.mapInArrow(score, fields).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("_score") >= CUT).cast("int"))
-        .withColumn("threshold", at).withColumn("rejected", F.col("_score") >= F.col("threshold")).withColumnRenamed("_score", "score")
-    )
+    scored = slim.mapInArrow(score, T.StructType([*slim.schema.fields, T.StructField(into, T.DoubleType())]))
+    value = F.col(into)
+    return scored.select(*map(quoted, own), held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= CUT).cast("int").alias("predicted"), at.alias("threshold"), (value >= at).alias("rejected"))

@@ -23,6 +23,8 @@ SPACE = "▁"
 BLOCKED = -1e8
 #: Islands that a worker remembers: those met since the last turn, and as many before.
 CACHE = 150_000
+#: Longest island that is remembered, in characters, so that the bound on islands bounds memory.
+REMEMBERED = 64
 
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -176,6 +178,8 @@ class Memory(dict):
         self.before: dict = {}
 
     def __missing__(self, word: str):
+        if len(word) > REMEMBERED:
+            return self.find(word)
         if len(self) >= self.room:
             self.before = dict(self)
             self.clear()
