@@ -87,6 +87,7 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     kept = messages.select(*map(quoted, own))
     c, t, made, count = fresh(messages.columns, "_c", "_t", "_made", "_count")
 
+    @tb.tidied
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parsed = [parse(t) for t in b["text"]]

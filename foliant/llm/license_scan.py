@@ -7,7 +7,7 @@ span. Runs of words that are adjacent in no template can only have statistics be
 streaming starts anew at each of them; the statistics are exact everywhere else.
 
 Defined cases: a null or empty text has no words, no labels and score 0; very long texts are
-scanned whole; equal scores keep all labels; repeated rows are scanned one by one; rows
+scanned whole; the score is the best cover of any template, also where it is too low for a label; of labels whose spans overlap the best cover stays, and all of equal ones; repeated rows are scanned one by one; rows
 with a null id pass through; other columns are ignored.
 """
 
@@ -25,29 +25,76 @@ from foliant.llm import textbytes as tb
 
 #: phrases of the base rule and their labels
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Openings and notices of well-known licences, by label.
+# Texts of well-known licences in sections, or the notices that name them, by label.
 TEMPLATES = {
     "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "released under the MIT license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "cc-by-nc": [
-        "this work is licensed under cc by nc 4 0",
-        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "this work is licensed under CC BY-NC 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "this work is licensed under CC BY-SA 4.0"],
+    "cc-by-nd": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "cc0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
     ],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
     "gpl-3": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "gpl-2": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc.",
+    ],
+    "lgpl-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "lgpl-3": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "agpl-3": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+    "epl-2": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "bsd-2": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
     "bsd-3": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
+    "boost": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+        "Distributed under the Boost Software License, Version 1.0.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "all-rights-reserved": ["all rights reserved no part of this publication may be reproduced"],
 }
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Shortest match that is chained, and the share of a template's words that makes a label.
 MIN_MATCH, MIN_COVER = 3, 0.8
 #: Longest run of other words between two chained matches.
@@ -121,7 +168,7 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER):
         self.min_match, self.min_cover = min_match, min_cover
         self.names = [label for label, texts in templates.items() for _ in texts]
-        texts = [t.split() for ts in templates.values() for t in ts]
+        texts = [_WORD.findall(t.lower()) for ts in templates.values() for t in ts]
         vocabulary = sorted({w for t in texts for w in t} | {w for p in phrases for w in p.split()})
         hashes = [int(self._hash(w)) for w in vocabulary]
         order = np.argsort(np.array(hashes, np.uint64))
@@ -167,9 +214,10 @@ class Scanner:
                 for k, end in self.automaton.ends[state]:
                     yield i + 1 - n, i + 1, k, end
 
-    def chain(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of one template's matches, in order in text and template, that cover enough of its words."""
+    def chain(self, found: list[tuple[int, int, int, int]]) -> tuple[list[tuple[str, int, int, float]], float]:
+        """Chains of one template's matches, in order in text and template, that cover enough of its words, and the best cover of any."""
         out: dict[str, tuple[float, int, int]] = {}
+        most = 0.0
         by: dict[int, list[tuple[int, int, int]]] = {}
         for first, end, k, at in found:
             by.setdefault(k, []).append((first, end, at))
@@ -189,10 +237,13 @@ class Scanner:
                         got, start = best[j][0] + new, best[j][1]
                 best.append((got, start))
                 cover = min(1.0, got / size)
+                most = max(most, cover)
                 label = self.names[k]
                 if cover >= self.min_cover and (cover, -start) > (out[label][0], -out[label][1]) if label in out else cover >= self.min_cover:
                     out[label] = (cover, start, end)
-        return [(label, s, e, c) for label, (c, s, e) in sorted(out.items())]
+        # where spans overlap, as those of licences that share most words, the best cover alone counts
+        best = {label: x for label, x in out.items() if not any(c > x[0] and s < x[2] and x[1] < e for c, s, e in out.values())}
+        return [(label, s, e, c) for label, (c, s, e) in sorted(best.items())], most
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict[int, dict]]:
         """Word counts of all texts, and the findings of those that have any."""
@@ -206,7 +257,7 @@ class Scanner:
                 got["base"] += [(at + i, label) for i in range(len(tokens) - n + 1) if tokens[i : i + n] == phrase]
             got["matches"] += [(at + f, at + e, k, end) for f, e, k, end in self.matches(tokens)]
         for got in found.values():
-            got["spans"] = self.chain(got["matches"])
+            got["spans"], got["most"] = self.chain(got["matches"])
         return np.bincount(doc, minlength=len(offs) - 1), found
 
 
@@ -215,6 +266,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, m
     names = [x.split(" ", 1)[0] for x in SCHEMA.split(", ")]
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("cover", pa.float64())]))
 
+    @tb.tidied
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, PHRASES, min_match, min_cover)
         for b in batches:
@@ -228,7 +280,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, m
                     labels = {x for _, x in base}
                     row = (
                         len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(sorted(labels | {s[0] for s in spans})),
-                        1.0 if base else max((s[3] for s in spans), default=0.0), [dict(zip(("label", "first_word", "end_word", "cover"), s, strict=True)) for s in spans],
+                        1.0 if base else got["most"] if got else 0.0, [dict(zip(("label", "first_word", "end_word", "cover"), s, strict=True)) for s in spans],
                     )
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
@@ -240,5 +292,5 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, m
 
 def base_by_regex(text: str) -> list[tuple[int, str]]:
     """The base rule word by word, for tests: (start word, label) of every place."""
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    words = _WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return sorted((i, label) for p, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())

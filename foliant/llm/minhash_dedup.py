@@ -83,6 +83,7 @@ def sign(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS) ->
     """(doc_id, n, s1, s2, bands): set size, two digests of the set, and the band hashes (none for an empty set)."""
     schema = "doc_id long, n long, s1 long, s2 long, bands array<long>"
 
+    @tb.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes(rows * bands)
         for b in batches:
@@ -117,6 +118,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(needed, "doc_id", "left_semi")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
 
+    @tb.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 400):
@@ -142,6 +144,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(id, set) of the texts of `ids`, as sorted hashes of their shingles."""
     few = bounded(ids.select(F.col("id").alias("doc_id")).distinct())
 
+    @tb.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in tb.chunks(b.column("text")):

@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineFie
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("y").cast("int").alias("y"))
 
+    @tb.tidied
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("key").to_pylist()
@@ -198,6 +199,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_content: float = MIN_C
     """One row per document with the base counts, the content share and the verdict."""
     field = fit(docs, labels, fit_docs)
 
+    @tb.tidied
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in tb.chunks(b.column("text")):

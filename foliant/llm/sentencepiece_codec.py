@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from foliant.llm import textbytes as tb
 from foliant.llm import unigram as ug
 from foliant.llm.components import cut, fresh, others, quoted
 from foliant.llm.token_counts import MODEL, _strings
@@ -150,6 +151,7 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
     """Ids of distinct long texts: (digest, text) to (digest, ids binary)."""
     size = max(chunk_chars, 1)
 
+    @tb.tidied
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = ug.shared(sent.value)
         for b in batches:
@@ -157,6 +159,7 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
                 for row in cut_text(model, text, size):
                     yield pd.DataFrame([(digest, *row)], columns=["digest", "k", "core", "halo", "before"])
 
+    @tb.tidied
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = ug.shared(sent.value)
         for b in batches:
@@ -179,6 +182,7 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
         vs = scan_entries(first, [_vec(x, states) for x in b["m"]])
         return b.drop(columns=["m", "v"], errors="ignore").assign(v=[v.tobytes() for v in vs])
 
+    @tb.tidied
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = ug.shared(sent.value)
         encoder = Encoder(model)
@@ -230,6 +234,7 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
     if sent.value.byte_fallback:
         return out
 
+    @tb.tidied
     def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A run of unknown characters that chunks have cut is one unknown piece again."""
         unk = ug.shared(sent.value).unk_id
@@ -246,6 +251,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into:
     own = others(docs, into.lower())
     docs = docs.select(*map(quoted, own))
 
+    @tb.tidied
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ug.shared(sent.value))
         for b in batches:
@@ -269,6 +275,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "ids", int
     own = others(encoded, into.lower())
     encoded = encoded.select(*map(quoted, own))
 
+    @tb.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ug.shared(sent.value)
         for b in batches:

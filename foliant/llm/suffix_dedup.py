@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import bounded, cut
+from foliant.llm.components import bounded, cut, drop
 
 PASSAGE, SEED = 50, 26
 GAP = PASSAGE - SEED + 1
@@ -40,6 +40,11 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tb.span_hash(tb.prefix(low), ws, we), doc
 
 
+def _other(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each word, so that what counts as equal agrees in 128 bits."""
+    return tb.mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+
+
 def minimisers(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the words of all texts) and seed hashes of the retained suffixes; a tie keeps the first place."""
     h, at = tb.window_hash(hashes, doc, SEED)
@@ -54,12 +59,13 @@ def minimisers(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def equal_neighbours(rows: DataFrame) -> DataFrame:
-    """Those of the rows (h, key, pos) whose h occurs twice or more, by sorting and comparing neighbours."""
-    ordered = rows.repartitionByRange("h", "key", "pos").sortWithinPartitions("h", "key", "pos")
+    """Those of the rows (h, c, key, pos) whose two hashes occur twice or more, by sorting and comparing neighbours."""
+    ordered = rows.repartitionByRange("h", "c", "key", "pos").sortWithinPartitions("h", "c", "key", "pos")
 
+    @tb.tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """edge: 0 for a row with an equal neighbour, 1 for a lone row at an edge, 2 for a run at an edge that needs none."""
-        names = ["h", "key", "pos", "edge"]
+        names = ["h", "c", "key", "pos", "edge"]
         held: pa.RecordBatch | None = None
         twin = False  # the held row equals the one before it
         first = True
@@ -70,11 +76,12 @@ def equal_neighbours(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            b = pa.RecordBatch.from_arrays([pc.cast(c, t) for c, t in zip(b.columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names[:3])
+            b = pa.RecordBatch.from_arrays([pc.cast(c, t) for c, t in zip(b.columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names[:4])
             joined = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             h = joined.column(0).to_numpy()
             hit = np.zeros(len(h), bool)
-            same = h[1:] == h[:-1]
+            c = joined.column(1).to_numpy()
+            same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             hit[1:] |= same
             hit[:-1] |= same
             hit[0] |= twin
@@ -94,11 +101,11 @@ def equal_neighbours(rows: DataFrame) -> DataFrame:
                 yield out(held, np.array([0]), np.array([True]))
             yield out(held, np.array([2 if twin else 1]), np.array([True]))
 
-    found = cut(ordered.mapInArrow(compare, "h long, key long, pos int, edge int"))
+    found = cut(ordered.mapInArrow(compare, "h long, c long, key long, pos int, edge int"))
     # at most two rows of each range
     edges = found.where("edge > 0")
-    shared = edges.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return found.where("edge = 0").select("h", "key", "pos").unionAll(edges.where("edge = 1").join(shared, "h", "left_semi").select("h", "key", "pos"))
+    shared = edges.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c")
+    return found.where("edge = 0").select("key", "pos").unionAll(edges.where("edge = 1").join(shared, ["h", "c"], "left_semi").select("key", "pos"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -109,15 +116,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copied = rows.join(bounded(places.where("copies > 1").select("key", F.col("rep").alias("doc_id"))), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
     texts = unique.unionByName(copied.select("key", "text"))
 
+    @tb.tidied
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("key").to_numpy()
             for i, j, buf, offs in tb.chunks(b.column("text")):
                 hashes, doc = _words(buf, offs)
                 at, h = minimisers(hashes, doc)
+                c, places = tb.window_hash(_other(hashes), doc, SEED)
+                c = c[np.searchsorted(places, at)]
                 head = np.searchsorted(doc, np.arange(j - i))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[i:j][doc[at]]), pa.array((at - head[doc[at]]).astype(np.int32))], ["h", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[i:j][doc[at]]), pa.array((at - head[doc[at]]).astype(np.int32))], ["h", "c", "key", "pos"])
 
+    @tb.tidied
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, marks = b.column("key").to_numpy(), b.column("marks")
@@ -131,9 +142,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     np.add.at(want, np.maximum(p - (GAP - 1), head[d]), 1)
                     np.add.at(want, p + 1, -1)
                 take = np.cumsum(want)[at] > 0
+                c = tb.window_hash(_other(hashes), doc, PASSAGE)[0][take]
                 h, at = h[take], at[take]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[i:j][doc[at]]), pa.array((at - head[doc[at]]).astype(np.int32))], ["h", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[i:j][doc[at]]), pa.array((at - head[doc[at]]).astype(np.int32))], ["h", "c", "key", "pos"])
 
+    @tb.tidied
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[int]] = [[], [], []]
@@ -146,17 +159,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "first_word", "end_word"])
 
+    @tb.tidied
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in tb.chunks(b.column("text")):
                 n = np.bincount(tb.spans(buf, offs, tb.NONSPACE)[2], minlength=j - i)
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), pa.array(np.zeros(j - i, np.int64)), pa.array(n.astype(np.int64))], ["key", "first_word", "end_word"])
 
-    suffixes = cut(texts.mapInArrow(anchors, "h long, key long, pos int"))
+    suffixes = cut(texts.mapInArrow(anchors, "h long, c long, key long, pos int"))
     marks = cut(equal_neighbours(suffixes).groupBy("key").agg(F.collect_list("pos").alias("marks")))
+    drop(suffixes)
     # in a text with equals elsewhere every word is covered, but other texts may share a part of it
     held = texts.join(bounded(marks.select("key")), "key", "left_semi").join(marks, "key")
-    windows = cut(held.mapInArrow(extend, "h long, key long, pos int"))
+    windows = cut(held.mapInArrow(extend, "h long, c long, key long, pos int"))
     starts = equal_neighbours(windows).groupBy("key").agg(F.collect_list("pos").alias("starts"))
     spans = starts.mapInArrow(merge, "key long, first_word long, end_word long")
     full = cut(copied.select("key", "text").mapInArrow(whole, "key long, first_word long, end_word long").where(F.col("end_word") >= PASSAGE))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -168,3 +169,16 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back when its task ends, since workers that wait for other tasks keep theirs."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from foliant.llm import textbytes as tb
 from foliant.llm import unigram as ug
 from foliant.llm.components import others, quoted
 
@@ -82,6 +83,7 @@ def token_counts(docs: DataFrame, model_path: str = MODEL, column: str = "text",
     own = others(docs, into.lower())
     docs = docs.select(*map(quoted, own))
 
+    @tb.tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ug.shared(sent.value))
         for b in batches:

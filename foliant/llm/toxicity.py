@@ -262,6 +262,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, net: Net, trained: pd.DataFra
     rows = rows.join(F.broadcast(used.distinct()), ["doc_id", "key"], "left_anti").select("text", F.coalesce("lang", F.lit("\0")).alias("lang"), "y")
     sc = spark.sparkContext.broadcast(net)
 
+    @tb.tidied
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in tb.chunks(b.column("text")):
@@ -286,6 +287,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_c
     tb.trim()
     sc = docs.sparkSession.sparkContext.broadcast(net)
 
+    @tb.tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 from foliant.llm import chat_format as cf
@@ -215,6 +216,70 @@ def test_leaks_by_template(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def plain_template(text):
+    """(template token, word) by a scan of letters and numbers."""
+    out, last = [], 0
+    for m in regex.finditer(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+", text):
+        word = m[0]
+        if regex.match(r"\p{N}", word):
+            out.append((dc.NUMBER, word.lower()))
+        elif regex.match(r"\p{Lu}", word):
+            out.append((dc.NAME, word.lower()))
+        elif out and out[-1][0] == dc.NUMBER and not text[last : m.start()].strip() and regex.fullmatch(f"(?i:{dc.UNITS})", word):
+            out.append((dc.UNIT, word.lower()))
+        else:
+            out.append((word.lower(), word.lower()))
+        last = m.end()
+    return out
+
+
+def plain_leaks(docs, items):
+    """Items of each text: enough windows along alignments whose slots are consistent, or all words in a row."""
+    slots = (dc.NUMBER, dc.NAME, dc.UNIT)
+    out = defaultdict(set)
+    for i, t in docs:
+        d = plain_template(t)
+        at = defaultdict(list)
+        for p in range(len(d) - 4):
+            at[tuple(x for x, _ in d[p : p + 5])].append(p)
+        for k, b in items:
+            x = plain_template(b)
+            wins = {p: tuple(y for y, _ in x[p : p + 5]) for p in range(len(x) - 4) if sum(y not in slots for y, _ in x[p : p + 5]) >= dc.LITERALS}
+            by = defaultdict(set)
+            for p, w in wins.items():
+                for q in at.get(w, []):
+                    by[q - p].add(p)
+            hits = set()
+            for shift, ps in by.items():
+                seen = defaultdict(set)
+                for q in {p + j for p in ps for j in range(5)}:
+                    if x[q][0] in slots:
+                        seen[x[q]].add(d[q + shift][1])
+                if all(len(v) == 1 for v in seen.values()):
+                    hits |= ps
+            words, mine = [y for _, y in d], [y for _, y in x]
+            if wins and 100 * len(hits) >= dc.PERCENT * len(wins) or mine and any(words[p : p + len(mine)] == mine for p in range(len(words) - len(mine) + 1)):
+                out[i].add(k)
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_leaks_with_other_values_equal_a_plain_version(spark):
+    r = random.Random(12)
+    names, units, verbs = ["Anna", "Otto", "Maria Lopez", "Peter", "Zoe"], ["km", "kg", "hours", "miles"], ["carries", "buys", "sends", "finds"]
+    forms = ["{a} {v} {n} {u} of rope to {b} and then {a} {v} {m} more of it", "how many {u} does {a} need if {b} has {n} and {c} has {m} of them left", "what is {n} plus {m}"]
+    fill = lambda f, a, b, c: f.format(a=a, b=b, c=c, n=r.randrange(90), m=r.randrange(90), u=r.choice(units), v=r.choice(verbs))
+    items = [(k, fill(forms[k % 3], *r.sample(names, 3))) for k in range(12)]
+    docs = []
+    for i in range(120):
+        t = fill(r.choice(forms), *r.choices(names, k=3)) if i % 3 else r.choice(items)[1]
+        if i % 4 == 0:
+            t = t.replace(r.choice(names), r.choice(names), 1)
+        docs.append((i, f"Some words before this. {t}. And Some after 5 km"))
+    want = plain_leaks(docs, items)
+    got = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("contaminated")
+    assert {x.doc_id: x.leaked_items for x in got.collect()} == want and 40 < len(want) < 120
+
+
 def test_template_tokens_stand_for_words(spark):
     rows = [("In 1,5 km Anna-Maria's 3rd abc12 ÉTÉ",), ("5 %",), ("",)]
     got = spark.createDataFrame(rows, "t string").select(dc.canonical(F.col("t")).alias("c"), dc.tokens(F.col("t")).alias("w")).collect()
