@@ -15,6 +15,11 @@ from foliant.operators import layout as ly
 from foliant.operators import quality as ql
 from foliant.operators import retrieval as rt
 from foliant.operators import tables as tb
+from foliant.operators import viewing as vw
+from foliant.plans import models as md
+from foliant.plans import pipelines as pl
+from foliant.sources import readers as rd
+from foliant.sources import writers as wr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,14 +49,14 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str, scoped: bool = False) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    b = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     scope = F.when(F.col("query_id") % 2 == 0, F.array(F.concat(F.lit("src"), F.col("query_id") % 20), F.lit("src3"))) if scoped else F.lit(None)
     both = b.join(e, "query_id").select("query_id", "query", "qvec", scope.cast("array<string>").alias("document_ids"))
     return both.withColumn("top_k_candidates", F.lit(None).cast("int")).withColumn("top_k_final", F.lit(None).cast("int"))
 
 
-_Q = """q AS (SELECT item_id AS query_id, b.text AS query, e.embedding AS qvec, {scope} AS document_ids FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE item_id < 20)"""
+_Q = """q AS (SELECT item_id AS query_id, b.text AS query, e.embedding AS qvec, {scope} AS document_ids FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
 _Q_ALL = _Q.format(scope="CAST(NULL AS VARCHAR[])")
 _Q_SCOPED = _Q.format(scope="CASE WHEN item_id % 2 = 0 THEN ['src' || CAST(item_id % 20 AS VARCHAR), 'src3'] END")
 _DENSE = """
@@ -143,12 +148,12 @@ def rerank_score_merge(spark, sf_dir):
 
 
 @register(
-    """WITH none AS (SELECT item_id AS query_id FROM benchmark WHERE item_id >= 20)
+    """WITH none AS (SELECT item_id AS query_id FROM benchmark WHERE item_id % 3 = 0)
     SELECT query_id, seq, event FROM none, (VALUES (0, 'data: {"token":"I cannot answer this question based on the provided documents."}' || chr(10) || chr(10)), (1, 'data: {"sources":[]}' || chr(10) || chr(10)), (2, 'data: [DONE]' || chr(10) || chr(10))) AS f(seq, event)"""
 )
 def refusals(spark, sf_dir):
     every = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    return rt.refusals(every, every.where("query_id < 20"))
+    return rt.refusals(every, every.where("query_id % 3 <> 0"))
 
 
 @register(
@@ -165,11 +170,11 @@ def _answers(spark, sf_dir):
     block = F.when(F.col("conv_id") % 5 == 4, F.lit("\n```sources\n[{bad json]\n```")).otherwise(
         F.concat(F.lit('\n```Sources\n[{"ref": '), F.col("conv_id") % 4 + 1, F.lit(', "document_id": "'), F.when(F.col("conv_id") % 2 == 0, "").otherwise("own"), F.lit('", "page_no": '), F.when(F.col("conv_id") % 3 == 0, "null").otherwise("0"), F.lit(', "chunk_type": "", "excerpt": ""}]\n```'))
     )
-    return c.where("conv_id < 20").select(F.col("conv_id").alias("query_id"), F.concat("t", block).alias("answer"))
+    return c.select(F.col("conv_id").alias("query_id"), F.concat("t", block).alias("answer"))
 
 
 @register(
-    f"""{_CHAIN}, a AS (SELECT conv_id AS query_id FROM conversations WHERE role = 'assistant' AND conv_id < 20 AND conv_id % 5 <> 4 GROUP BY conv_id)
+    f"""{_CHAIN}, a AS (SELECT conv_id AS query_id FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 4 GROUP BY conv_id)
     SELECT a.query_id, 0 AS seq, CAST(a.query_id % 4 + 1 AS VARCHAR) AS ref, CASE WHEN a.query_id % 2 = 0 THEN r.document_id ELSE 'own' END AS document_id, CASE WHEN a.query_id % 3 = 0 THEN r.page_no ELSE 0 END AS page_no, r.chunk_type, left(r.text, 120) AS excerpt
     FROM a LEFT JOIN ranked r ON r.query_id = a.query_id AND r.final_rank = a.query_id % 4 + 1""",
     ("points",),
@@ -196,7 +201,7 @@ def document_ids(spark, sf_dir):
 
 @register("SELECT count(*) AS points, count(DISTINCT doc_id) AS documents FROM points", ("points",))
 def collection_stats(spark, sf_dir):
-    return table(spark, sf_dir, "points").agg(F.count("*").alias("points"), F.count_distinct("doc_id").alias("documents"))
+    return wr.collection_stats(table(spark, sf_dir, "points"))
 
 
 @register("SELECT point_id, page_no FROM points WHERE chunk_type = 'table' AND lang = 'en'", ("points",))
@@ -204,7 +209,7 @@ def payload_filter(spark, sf_dir):
     return rt.equal_filters(_points(spark, sf_dir), {"chunk_type": "table", "lang": "en"}).select("point_id", "page_no")
 
 
-@register("SELECT item_id AS query_id, CASE WHEN length(text) < 1 OR length(text) > 300 THEN 'query length' END AS error FROM benchmark WHERE FALSE UNION ALL SELECT item_id, CASE WHEN length(text) > 2000 THEN 'query length' WHEN item_id % 120 < 5 THEN 'top_k_candidates' WHEN item_id % 25 = 0 OR item_id % 25 > 20 THEN 'top_k_final' END FROM benchmark")
+@register("SELECT item_id AS query_id, CASE WHEN length(text) > 2000 THEN 'query length' WHEN item_id % 120 < 5 THEN 'top_k_candidates' WHEN item_id % 25 = 0 OR item_id % 25 > 20 THEN 'top_k_final' END AS error FROM benchmark")
 def query_validation(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 120).cast("int").alias("top_k_candidates"), (F.col("item_id") % 25).cast("int").alias("top_k_final"))
@@ -275,10 +280,10 @@ def gap_pages(spark, sf_dir):
 
 
 def _titled(items):
-    return items.withColumn("text", F.when(F.col("seq") % 34 == 6, F.concat(F.lit("Table "), F.col("seq") % 7 + 1, F.lit(" "), F.left("text", F.lit(20)))).when((F.col("label") == "section_header") & (F.col("seq") % 5 == 0), "References (continued)").otherwise(F.col("text")))
+    return items.withColumn("text", F.when(F.col("seq") % 34 == 6, F.concat(F.lit("Table "), F.col("seq") % 7 + 1, F.lit(" "), F.col("text"))).when((F.col("label") == "section_header") & (F.col("seq") % 5 == 0), "References (continued)").otherwise(F.col("text")))
 
 
-_TITLED = "tit AS (SELECT * REPLACE (CASE WHEN seq % 34 = 6 THEN 'Table ' || (seq % 7 + 1) || ' ' || left(text, 20) WHEN label = 'section_header' AND seq % 5 = 0 THEN 'References (continued)' ELSE text END AS text) FROM items), tdet AS (SELECT * FROM tit WHERE item_type = 'table' AND page_no % 2 = 1)"
+_TITLED = "tit AS (SELECT * REPLACE (CASE WHEN seq % 34 = 6 THEN 'Table ' || (seq % 7 + 1) || ' ' || text WHEN label = 'section_header' AND seq % 5 = 0 THEN 'References (continued)' ELSE text END AS text) FROM items), tdet AS (SELECT * FROM tit WHERE item_type = 'table' AND page_no % 2 = 1)"
 _MISSED = r"""txt AS (SELECT *, regexp_matches(trim(text), '(?i)^TABLE\s+([IVXLCDM]+|\d+)') AS is_title FROM tit WHERE item_type = 'text'),
 mk AS (SELECT *, min(CASE WHEN is_title OR (label = 'section_header' AND regexp_matches(upper(text), 'REFERENCE|CONCLUSION|APPENDIX|FIGURE')) THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM txt),
 ti AS (SELECT * FROM mk WHERE is_title AND NOT EXISTS (SELECT 1 FROM tdet d WHERE d.doc_id = mk.doc_id AND d.page_no = mk.page_no AND abs(d.t - mk.t) < 50)),
@@ -313,12 +318,27 @@ def figure_context(spark, sf_dir):
     return ly.figure_context(_items(spark, sf_dir))
 
 
-@register()
+_CANDIDATES = f"""{_TITLED}, {_MISSED}, pg AS (SELECT DISTINCT doc_id, page_no FROM tdet), nx AS (SELECT *, lead(page_no) OVER (PARTITION BY doc_id ORDER BY page_no) AS nxt FROM pg),
+more AS (SELECT doc_id, CAST(unnest(generate_series(page_no + 1, nxt - 1)) AS INT) AS page_no FROM nx WHERE nxt > page_no + 1
+  UNION SELECT doc_id, page_no FROM tit t WHERE label = 'section_header' AND contains(lower(text), 'continued') AND NOT EXISTS (SELECT 1 FROM tdet d WHERE d.doc_id = t.doc_id AND d.page_no = t.page_no)),
+cont AS (SELECT doc_id, page_no, min(l) AS l, max(t) AS t, max(r) AS r, min(b) AS b FROM tit JOIN more USING (doc_id, page_no) WHERE item_type = 'text' GROUP BY doc_id, page_no),
+cand AS (SELECT doc_id, page_no, seq, l, t, r, b, 'detected' AS source, 0 AS k FROM tdet UNION ALL SELECT doc_id, page_no, title_seq, l, t, r, b, 'missed', 1 FROM missed UNION ALL SELECT doc_id, page_no, 0, l, t, r, b, 'continuation', 2 FROM cont
+  UNION ALL SELECT doc_id, page_no, seq, l, t, r, b, 'picture_table', 3 FROM tit WHERE item_type = 'picture' AND abs(r - l) * abs(t - b) >= 50000),
+ids AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, page_no, seq) AS n FROM cand)"""
+
+
+@register(f"WITH {_CANDIDATES} SELECT doc_id, page_no, seq, l, t, r, b, source, 'table_' || n AS table_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, t DESC, n) AS place FROM ids", ("items",))
 def table_candidates(spark, sf_dir):
     items = _titled(_items(spark, sf_dir))
     return ly.table_candidates(items, _detected(items))
 
 
+@register(f"WITH {_CANDIDATES} SELECT doc_id, count(*) AS n_tables, count(*) FILTER (WHERE source = 'detected') AS n_detected, count(*) FILTER (WHERE source = 'missed') AS n_missed, count(*) FILTER (WHERE source = 'continuation') AS n_continuation, count(*) FILTER (WHERE source = 'picture_table') AS n_picture_table FROM cand GROUP BY doc_id", ("items",))
+def source_counts(spark, sf_dir):
+    items = _titled(_items(spark, sf_dir))
+    return ly.source_counts(ly.table_candidates(items, _detected(items)))
+
+
 @register(
     f"""WITH nf AS (SELECT * FROM items WHERE NOT contains(lower(label), 'formula')), {_ELIGIBLE.replace('FROM items', 'FROM nf')}, {_J1}, {_J2}, {_W1}
     SELECT doc_id, page_no, coalesce(string_agg('[' || box_num || '] ' || left(text, 100), chr(10) ORDER BY box_num) FILTER (WHERE item_type = 'text' AND trim(text, ' ') <> ''), '') AS blocks FROM boxed GROUP BY doc_id, page_no""",
@@ -397,11 +417,11 @@ def renumber(spark, sf_dir):
 
 def _formulas(spark, sf_dir):
     b = table(spark, sf_dir, "boxes").where("label = 'formula'")
-    return b.select("doc_id", "page_no", "seq", F.concat(F.lit("f"), F.col("pos") % 4).alias("formula_id"), F.when(F.col("pos") % 3 > 0, F.left("text", F.lit(30))).alias("latex"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("("), "pos", F.lit(")"))).alias("equation_number"), (F.col("pos") % 25).cast("int").alias("after_box"), F.when(F.col("pos") % 5 == 0, "where").alias("description"))
+    return b.select("doc_id", "page_no", "seq", F.concat(F.lit("f"), F.col("pos") % 4).alias("formula_id"), F.when(F.col("pos") % 3 > 0, F.col("text")).alias("latex"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("("), "pos", F.lit(")"))).alias("equation_number"), (F.col("pos") % 25).cast("int").alias("after_box"), F.when(F.col("pos") % 5 == 0, "where").alias("description"))
 
 
 @register(
-    f"""WITH {_ELIGIBLE}, {_J1}, {_J2}, {_W1}, fm AS (SELECT doc_id, page_no, seq, 'f' || (pos % 4) AS formula_id, CASE WHEN pos % 3 > 0 THEN left(text, 30) END AS latex, CASE WHEN pos % 2 = 0 THEN '(' || pos || ')' END AS num, pos % 25 AS after_box, CASE WHEN pos % 5 = 0 THEN 'where' END AS description FROM boxes WHERE label = 'formula'),
+    f"""WITH {_ELIGIBLE}, {_J1}, {_J2}, {_W1}, fm AS (SELECT doc_id, page_no, seq, 'f' || (pos % 4) AS formula_id, CASE WHEN pos % 3 > 0 THEN text END AS latex, CASE WHEN pos % 2 = 0 THEN '(' || pos || ')' END AS num, pos % 25 AS after_box, CASE WHEN pos % 5 = 0 THEN 'where' END AS description FROM boxes WHERE label = 'formula'),
     an AS (SELECT doc_id, page_no, box_num AS after_box, l, r, b AS top, coalesce(lead(t) OVER (PARTITION BY doc_id, page_no ORDER BY box_num), b - 100) AS bottom FROM boxed),
     jn AS (SELECT fm.*, an.top, an.bottom, an.l IS NOT NULL AS placed FROM fm LEFT JOIN an USING (doc_id, page_no, after_box)),
     one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, formula_id ORDER BY placed DESC, after_box, seq) AS n FROM jn)
@@ -412,6 +432,11 @@ def formula_place(spark, sf_dir):
     return ch.place_formulas(ly.number_boxes(_items(spark, sf_dir)), _formulas(spark, sf_dir)).select("doc_id", "page_no", "seq", "formula_id", "placed", "t", "b", "text")
 
 
+def _regions(spark, sf_dir):
+    b = table(spark, sf_dir, "boxes").where("pos % 6 = 1")
+    return b.select("doc_id", "page_no", "seq", (F.col("pos") % 9).cast("int").alias("start_box"), (F.col("pos") % 9 + 2).cast("int").alias("last_box"), F.concat(F.lit("R"), "pos").alias("formatted_text"))
+
+
 @register(
     f"""WITH {_ELIGIBLE}, {_J1}, {_J2}, {_W1}, rg AS (SELECT doc_id, page_no, seq, pos % 9 AS lo, pos % 9 + 2 AS hi, 'R' || pos AS body FROM boxes WHERE pos % 6 = 1),
     hit AS (SELECT b.doc_id, b.page_no, b.box_num, arg_max(rg.lo, rg.seq) AS lo, arg_max(rg.body, rg.seq) AS body FROM boxed b JOIN rg ON rg.doc_id = b.doc_id AND rg.page_no = b.page_no AND b.box_num BETWEEN rg.lo AND rg.hi GROUP BY ALL)
@@ -419,8 +444,7 @@ def formula_place(spark, sf_dir):
     ("items",),
 )
 def inline_regions(spark, sf_dir):
-    r = table(spark, sf_dir, "boxes").where("pos % 6 = 1").select("doc_id", "page_no", "seq", (F.col("pos") % 9).cast("int").alias("start_box"), (F.col("pos") % 9 + 2).cast("int").alias("last_box"), F.concat(F.lit("R"), "pos").alias("formatted_text"))
-    return ch.cover_regions(ly.number_boxes(_items(spark, sf_dir)), r).select("doc_id", "page_no", "seq", "text")
+    return ch.cover_regions(ly.number_boxes(_items(spark, sf_dir)), _regions(spark, sf_dir)).select("doc_id", "page_no", "seq", "text")
 
 
 @register("SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE chunk_type = 'text') AS n_text, count(*) FILTER (WHERE chunk_type = 'table') AS n_table, 0 AS n_picture, 0 AS n_formula FROM chunks GROUP BY doc_id", ("chunks",))
@@ -443,10 +467,9 @@ def meta_round_trip(spark, sf_dir):
 
 @register()
 def build_chunks(spark, sf_dir):
-    v = _vision(spark, sf_dir)
-    f = _formulas(spark, sf_dir)
-    r = f.limit(0).select("doc_id", "page_no", "seq", F.lit(1).alias("start_box"), F.lit(1).alias("last_box"), F.lit("").alias("formatted_text"))
-    return ch.build_chunks(_items(spark, sf_dir), v, f, r)
+    i = _items(spark, sf_dir)
+    said = i.where("item_type = 'picture'").select("doc_id", "seq", "page_no", "t", F.lit(True).alias("success"), F.lit(None).cast("string").alias("markdown"), F.lit("picture").alias("kind"), (F.col("seq") % 4 != 0).alias("relevant"), F.lit("a drawing").alias("description"), F.when(F.col("seq") % 3 > 0, "bar chart").alias("figure_type"), F.when(F.col("seq") % 5 == 0, "Fig.").alias("caption"))
+    return ch.build_chunks(i, _vision(spark, sf_dir).unionByName(said), _formulas(spark, sf_dir), _regions(spark, sf_dir))
 
 
 # ---- tables ----------------------------------------------------------------------------------
@@ -470,9 +493,13 @@ def table_parse(spark, sf_dir):
     return p.select("doc_id", "seq", F.size("p.lines").alias("n_lines"), "p.header", F.size("p.data").alias("n_data"), "p.col_count", "p.before")
 
 
-@register("SELECT doc_id, seq FROM vlm WHERE doc_id % 3 < 3", ("vlm",))
+_ODD = "CASE WHEN pos % 5 = 0 THEN '| one |' || chr(10) || '|---|' || chr(10) || '| 1 |' WHEN pos % 7 = 0 THEN 'no table' WHEN pos % 9 = 0 THEN '| a | b |' ELSE markdown END"
+
+
+@register(f"WITH o AS (SELECT v.doc_id, v.seq, {_ODD} AS markdown FROM vlm v JOIN boxes USING (doc_id, seq)), p AS (SELECT doc_id, seq, [trim(x, ' ') FOR x IN string_split(markdown, chr(10)) IF starts_with(trim(x, ' '), '|')] AS bars FROM o) SELECT doc_id, seq FROM p WHERE len(bars) >= 2 AND len(string_split(trim(bars[1], '|'), '|')) >= 2", ("vlm",))
 def real_tables(spark, sf_dir):
-    return table(spark, sf_dir, "vlm").where(tb.is_real_table(F.col("markdown"))).select("doc_id", "seq")
+    odd = table(spark, sf_dir, "vlm").join(table(spark, sf_dir, "boxes").select("doc_id", "seq", "pos"), ["doc_id", "seq"]).withColumn("markdown", F.expr(_ODD))
+    return odd.where(tb.is_real_table(F.col("markdown"))).select("doc_id", "seq")
 
 
 @register()
@@ -620,17 +647,251 @@ def retry_policy(spark, sf_dir):
 # ---- text functions --------------------------------------------------------------------------
 
 
-@register(r"SELECT doc_id, replace(replace(text, chr(173), ''), chr(65534), '') = text AS clean, length(text) AS chars, 'batch_' || strftime(TIMESTAMP '2024-01-02 03:04:05' + to_seconds(doc_id), '%Y%m%d_%H%M%S') AS batch_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short FROM documents")
+@register(r"SELECT doc_id, md5(replace(replace(replace(text, ' th', chr(173) || ' t' || chr(65534) || 'h'), chr(173), ''), chr(65534), '')) AS clean, length(text) AS chars, 'batch_' || strftime(TIMESTAMP '2024-01-02 03:04:05' + to_seconds(doc_id), '%Y%m%d_%H%M%S') AS batch_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short FROM documents")
 def text_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     ts = F.timestamp_seconds(F.lit(1704164645) + F.col("doc_id"))
-    return d.select("doc_id", (tx.clean_hyphens(F.col("text")) == F.col("text")).alias("clean"), F.length("text").alias("chars"), tx.batch_id(ts).alias("batch_id"), tx.short_error(F.col("text")).alias("short"))
+    soft = F.replace("text", F.lit(" th"), F.lit("\u00ad t\ufffeh"))
+    return d.select("doc_id", F.md5(tx.clean_hyphens(soft).cast("binary")).alias("clean"), F.length("text").alias("chars"), tx.batch_id(ts).alias("batch_id"), tx.short_error(F.col("text")).alias("short"))
 
 
-@register("SELECT event_id, json_extract_string(props, '$') IS NOT NULL AS parsed, CASE WHEN value < 30 THEN 2.0 WHEN value < 100 THEN 1.5 WHEN value < 200 THEN 1.0 ELSE 0.75 END::DOUBLE AS scale FROM events")
+@register("SELECT event_id, json_valid(CASE WHEN event_id % 4 = 0 THEN 'x{' || props ELSE props END) AS parsed, CASE WHEN value < 30 THEN 2.0 WHEN value < 100 THEN 1.5 WHEN value < 200 THEN 1.0 ELSE 0.75 END::DOUBLE AS scale FROM events")
 def event_functions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.try_parse_json("props").isNotNull().alias("parsed"), g.image_scale(F.col("value")).cast("double").alias("scale"))
+    return e.select("event_id", F.try_parse_json(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("x{"), "props")).otherwise(F.col("props"))).isNotNull().alias("parsed"), g.image_scale(F.col("value")).cast("double").alias("scale"))
+
+
+# ---- views, states and formats ---------------------------------------------------------------
+
+
+@register("SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, seq) AS place FROM vlm", ("vlm",))
+def vision_order(spark, sf_dir):
+    return tb.in_page_order(table(spark, sf_dir, "vlm")).select("doc_id", "seq", "place")
+
+
+@register("SELECT doc_id, seq FROM vlm WHERE seq % 3 = 1", ("vlm",))
+def extra_tables(spark, sf_dir):
+    v = table(spark, sf_dir, "vlm").withColumn("success", F.when(F.col("seq") % 3 > 0, F.col("seq") % 3 == 1))
+    return tb.successful(v).select("doc_id", "seq")
+
+
+@register("WITH v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, seq) AS place FROM vlm), s AS (SELECT doc_id, 's' || (seq % 4) AS source, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, seq) AS place FROM items WHERE item_type = 'picture') SELECT v.doc_id, v.seq, v.place, s.source FROM v LEFT JOIN s USING (doc_id, place)", ("vlm", "items"))
+def source_match(spark, sf_dir):
+    s = _items(spark, sf_dir).where("item_type = 'picture'").withColumn("source", F.concat(F.lit("s"), F.col("seq") % 4))
+    return tb.match_sources(table(spark, sf_dir, "vlm"), s).select("doc_id", "seq", "place", "source")
+
+
+@register("SELECT doc_id, page_no, seq, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY CASE WHEN pos % 4 = 0 THEN 0 ELSE pos % 25 END, seq) AS place FROM boxes WHERE label = 'formula'", ("boxes",))
+def formula_order(spark, sf_dir):
+    f = _formulas(spark, sf_dir).withColumn("after_box", F.when(F.col("formula_id") != "f0", F.col("after_box")))
+    return ch.lone_formulas(f).select("doc_id", "page_no", "seq", "place")
+
+
+def _view(spark, sf_dir):
+    i = _items(spark, sf_dir)
+    c = i.select("doc_id", F.col("seq").alias("ord"), F.col("item_type").alias("chunk_type"), "page_no", F.when(F.col("seq") % 7 > 0, F.col("l")).alias("l"), "t", "r", "b")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(2).alias("n_pages"), F.lit(792.0).alias("page_height"))
+    return c, d
+
+
+@register(
+    """WITH rq AS (SELECT doc_id, generate_subscripts(o, 1) - 1 AS place, unnest(o) AS ord FROM (SELECT doc_id, [4, doc_id % 60, 24, 100000] AS o FROM documents)),
+    c AS (SELECT doc_id, seq AS ord, item_type, page_no, CASE WHEN seq % 7 > 0 THEN l END AS l, t, r, b FROM items)
+    SELECT doc_id AS request_id, place, ord, page_no, l, 'Order ' || ord || ': ' || CASE WHEN item_type IS NULL THEN 'Not found in document' WHEN item_type NOT IN ('picture', 'table') THEN 'Not a picture/table (type: ' || item_type || ')' WHEN l IS NULL THEN 'No bounding box stored' WHEN page_no > 2 THEN 'Page ' || page_no || ' out of range' END AS error
+    FROM rq LEFT JOIN c USING (doc_id, ord)""",
+    ("items",),
+)
+def chunk_view(spark, sf_dir):
+    c, d = _view(spark, sf_dir)
+    q = d.select(F.col("doc_id").alias("request_id"), "doc_id", F.array(F.lit(4), (F.col("doc_id") % 60).cast("int"), F.lit(24), F.lit(100000), F.lit(5)).alias("orders"))
+    return vw.view_chunks(q, c, d).select("request_id", "place", "ord", "page_no", "l", "error")
+
+
+@register(
+    """WITH rq AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id % 60 END AS ord, CASE WHEN doc_id % 5 = 0 THEN doc_id % 4 END AS asked FROM documents),
+    c AS (SELECT doc_id, seq AS ord, page_no, CASE WHEN seq % 7 > 0 THEN l END AS l, t, r, b, TRUE AS found FROM items),
+    j AS (SELECT rq.*, c.*  EXCLUDE (doc_id, ord, page_no), coalesce(asked, c.page_no) AS page FROM rq LEFT JOIN c ON c.doc_id = rq.doc_id AND c.ord = rq.ord),
+    e AS (SELECT *, CASE WHEN ord IS NULL AND asked IS NULL THEN 'Either page_no or chunk_order must be provided' WHEN ord IS NOT NULL AND found IS NULL THEN 'Chunk not found: document_id=' || doc_id || ', order=' || ord
+      WHEN page < 1 OR page > 2 THEN 'Page ' || page || ' out of range (document has 2 pages)' WHEN ord IS NOT NULL AND l IS NULL THEN 'Chunk at order ' || ord || ' has no bounding box stored' END AS error FROM j)
+    SELECT doc_id AS request_id, CASE WHEN error IS NULL THEN CASE WHEN ord IS NULL THEN 'full_page' ELSE 'chunk_region' END END AS mode, CASE WHEN error IS NULL THEN page END AS page_no, CASE WHEN error IS NULL AND ord IS NOT NULL THEN least(792, t + 100) END AS top, CASE WHEN error IS NULL AND ord IS NOT NULL THEN greatest(0, b - 50) END AS bottom, error FROM e""",
+    ("items",),
+)
+def visual_regions(spark, sf_dir):
+    c, d = _view(spark, sf_dir)
+    k = F.col("doc_id")
+    q = d.select(k.alias("request_id"), "doc_id", F.when(k % 3 > 0, (k % 60).cast("int")).alias("ord"), F.when(k % 5 == 0, (k % 4).cast("int")).alias("page_no"), F.lit(100.0).alias("above"), F.lit(50.0).alias("below"))
+    return vw.visual_regions(q, c, d).select("request_id", "mode", "page_no", F.col("box.t").alias("top"), F.col("box.b").alias("bottom"), "error")
+
+
+@register('SELECT doc_id, ord AS "order", chunk_type AS type, page_no FROM chunks', ("chunks",))
+def storage_rows(spark, sf_dir):
+    return wr.to_storage(_chunks(spark, sf_dir)).select("doc_id", "order", "type", "page_no")
+
+
+@register(
+    f"WITH {_SMALL} SELECT c.doc_id, count(*) FILTER (WHERE c.chunk_type = 'text') AS text_before, count(*) FILTER (WHERE c.chunk_type <> 'text') AS non_text, count(*) FILTER (WHERE s.ord IS NULL) AS deleted, 0 AS created, count(*) FILTER (WHERE c.chunk_type = 'text') - count(*) FILTER (WHERE s.ord IS NULL) AS text_after FROM chunks c LEFT JOIN small s ON s.doc_id = c.doc_id AND s.ord = c.ord GROUP BY c.doc_id",
+    ("chunks",),
+)
+def merge_stats(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    key = F.concat_ws("|", "doc_id", "ord").alias("point_id")
+    return ch.merge_stats(c.select("*", key), ch.merge_small(c).select("*", key))
+
+
+_WHO = "CASE user_id % 5 WHEN 0 THEN 'vLLM' WHEN 1 THEN 'Ollama a' WHEN 2 THEN 'Docling ' || (user_id % 90) WHEN 3 THEN 'other' END"
+
+
+@register(
+    f"WITH p AS (SELECT event_id AS pid, event_type AS host, coalesce({_WHO}, '?') AS label, CASE user_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS k FROM events) SELECT pid, host, label, row_number() OVER (PARTITION BY host ORDER BY k, CASE WHEN k >= 2 THEN label ELSE '' END, pid) AS place FROM p"
+)
+def process_view(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    names = e.select(F.col("event_id").alias("pid"), F.expr(_WHO).alias("label")).where("label is not null")
+    return vw.display_order(vw.labelled(e.select(F.col("event_id").alias("pid"), F.col("event_type").alias("host")), names)).select("pid", "host", "label", "place")
+
+
+@register("SELECT event_id AS path, value AS mtime FROM events ORDER BY value DESC, event_id LIMIT 8")
+def recent_files(spark, sf_dir):
+    return vw.recent_files(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("value").alias("mtime")))
+
+
+@register(
+    """WITH j AS (SELECT user_id AS job_id, event_id AS ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM events)
+    SELECT job_id, arg_max(status, ts) AS status, arg_max('r' || ts, ts) AS result, min(ts) AS created FROM j GROUP BY job_id"""
+)
+def job_status(spark, sf_dir):
+    status = F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("ts"), status.alias("status"), F.concat(F.lit("r"), "event_id").alias("result"), F.lit(None).cast("string").alias("error"))
+    return bt.jobs(e).select("job_id", "status", "result", "created")
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, coalesce(error, 'Unknown error') AS error FROM state WHERE state = 'failed'", ("state",))
+def document_errors(spark, sf_dir):
+    return bt.errors_of(_state(spark, sf_dir))
+
+
+@register("SELECT doc_id, error IS NULL AS success FROM state", ("state",))
+def success_flags(spark, sf_dir):
+    return bt.succeeded(_state(spark, sf_dir)).select("doc_id", "success")
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, duration FROM state WHERE batch = 3 AND doc_id = 5 AND end_ts + 604800 > 606000", ("state",))
+def document_result(spark, sf_dir):
+    return bt.result_of(_state(spark, sf_dir), "batch_3", 5, 606000.0).select("batch_id", "doc_id", "duration")
+
+
+@register(
+    """SELECT 'batch_' || batch AS batch_id, doc_id, CASE WHEN state = 'pending' AND doc_id % 2 = 0 THEN 'processing' WHEN state = 'processing' AND doc_id % 3 = 0 THEN 'complete' WHEN state = 'processing' AND doc_id % 3 = 1 THEN 'failed' ELSE state END AS state,
+    CASE WHEN state = 'pending' AND doc_id % 2 = 0 THEN 9000.0 ELSE start_ts END AS start_ts, CASE WHEN state = 'processing' AND doc_id % 3 < 2 THEN 9500.0 ELSE end_ts END AS end_ts,
+    CASE WHEN state = 'processing' AND doc_id % 3 = 0 THEN round(9500.0 - start_ts, 2) ELSE duration END AS duration, CASE WHEN state = 'processing' AND doc_id % 3 = 1 THEN 'broken' ELSE error END AS error FROM state""",
+    ("state",),
+)
+def state_moves(spark, sf_dir):
+    s = _state(spark, sf_dir)
+    pick = lambda state, k, rest: s.where((F.col("state") == state) & (F.col("doc_id") % k == rest))
+    out = bt.mark_processing(s, pick("pending", 2, 0), 9000.0)
+    out = bt.mark_failed(bt.mark_complete(out, pick("processing", 3, 0), 9500.0), pick("processing", 3, 1), 9500.0, "broken")
+    return out.select("batch_id", "doc_id", "state", "start_ts", "end_ts", "duration", "error")
+
+
+def _paths(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("/in/"), "event_id", F.lit(".pdf")).alias("path"))
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, '/in/' || doc_id || '.pdf' AS path FROM state WHERE doc_id % 2 = 0 AND (state = 'pending' OR state = 'processing' AND 5000.0 - start_ts > 600)", ("state",))
+def resume_batch(spark, sf_dir):
+    return bt.resume(_state(spark, sf_dir), _paths(spark, sf_dir), 5000.0).select("batch_id", F.col("doc_id").cast("long").alias("doc_id"), "path")
+
+
+@register("SELECT 'batch_' || batch AS batch_id, doc_id FROM state WHERE state = 'pending' AND doc_id % 2 = 1", ("state",))
+def pending_without_path(spark, sf_dir):
+    return bt.without_path(_state(spark, sf_dir), _paths(spark, sf_dir)).select("batch_id", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@register("SELECT 'b' AS batch_id, CAST(event_id AS VARCHAR) AS doc_id, 'pending' AS state FROM events WHERE event_id % 2 = 0")
+def submit_batch(spark, sf_dir):
+    return bt.submit("b", _paths(spark, sf_dir)).select("batch_id", "doc_id", "state")
+
+
+@register("SELECT DISTINCT 'batch_' || batch AS batch_id, CASE WHEN batch = 2 THEN 'paused' ELSE 'running' END AS status FROM state", ("state",))
+def pause_batch(spark, sf_dir):
+    return bt.pause(_batches(spark, sf_dir), "batch_2").select("batch_id", "status")
+
+
+@register("SELECT doc_id, n_chars / 1000.0 AS size_mb FROM documents WHERE n_chars / 1000.0 BETWEEN 0.5 AND 4 AND doc_id % 3 > 0")
+def unseen_downloads(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("size_mb"))
+    return rd.unseen(d.unionAll(d), d.where("doc_id % 3 = 0"), 0.5, 4.0)
+
+
+@register(
+    """WITH w AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id ELSE 'q' || doc_id || '_' END AS document_id FROM documents),
+    f AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id ELSE 'x_q' || doc_id || '_end' END AS stem FROM documents WHERE doc_id % 3 > 0)
+    SELECT document_id, coalesce(min('/p/' || stem || '.pdf') FILTER (WHERE stem = document_id), min('/p/' || stem || '.pdf')) AS path FROM w LEFT JOIN f ON contains(stem, document_id) GROUP BY document_id"""
+)
+def pdf_lookup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    even = F.col("doc_id") % 2 == 0
+    wanted = d.select(F.when(even, F.concat(F.lit("d"), "doc_id")).otherwise(F.concat(F.lit("q"), "doc_id", F.lit("_"))).alias("document_id"))
+    files = d.where("doc_id % 3 > 0").select(F.when(even, F.concat(F.lit("/p/d"), "doc_id", F.lit(".pdf"))).otherwise(F.concat(F.lit("/p/x_q"), "doc_id", F.lit("_end.pdf"))).alias("path"))
+    return rd.find_pdf(wanted, files)
+
+
+@register(f"WITH {_Q_ALL},{_BM25.split('qt AS')[0].rstrip().rstrip(',')} SELECT point_id, count(*) AS n_terms, round(sum(round({_W}, 6)), 3) AS weight FROM post, stats GROUP BY point_id", ("points",))
+def sparse_vectors(spark, sf_dir):
+    v = rt.sparse_vectors(table(spark, sf_dir, "points"))
+    return v.select("point_id", F.size("sparse").alias("n_terms"), F.round(F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, x: a + x), 3).alias("weight"))
+
+
+@register(
+    f"""{_CHAIN}, q2 AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[^ \n\t]+')) AS w FROM q),
+    s2 AS (SELECT cand.query_id, point_id, rank, len(list_intersect(w, regexp_extract_all(lower(text), '[^ \n\t]+'))) / greatest(1, len(w)) AS x FROM cand JOIN q2 USING (query_id))
+    SELECT * FROM (SELECT query_id, point_id, round(x, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, rank) AS final_rank FROM s2) WHERE final_rank <= 5""",
+    ("points",),
+)
+def rerank_model(spark, sf_dir):
+    q, cand, _ = _ranked(spark, sf_dir)
+    return rt.rerank(cand, q, 5, md.rerank_scorer(md.Offline())).select("query_id", "point_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
+
+
+@register(f"{_CHAIN} SELECT query_id, point_id, rank, document_id, page_no, chunk_type, lang, CAST(NULL AS VARCHAR) AS figure_type, FALSE AS is_complex_table, 0 AS ord FROM cand JOIN (SELECT point_id, lang FROM points) USING (point_id)", ("points",))
+def hit_payload(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return _ranked(spark, sf_dir)[1].join(p.select("point_id", "lang"), "point_id").select("query_id", "point_id", "rank", "document_id", "page_no", "chunk_type", "lang", "figure_type", "is_complex_table", "ord")
+
+
+@register("SELECT point_id, page_no, text FROM points WHERE doc_id = 'src3' AND chunk_type = 'table'", ("points",))
+def document_tables(spark, sf_dir):
+    return rt.document(_points(spark, sf_dir).withColumn("ord", F.col("point_id")), "src3", "table").select("point_id", "page_no", "text")
+
+
+_UP = "CAST(floor(abs(value) * 1000) AS BIGINT)"
+
+
+@register(
+    f"""SELECT event_id, CASE WHEN {_UP} < 60 THEN {_UP} || 's' WHEN {_UP} < 3600 THEN printf('%dm%02ds', {_UP} // 60, {_UP} % 60) WHEN {_UP} < 86400 THEN printf('%dh%02dm', {_UP} // 3600, {_UP} % 3600 // 60) ELSE printf('%dd%02dh', {_UP} // 86400, {_UP} % 86400 // 3600) END AS up,
+    CASE WHEN event_id % 3 = 0 THEN 'p4_f' || event_id ELSE 'f' || event_id END AS formula, CASE WHEN event_id % 2 = 0 THEN 'word' || event_id END AS delta, CASE WHEN event_id % 2 = 0 THEN 7 END AS value, CASE WHEN event_id % 2 = 1 THEN 'invalid JSON' END AS error,
+    CASE WHEN event_id % 4 = 0 THEN 'u' || event_id WHEN event_id % 4 = 1 THEN 'o' END AS link FROM events"""
+)
+def format_functions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    line = F.when(k % 2 == 0, F.concat(F.lit('data: {"choices":[{"delta":{"content":"word'), k, F.lit('"}}]}'))).otherwise("data: [DONE]")
+    said = F.when(k % 2 == 0, "Here: ```json\n{\"a\": 7}\n```").otherwise("{a: broken")
+    parsed = tx.model_json(said, "a INT")
+    pdf = F.when(k % 4 == 0, F.concat(F.lit("u"), k)).otherwise("")
+    original = F.when(k % 4 == 1, "o").otherwise("")
+    kind = F.when(k % 4 == 3, "text/html").otherwise("application/pdf")
+    downloads = F.array(F.struct(F.lit("image/png").alias("mimetype"), F.struct(F.lit("i").alias("pdf"), F.lit("i").alias("original")).alias("links")), F.struct(kind.alias("mimetype"), F.struct(pdf.alias("pdf"), original.alias("original")).alias("links")))
+    return e.select(
+        "event_id", tx.uptime(F.abs("value") * 1000).alias("up"), tx.formula_id(F.when(k % 3 > 0, F.concat(F.lit("f"), k)), F.lit(4), k).alias("formula"), tx.stream_delta(line).alias("delta"),
+        parsed["value"]["a"].alias("value"), parsed["error"].alias("error"), tx.first_pdf_link(downloads).alias("link"),
+    )
+
+
+@register()
+def quick_chunks(spark, sf_dir):
+    return pl.quick(_items(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

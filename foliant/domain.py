@@ -31,12 +31,12 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(pos AS INT) AS ord, CASE WHEN pos % 10 = 2 THEN 'table' ELSE 'text' END AS chunk_type, text, CAST(floor(pos / 20) + 1 AS INT) AS page_no,
                CAST(floor(pos / 7) AS INT) AS section FROM lines""",
     "points": """
-        SELECT d.doc_id AS point_id, d.source AS doc_id, left(d.text, 1500) AS text, CAST(1 + d.doc_id % 9 AS INT) AS page_no, CASE WHEN d.doc_id % 10 = 0 THEN 'table' ELSE 'text' END AS chunk_type, d.lang AS lang
+        SELECT d.doc_id AS point_id, d.source AS doc_id, d.text AS text, CAST(1 + d.doc_id % 9 AS INT) AS page_no, CASE WHEN d.doc_id % 10 = 0 THEN 'table' ELSE 'text' END AS chunk_type, d.lang AS lang
         FROM documents d""",
     "vlm": """
         SELECT doc_id, seq, page_no, t + (pos % 4) - 1 AS t, TRUE AS success,
-               CASE doc_id % 3 WHEN 0 THEN 'Title' || chr(10) || '| Name | Value |' || chr(10) || '|---|---|' || chr(10) || '| a | ' || left(text, 40) || ' |'
-                               WHEN 1 THEN '| Name | Value | Unit |' || chr(10) || '| :-- | --: | - |' || chr(10) || '| a | b | ' || left(replace(text, '|', ' '), 50) || ' |' || chr(10) || '| x | y | z |'
+               CASE doc_id % 3 WHEN 0 THEN 'Title' || chr(10) || '| Name | Value |' || chr(10) || '|---|---|' || chr(10) || '| a | ' || text || ' |'
+                               WHEN 1 THEN '| Name | Value | Unit |' || chr(10) || '| :-- | --: | - |' || chr(10) || '| a | b | ' || replace(text, '|', ' ') || ' |' || chr(10) || '| x | y | z |'
                                ELSE '| a | b | c | d |' || chr(10) || '| 1 | 2 | 3 | 4 |' END AS markdown
         FROM boxes WHERE item_type = 'table'""",
     "state": """
@@ -45,12 +45,12 @@ SQL: dict[str, str] = {
                CAST(event_id % 7 AS INT) AS pages, CASE WHEN event_type = 'error' AND event_id % 3 > 0 THEN 'worker ' || CAST(event_id AS VARCHAR(20)) || ' stopped: CUDA out of memory while it was running the layout model' END AS error
         FROM events""",
     "slices": """
-        SELECT doc_id, CAST(page_no AS INT) AS page_no, substr(text, CAST(500 * (page_no - 1) + 1 AS INT), 500) AS text FROM numbered""",
+        SELECT doc_id, CAST(pos + 1 AS INT) AS page_no, text FROM numbered""",
 }
 
 DUCK_BASE = {
     "lines": "SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)",
-    "numbered": "SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 500.0) AS BIGINT))) AS page_no FROM documents",
+    "numbered": "SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS text FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,500}') AS a FROM documents)",
 }
 DEPENDS = {"boxes": ["lines"], "items": ["boxes"], "chunks": ["lines"], "vlm": ["boxes"], "slices": ["numbered"], "points": ["documents"], "state": ["events"]}
 
@@ -66,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     if name == "numbered":
         d = _raw(spark, sf_dir, "documents")
-        return d.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / 500.0).cast("int"))).alias("page_no")).where("length(text) > 0")
+        return d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,500}"), F.lit(0))).alias("pos", "text"))
     if name not in SQL:
         return _raw(spark, sf_dir, name)
     needs = DEPENDS[name]

@@ -101,6 +101,16 @@ def megabytes(c: Column) -> Column:
     return F.when(c >= 1024, F.format_string("%.1f GB", c / 1024)).otherwise(F.format_string("%d MB", c.cast("long")))
 
 
+def uptime(seconds: Column) -> Column:
+    """The two largest units of a running time, the second of two digits."""
+    s = F.floor(seconds).cast("long")
+    m, h, d = F.floor(s / 60), F.floor(s / 3600), F.floor(s / 86400)
+    return (
+        F.when(s < 60, F.format_string("%ds", s)).when(m < 60, F.format_string("%dm%02ds", m, s % 60))
+        .when(h < 24, F.format_string("%dh%02dm", h, m % 60)).otherwise(F.format_string("%dd%02dh", d, h % 24))
+    )
+
+
 def stem(path: Column) -> Column:
     """File name without folder and last suffix."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")

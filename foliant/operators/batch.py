@@ -134,12 +134,43 @@ def service_stats(requests: DataFrame) -> DataFrame:
 
 
 def batch_average(results: DataFrame) -> DataFrame:
-    """Successful rows each with the whole milliseconds that one took on average."""
-    ok = F.count_if("success").over(Window.partitionBy("batch_id"))
-    total = F.sum("ms").over(Window.partitionBy("batch_id"))
-    return results.withColumn("avg_ms", F.when(F.col("success"), F.floor(total / ok)))
+    """Successful rows each with the whole milliseconds that one took on average; sums are combined before the shuffle and joined back."""
+    per = results.groupBy("batch_id").agg(F.floor(F.sum("ms") / F.count_if("success")).alias("avg_ms"))
+    return results.join(per, "batch_id", "left").withColumn("avg_ms", F.when(F.col("success"), F.col("avg_ms")))
 
 
 def round_robin(tasks: DataFrame, instances: int) -> DataFrame:
-    w = Window.partitionBy("batch_id").orderBy("doc_id")
-    return tasks.withColumn("instance", F.pmod(F.row_number().over(w) - 1, F.lit(instances)) if instances else F.lit(0))
+    """`instance` of each task in order of document, batch by batch.
+
+    Tasks are sorted by ranges, and numbers in a range are added to the counts of the ranges before it, so a hot batch is no single task.
+    """
+    if not instances:
+        return tasks.withColumn("instance", F.lit(0))
+    ranged = tasks.repartitionByRange("batch_id", "doc_id").withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy("batch_id", "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("batch_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("batch_id", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("batch_id", "_range").orderBy("doc_id")) - 1
+    numbered = ranged.withColumn("_at", at).join(offsets, ["batch_id", "_range"])
+    return numbered.withColumn("instance", F.pmod(F.col("_at") + F.col("_before"), F.lit(instances))).drop("_range", "_at", "_before")
+
+
+def result_of(results: DataFrame, batch_id: str, doc_id: object, now: float) -> DataFrame:
+    """A document's result, while it has not expired."""
+    return not_expired(results, now).where((F.col("batch_id") == batch_id) & (F.col("doc_id") == F.lit(doc_id)))
+
+
+def errors_of(doc_state: DataFrame) -> DataFrame:
+    """(batch_id, doc_id, error) of the documents that failed, with the whole error."""
+    return doc_state.where("state = 'failed'").select("batch_id", "doc_id", F.coalesce("error", F.lit("Unknown error")).alias("error"))
+
+
+def succeeded(rows: DataFrame) -> DataFrame:
+    """`success` of each row: it has no error."""
+    return rows.withColumn("success", F.col("error").isNull())
+
+
+def jobs(events: DataFrame) -> DataFrame:
+    """The state of each job from its events (job_id, ts, status, result, error): queued, processing, completed or failed, the last one counts."""
+    rank = F.when(F.col("status") == "queued", 0).when(F.col("status") == "processing", 1).otherwise(2)
+    return events.groupBy("job_id").agg(F.max_by(F.struct("status", "result", "error"), F.struct("ts", rank.alias("rank"))).alias("s"), F.min("ts").alias("created")).select("job_id", "s.*", "created")

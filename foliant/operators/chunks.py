@@ -2,12 +2,15 @@
 
 Chunks have doc_id, ord, chunk_type, text, page_no, headings and meta (map of strings).
 Merges whose start depends only on the neighbouring row are windows; those that depend on the
-running length are ordered folds over the lengths alone, never over the texts.
+running length are ordered folds, in one pass over the lengths of a document alone, never over the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from foliant.functions import text as tx
@@ -32,25 +35,33 @@ def merge_small(chunks: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     )
 
 
-def _fold_groups(chunks: DataFrame, by: list[str], step) -> DataFrame:
-    """`_g` of each row from an ordered fold over (ord, type, size); `step` gives the new (gid, size) struct."""
-    rows = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_type", F.length("text").alias("size")))).alias("xs"))
-    state = "struct<gid:int,size:int,text:boolean,gids:array<int>>"
-    zero = F.struct(F.lit(0).alias("gid"), F.lit(0).alias("size"), F.lit(False).alias("text"), F.array().cast("array<int>").alias("gids")).cast(state)
+def _fold_groups(chunks: DataFrame, by: list[str], opens: Callable[[int, bool, int, bool], bool], gap: int) -> DataFrame:
+    """`_g` of each row from one pass over the sizes of a group in order.
+
+    `opens` tells from the running size and type of the open chunk and those of the next one whether a new one begins; `gap` characters join two.
+    """
 
-    def go(a: Column, x: Column) -> Column:
-        opens, size = step(a, x)
-        gid = a["gid"] + F.when(opens, 1).otherwise(0)
-        return F.struct(gid.alias("gid"), F.when(opens, x["size"]).otherwise(size).alias("size"), (x["chunk_type"] == "text").alias("text"), F.concat(a["gids"], F.array(gid)).alias("gids")).cast(state)
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        gid, size, text, out = 0, 0, False, []
+        for kind, n in zip(rows["chunk_type"], rows["size"], strict=True):
+            is_text, n = kind == "text", 0 if pd.isna(n) else int(n)
+            if not gid or opens(size, text, n, is_text):
+                gid, size = gid + 1, n
+            else:
+                size += n + gap
+            text = is_text
+            out.append(gid)
+        return rows[[*by, "ord"]].assign(_g=out)
 
-    folded = rows.select(*by, F.explode(F.arrays_zip(F.col("xs.ord").alias("ord"), F.aggregate("xs", zero, go)["gids"].alias("_g"))).alias("z"))
-    return chunks.join(folded.select(*by, "z.ord", "z._g"), [*by, "ord"])
+    sizes = chunks.select(*by, "ord", "chunk_type", F.length("text").alias("size"))
+    kind = T.StructType([*sizes.select(*by, "ord").schema.fields, T.StructField("_g", T.LongType())])
+    return chunks.join(sizes.groupBy(*by).applyInPandas(fold, kind), [*by, "ord"])
 
 
 def merge_to_max(chunks: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     """Consecutive text chunks joined while their lengths add up to no more than `max_size`; other types stand alone."""
-    step = lambda a, x: ((a["gid"] == 0) | ~a["text"] | (x["chunk_type"] != "text") | (a["size"] + x["size"] > max_size), a["size"] + x["size"])
-    grouped = _fold_groups(chunks, ["doc_id"], step)
+    grouped = _fold_groups(chunks, ["doc_id"], lambda size, text, n, is_text: not text or not is_text or size + n > max_size, 0)
     return grouped.groupBy("doc_id", "_g").agg(
         F.min("ord").alias("ord"), F.min_by("chunk_type", "ord").alias("chunk_type"), in_order(F.col("text"), F.col("ord"), "\n\n").alias("text"), F.min_by("page_no", "ord").alias("page_no"), F.min_by("headings", "ord").alias("headings"), (F.count("*") > 1).alias("merged")
     ).drop("_g")
@@ -69,11 +80,7 @@ def merge_to_target(chunks: DataFrame, target: int = TARGET, max_size: int = MAX
     """Within heading groups, chunks joined until `target` characters are reached, never beyond `max_size`."""
     groups = heading_groups(chunks)
 
-    def step(a: Column, x: Column) -> tuple[Column, Column]:
-        size = a["size"] + x["size"] + 2
-        return (a["gid"] == 0) | (a["size"] >= target) | (size > max_size), size
-
-    grouped = _fold_groups(groups, ["doc_id", "grp"], step)
+    grouped = _fold_groups(groups, ["doc_id", "grp"], lambda size, text, n, is_text: size >= target or size + n + 2 > max_size, 2)
     return grouped.groupBy("doc_id", "grp", "_g").agg(
         F.min("ord").alias("ord"), in_order(F.col("text"), F.col("ord"), "\n\n").alias("text"), F.min_by("page_no", "ord").alias("page_no"), F.min_by("headings", "ord").alias("headings"),
         F.sort_array(F.collect_list("ord")).alias("original_orders"), (F.count("*") > 1).alias("merged"),
@@ -102,6 +109,27 @@ def place_formulas(boxes: DataFrame, formulas: DataFrame) -> DataFrame:
     return first.where(F.col("placed") | ~tx.falsy(F.col("latex"))).withColumn("text", text)
 
 
+def lone_formulas(formulas: DataFrame) -> DataFrame:
+    """`place` from 1 of formulas that stand alone on a page: after their box, those without one first."""
+    w = Window.partitionBy("doc_id", "page_no").orderBy(F.coalesce("after_box", F.lit(0)), "seq")
+    return formulas.withColumn("place", F.row_number().over(w))
+
+
+def merge_stats(before: DataFrame, after: DataFrame, key: str = "point_id") -> DataFrame:
+    """One row a document of a merge run: text chunks before and after, chunks deleted and created, and those of other types."""
+    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    parts = [
+        count(before.where("chunk_type = 'text'"), "text_before"), count(before.where("chunk_type <> 'text'"), "non_text"),
+        count(before.join(after.select(key), key, "left_anti"), "deleted"), count(after.join(before.select(key), key, "left_anti"), "created"),
+    ]
+    out = before.select("doc_id").union(after.select("doc_id")).distinct()
+    names = ["text_before", "non_text", "deleted", "created"]
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    out = out.na.fill(0, names)
+    return out.withColumn("text_after", F.col("text_before") - F.col("deleted") + F.col("created"))
+
+
 def cover_regions(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """Text boxes with the inline region that covers each, if any: the last region wins; its text stands at its first box and the others vanish.
 

@@ -7,7 +7,8 @@ with a residual condition, however many documents there are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from foliant.functions import geometry as g
@@ -60,20 +61,23 @@ def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
 def heading_stacks(items: DataFrame) -> DataFrame:
     """`headings`: at a section header the stack is cut to its level and its text put on top; other items take the last stack.
 
-    Only headers go through the ordered fold, one short stack each; a window carries the stacks to the items after.
+    Only headers are folded in order, in one pass over those of a document; a window carries the stacks to the items after.
     """
     head = (F.lower("label") == "section_header") & ~tx.falsy(F.col("text"))
     order = Window.partitionBy("doc_id").orderBy("page_no", *reading())
     rows = items.withColumn("_n", F.row_number().over(order))
-    kind = "struct<stack:array<string>,out:array<struct<n:int,stack:array<string>>>>"
-    heads = rows.where(head).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.greatest("level", F.lit(0)).alias("level"), "text"))).alias("xs"))
-    zero = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<n:int,stack:array<string>>>").alias("out")).cast(kind)
 
-    def put(a: Column, x: Column) -> Column:
-        stack = F.concat(F.slice(a["stack"], 1, x["level"]), F.array(x["text"]))
-        return F.struct(stack.alias("stack"), F.concat(a["out"], F.array(F.struct(x["n"].alias("n"), stack.alias("stack")))).alias("out")).cast(kind)
-
-    stacks = heads.select("doc_id", F.explode(F.aggregate("xs", zero, put)["out"]).alias("o")).select("doc_id", F.col("o.n").alias("_n"), F.col("o.stack").alias("_stack"))
+    def fold(heads: pd.DataFrame) -> pd.DataFrame:
+        stack: list[str] = []
+        out = []
+        for n, level, text in heads.sort_values("_n")[["_n", "level", "text"]].itertuples(index=False):
+            stack = [*stack[: max(0 if pd.isna(level) else int(level), 0)], text]
+            out.append(stack)
+        return heads.sort_values("_n")[["doc_id", "_n"]].assign(_stack=out)
+
+    heads = rows.where(head).select("doc_id", "_n", "level", "text")
+    kind = T.StructType([*heads.select("doc_id", "_n").schema.fields, T.StructField("_stack", T.ArrayType(T.StringType()))])
+    stacks = heads.groupBy("doc_id").applyInPandas(fold, kind)
     upto = Window.partitionBy("doc_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_stack", ignorenulls=True).over(upto)
     return rows.join(stacks, ["doc_id", "_n"], "left").withColumn("headings", F.coalesce(found, F.array().cast("array<string>"))).drop("_n", "_stack")
@@ -137,7 +141,7 @@ def formula_pages(items: DataFrame) -> DataFrame:
 
 
 def table_candidates(items: DataFrame, detected: DataFrame) -> DataFrame:
-    """Detected, missed, continuation and large-picture tables with ids in order of discovery, sorted for reading."""
+    """Detected, missed, continuation and large-picture tables with ids in order of discovery, and their place in reading order."""
     cols = ["doc_id", "page_no", "seq", "l", "t", "r", "b"]
     parts = [
         detected.select(*cols, F.lit("detected").alias("source")),
@@ -150,7 +154,19 @@ def table_candidates(items: DataFrame, detected: DataFrame) -> DataFrame:
         every = every.unionByName(p)
     rank = F.when(F.col("source") == "detected", 0).when(F.col("source") == "missed", 1).when(F.col("source") == "continuation", 2).otherwise(3)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, "page_no", "seq"))
-    return every.withColumn("table_id", F.concat(F.lit("table_"), n))
+    return in_reading_order(every.withColumn("n", n)).withColumn("table_id", F.concat(F.lit("table_"), "n")).drop("n")
+
+
+def in_reading_order(tables: DataFrame) -> DataFrame:
+    """`place` from 1 in a document: by page, from the top down."""
+    w = Window.partitionBy("doc_id").orderBy("page_no", F.desc("t"), *[c for c in ("n", "seq") if c in tables.columns])
+    return tables.withColumn("place", F.row_number().over(w))
+
+
+def source_counts(tables: DataFrame) -> DataFrame:
+    """Tables of each document by where they come from."""
+    kinds = ("detected", "missed", "continuation", "picture_table")
+    return tables.groupBy("doc_id").agg(F.count("*").alias("n_tables"), *[F.count_if(F.col("source") == k).alias(f"n_{k}") for k in kinds])
 
 
 def content_blocks(items: DataFrame, cap: int = 100) -> DataFrame:

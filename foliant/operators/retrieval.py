@@ -18,6 +18,8 @@ from foliant.functions import text as tx
 from foliant.functions import vectors as vx
 
 MAX_QUERIES = 10_000
+#: Queries whose products with a batch of points are held at once.
+QUERY_BLOCK = 256
 K1, B, RRF_K0 = 1.2, 0.75, 60
 
 
@@ -39,6 +41,13 @@ def in_scope(scope: Column, doc: Column) -> Column:
     return scope.isNull() | (F.size(scope) == 0) | F.array_contains(scope, doc)
 
 
+def _bounded(queries: DataFrame) -> DataFrame:
+    """`queries`, whose number is checked, so that they may be broadcast."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in one batch; run them in parts")
+    return queries
+
+
 def _batch(queries: DataFrame) -> pd.DataFrame:
     got = queries.limit(MAX_QUERIES + 1).toPandas()
     if len(got) > MAX_QUERIES:
@@ -55,35 +64,42 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def dense_topk(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
     """(query_id, point_id, score, rank) of the k most similar points of each query.
 
-    Points stream once through block products with all query vectors, and each block keeps its
-    k best a query, so what is shuffled is a few rows a task whatever the number of points.
+    Points stream once through block products with blocks of query vectors, which are broadcast, and each block keeps its
+    k best a query, so what is shuffled is a few rows a task whatever the number of points. Queries of one scope share its test.
     """
     q = _batch(queries.select("query_id", "qvec", "document_ids"))
     vectors = np.array([v for v in q["qvec"]], np.float64).reshape(len(q), -1)
     if metric == "cosine":
         vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-300)
-    scopes = [None if s is None or len(s) == 0 else set(s) for s in q["document_ids"]]
-    ids = q["query_id"].to_numpy()
+    scopes = [() if s is None or len(s) == 0 else tuple(sorted(set(s))) for s in q["document_ids"]]
+    kept = points.sparkSession.sparkContext.broadcast((vectors, scopes, q["query_id"].to_numpy()))
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors, scopes, ids = kept.value
+        by_scope: dict[tuple, list[int]] = {}
+        for i, s in enumerate(scopes):
+            by_scope.setdefault(s, []).append(i)
         for b in batches:
             if not len(b) or not len(ids):
                 continue
             m = np.array(b["dense"].tolist(), np.float64)
             if metric == "cosine":
                 m = m / np.maximum(np.sqrt((m**2).sum(1, keepdims=True)), 1e-300)
-            s = np.round(vectors @ m[:, : vectors.shape[1]].T, 6) + 0.0
-            doc, point = b["doc_id"].to_numpy(), b["point_id"].to_numpy()
-            out = []
-            for i, scope in enumerate(scopes):
-                ok = np.ones(len(b), bool) if scope is None else np.array([d in scope for d in doc])
-                if threshold is not None:
-                    ok &= s[i] >= threshold
-                at = np.flatnonzero(ok)
-                if len(at) > k:
-                    at = at[np.lexsort((point[at], -s[i][at]))[:k]]
-                out.append(pd.DataFrame({"query_id": np.repeat(ids[i : i + 1], len(at)), "point_id": point[at], "score": s[i][at]}))
-            yield pd.concat(out)
+            point = b["point_id"].to_numpy()
+            for scope, mine in by_scope.items():
+                rows = np.flatnonzero(b["doc_id"].isin(scope)) if scope else np.arange(len(b))
+                for x in range(0, len(mine) if len(rows) else 0, QUERY_BLOCK):
+                    some = mine[x : x + QUERY_BLOCK]
+                    s = np.round(vectors[some] @ m[rows][:, : vectors.shape[1]].T, 6) + 0.0
+                    if len(rows) > k:  # ties with the k-th value stay until the exact order decides
+                        bound = np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k][:, None]
+                        take = s >= bound
+                    else:
+                        take = np.ones_like(s, bool)
+                    if threshold is not None:
+                        take &= s >= threshold
+                    i, at = np.nonzero(take)
+                    yield pd.DataFrame({"query_id": ids[some][i], "point_id": point[rows][at], "score": s[i, at]})
 
     kinds = {**dict(points.dtypes), **dict(queries.dtypes)}
     slim = points.where(F.size("dense") > 0).select("point_id", "doc_id", "dense")
@@ -102,14 +118,20 @@ def corpus_stats(points: DataFrame) -> DataFrame:
     return n.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def _with_stats(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """`rows` with the one row of corpus_stats() beside each; the constant key makes it a hash join of one broadcast row."""
+    one = corpus_stats(points).withColumn("one", F.lit(1))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").drop("one")
+
+
 def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def sparse_vectors(points: DataFrame) -> DataFrame:
     """(point_id, sparse): saturated term weights by term."""
-    s = corpus_stats(points)
-    w = postings(points).join(F.broadcast(s)).withColumn("w", F.round(_weight(F.col("tf"), F.col("dl"), F.col("avgdl")), 6))
+    p = _with_stats(postings(points), points)
+    w = p.withColumn("w", F.round(_weight(F.col("tf"), F.col("dl"), F.col("avgdl")), 6))
     return w.groupBy("point_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("sparse"))
 
 
@@ -117,17 +139,19 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int, mode: str = "bm25
     """(query_id, point_id, score, rank) by keywords.
 
     `bm25`: Robertson-Zaragoza with idf. `tf_dot`: the product of saturated weights of both sides, without idf.
-    Only terms of the queries are looked up: the terms of the batch are broadcast to the postings, which are summed before the shuffle.
+    Only terms of the queries are looked up: texts' terms are filtered by those of the batch, which are broadcast, before they
+    are counted and shuffled; a text's length comes from the same pass.
     """
-    qt = queries.select("query_id", "document_ids", vx.terms(F.col("query")).alias("ts")).withColumn("qdl", F.size("ts"))
+    qt = _bounded(queries).select("query_id", "document_ids", vx.terms(F.col("query")).alias("ts")).withColumn("qdl", F.size("ts"))
     qt = qt.select("query_id", "document_ids", "qdl", F.explode("ts").alias("term")).groupBy("query_id", "document_ids", "qdl", "term").agg(F.count("*").alias("qtf"))
-    p = postings(points)
-    s = corpus_stats(points)
-    hits = p.join(F.broadcast(qt), "term").where(in_scope(F.col("document_ids"), F.col("doc_id"))).crossJoin(F.broadcast(s))
+    asked = F.broadcast(qt.select("term").distinct())
+    t = points.select("point_id", "doc_id", vx.terms(F.col("text")).alias("ts")).select("point_id", "doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    p = t.join(asked, "term", "left_semi").groupBy("point_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = _with_stats(p.join(F.broadcast(qt), "term").where(in_scope(F.col("document_ids"), F.col("doc_id"))), points)
     w = _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     if mode == "bm25":
-        df = p.join(F.broadcast(qt.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
-        hits = hits.join(F.broadcast(df), "term")
+        # a row a term of the batch
+        hits = hits.join(F.broadcast(p.groupBy("term").agg(F.count("*").alias("df"))), "term")
         w = w * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")
     else:
         w = w * _weight(F.col("qtf"), F.col("qdl"), F.col("avgdl"))
@@ -153,6 +177,7 @@ def with_payload(hits: DataFrame, points: DataFrame) -> DataFrame:
     take = lambda c, d: F.coalesce(F.col(c), d).alias(c) if c in has else d.alias(c)
     empty = F.array().cast("array<string>")
     cols = [take("text", F.lit("")), F.col("doc_id").cast("string").alias("document_id"), take("page_no", F.lit(0)), take("chunk_type", F.lit("text")), take("headings", empty)]
+    cols += [take("figure_type", F.lit(None).cast("string")), take("is_complex_table", F.lit(False)), take("ord", F.lit(0))]
     return hits.join(points.select("point_id", *cols), "point_id", "left")
 
 
@@ -164,7 +189,7 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 def rerank(candidates: DataFrame, queries: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """The k best candidates by the scorer's value of (query, text); ties keep their order, and without a score the first k stay."""
-    scored = candidates.join(F.broadcast(queries.select("query_id", "query")), "query_id").withColumn("rerank_score", scorer(F.col("query"), F.col("text"))).drop("query")
+    scored = candidates.join(F.broadcast(_bounded(queries.select("query_id", "query"))), "query_id").withColumn("rerank_score", scorer(F.col("query"), F.col("text"))).drop("query")
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     return scored.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k)
 

@@ -79,16 +79,16 @@ def link_pages(tables: DataFrame) -> DataFrame:
 def nearest_match(boxes: DataFrame, vlm: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, page_no, seq, vseq): each box of `boxes`, from the top, takes the vision result at its rounded top, else the nearest within `tolerance`.
 
-    A result is taken once; of results with one rounded top the last counts, at the place of the first. Pages with
-    one box and one result in reach are matched by the join; only pages with a
+    A result is taken once; of results with one rounded top the last counts, at the place of the first. A box and a result
+    that have only each other in reach are matched by the join; only those with a
     choice go through the greedy assignment, page by page.
     """
     key = F.bround("t", 0)
     v = vlm.withColumn("k", key).groupBy("doc_id", "page_no", "k").agg(F.max("seq").alias("vseq"), F.min("seq").alias("place"))
     b = boxes.select("doc_id", "page_no", "seq", "t", key.alias("bk"))
     near = b.join(v, ["doc_id", "page_no"]).where(F.abs(F.col("bk") - F.col("k")) <= tolerance)
-    page = Window.partitionBy("doc_id", "page_no")
-    near = near.withColumn("nb", F.size(F.collect_set("seq").over(page))).withColumn("nv", F.size(F.collect_set("vseq").over(page)))
+    of = lambda c: F.count("*").over(Window.partitionBy("doc_id", "page_no", c))
+    near = near.withColumn("nv", of("seq")).withColumn("nb", of("vseq"))
     lone = near.where("nb = 1 and nv = 1").select("doc_id", "page_no", "seq", "vseq")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
@@ -107,6 +107,22 @@ def nearest_match(boxes: DataFrame, vlm: DataFrame, tolerance: float = TOLERANCE
     return lone.unionByName(near.where("nb > 1 or nv > 1").groupBy("doc_id", "page_no").applyInPandas(greedy, schema))
 
 
+def in_page_order(results: DataFrame) -> DataFrame:
+    """`place` from 1 of a document's vision results: by page, then as they came."""
+    return results.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "seq")))
+
+
+def match_sources(results: DataFrame, sources: DataFrame) -> DataFrame:
+    """Results with the `source` of the extraction (doc_id, page_no, seq, source) at the same place, both in page order."""
+    at = in_page_order(sources).select("doc_id", "place", "source")
+    return in_page_order(results).join(at, ["doc_id", "place"], "left")
+
+
+def successful(extras: DataFrame) -> DataFrame:
+    """Results that say that they succeeded; null is no success."""
+    return extras.where(F.coalesce(F.col("success"), F.lit(False)))
+
+
 def match_vision(boxes: DataFrame, vlm: DataFrame) -> DataFrame:
     """Table and picture boxes with `chunk_text`; pictures that a result calls irrelevant go.
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+import time
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -45,8 +47,42 @@ class Offline:
         return ['See [1].\n```sources\n[{"ref": 1, "document_id": "", "page_no": null, "chunk_type": "", "excerpt": ""}]\n```' for _ in prompts]
 
 
+class ClientError(Exception):
+    """An instance says that the request itself is wrong; it is not sent again."""
+
+
+class Throttled(Exception):
+    """An instance asks for fewer requests."""
+
+
+def failover(instances: Sequence[Callable], attempts: int = 3, delay: float = 1.0, wait: Callable[[float], None] = time.sleep) -> Callable:
+    """A call that tries each instance once, the next one first each time, and all of them again after a pause that doubles.
+
+    A pause is twice as long after a throttled round. A ClientError ends the call at once; else the last error does.
+    """
+    turn = itertools.count()
+
+    def call(*args: object) -> object:
+        pause, last = delay, None
+        for k in range(attempts):
+            first, throttled = next(turn), False
+            for i in range(len(instances)):
+                try:
+                    return instances[(first + i) % len(instances)](*args)
+                except ClientError:
+                    raise
+                except Exception as e:
+                    last, throttled = e, throttled or isinstance(e, Throttled)
+            if k + 1 < attempts:
+                wait(pause * (2 if throttled else 1))
+                pause *= 2
+        raise last or RuntimeError("no instances")
+
+    return call
+
+
 def embed(text: Column, models: Models, batch: int = 512) -> Column:
-    """Vectors of a text column; a batch that fails yields empty vectors for its rows alone."""
+    """Vectors of a text column; a batch that fails yields empty vectors for its rows alone (failover() makes methods that try again)."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

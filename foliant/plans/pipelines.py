@@ -35,6 +35,15 @@ def ingest(items: DataFrame, vlm: DataFrame, formulas: DataFrame, regions: DataF
     return out.select(F.lit(collection).alias("collection"), point_id(collection).alias("point_id"), "doc_id", "ord", "chunk_type", "text", "page_no", "headings", "dense")
 
 
+def quick(items: DataFrame) -> DataFrame:
+    """Chunks from layout alone: no vision results, formulas or regions, no vectors and no batch state; any error may be tried again by the caller."""
+    page = items.select("doc_id", "page_no", "seq").limit(0)
+    vlm = items.select("doc_id", "page_no", "seq", "t").limit(0).selectExpr("*", "'table' AS kind", "false AS success", "'' AS markdown", "false AS relevant", "'' AS description", "'' AS figure_type", "'' AS caption")
+    formulas = page.selectExpr("*", "'' AS formula_id", "'' AS latex", "'' AS equation_number", "0 AS after_box", "'' AS description")
+    regions = page.selectExpr("*", "0 AS start_box", "0 AS last_box", "'' AS formatted_text")
+    return ch.merge_small(ch.build_chunks(items, vlm, formulas, regions))
+
+
 def remerge(points: DataFrame, collection: str, models: md.Models | None = None) -> tuple[DataFrame, DataFrame]:
     """Merged points and the changed ids; write the first before deleting by the second."""
     merged = ch.merge_to_target(points).withColumn("chunk_type", F.lit("text")).withColumn("dense", md.embed(F.col("text"), models or md.Offline()))

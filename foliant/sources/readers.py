@@ -63,12 +63,12 @@ def results(spark: SparkSession, path: str, schema: str, sources: DataFrame | No
     return got if sources is None else got.join(sources.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
 
 
-def settings(lines: DataFrame) -> DataFrame:
-    """(key, value) of KEY=value lines; the first of a key counts."""
-    t = F.trim("value")
-    kept = lines.withColumn("n", F.monotonically_increasing_id()).where((t != "") & ~t.startswith("#") & t.contains("="))
-    parts = F.split(t, "=", 2)
-    return kept.select("n", F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).groupBy("key").agg(F.min_by("value", "n").alias("value"))
+def settings(files: DataFrame) -> DataFrame:
+    """(key, value) of KEY=value lines of whole files (value), as spark.read.text(..., wholetext=True) gives them; the first line of a key counts."""
+    lines = files.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    kept = lines.where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").contains("="))
+    parts = F.split("line", "=", 2)
+    return kept.select("n", F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).groupBy("key").agg(F.min_by("value", F.struct("n", "value")).alias("value"))
 
 
 def gpus(lines: DataFrame) -> DataFrame:
@@ -99,6 +99,73 @@ def log_lines(spark: SparkSession, folder: str, stream: bool = False) -> DataFra
     return reader.text(folder).where(~F.col("value").rlike(LOG_NOISE))
 
 
+def tail(files: DataFrame, offsets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New lines (path, line_no, value) of log files (path, content) after the remembered offsets (path, offset), and the offsets to remember.
+
+    A file shorter than its offset was rotated and is read from its start; a last line without its end waits for the next call.
+    """
+    both = files.join(offsets, "path", "left").withColumn("from", F.coalesce(F.when(F.col("offset") <= F.length("content"), F.col("offset")), F.lit(0)).cast("int"))
+    rest = both.withColumn("text", F.decode(F.expr("substring(content, from + 1)"), "UTF-8")).withColumn("text", F.regexp_extract("text", r"(?s)^.*\n", 0))
+    lines = rest.where("text <> ''").select("path", F.posexplode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line_no", "value")).where(~F.col("value").rlike(LOG_NOISE))
+    return lines, rest.select("path", (F.col("from") + F.octet_length("text")).alias("offset"))
+
+
+def search_pages(spark: SparkSession, fetch: Callable[[int], list[tuple]], schema: str, most: int) -> DataFrame:
+    """Hits of a remote search, page by page from 0 until there are `most` different ids (first column), an empty page or an error."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Pages(DataSourceReader):
+        def read(self, partition: object) -> Iterator[tuple]:
+            seen: set = set()
+            page = 0
+            while len(seen) < most:
+                try:
+                    hits = fetch(page)
+                except Exception:
+                    return
+                if not hits:
+                    return
+                for hit in hits:
+                    if hit[0] not in seen and len(seen) < most:
+                        seen.add(hit[0])
+                        yield hit
+                page += 1
+
+    class Search(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "foliant_search"
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema: object) -> DataSourceReader:
+            return Pages()
+
+    spark.dataSource.register(Search)
+    return spark.read.format("foliant_search").load()
+
+
+def layout(files: DataFrame, parser: Callable[[bytes, bool], list[tuple]], item: str, wanted: DataFrame | None = None, images: bool = True) -> DataFrame:
+    """(doc_id, items, error) by a layout model of (bytes, with images); a file that fails, or a document of `wanted` without a file, has an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, content in zip(b["doc_id"], b["content"], strict=True):
+                try:
+                    rows.append((doc, parser(content, images), None))
+                except Exception as e:
+                    rows.append((doc, None, str(e)))
+            yield pd.DataFrame(rows, columns=["doc_id", "items", "error"])
+
+    got = files.select("doc_id", "content").mapInPandas(run, f"doc_id string, items array<struct<{item}>>, error string")
+    if wanted is None:
+        return got
+    whole = wanted.select("doc_id").join(got.withColumn("there", F.lit(True)), "doc_id", "left")
+    return whole.select("doc_id", "items", F.when(F.col("there").isNull(), "File not found").otherwise(F.col("error")).alias("error"))
+
+
 def points(spark: SparkSession, path: str) -> DataFrame:
     """All points of a stored collection; nothing is cut off at a page of results."""
     return spark.read.parquet(path)
@@ -121,8 +188,16 @@ def unseen(found: DataFrame, there: DataFrame, min_mb: float = 0.0, max_mb: floa
 
 
 def find_pdf(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """(document_id, path): the file of that stem, else the least path that contains the id."""
+    """(document_id, path): the file of that stem, else the least path whose stem contains the id.
+
+    For the second, stems are taken apart into the substrings of the lengths that the ids left over have, and joined by equality.
+    """
     f = files.select("path", tx.stem(F.col("path")).alias("stem"))
-    exact = wanted.join(f, F.col("document_id") == F.col("stem"), "left").groupBy("document_id").agg(F.min("path").alias("path"))
-    loose = exact.where("path is null").select("document_id").join(f, F.col("stem").contains(F.col("document_id")), "left").groupBy("document_id").agg(F.min("path").alias("loose"))
+    exact = wanted.select("document_id").distinct().join(f, F.col("document_id") == F.col("stem"), "left").groupBy("document_id").agg(F.min("path").alias("path"))
+    rest = exact.where("path is null").select("document_id")
+    sizes = rest.agg(F.collect_set(F.length("document_id")).alias("sizes")).withColumn("one", F.lit(1))
+    part = lambda k: F.transform(F.sequence(F.lit(1), F.length("stem") - k + 1), lambda i: F.substring("stem", i, k))
+    fits = F.filter("sizes", lambda k: (k > 0) & (k <= F.length("stem")))
+    parts = f.withColumn("one", F.lit(1)).join(F.broadcast(sizes), "one").select("path", F.explode(F.array_distinct(F.flatten(F.transform(fits, part)))).alias("document_id"))
+    loose = rest.join(parts, "document_id").groupBy("document_id").agg(F.min("path").alias("loose"))
     return exact.join(loose, "document_id", "left").select("document_id", F.coalesce("path", "loose").alias("path"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Buckets of a stored collection; all rows of a document are in one.
+BUCKETS = 64
 
 
 def create_collection(spark: SparkSession, name: str, schema: str) -> None:
@@ -17,16 +20,52 @@ def drop_collection(spark: SparkSession, name: str) -> bool:
     return there
 
 
-def upsert(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Rows of `old` with all documents of `new` replaced by their rows in `new`; rows without a vector are not stored."""
+def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def _touched(documents: DataFrame, buckets: int) -> list[int]:
+    """The buckets of some documents, at most `buckets` numbers."""
+    return [r[0] for r in documents.select(bucket_of(F.col("doc_id"), buckets)).distinct().collect()]
+
+
+def upsert(new: DataFrame, old: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of all buckets that `new` has documents in: those of `old` with the documents of `new` replaced by their rows in `new`.
+
+    Rows without a vector are not stored. Write them with write_points(..., touched=new); other buckets are neither read (where `old` was
+    stored by it) nor written.
+    """
     new = new.where(F.size("dense") > 0)
-    return old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    number = F.col("bucket") if "bucket" in old.columns else bucket_of(F.col("doc_id"), buckets)
+    near = old.where(number.isin(_touched(new, buckets)))
+    return near.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def write_points(points: DataFrame, path: str, buckets: int = BUCKETS, touched: DataFrame | None = None) -> None:
+    """Replaces the buckets of the documents `touched` (doc_id; all buckets if it is None) by the rows that `points` has for them.
+
+    A bucket that gets no rows is removed, so deleted documents are gone. Hot buckets are split over files.
+    """
+    spark = points.sparkSession
+    out = points.withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
+    numbers = list(range(buckets)) if touched is None else _touched(touched, buckets)
+    out = out.where(F.col("bucket").isin(numbers))
+    there = {r[0] for r in out.select("bucket").distinct().collect()}
+    out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for k in set(numbers) - there:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={k}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def collection_stats(points: DataFrame) -> DataFrame:
+    """One row: stored points and their documents."""
+    return points.agg(F.count("*").alias("points"), F.count_distinct("doc_id").alias("documents"))
 
 
-def write_points(points: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replaces the partitions that `points` has; documents of one bucket are written together."""
-    out = points.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def to_storage(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are stored: chunk_type is named type, ord order and meta metadata."""
+    names = {"chunk_type": "type", "ord": "order", "meta": "metadata"}
+    return chunks.withColumnsRenamed({k: v for k, v in names.items() if k in chunks.columns})
 
 
 def delete_document(points: DataFrame, doc_id: object) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +87,9 @@ def result_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(nested, "doc_id", "left")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """One folder a document with its JSON."""
-    results.write.mode("overwrite").partitionBy("doc_id").json(path)
+def write_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """One JSON line a document, in folders by bucket of the document."""
+    results.withColumn("bucket", bucket_of(F.col("doc_id"), buckets)).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -66,8 +105,8 @@ def write_run(summary: DataFrame, documents: DataFrame, path: str) -> None:
 
 
 def write_text_by_tool(texts: DataFrame, path: str) -> None:
-    """Texts (tool, doc_id, text) in a folder a tool and document."""
-    texts.select("tool", "doc_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("tool", "doc_id").text(path)
+    """Texts (tool, doc_id, text) as JSON lines in a folder a tool."""
+    texts.select("tool", "doc_id", "text").write.mode("overwrite").partitionBy("tool").json(path)
 
 
 def images(tables: DataFrame, limit: int) -> DataFrame:

@@ -30,7 +30,7 @@ def test_pdf_scan_and_extract(spark, tmp_path):
 
 
 def test_small_sources(spark):
-    lines = spark.createDataFrame([("# c",), ("A=1=2",), ("",), ("A=3",), ("B = x",)], "value string").coalesce(1)
+    lines = spark.createDataFrame([("# c\nA=1=2\n\nA=3\r\nB = x",)], "value string")
     assert {r.key: r.value for r in rd.settings(lines).collect()} == {"A": "1=2", "B": "x"}
     cards = rd.gpus(spark.createDataFrame([("0, Big, 81920",), ("1, Small, 24576",), ("bad",)], "value string"))
     plan = rd.gpu_plan(cards, 2.0, 6.0).first()
@@ -46,7 +46,7 @@ def test_upsert_replaces_documents(spark, tmp_path):
     schema = "doc_id string, point_id string, dense array<float>"
     old = spark.createDataFrame([("a", "a1", [1.0]), ("b", "b1", [1.0])], schema)
     new = spark.createDataFrame([("a", "a2", [2.0]), ("c", "c1", [])], schema)
-    assert sorted(r.point_id for r in wr.upsert(new, old).collect()) == ["a2", "b1"]
+    assert sorted(r.point_id for r in wr.upsert(new, old, 1).collect()) == ["a2", "b1"]
     left, n = wr.delete_document(old, "a")
     assert (left.count(), n.first().deleted) == (1, 1)
     assert wr.delete_points(old, spark.createDataFrame([("b1",)], "point_id string")).count() == 1
@@ -54,6 +54,77 @@ def test_upsert_replaces_documents(spark, tmp_path):
     assert rd.points(spark, str(tmp_path / "points")).count() == 2
 
 
+def test_deleted_documents_are_gone_after_a_write(spark, tmp_path):
+    path, schema = str(tmp_path / "points"), "doc_id string, point_id string, dense array<float>"
+    ids = [f"d{k}" for k in range(6)]
+    wr.write_points(spark.createDataFrame([(d, f"{d}-1", [1.0]) for d in ids], schema), path, 64)
+    there = lambda: sorted(r.point_id for r in rd.points(spark, path).collect())
+    left, _ = wr.delete_document(rd.points(spark, path).drop("bucket"), "d0")
+    wr.write_points(left, path, 64, touched=spark.createDataFrame([("d0",)], "doc_id string"))
+    assert there() == [f"{d}-1" for d in ids[1:]]
+    new = spark.createDataFrame([("d1", "d1-2", [2.0])], schema)
+    merged = wr.upsert(new, rd.points(spark, path), 64)
+    assert set(r.doc_id for r in merged.collect()) <= {"d1", *ids} and merged.where("doc_id = 'd1'").count() == 1
+    wr.write_points(merged.drop("bucket"), path, 64, touched=new)
+    assert there() == ["d1-2", *(f"{d}-1" for d in ids[2:])]
+    wr.write_points(rd.points(spark, path).drop("bucket").where("doc_id = 'd5'"), str(tmp_path / "other"), 64)
+    wr.write_points(spark.createDataFrame([("z", "z1", [1.0])], schema), str(tmp_path / "other"), 64)
+    assert [r.point_id for r in rd.points(spark, str(tmp_path / "other")).collect()] == ["z1"]
+
+
+def test_texts_by_tool_and_csv(spark, tmp_path):
+    wr.write_text_by_tool(spark.createDataFrame([("a", "1", "x\ny"), ("b", "1", "z")], "tool string, doc_id string, text string"), str(tmp_path / "t"))
+    assert {(r.tool, r.text) for r in spark.read.json(str(tmp_path / "t")).collect()} == {("a", "x\ny"), ("b", "z")}
+    wr.write_csv(spark.createDataFrame([(1, "q")], "n int, s string"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().s == "q"
+    assert wr.env_lines({"A": 1, "B": "x"}) == "A=1\nB=x\n"
+
+
+def test_log_tail_follows_offsets_and_rotation(spark):
+    files = lambda **x: spark.createDataFrame([(k, v.encode()) for k, v in x.items()], "path string, content binary")
+    none = spark.createDataFrame([], "path string, offset int")
+    lines, at = rd.tail(files(a="one\nGET /health\nthr", b="é\n"), none)
+    assert sorted((r.path, r.value) for r in lines.collect()) == [("a", "one"), ("b", "é")]
+    at = spark.createDataFrame(at.collect(), "path string, offset int")
+    lines, more = rd.tail(files(a="one\nGET /health\nthree\nfour\n", b="x\n"), at)
+    assert sorted((r.path, r.value) for r in lines.collect()) == [("a", "four"), ("a", "three"), ("b", "x")]
+    assert {r.path: r.offset for r in more.collect()} == {"a": 27, "b": 2}
+
+
+def test_search_pages_stop(spark):
+    pages = [[("a", 1), ("b", 2)], [("b", 3), ("c", 4)], [], [("d", 5)]]
+    assert sorted(r.id for r in rd.search_pages(spark, lambda k: pages[k], "id string, n int", 10).collect()) == ["a", "b", "c"]
+    assert rd.search_pages(spark, lambda k: pages[k], "id string, n int", 2).count() == 2
+    assert rd.search_pages(spark, lambda k: [][k], "id string, n int", 2).count() == 0
+
+
+def test_layout_keeps_errors_and_missing_files(spark):
+    files = spark.createDataFrame([("a", b"1"), ("b", b"x")], "doc_id string, content binary")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    got = {r.doc_id: r for r in rd.layout(files, lambda x, images: [(int(x), images)], "n int, pictures boolean", wanted, images=False).collect()}
+    assert got["a"]["items"][0].n == 1 and not got["a"]["items"][0].pictures and "invalid literal" in got["b"].error and got["c"].error == "File not found"
+
+
+def test_failover_and_backoff():
+    calls, waits = [], []
+
+    def bad(x):
+        calls.append("bad")
+        raise md.Throttled()
+
+    call = md.failover([bad, lambda x: x + 1], wait=waits.append)
+    assert call(1) == 2 and call(1) == 2 and calls == ["bad"] and not waits
+    with pytest.raises(md.Throttled):
+        md.failover([bad], attempts=3, delay=1.0, wait=waits.append)(0)
+    assert waits == [2.0, 4.0]
+
+    def wrong(x):
+        raise md.ClientError("4xx")
+
+    with pytest.raises(md.ClientError):
+        md.failover([wrong, lambda x: x], wait=waits.append)(0)
+
+
 def test_collection_and_reports(spark, tmp_path):
     wr.create_collection(spark, "things", "doc_id STRING")
     wr.create_collection(spark, "things", "doc_id STRING")
@@ -63,7 +134,7 @@ def test_collection_and_reports(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "run/needs_ocr")).orderBy("value").collect()] == ["a", "b"]
     nested = wr.result_rows(spark.createDataFrame([("a", 1, "text", "x"), ("a", 0, "table", "y")], "doc_id string, ord int, chunk_type string, text string"), docs.where("doc_id = 'a'"))
     wr.write_results(nested, str(tmp_path / "json"))
-    row = json.loads(spark.read.text(str(tmp_path / "json/doc_id=a")).first().value)
+    row = json.loads(spark.read.text(str(tmp_path / "json")).first().value)
     assert [c["ord"] for c in row["chunks"]] == [0, 1] and row["stats"]["table"] == 1
     assert wr.encoded(nested).first().stats.startswith("{")
 
