@@ -7,6 +7,7 @@ it is shuffled or is a key of a join that adaptive execution splits.
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 #: Rows of two or three longs that may be broadcast (some 30 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Members of a bucket up to which those that the star left apart are paired with one another, at most 21 pairs a bucket.
+#: Members of a zone of a bucket up to which those that the star left apart are paired with one another, at most 28 pairs a zone.
 FEW = 8
 
 
@@ -146,14 +147,16 @@ def bucket_links(
     """(id, component) of the members (bucket, id, n) that have a link to another of their bucket; None if there are no links.
 
     First the least member of each bucket is paired with the others (where `near` holds of n and na), which `confirm`
-    verifies: so copies are one star. Buckets whose members are then all in one component are done. Of what is left, members
-    of buckets of at most FEW are paired with one another, and larger buckets go to coded_links(), which
-    loses no link of theirs and makes no pairs that their sets rule out.
+    judges: (a, b, linked, lo, hi, na, nb) of each pair, with bounds of its Jaccard distance and the sizes of its sets. So copies are one star. Buckets whose members are then all in one component are done.
+
+    Others fall into zones of distance from their least member, each twice as wide as a link is long and half over the next, and of size, so that
+    (by the triangle inequality) the ends of a link share a zone, while what a bucket holds by chance is far from its families. Members of small zones are paired with one another,
+    and large ones go to coded_links(), which loses no link of theirs and makes no pairs that their sets rule out.
     """
     spark = members.sparkSession
-    size = members.groupBy("bucket").agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    size = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     shared = bounded(size)
-    left = cut(members.join(shared, "bucket"))
+    left = cut(members.join(shared, "bucket", "left_semi"))
     drop(shared, members)
     release(spark)
     centre = left.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c")).select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("na"))
@@ -161,23 +164,34 @@ def bucket_links(
     if pairs.isEmpty():
         drop(left, pairs)
         return None
-    links = cut(confirm(pairs))
+    judged = cut(confirm(pairs))
+    drop(pairs)
+    links = judged.where("linked").select("a", "b")
     label = None if links.isEmpty() else connected_components(links)
-    drop(links)
-    left, old = left.where("size > 2"), left
     now = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    still = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least")).where("lo < hi").select("bucket", "least")
-    now = cut(now.select("bucket", "id", "n", "size", "component").join(still, "bucket"))
-    drop(old)
+    open_ = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("a"), F.count("*").alias("c")).where("x < y and c > 2")
+    sizes = judged.select(F.col("a").alias("id"), F.col("na").alias("size")).union(judged.select("b", "nb")).groupBy("id").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    now = now.join(open_.select("bucket", "a"), "bucket").join(sizes, "id", "left").withColumn("least", F.coalesce("least", "n")).withColumn("most", F.coalesce("most", "n"))
+    seen = now.join(judged.select("a", F.col("b").alias("id"), "lo", "hi"), ["a", "id"], "left")
+    itself, slack = F.col("id") == F.col("a"), 1e-9
+    zones = lambda low, high, step: F.sequence((F.floor((low - slack) / step) - 1).cast("int"), F.floor((high + slack) / step).cast("int"))
+    far = zones(F.when(itself, 0.0).otherwise(F.coalesce("lo", F.lit(0.0))), F.when(itself, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))), (100 - percent) / 100)
+    wide = zones(F.log(F.greatest("least", F.lit(1))), F.log(F.greatest("most", F.lit(1))), math.log(100 / percent))
+    zoned = seen.select("bucket", "id", "n", "component", "a", F.explode(far).alias("far"), wide.alias("wide")).select("bucket", "id", "n", "component", "a", "far", F.explode("wide").alias("wide"))
+    zoned = cut(zoned.select(F.xxhash64("bucket", "far", "wide").alias("bucket"), "id", "n", "component", F.when(F.col("far") <= 1, F.col("a")).alias("centre")))
+    still = zoned.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
+    now = cut(zoned.join(still, "bucket"))
+    drop(left, zoned)
+    release(spark)
     few, many = now.where(F.col("size") <= FEW), now.where(F.col("size") > FEW)
     others = few.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    second = few.where("id > least").join(others, "bucket").where("a > least and a < id and ca <> component").where(near).select("a", F.col("id").alias("b")).distinct()
+    second = few.join(others, "bucket").where("a < id and ca <> component").where(near).select("a", F.col("id").alias("b")).distinct()
     # a pair that failed in one bucket is not tried again in another
-    second = cut(second.join(pairs, ["a", "b"], "left_anti"))
-    drop(pairs)
-    more = None if second.isEmpty() else cut(confirm(second))
+    second = cut(second.join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    drop(judged)
+    more = None if second.isEmpty() else cut(confirm(second).where("linked").select("a", "b"))
     if not many.isEmpty():
-        coded = coded_links(many.select("bucket", "id", "component"), sets, percent)
+        coded = coded_links(many.select("id", "component", "centre"), sets, percent)
         more = coded if more is None else cut(more.unionByName(coded))
     drop(second, now)
     if more is not None and not more.isEmpty():
@@ -187,32 +201,34 @@ def bucket_links(
 
 
 def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b), with 100 * intersection >= percent * union, between members (bucket, id, component) of different components.
+    """Links (a, b), with 100 * intersection >= percent * union, between members (id, component, centre) of one centre and different components.
 
-    Each bucket has a centre C, the member that is in most buckets, so that many buckets have the same one. Each set is coded by
-    its edits: the l shingles of C that it lacks and the k others that it has. With s edits in common, two sets A and B
-    share |C| - lA - lB + s shingles of |C| + kA + kB - s, so they are linked if
+    Each set is coded by its edits of its centre's set C: the l shingles of C that it lacks and the k others that it has. With s
+    edits in common, two sets A and B share |C| - lA - lB + s shingles of |C| + kA + kB - s, so they are linked if
     (100 + percent) * s >= w(A) + w(B) - (100 - percent) * |C|, where w = 100 * l + percent * k.
-    A set with w <= (100 - percent) * |C| is linked with C itself; of any other link one end A has more, so that
+    A set with w <= (100 - percent) * |C| is linked with C itself, as the caller knows; of any other link one end A has more, so that
     its ends must share edits: at least (w(A) - (100 - percent) * |C|) / 100 as B has them all, and more than w(B) / (100 + percent).
     Hence each set is looked up by so many of its rarest edits that it must share one of them, and pairs that meet
     are compared by all edits. Edits that one set alone has, as most words that copies add, make no pairs.
+    Members without a centre, far from any, are coded by the empty set: then edits are all their shingles.
     """
     rest, both = 100 - percent, 100 + percent
-    degree = members.groupBy("id").agg(F.count("*").alias("c"))
-    centre = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("c", "id", "component")).alias("m")).select("bucket", F.col("m.id").alias("g"), F.col("m.component").alias("home"))
-    nodes = cut(members.join(centre, "bucket").select("g", "home", "id", "component").distinct())
+    nodes = cut(members.select(F.coalesce("centre", F.lit(-1 << 63)).alias("g"), "id", "component").distinct())
+    ids = nodes.select("id").union(nodes.select("g").where(F.col("g") != F.lit(-1 << 63)))
     # one id may stand for several sets, which u tells apart
-    own = cut(sets(nodes.select("id").distinct()).withColumn("u", F.xxhash64("set")).dropDuplicates(["id", "u"]))
-    core = cut(nodes.select("g").distinct().join(own.select(F.col("id").alias("g"), F.col("set").alias("core")), "g").dropDuplicates(["g"]))
-    coded = nodes.join(own, "id").join(core, "g").select("id", "u", "g", "home", "component", F.size("core").alias("size"), F.array_except("core", "set").alias("lost"), F.array_except("set", "core").alias("more"))
-    coded = coded.select("id", "u", "g", "home", "component", "size", F.size("lost").alias("l"), F.size("more").alias("k"), F.concat("lost", "more").alias("edits"))
+    own = cut(sets(ids.distinct()).withColumn("u", F.xxhash64("set")).dropDuplicates(["id", "u"]))
+    core = nodes.select("g").distinct().join(own.select(F.col("id").alias("g"), F.col("set").alias("core")), "g").dropDuplicates(["g"])
+    known = nodes.join(own, "id").join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    coded = known.select("id", "u", "g", "component", F.size("core").alias("size"), F.array_except("core", "set").alias("lost"), F.array_except("set", "core").alias("more"))
+    coded = coded.select("id", "u", "g", "component", "size", F.size("lost").alias("l"), F.size("more").alias("k"), F.concat("lost", "more").alias("edits"))
     coded = cut(coded.withColumn("w", 100 * F.col("l").cast("long") + percent * F.col("k")).withColumn("out", F.col("w") > rest * F.col("size")))
-    drop(nodes, own, core)
-    direct = coded.where("not out and component <> home").select(F.col("g").alias("a"), F.col("id").alias("b"))
+    drop(nodes, own)
     need = F.when(F.col("out"), F.ceil((F.col("w") - rest * F.col("size")) / 100)).otherwise(F.floor(F.col("w") / both) + 1)
-    edits = coded.select("id", "u", "g", "out", "l", F.posexplode("edits").alias("p", "t")).select("id", "u", "g", "out", "t", (F.col("p") < F.col("l")).cast("int").alias("lost"))
-    common = edits.groupBy("g", "t").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").select("g", "t", "f")
+    flat = lambda rows: rows.select("id", "u", "g", "out", "l", F.posexplode("edits").alias("p", "t")).select("id", "u", "g", "out", "t", (F.col("p") < F.col("l")).cast("int").alias("lost"))
+    common = flat(coded).groupBy("g", "t").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").select("g", "t", "f")
+    # sets are dealt out whole, and edits only in their task where what is common fits a broadcast
+    common = bounded(common, 3 * BROADCAST_ROWS)
+    edits = flat(coded.repartition("id"))
     # of an order in which rare edits come first, and those that no one shares before all: how many shared ones are left from each on
     rest_of = Window.partitionBy("g", "id", "u").orderBy(F.desc("f"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     met = edits.join(common, ["g", "t"]).select("g", "id", "u", "t", F.count("*").over(rest_of).alias("after"), F.sum("lost").over(rest_of).alias("lost_after"))
@@ -225,6 +241,6 @@ def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     pairs = x.join(y, meet).select(F.col("x.g").alias("g"), F.col("x.id").alias("a"), F.col("x.u").alias("ua"), F.col("y.id").alias("b"), F.col("y.u").alias("ub")).distinct()
     side = lambda k: coded.select("g", F.col("id").alias(k), F.col("u").alias(f"u{k}"), F.col("edits").alias(f"e{k}"), F.col("w").alias(f"w{k}"), F.col("size").alias(f"s{k}"))
     held = pairs.join(side("a"), ["g", "a", "ua"]).join(side("b").withColumnRenamed("sa", "sb"), ["g", "b", "ub"]).where(both * F.size(F.array_intersect("ea", "eb")) >= F.col("wa") + F.col("wb") - rest * F.col("sa"))
-    out = cut(direct.unionByName(held.select("a", "b")).distinct())
-    drop(coded, keys)
+    out = cut(held.select("a", "b").distinct())
+    drop(coded, keys, common)
     return out

@@ -109,7 +109,7 @@ def sign(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS) ->
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) with 100 * intersection >= percent * union of their full sets.
+    """(a, b, linked, lo, hi, na, nb) of `pairs`: whether 100 * intersection >= percent * union of their full sets, their distance and the sizes.
 
     Only texts of pairs move. The centre of many pairs is a hot key of a plain inner join, which adaptive
     execution splits.
@@ -135,9 +135,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
                 na, nb = np.bincount(oa, minlength=m), np.bincount(ob, minlength=m)
                 every = np.concatenate((tb.keyed(ha, oa), tb.keyed(hb, ob)))
                 both = np.bincount(np.concatenate((oa, ob))[tb.repeated(every)], minlength=m) // 2
-                yield b.select(["a", "b"]).filter(pa.array((both > 0) & (100 * both >= percent * (na + nb - both))))
+                either = na + nb - both
+                far = pa.array(1 - both / np.maximum(either, 1))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((both > 0) & (100 * both >= percent * either)), far, far, pa.array(na), pa.array(nb)], ["a", "b", "linked", "lo", "hi", "na", "nb"])
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    judged = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, lo double, hi double, na long, nb long")
+    # an id of several texts is linked if one of them is, and its distance is known within theirs
+    return judged.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("na").alias("na"), F.max("nb").alias("nb"))
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:

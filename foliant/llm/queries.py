@@ -25,10 +25,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text: piece count, digest of the ids, and whether decoding gives the text back."""
-    from foliant.llm.sentencepiece_codec import decode, encode, small_batches
+    from foliant.llm.sentencepiece_codec import encode, small_batches
 
     small_batches(spark)
-    there = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    there = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     text = F.coalesce("text", F.lit(""))
     return there.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.md5("ids").alias("ids_digest"), (F.col("decoded") == text).alias("round_trip"))
 
@@ -113,7 +113,7 @@ st AS (SELECT doc_id, p FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING
 cuts AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS cut FROM st),
 runs AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cuts)
 SELECT doc_id, min(p) AS first_word, max(p) + 50 AS end_word, max(p) + 50 - min(p) AS n_words FROM runs GROUP BY doc_id, run""",
-    "op9_chat_format": f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10))[1] AS line FROM conversations),
+    "op9_chat_format": rf"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10))[1] AS line FROM conversations),
 q AS (SELECT m.*, x.line AS q1, y.line AS q2 FROM m LEFT JOIN m x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1 AND m.turn % 3 >= 1 LEFT JOIN m y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2 AND m.turn % 3 >= 2),
 z AS (SELECT conv_id, turn, role, {_NORM.format("q1")} AS q1, {_NORM.format("q2")} AS q2, CASE WHEN coalesce(q1, '') <> '' OR coalesce(q2, '') <> '' THEN trim(text, chr(10)) ELSE text END AS body FROM q),
 x AS (SELECT conv_id, turn, {_NORM.format("p")} AS p FROM (SELECT conv_id, turn, unnest(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '\n\s*\n'), [body])) AS p FROM z)),

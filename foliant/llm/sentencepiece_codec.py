@@ -245,28 +245,36 @@ def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHAR
     return out.mapInPandas(collapse, "digest string, ids binary")
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into: str = "ids", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """`docs` with the ids of `column`, four bytes each, lowest first (unpack() reads them)."""
+def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into: str = "ids", chunk_chars: int = CHUNK_CHARS, decoded: str | None = None) -> DataFrame:
+    """`docs` with the ids of `column`, four bytes each, lowest first (unpack() reads them), and if `decoded` is named the text of these ids.
+
+    Decoding here takes the same pass, and so one Python worker a task instead of the two that decode() after encode() has.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(ug.Vocabulary.load(model_path))
-    own = others(docs, into.lower())
+    made = [into] if decoded is None else [into, decoded]
+    own = others(docs, *(x.lower() for x in made))
     docs = docs.select(*map(quoted, own))
 
     @tb.tidied
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ug.shared(sent.value))
+        model = ug.shared(sent.value)
+        encoder = Encoder(model)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                got = [encoder.text(x) for x in _strings(part.column(column))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*own, into])
+                ids = [encoder.text(x) for x in _strings(part.column(column))]
+                back = [] if decoded is None else [pa.array([model.decode(unpack(x)) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), *back], [*own, *made])
 
     size = F.coalesce(F.length(column), F.lit(0))
-    (digest,) = fresh([*own, into], "_digest")
-    small = docs.where(size < 2 * chunk_chars).mapInArrow(short, T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())]))
+    (digest,) = fresh([*own, *made], "_digest")
+    fields = [T.StructField(into, T.BinaryType()), T.StructField(decoded or "", T.StringType())][: len(made)]
+    small = docs.where(size < 2 * chunk_chars).mapInArrow(short, T.StructType([*docs.schema.fields, *fields]))
     large = docs.where(size >= 2 * chunk_chars).withColumn(digest, F.sha2(F.col(column).cast("binary"), 256))
     texts = large.select(F.col(digest).alias("digest"), F.col(column).alias("text")).dropDuplicates(["digest"])
     ids = encode_long(texts, sent, chunk_chars).select(F.col("digest").alias(digest), F.col("ids").alias(into))
-    return small.unionByName(large.join(ids, digest, "left").select(*map(quoted, own), quoted(into)))
+    large = large.join(ids, digest, "left").select(*map(quoted, own), quoted(into))
+    return small.unionByName(large if decoded is None else decode(large, model_path, into, decoded))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "ids", into: str = "decoded") -> DataFrame:

@@ -28,7 +28,7 @@ from foliant.llm import textbytes as tb
 from foliant.llm.components import bounded, fresh, others, quoted
 
 #: Bounds of the fit's sample: labelled rows of each class, and characters of all its texts, which are taken whole; scoring takes all texts.
-FIT_ROWS, FIT_CHARS = 2000, 24_000_000
+FIT_ROWS, FIT_CHARS = 2000, 12_000_000
 BUCKETS, DIM, FILTERS, WIDTHS, GRAMS = 1 << 15, 16, 16, (1, 2, 3), (5, 7)
 #: score at which `predicted` is 1
 CUT = 0.7

@@ -198,4 +198,6 @@ def test_codec_round_trip(spark, model):
         assert r.decoded == (r.text or "")
         assert sc.unpack(r.ids) == [i for x in model.islands(model.prepare(r.text or "")) for i in model.solve(x)]
     assert sc.encode(df.limit(0)).count() == 0
+    once = sc.encode(df, chunk_chars=100, decoded="decoded").collect()
+    assert sorted(map(str, once)) == sorted(map(str, got))
     assert sorted(r.n_tokens for r in tc.token_counts(df).collect()) == sorted(len(sc.unpack(r.ids)) for r in got)
