@@ -191,6 +191,7 @@ def bucket_links(
     drop(judged)
     more = None if second.isEmpty() else cut(confirm(second).where("linked").select("a", "b"))
     if not many.isEmpty():
+        release(spark)
         coded = coded_links(many.select("id", "component", "centre"), sets, percent)
         more = coded if more is None else cut(more.unionByName(coded))
     drop(second, now)
@@ -221,26 +222,29 @@ def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     known = nodes.join(own, "id").join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
     coded = known.select("id", "u", "g", "component", F.size("core").alias("size"), F.array_except("core", "set").alias("lost"), F.array_except("set", "core").alias("more"))
     coded = coded.select("id", "u", "g", "component", "size", F.size("lost").alias("l"), F.size("more").alias("k"), F.concat("lost", "more").alias("edits"))
-    coded = cut(coded.withColumn("w", 100 * F.col("l").cast("long") + percent * F.col("k")).withColumn("out", F.col("w") > rest * F.col("size")))
+    coded = coded.withColumn("w", 100 * F.col("l").cast("long") + percent * F.col("k")).withColumn("out", F.col("w") > rest * F.col("size"))
+    coded = cut(coded.withColumn("v", F.xxhash64("g", "id", "u")).drop("u"))
     drop(nodes, own)
+    release(members.sparkSession)
     need = F.when(F.col("out"), F.ceil((F.col("w") - rest * F.col("size")) / 100)).otherwise(F.floor(F.col("w") / both) + 1)
-    flat = lambda rows: rows.select("id", "u", "g", "out", "l", F.posexplode("edits").alias("p", "t")).select("id", "u", "g", "out", "t", (F.col("p") < F.col("l")).cast("int").alias("lost"))
-    common = flat(coded).groupBy("g", "t").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").select("g", "t", "f")
-    # sets are dealt out whole, and edits only in their task where what is common fits a broadcast
-    common = bounded(common, 3 * BROADCAST_ROWS)
-    edits = flat(coded.repartition("id"))
+    # rows of edits are many, so each set and each edit of a group goes by one hash
+    flat = coded.select("v", "g", "out", "l", F.posexplode("edits").alias("p", "t")).select("v", "out", F.xxhash64("g", "t").alias("t"), (F.col("p") < F.col("l")).cast("int").alias("lost"))
+    common = bounded(flat.groupBy("t").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").select("t", "f"))
+    release(members.sparkSession)
     # of an order in which rare edits come first, and those that no one shares before all: how many shared ones are left from each on
-    rest_of = Window.partitionBy("g", "id", "u").orderBy(F.desc("f"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    met = edits.join(common, ["g", "t"]).select("g", "id", "u", "t", F.count("*").over(rest_of).alias("after"), F.sum("lost").over(rest_of).alias("lost_after"))
-    keys = coded.select("id", "u", "g", "component", "size", "w", "out", need.alias("need")).join(met, ["g", "id", "u"]).where("after >= need")
-    keys = cut(keys.select("id", "u", "g", "component", "size", "w", "out", "t", "lost_after", (F.col("after") - F.col("lost_after")).alias("more_after")))
+    rest_of = Window.partitionBy("v").orderBy(F.desc("f"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    met = flat.drop("out").join(common, "t").select("v", "t", F.count("*").over(rest_of).alias("after"), F.sum("lost").over(rest_of).alias("lost_after"))
+    keys = coded.select("v", "id", "g", "component", "size", "w", "out", need.alias("need")).join(met, "v").where("after >= need")
+    keys = cut(keys.select("v", "id", "g", "component", "size", "w", "out", "t", "lost_after", (F.col("after") - F.col("lost_after")).alias("more_after")))
+    drop(common)
+    release(members.sparkSession)
     x, y = keys.where("out").alias("x"), keys.alias("y")
     # two sets meet at the first edit that they share, where what is left must be enough
     enough: Column = both * (F.least("x.lost_after", "y.lost_after") + F.least("x.more_after", "y.more_after")) >= F.col("x.w") + F.col("y.w") - rest * F.col("x.size")
-    meet = (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | F.expr("x.id < y.id")) & enough
-    pairs = x.join(y, meet).select(F.col("x.g").alias("g"), F.col("x.id").alias("a"), F.col("x.u").alias("ua"), F.col("y.id").alias("b"), F.col("y.u").alias("ub")).distinct()
-    side = lambda k: coded.select("g", F.col("id").alias(k), F.col("u").alias(f"u{k}"), F.col("edits").alias(f"e{k}"), F.col("w").alias(f"w{k}"), F.col("size").alias(f"s{k}"))
-    held = pairs.join(side("a"), ["g", "a", "ua"]).join(side("b").withColumnRenamed("sa", "sb"), ["g", "b", "ub"]).where(both * F.size(F.array_intersect("ea", "eb")) >= F.col("wa") + F.col("wb") - rest * F.col("sa"))
+    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | F.expr("x.id < y.id")) & enough
+    pairs = x.join(y, meet).select(F.col("x.v").alias("va"), F.col("y.v").alias("vb")).distinct()
+    side = lambda k: coded.select(F.col("v").alias(f"v{k}"), F.col("id").alias(k), F.col("edits").alias(f"e{k}"), F.col("w").alias(f"w{k}"), F.col("size").alias(f"s{k}"))
+    held = pairs.join(side("a"), "va").join(side("b"), "vb").where(both * F.size(F.array_intersect("ea", "eb")) >= F.col("wa") + F.col("wb") - rest * F.col("sa"))
     out = cut(held.select("a", "b").distinct())
-    drop(coded, keys, common)
+    drop(coded, keys)
     return out
