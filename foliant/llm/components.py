@@ -192,7 +192,7 @@ def bucket_links(
     more = None if second.isEmpty() else cut(confirm(second).where("linked").select("a", "b"))
     if not many.isEmpty():
         release(spark)
-        coded = coded_links(many.select("id", "component", "centre"), sets, percent)
+        coded = coded_links(many.select("bucket", "id", "component", "centre"), sets, percent)
         more = coded if more is None else cut(more.unionByName(coded))
     drop(second, now)
     if more is not None and not more.isEmpty():
@@ -202,7 +202,7 @@ def bucket_links(
 
 
 def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b), with 100 * intersection >= percent * union, between members (id, component, centre) of one centre and different components.
+    """Links (a, b), with 100 * intersection >= percent * union, between members (bucket, id, component, centre) of one bucket and different components.
 
     Each set is coded by its edits of its centre's set C: the l shingles of C that it lacks and the k others that it has. With s
     edits in common, two sets A and B share |C| - lA - lB + s shingles of |C| + kA + kB - s, so they are linked if
@@ -242,7 +242,10 @@ def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     # two sets meet at the first edit that they share, where what is left must be enough
     enough: Column = both * (F.least("x.lost_after", "y.lost_after") + F.least("x.more_after", "y.more_after")) >= F.col("x.w") + F.col("y.w") - rest * F.col("x.size")
     meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | F.expr("x.id < y.id")) & enough
-    pairs = x.join(y, meet).select(F.col("x.v").alias("va"), F.col("y.v").alias("vb")).distinct()
+    pairs = x.join(y, meet).select(F.col("x.v").alias("va"), F.col("x.id").alias("a"), F.col("y.v").alias("vb"), F.col("y.id").alias("b")).distinct()
+    # sets meet within a centre's group, and only those of one bucket are compared
+    at = members.groupBy("id").agg(F.collect_set("bucket").alias("at"))
+    pairs = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("y")), "b").where(F.arrays_overlap("x", "y")).select("va", "vb")
     side = lambda k: coded.select(F.col("v").alias(f"v{k}"), F.col("id").alias(k), F.col("edits").alias(f"e{k}"), F.col("w").alias(f"w{k}"), F.col("size").alias(f"s{k}"))
     held = pairs.join(side("a"), "va").join(side("b"), "vb").where(both * F.size(F.array_intersect("ea", "eb")) >= F.col("wa") + F.col("wb") - rest * F.col("sa"))
     out = cut(held.select("a", "b").distinct())

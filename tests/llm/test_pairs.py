@@ -91,7 +91,7 @@ def test_coded_links_lose_none_and_stay_few(spark):
         star = {i for i in sets if 100 * len(sets[0] & sets[i]) >= 80 * len(sets[0] | sets[i])}
         known = spark.createDataFrame([(0, i) for i in star], "a long, b long").transform(cp.connected_components).cache()
         for centre in (0, None) if n < 1000 else (0,):
-            members = spark.createDataFrame([(i, 0 if i in star else i, centre) for i in sets], "id long, component long, centre long")
+            members = spark.createDataFrame([(5, i, 0 if i in star else i, centre) for i in sets], "bucket long, id long, component long, centre long")
             links = cp.coded_links(members, lambda ids, own=own: own.join(ids, "id", "left_semi"), 80)
             got = {x.id: x.component for x in cp.grown(known, links).collect()}
             assert {i: got.get(i, i) for i in sets} == want
