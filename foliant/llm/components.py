@@ -228,24 +228,24 @@ def coded_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], perc
     release(members.sparkSession)
     need = F.when(F.col("out"), F.ceil((F.col("w") - rest * F.col("size")) / 100)).otherwise(F.floor(F.col("w") / both) + 1)
     # rows of edits are many, so each set and each edit of a group goes by one hash
-    flat = coded.select("v", "g", "out", "l", F.posexplode("edits").alias("p", "t")).select("v", "out", F.xxhash64("g", "t").alias("t"), (F.col("p") < F.col("l")).cast("int").alias("lost"))
+    own = ["v", "component", "size", "w", "out"]
+    flat = coded.select(*own, "g", "l", need.cast("int").alias("need"), F.posexplode("edits").alias("p", "t")).select(*own, "need", F.xxhash64("g", "t").alias("t"), (F.col("p") < F.col("l")).cast("int").alias("lost"))
     common = bounded(flat.groupBy("t").agg(F.count("*").alias("f"), F.max("out").alias("any")).where("f > 1 and any").select("t", "f"))
     release(members.sparkSession)
     # of an order in which rare edits come first, and those that no one shares before all: how many shared ones are left from each on
     rest_of = Window.partitionBy("v").orderBy(F.desc("f"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    met = flat.drop("out").join(common, "t").select("v", "t", F.count("*").over(rest_of).alias("after"), F.sum("lost").over(rest_of).alias("lost_after"))
-    keys = coded.select("v", "id", "g", "component", "size", "w", "out", need.alias("need")).join(met, "v").where("after >= need")
-    keys = cut(keys.select("v", "id", "g", "component", "size", "w", "out", "t", "lost_after", (F.col("after") - F.col("lost_after")).alias("more_after")))
+    met = flat.join(common, "t").select(*own, "need", "t", F.count("*").over(rest_of).alias("after"), F.sum("lost").over(rest_of).alias("lost_after"))
+    keys = cut(met.where("after >= need").select(*own, "t", "lost_after", (F.col("after") - F.col("lost_after")).alias("more_after")))
     drop(common)
     release(members.sparkSession)
     x, y = keys.where("out").alias("x"), keys.alias("y")
     # two sets meet at the first edit that they share, where what is left must be enough
     enough: Column = both * (F.least("x.lost_after", "y.lost_after") + F.least("x.more_after", "y.more_after")) >= F.col("x.w") + F.col("y.w") - rest * F.col("x.size")
-    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | F.expr("x.id < y.id")) & enough
-    pairs = x.join(y, meet).select(F.col("x.v").alias("va"), F.col("x.id").alias("a"), F.col("y.v").alias("vb"), F.col("y.id").alias("b")).distinct()
+    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | F.expr("x.v < y.v")) & enough
+    pairs = x.join(y, meet).select(F.col("x.v").alias("va"), F.col("y.v").alias("vb")).distinct()
     # sets meet within a centre's group, and only those of one bucket are compared
-    at = members.groupBy("id").agg(F.collect_set("bucket").alias("at"))
-    pairs = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("y")), "b").where(F.arrays_overlap("x", "y")).select("va", "vb")
+    at = coded.select("v", "id").join(members.groupBy("id").agg(F.collect_set("bucket").alias("at")), "id")
+    pairs = pairs.join(at.select(F.col("v").alias("va"), F.col("at").alias("x")), "va").join(at.select(F.col("v").alias("vb"), F.col("at").alias("y")), "vb").where(F.arrays_overlap("x", "y")).select("va", "vb")
     side = lambda k: coded.select(F.col("v").alias(f"v{k}"), F.col("id").alias(k), F.col("edits").alias(f"e{k}"), F.col("w").alias(f"w{k}"), F.col("size").alias(f"s{k}"))
     held = pairs.join(side("a"), "va").join(side("b"), "vb").where(both * F.size(F.array_intersect("ea", "eb")) >= F.col("wa") + F.col("wb") - rest * F.col("sa"))
     out = cut(held.select("a", "b").distinct())
