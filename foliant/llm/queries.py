@@ -90,7 +90,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_digest"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_chat_format, op10_line_dedup)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "longest")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_chat_format, op10_line_dedup, op11_substring_dedup)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL)"
@@ -113,6 +120,15 @@ st AS (SELECT doc_id, p FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING
 cuts AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS cut FROM st),
 runs AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cuts)
 SELECT doc_id, min(p) AS first_word, max(p) + 50 AS end_word, max(p) + 50 - min(p) AS n_words FROM runs GROUP BY doc_id, run""",
+    "op11_substring_dedup": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lv AS (SELECT 35 AS k UNION ALL SELECT 2 * k FROM lv WHERE k < (SELECT max(len(w)) FROM d)),
+win AS (SELECT row, k, unnest(range(1, len(w) - k + 2)) AS p, unnest([md5(array_to_string(w[i:i + k - 1], ' ')) FOR i IN range(1, len(w) - k + 2)]) AS h FROM d JOIN lv ON len(w) >= k),
+st AS (SELECT row, k, p FROM win WHERE (k, h) IN (SELECT k, h FROM win GROUP BY k, h HAVING count(*) > 1)),
+far AS (SELECT row, max(k) AS longest FROM st GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(p, p + 35)) AS i FROM st WHERE k = 35),
+g AS (SELECT row, list(i) AS gone FROM gone GROUP BY row),
+z AS (SELECT doc_id, w, coalesce(longest, 0) AS longest, len(coalesce(gone, [])) AS n_removed, [w[i] FOR i IN range(1, len(w) + 1) IF gone IS NULL OR NOT list_contains(gone, i)] AS kept FROM d LEFT JOIN g USING (row) LEFT JOIN far USING (row))
+SELECT doc_id, len(w) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256, longest FROM z""",
     "op9_chat_format": rf"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10))[1] AS line FROM conversations),
 q AS (SELECT m.*, x.line AS q1, y.line AS q2 FROM m LEFT JOIN m x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1 AND m.turn % 3 >= 1 LEFT JOIN m y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2 AND m.turn % 3 >= 2),
 z AS (SELECT conv_id, turn, role, {_NORM.format("q1")} AS q1, {_NORM.format("q2")} AS q2, CASE WHEN coalesce(q1, '') <> '' OR coalesce(q2, '') <> '' THEN trim(text, chr(10)) ELSE text END AS body FROM q),
