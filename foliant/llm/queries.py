@@ -97,7 +97,33 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "longest")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_chat_format, op10_line_dedup, op11_substring_dedup)}
+#: Conversations of a block share a start, and shares are of fewer turns than this.
+FORK_BLOCK, FORK_TURNS = 5, 9
+
+
+def forked(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv_id, place, ...) rebuilt: each conversation begins with the first turns of the first of its block, as many as
+    a hash of its id says, and goes on with its own after so many. Also its conversations, as a table of their own.
+
+    Only the first turns of a conversation, fewer than FORK_TURNS, are gathered; its others stay rows.
+    """
+    first = turns.where(F.col("place") < FORK_TURNS).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "h1", "h2", "n_bytes"))).alias("first"))
+    fork = F.crc32(F.col("conv_id").cast("string").cast("binary")) % FORK_TURNS
+    convs = turns.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % FORK_BLOCK).alias("base"), fork.alias("fork"))
+    shared = convs.join(first.withColumnRenamed("conv_id", "base"), "base", "left").select("conv_id", F.coalesce(F.filter("first", lambda x: x["place"] <= F.col("fork")), F.array()).alias("start"))
+    start = shared.select("conv_id", F.explode("start").alias("x")).select("conv_id", F.col("x.place").alias("depth"), "x.h1", "x.h2", "x.n_bytes")
+    own = turns.where(F.col("place") > fork).join(shared.select("conv_id", F.size("start").alias("n")), "conv_id")
+    return start.unionByName(own.select("conv_id", (F.col("n") + F.col("place") - fork).alias("depth"), "h1", "h2", "n_bytes")), convs.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt by forked() so that they share starts."""
+    from foliant.llm.prefix_trie import number_turns, prefix_trie
+
+    return prefix_trie(*forked(number_turns(table(spark, sf_dir, "conversations")))).drop("position", "end_position")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_sentencepiece, op4_toxicity, op5_token_counts, op7_quality_rules, op6_decontaminate, op8_suffix_dedup, op9_chat_format, op10_line_dedup, op11_substring_dedup, op12_prefix_trie)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL)"
@@ -121,14 +147,26 @@ cuts AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) +
 runs AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cuts)
 SELECT doc_id, min(p) AS first_word, max(p) + 50 AS end_word, max(p) + 50 - min(p) AS n_words FROM runs GROUP BY doc_id, run""",
     "op11_substring_dedup": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-lv AS (SELECT 35 AS k UNION ALL SELECT 2 * k FROM lv WHERE k < (SELECT max(len(w)) FROM d)),
-win AS (SELECT row, k, unnest(range(1, len(w) - k + 2)) AS p, unnest([md5(array_to_string(w[i:i + k - 1], ' ')) FOR i IN range(1, len(w) - k + 2)]) AS h FROM d JOIN lv ON len(w) >= k),
-st AS (SELECT row, k, p FROM win WHERE (k, h) IN (SELECT k, h FROM win GROUP BY k, h HAVING count(*) > 1)),
+base AS (SELECT row, unnest(range(1, len(w) - 33)) AS p, unnest([md5(array_to_string(w[i:i + 34], ' ')) FOR i IN range(1, len(w) - 33)]) AS h FROM d WHERE len(w) >= 35),
+st AS (SELECT 35 AS k, row, p FROM base WHERE h IN (SELECT h FROM base GROUP BY h HAVING count(*) > 1)
+  UNION ALL SELECT k, row, p FROM (SELECT 2 * st.k AS k, row, p, count(*) OVER (PARTITION BY md5(array_to_string(w[p:p + 2 * st.k - 1], ' '))) AS n FROM st JOIN d USING (row) WHERE p + 2 * st.k - 1 <= len(w)) WHERE n > 1),
 far AS (SELECT row, max(k) AS longest FROM st GROUP BY row),
 gone AS (SELECT DISTINCT row, unnest(range(p, p + 35)) AS i FROM st WHERE k = 35),
 g AS (SELECT row, list(i) AS gone FROM gone GROUP BY row),
 z AS (SELECT doc_id, w, coalesce(longest, 0) AS longest, len(coalesce(gone, [])) AS n_removed, [w[i] FOR i IN range(1, len(w) + 1) IF gone IS NULL OR NOT list_contains(gone, i)] AS kept FROM d LEFT JOIN g USING (row) LEFT JOIN far USING (row))
 SELECT doc_id, len(w) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256, longest FROM z""",
+    "op12_prefix_trie": r"""WITH m AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, xor(list_reduce(flatten([[ord(ch), -1, -1, -1, -1, -1, -1, -1, -1] FOR ch IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT), 4294967295) AS crc FROM (SELECT DISTINCT conv_id FROM m)),
+c AS (SELECT conv_id, crc % 9 AS h, (SELECT count(*) FROM m WHERE m.conv_id = crc.conv_id - crc.conv_id % 5) AS nb FROM crc),
+r AS (SELECT c.conv_id, i AS d, role, text FROM c JOIN m ON m.conv_id = c.conv_id - c.conv_id % 5 AND i <= h UNION ALL SELECT conv_id, least(h, nb) + i - h, role, text FROM c JOIN m USING (conv_id) WHERE i > h),
+k AS (SELECT conv_id, d, octet_length(encode(text)) AS b, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r),
+o AS (SELECT conv_id, d, b, k, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY d), '') AS up FROM k UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT k, min(up) AS up, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(b) AS own FROM o GROUP BY k),
+kids AS (SELECT up, count(*) AS n_children FROM n GROUP BY up),
+sub AS (SELECT o.k, sum(own) AS saved, count(*) FILTER (WHERE n.k NOT IN (SELECT up FROM kids WHERE up IS NOT NULL)) AS leaves FROM n JOIN o ON o.conv_id = n.conv_id AND o.d <= n.depth GROUP BY o.k),
+e AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max_by(k, d) AS k FROM o GROUP BY conv_id) GROUP BY k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.k = n.up LEFT JOIN kids ON kids.up = n.k JOIN sub ON sub.k = n.k LEFT JOIN e ON e.k = n.k""",
     "op9_chat_format": rf"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10))[1] AS line FROM conversations),
 q AS (SELECT m.*, x.line AS q1, y.line AS q2 FROM m LEFT JOIN m x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1 AND m.turn % 3 >= 1 LEFT JOIN m y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2 AND m.turn % 3 >= 2),
 z AS (SELECT conv_id, turn, role, {_NORM.format("q1")} AS q1, {_NORM.format("q2")} AS q2, CASE WHEN coalesce(q1, '') <> '' OR coalesce(q2, '') <> '' THEN trim(text, chr(10)) ELSE text END AS body FROM q),

@@ -7,8 +7,9 @@ of the width whose words also start anywhere else; longer levels say how long th
 
 Of the first level only the windows at minimisers are kept, the least of every GAP seeds, since any window of the
 width that two places share holds the same one of them; so it writes about a tenth of a row a word. From the second level
-on windows are told by 128 bits, and a longer window by the hashes of its halves, so that texts are not read
-again: the halves are joined on text and place, which no hot passage makes uneven. What is repeated is counted by pre-aggregated hashes.
+on windows are told by 128 bits, and a longer window by the hashes of its halves, so that texts are not read again: what
+is repeated of a text is one row of arrays, whose places are at most its words. Equal windows are found by sorting by range of hash and place, so one that
+stands in a third of all texts is spread over tasks, and each level sends its windows once by hash and once by text.
 
 Defined cases: words are runs of anything but the six ASCII spaces, unchanged; a text with fewer words than the width loses nothing; a
 null text has no words and gives an empty one; equal texts are copies, so each loses all its words if it has enough of them,
@@ -27,7 +28,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import textbytes as tb
-from foliant.llm.components import bounded, cut, drop, fresh, others, quoted
+from foliant.llm.components import bounded, cut, drop, fresh, others, quoted, release
+from foliant.llm.suffix_dedup import equal_neighbours, equal_rows
 
 WIDTH = 35
 RESULTS = ("text", "n_words", "n_removed", "longest")
@@ -62,69 +64,78 @@ def _first_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         for i, j, buf, offs in tb.chunks(b.column("text")):
             hashes, doc = word_hashes(buf, offs)
             h, at = seeds(hashes, doc, width)
-            owner = doc[at]
-            keys = [b.column(k).slice(i, j - i).take(pa.array(owner)) for k in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *keys, pa.array((at - heads(doc, j - i)[owner]).astype(np.int32))], ["h", "k1", "k2", "pos"])
+            yield _windows(b.column("key").slice(i, j - i), doc[at], at - heads(doc, j - i)[doc[at]], h, np.zeros_like(h))
+
+
+def _windows(keys: pa.Array, owner: np.ndarray, pos: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), keys.take(pa.array(owner)), pa.array(pos.astype(np.int32))], ["h", "c", "key", "pos"])
 
 
 def _second_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Windows of the width that hold one of the marked seeds of their text."""
     reach = width - (width + 1) // 2
     for b in batches:
-        marks = b.column("marks")
         for i, j, buf, offs in tb.chunks(b.column("text")):
             hashes, doc = word_hashes(buf, offs)
             head = heads(doc, j - i)
             near = np.zeros(len(hashes) + 1, np.int64)
-            part = marks.slice(i, j - i)
-            at = part.flatten().to_numpy(zero_copy_only=False) + np.repeat(head, part.value_lengths().to_numpy(zero_copy_only=False))
+            marks = b.column("marks").slice(i, j - i)
+            at = marks.flatten().to_numpy(zero_copy_only=False) + np.repeat(head, marks.value_lengths().to_numpy(zero_copy_only=False))
             np.add.at(near, np.maximum(at - reach, head[doc[at]]), 1)
             np.add.at(near, at + 1, -1)
             h, at = tb.window_hash(hashes, doc, width)
             take = np.cumsum(near)[at] > 0
-            c = tb.window_hash(tb.mix(hashes ^ np.uint64(0xA0761D6478BD642F)), doc, width)[0][take]
-            h, at = h[take], at[take]
-            owner = doc[at]
-            keys = [b.column(k).slice(i, j - i).take(pa.array(owner)) for k in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), *keys, pa.array((at - head[owner]).astype(np.int32))], ["h", "c", "k1", "k2", "pos"])
-
-
-def repeated(windows: DataFrame, *by: str) -> DataFrame:
-    """Those of the cut `windows` whose hashes occur twice or more; hot ones are summed up before they are shuffled, and rows of a hot one are split by the join."""
-    again = bounded(windows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by))
-    out = cut(windows.join(again, list(by), "left_semi").select(windows.columns))
-    drop(again, windows)
-    return out
+            c = tb.window_hash(tb.mix(hashes ^ np.uint64(0xA0761D6478BD642F)), doc, width)[0]
+            yield _windows(b.column("key").slice(i, j - i), doc[at[take]], (at - head[doc[at]])[take], h[take], c[take])
+
+
+def _doubled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The windows of 2 * width words whose halves are both among the places `at` (pos, h, c) of one text, in order."""
+    for b in batches:
+        at = b.column("at")
+        pos, h, c = (x.to_numpy() for x in at.flatten().flatten())
+        owner = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+        place = (owner << 32) + pos
+        right = np.searchsorted(place, place + width)
+        left = np.flatnonzero((right < len(place)) & (place[np.minimum(right, len(place) - 1)] == place + width))
+        right = right[left]
+        joined = [tb.mix(x.view(np.uint64)[left] * np.uint64(0x9E3779B97F4A7C15) + tb.mix(x.view(np.uint64)[right])) for x in (h, c)]
+        yield _windows(b.column("key"), owner[left], pos[left], *joined)
 
 
-def doubled(windows: DataFrame, width: int) -> DataFrame:
-    """The windows of 2 * width words whose two halves are both among the repeated `windows` of `width`."""
-    right = windows.select("k1", "k2", (F.col("pos") - width).alias("pos"), F.col("h").alias("h2"), F.col("c").alias("c2"))
-    return windows.join(right, ["k1", "k2", "pos"]).select(F.xxhash64("h", "h2").alias("h"), F.xxhash64(F.lit(width), "c", "c2").alias("c"), "k1", "k2", "pos")
+WINDOW = "h long, c long, key long, pos int"
+
+
+def by_text(windows: DataFrame) -> DataFrame:
+    """(key, at) of the repeated ones of the cut `windows`, which are dropped: the places of each text in order, with their hashes."""
+    out = cut(equal_rows(windows).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "c"))).alias("at")))
+    drop(windows)
+    release(out.sparkSession)
+    return out
 
 
 def repeated_windows(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(k1, k2, starts, longest) of the texts (k1, k2, text), one row a key, that hold repeated windows: where those of `width` words
+    """(key, starts, longest) of the texts (key, text), one row a key, that hold repeated windows: where those of `width` words
     start, and the greatest length of width, 2 * width, 4 * width, ... at which some window is still repeated."""
-    first = cut(texts.mapInArrow(tb.tidied(partial(_first_level, width=width)), "h long, k1 long, k2 long, pos int"))
-    found = repeated(first, "h")
-    marks = cut(found.groupBy("k1", "k2").agg(F.collect_list("pos").alias("marks")))
-    keys = bounded(marks.select("k1", "k2"))
-    held = texts.join(keys, ["k1", "k2"], "left_semi").join(marks, ["k1", "k2"])
-    windows = repeated(cut(held.mapInArrow(tb.tidied(partial(_second_level, width=width)), "h long, c long, k1 long, k2 long, pos int")), "h", "c")
-    drop(found, marks, keys)
-    starts = cut(windows.groupBy("k1", "k2").agg(F.collect_list("pos").alias("starts")))
+    first = cut(texts.mapInArrow(tb.tidied(partial(_first_level, width=width)), WINDOW))
+    marks = cut(equal_neighbours(first).groupBy("key").agg(F.collect_list("pos").alias("marks")))
+    drop(first)
+    keys = bounded(marks.select("key"))
+    held = texts.join(keys, "key", "left_semi").join(marks, "key")
+    places = by_text(cut(held.mapInArrow(tb.tidied(partial(_second_level, width=width)), WINDOW)))
+    drop(marks, keys)
+    starts = cut(places.select("key", F.col("at.pos").alias("starts")))
     reached = []
-    while not windows.isEmpty():
-        reached.append(cut(windows.select("k1", "k2").distinct().withColumn("length", F.lit(width))))
-        longer = cut(doubled(windows, width))
-        drop(windows)
-        windows, width = repeated(longer, "h", "c"), 2 * width
-    drop(windows)
+    while not places.isEmpty():
+        reached.append(cut(places.select("key", F.lit(width).alias("length"))))
+        longer = cut(places.mapInArrow(tb.tidied(partial(_doubled, width=width)), WINDOW))
+        drop(places)
+        places, width = by_text(longer), 2 * width
+    drop(places)
     if not reached:
         return starts.withColumn("longest", F.lit(0))
-    longest = reduce(DataFrame.unionByName, reached).groupBy("k1", "k2").agg(F.max("length").alias("longest"))
-    out = cut(starts.join(longest, ["k1", "k2"]))
+    longest = reduce(DataFrame.unionByName, reached).groupBy("key").agg(F.max("length").alias("longest"))
+    out = cut(starts.join(longest, "key"))
     drop(starts, *reached)
     return out
 
@@ -161,24 +172,20 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` with its text cut down to the words that no repeated window covers, joined by one space, and with n_words (before),
     n_removed and longest (0, or the greatest doubled length at which a window of the text is repeated)."""
     rest = [F.col(quoted(c)) for c in others(docs, *RESULTS)]
-    k1, k2, starts, longest, whole, got = fresh(docs.columns, "k1", "k2", "starts", "longest", "whole", "got")
-    hashes = F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")
-    texts = docs.where("text is not null").select("doc_id", "text", *hashes)
+    key, starts, longest, whole, got = fresh(docs.columns, "key", "starts", "longest", "whole", "got")
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
     least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))
-    copied = cut(texts.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(least).alias("rep")).where("n > 1").select("k1", "k2", "rep"))
-    keys = bounded(copied.select("k1", "k2"))
-    once = texts.join(keys, ["k1", "k2"], "left_anti").select("k1", "k2", "text")
-    one = texts.withColumn("rep", least).join(bounded(copied), ["k1", "k2", "rep"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "text")
-    found = repeated_windows(once.unionByName(one), width)
+    copied = cut(texts.groupBy("key").agg(F.count("*").alias("n"), F.min(least).alias("rep")).where("n > 1").select("key", "rep"))
+    keys = bounded(copied.select("key"))
+    once = texts.join(keys, "key", "left_anti").select("key", "text")
+    one = texts.withColumn("rep", least).join(bounded(copied), ["key", "rep"], "left_semi").dropDuplicates(["key"]).select("key", "text")
     # copies go by their flag alone, so that no hot text meets a list of places
-    found = cut(found.join(keys, ["k1", "k2"], "left_anti"))
-    touched = bounded(found.select("k1", "k2"))
-    named = docs.withColumns({k1: hashes[0], k2: hashes[1]})
-    for_join = lambda t, *more: t.select(F.col("k1").alias(k1), F.col("k2").alias(k2), *more)
-    flagged = named.join(for_join(keys, F.lit(True).alias(whole)), [k1, k2], "left")
-    some = flagged.join(for_join(touched), [k1, k2], "left_semi").join(for_join(found, F.col("starts").alias(starts), F.col("longest").alias(longest)), [k1, k2])
-    none = flagged.join(for_join(touched), [k1, k2], "left_anti").withColumn(starts, F.lit(None).cast("array<int>")).withColumn(longest, F.lit(0))
+    found = cut(repeated_windows(once.unionByName(one), width).join(keys, "key", "left_anti"))
+    touched = bounded(found.select("key"))
+    of = lambda t, *more: t.select(F.col("key").alias(key), *more)
+    flagged = docs.withColumn(key, F.xxhash64("text")).join(of(keys, F.lit(True).alias(whole)), key, "left")
+    some = flagged.join(of(touched), key, "left_semi").join(of(found, F.col("starts").alias(starts), F.col("longest").alias(longest)), key)
+    none = flagged.join(of(touched), key, "left_anti").withColumn(starts, F.lit(None).cast("array<int>")).withColumn(longest, F.lit(0))
     out = some.unionByName(none).withColumn(got, _kept(width)("text", starts, whole))
     full = F.when(F.col(whole) & (F.col(f"{got}.n_words") >= width), width * F.pow(F.lit(2), F.floor(F.log2(F.floor(F.col(f"{got}.n_words") / width)))))
     return out.select(*rest, f"{got}.text", f"{got}.n_words", f"{got}.n_removed", F.coalesce(full, F.col(longest)).cast("long").alias("longest"))
-

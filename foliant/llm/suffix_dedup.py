@@ -59,7 +59,12 @@ def minimisers(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def equal_neighbours(rows: DataFrame) -> DataFrame:
-    """Those of the rows (h, c, key, pos) whose two hashes occur twice or more, by sorting and comparing neighbours."""
+    """(key, pos) of the rows (h, c, key, pos) whose two hashes occur twice or more, by sorting and comparing neighbours."""
+    return equal_rows(rows).select("key", "pos")
+
+
+def equal_rows(rows: DataFrame) -> DataFrame:
+    """The rows themselves."""
     ordered = rows.repartitionByRange("h", "c", "key", "pos").sortWithinPartitions("h", "c", "key", "pos")
 
     @tb.tidied
@@ -105,7 +110,8 @@ def equal_neighbours(rows: DataFrame) -> DataFrame:
     # at most two rows of each range
     edges = found.where("edge > 0")
     shared = edges.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c")
-    return found.where("edge = 0").select("key", "pos").unionAll(edges.where("edge = 1").join(shared, ["h", "c"], "left_semi").select("key", "pos"))
+    names = ["h", "c", "key", "pos"]
+    return found.where("edge = 0").select(*names).unionAll(edges.where("edge = 1").join(shared, ["h", "c"], "left_semi").select(*names))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
