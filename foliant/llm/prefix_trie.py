@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from foliant.llm import textbytes as tb
@@ -50,7 +50,7 @@ def running(rows: DataFrame, group: str | None, order: list[str], keep: list[str
     values = sums + xors
     by = [*([group] if group else []), *order]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep)
-    schema = ordered.schema.add("pid", IntegerType()).add("edge", BooleanType())
+    schema = StructType([*[StructField(f.name, f.dataType) for f in ordered.schema], StructField("pid", IntegerType()), StructField("edge", BooleanType())])
 
     @tb.tidied
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
