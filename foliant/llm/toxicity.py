@@ -238,9 +238,23 @@ def seen_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
 
 
+def fitting(sizes: pd.DataFrame, rows: int, chars: int) -> list[int]:
+    """The index of those of `sizes` (y, n) that are taken: of each class `rows` and `chars` at most, in order."""
+    out = []
+    for _, some in sizes.groupby("y"):
+        taken, used = [], 0
+        for at, n in zip(some.index, some["n"], strict=True):
+            if len(taken) < rows and used + n <= chars:
+                taken.append(at)
+                used += n
+        out += taken or [some["n"].idxmin()]
+    return sorted(out)
+
+
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> pd.DataFrame:
-    """At most `fit_rows` labelled texts of each class and `fit_chars` characters in all, none held out, those of the lowest id hash; texts are whole and of any length.
+    """At most `fit_rows` labelled texts of each class and half of `fit_chars` characters of each, none held out, those of the lowest id hash; texts are whole.
 
+    A text that does not fit into what is left is passed over, and of a class in which none fits the shortest is taken.
     Only lengths of at most three times as many rows come to the driver before the texts that are taken.
     """
     seen = seen_labels(labels)
@@ -248,7 +262,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) ->
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(pick(0).unionAll(pick(1))), "doc_id").withColumn("key", F.xxhash64("text"))
     by = F.xxhash64("doc_id").alias("h")
     sizes = texts.select(by, "doc_id", "key", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct().orderBy("h", "doc_id", "key").limit(3 * 2 * fit_rows).toPandas()
-    sizes = sizes[(sizes.groupby("y").cumcount() < fit_rows) & (sizes["n"].cumsum() <= fit_chars)]
+    sizes = sizes.loc[fitting(sizes, fit_rows, fit_chars // 2)]
     chosen = docs.sparkSession.createDataFrame([(int(i), int(k)) for i, k in zip(sizes["doc_id"], sizes["key"], strict=True)], "doc_id long, key long")
     found = texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).toPandas()
     return found.sort_values(["doc_id", "key"], kind="stable")

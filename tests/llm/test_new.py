@@ -135,3 +135,27 @@ def test_trie_without_turns_or_rows(spark):
     turns = pt.number_turns(empty).withColumnRenamed("place", "depth")
     only = pt.prefix_trie(turns, spark.createDataFrame([(5,), (3,), (3,)], "conv_id long"))
     assert as_nodes(only.collect()) == {(3, 0): (None, 2, 0, 1, 0, hashlib.sha256(b"3,5").hexdigest())}
+
+
+def test_sample_passes_over_texts_that_do_not_fit():
+    import pandas as pd
+
+    from foliant.llm.toxicity import fitting
+
+    for at in range(12):
+        sizes = pd.DataFrame({"y": [k % 2 for k in range(12)], "n": [1000 if k == at else 10 for k in range(12)]})
+        assert fitting(sizes, 10, 100) == [k for k in range(12) if k != at]
+        assert fitting(sizes, 2, 100) == sorted(k for y in (0, 1) for k in [x for x in range(12) if x % 2 == y and x != at][:2])
+    sizes = pd.DataFrame({"y": [0, 1, 1, 0], "n": [5, 900, 800, 6]})
+    assert fitting(sizes, 10, 100) == [0, 2, 3] and fitting(sizes.iloc[:0], 10, 100) == []
+
+
+def test_a_long_labelled_text_does_not_end_the_fit(spark):
+    from foliant.llm.toxicity import sample
+
+    rows = [(k, ("bad " if k % 2 else "good ") * 5, "en") for k in range(40)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for long in (0, 3, 8, 39):
+        docs = spark.createDataFrame([(k, t * 100 if k == long else t, g) for k, t, g in rows], "doc_id long, text string, lang string")
+        got = sample(docs, marks, 100, 2000)
+        assert set(got["doc_id"]) == {k for k in range(40) if k != long and zlib.crc32(str(k).encode()) % 3 != 1}
