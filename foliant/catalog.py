@@ -15,9 +15,13 @@ from foliant.operators import layout as ly
 from foliant.operators import quality as ql
 from foliant.operators import retrieval as rt
 from foliant.operators import tables as tb
+from foliant.operators import vector_index as vi
 from foliant.operators import viewing as vw
 from foliant.plans import models as md
 from foliant.plans import pipelines as pl
+from foliant.session import fresh_folder
+from foliant.sources import html as hm
+from foliant.sources import keyword_index as ki
 from foliant.sources import readers as rd
 from foliant.sources import writers as wr
 
@@ -110,6 +114,16 @@ def sparse_topk_tf(spark, sf_dir):
     return rt.sparse_topk(_points(spark, sf_dir), _queries(spark, sf_dir), K, mode="tf_dot").select(*_HITS)
 
 
+@register(f"WITH {_Q_SCOPED},{_BM25} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
+def keyword_index_topk(spark, sf_dir):
+    """The search of sparse_topk_bm25 in a stored index of two batches, the second of which replaces points of the first."""
+    points, path = _points(spark, sf_dir), fresh_folder(spark, "keyword-index")
+    old = points.where("point_id % 10 = 1").withColumn("text", F.concat(F.lit("outdated words "), F.reverse("text")))
+    ki.write_batch(points.where("point_id % 2 = 0").unionByName(old), path, 0)
+    ki.write_batch(points.where("point_id % 2 = 1"), path, 1, removed=old)
+    return ki.search(ki.Index(spark, path), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
+
+
 def _ranked(spark, sf_dir):
     p, q = _points(spark, sf_dir), _queries(spark, sf_dir, scoped=True)
     cand = rt.with_payload(rt.hybrid(p, q, K), p)
@@ -217,6 +231,40 @@ def query_validation(spark, sf_dir):
     return rt.validate(q).select("query_id", "error")
 
 
+def _vectors(spark, sf_dir):
+    """All vectors in cells, their centroids, and as queries those whose id is divisible by 100."""
+    e = table(spark, sf_dir, "embeddings")
+    points = e.select(F.col("vec_id").alias("point_id"), F.col("label").cast("string").alias("doc_id"), F.col("embedding").alias("dense"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(None).cast("array<string>").alias("document_ids"))
+    centroids = vi.fit_centroids(points, 64)
+    return vi.assign(points, centroids), centroids, queries
+
+
+_NEAREST = """WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) + 0.0 AS score FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s) WHERE rank <= 10)"""
+
+
+@register()
+def ann_topk(spark, sf_dir):
+    placed, centroids, queries = _vectors(spark, sf_dir)
+    return vi.search(placed, centroids, queries, K, vi.probes_for(placed, centroids, queries, K)).select(*_HITS)
+
+
+@register(f"{_NEAREST} SELECT query_id, point_id, score, rank FROM h")
+def ann_topk_all_cells(spark, sf_dir):
+    placed, centroids, queries = _vectors(spark, sf_dir)
+    return vi.search(placed, centroids, queries, K, 64).select(*_HITS)
+
+
+@register(f"{_NEAREST} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS wanted, TRUE AS nine_tenths_found FROM h")
+def ann_recall(spark, sf_dir):
+    """What ann_topk finds of the exact results of all its queries."""
+    placed, centroids, queries = _vectors(spark, sf_dir)
+    found = vi.search(placed, centroids, queries, K, vi.probes_for(placed, centroids, queries, K))
+    got = vi.recall(found, rt.dense_topk(placed, queries, K))
+    return got.agg(F.count("*").alias("n_queries"), F.sum("wanted").alias("wanted"), (F.sum("hit") * 10 >= F.sum("wanted") * 9).alias("nine_tenths_found"))
+
+
 # ---- layout ----------------------------------------------------------------------------------
 
 _AREA = "(r - l) * (t - b)"
@@ -775,9 +823,11 @@ def success_flags(spark, sf_dir):
     return bt.succeeded(_state(spark, sf_dir)).select("doc_id", "success")
 
 
-@register("SELECT 'batch_' || batch AS batch_id, doc_id, duration FROM state WHERE batch = 3 AND doc_id = 5 AND end_ts + 604800 > 606000", ("state",))
+@register("SELECT 'batch_' || batch AS batch_id, doc_id, duration FROM state WHERE batch = 3 AND doc_id = (SELECT min(doc_id) FROM state WHERE batch = 3 AND state = 'complete' AND end_ts > 1200) AND end_ts + 604800 > 606000", ("state",))
 def document_result(spark, sf_dir):
-    return bt.result_of(_state(spark, sf_dir), "batch_3", 5, 606000.0).select("batch_id", "doc_id", "duration")
+    state = _state(spark, sf_dir)
+    wanted = state.where("batch_id = 'batch_3' and state = 'complete' and end_ts > 1200").agg(F.min("doc_id")).first()[0]
+    return bt.result_of(state, "batch_3", wanted, 606000.0).select("batch_id", "doc_id", "duration")
 
 
 @register(
@@ -837,10 +887,11 @@ def pdf_lookup(spark, sf_dir):
     return rd.find_pdf(wanted, files)
 
 
-@register(f"WITH {_Q_ALL},{_BM25.split('qt AS')[0].rstrip().rstrip(',')} SELECT point_id, count(*) AS n_terms, round(sum(round({_W}, 6)), 3) AS weight FROM post, stats GROUP BY point_id", ("points",))
+@register(f"WITH {_Q_ALL},{_BM25.split('qt AS')[0].rstrip().rstrip(',')} SELECT point_id, count(*) AS n_terms, CAST(sum(CAST(round({_W} * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM post, stats GROUP BY point_id", ("points",))
 def sparse_vectors(spark, sf_dir):
     v = rt.sparse_vectors(table(spark, sf_dir, "points"))
-    return v.select("point_id", F.size("sparse").alias("n_terms"), F.round(F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, x: a + x), 3).alias("weight"))
+    millionths = F.aggregate(F.map_values("sparse"), F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1000000).cast("long"))
+    return v.select("point_id", F.size("sparse").alias("n_terms"), millionths.alias("millionths"))
 
 
 @register(
@@ -860,9 +911,10 @@ def hit_payload(spark, sf_dir):
     return _ranked(spark, sf_dir)[1].join(p.select("point_id", "lang"), "point_id").select("query_id", "point_id", "rank", "document_id", "page_no", "chunk_type", "lang", "figure_type", "is_complex_table", "ord")
 
 
-@register("SELECT point_id, page_no, text FROM points WHERE doc_id = 'src3' AND chunk_type = 'table'", ("points",))
+@register("SELECT point_id, page_no, text FROM points WHERE doc_id = (SELECT min(doc_id) FROM points WHERE chunk_type = 'table') AND chunk_type = 'table'", ("points",))
 def document_tables(spark, sf_dir):
-    return rt.document(_points(spark, sf_dir).withColumn("ord", F.col("point_id")), "src3", "table").select("point_id", "page_no", "text")
+    points = _points(spark, sf_dir).withColumn("ord", F.col("point_id"))
+    return rt.document(points, points.where("chunk_type = 'table'").agg(F.min("doc_id")).first()[0], "table").select("point_id", "page_no", "text")
 
 
 _UP = "CAST(floor(abs(value) * 1000) AS BIGINT)"
@@ -889,6 +941,28 @@ def format_functions(spark, sf_dir):
     )
 
 
+_WEB = r"""WITH w AS (SELECT page_id, replace(regexp_replace(html, '(?s)<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>', '', 'g'), chr(10), ' ') AS x FROM pages),
+v AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', chr(10)), '<h1>', chr(30) || chr(31), 'g'), '</?(html|body|div|article|p|h1)( [^>]*)?>', chr(30), 'g'), '<[^>]*>', '', 'g'), chr(30)) AS a FROM w),
+u AS (SELECT page_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM v),
+z AS (SELECT page_id, i, starts_with(x, chr(31)) AS head, regexp_replace(replace(replace(trim(regexp_replace(regexp_replace(ltrim(x, chr(31)), '[ 	]+', ' ', 'g'), ' ?
+ ?', chr(10), 'g'), ' ' || chr(10)), '&quot;', '"'), '&copy;', '©'), '&amp;?', '&', 'g') AS text FROM u),
+it AS (SELECT page_id AS doc_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS seq, CASE WHEN head THEN 'section_header' ELSE 'text' END AS label, text FROM z WHERE text <> '')"""
+
+
+@register(f"{_WEB} SELECT doc_id, seq, 'text' AS item_type, label, 0 AS level, text FROM it")
+def html_items(spark, sf_dir):
+    return hm.html_items(table(spark, sf_dir, "pages")).select("doc_id", "seq", "item_type", "label", "level", "text")
+
+
+@register(
+    f"""{_WEB}, hd AS (SELECT *, last_value(CASE WHEN label = 'section_header' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq) AS heading, CASE WHEN seq > 0 AND length(text) < 150 THEN 0 ELSE 1 END AS starts FROM it),
+    gs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY seq) AS gid FROM hd)
+    SELECT doc_id, min(seq) AS ord, string_agg(text, chr(10) ORDER BY seq) AS text, coalesce(min_by(coalesce(heading, ''), seq), '') AS heading FROM gs GROUP BY doc_id, gid"""
+)
+def html_chunks(spark, sf_dir):
+    return pl.web_chunks(table(spark, sf_dir, "pages")).select("doc_id", "ord", "text", F.array_join("headings", " > ").alias("heading"))
+
+
 @register()
 def quick_chunks(spark, sf_dir):
     return pl.quick(_items(spark, sf_dir))

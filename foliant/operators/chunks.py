@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from foliant.functions import text as tx
+from foliant.operators.folds import ordered_fold
 
 MIN_SIZE, MAX_SIZE, TARGET = 150, 2000, 512
 
@@ -41,22 +41,23 @@ def _fold_groups(chunks: DataFrame, by: list[str], opens: Callable[[int, bool, i
     `opens` tells from the running size and type of the open chunk and those of the next one whether a new one begins; `gap` characters join two.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        gid, size, text, out = 0, 0, False, []
-        for kind, n in zip(rows["chunk_type"], rows["size"], strict=True):
-            is_text, n = kind == "text", 0 if pd.isna(n) else int(n)
+    def begin() -> Callable[[str, int | None], int]:
+        gid, size, text = 0, 0, False
+
+        def step(kind: str, length: int | None) -> int:
+            nonlocal gid, size, text
+            is_text, n = kind == "text", length or 0
             if not gid or opens(size, text, n, is_text):
                 gid, size = gid + 1, n
             else:
                 size += n + gap
             text = is_text
-            out.append(gid)
-        return rows[[*by, "ord"]].assign(_g=out)
+            return gid
+
+        return step
 
     sizes = chunks.select(*by, "ord", "chunk_type", F.length("text").alias("size"))
-    kind = T.StructType([*sizes.select(*by, "ord").schema.fields, T.StructField("_g", T.LongType())])
-    return chunks.join(sizes.groupBy(*by).applyInPandas(fold, kind), [*by, "ord"])
+    return chunks.join(ordered_fold(sizes, by, "ord", ["chunk_type", "size"], begin, "_g", T.LongType()), [*by, "ord"])
 
 
 def merge_to_max(chunks: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:

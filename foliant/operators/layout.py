@@ -7,12 +7,15 @@ with a residual condition, however many documents there are.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from foliant.functions import geometry as g
 from foliant.functions import text as tx
+from foliant.operators.folds import ordered_fold
 
 PAGE = ["doc_id", "page_no"]
 
@@ -30,21 +33,53 @@ def not_formula(items: DataFrame) -> DataFrame:
     return items.where(~F.coalesce(F.lower("label").contains("formula"), F.lit(False)))
 
 
+BOX = [*PAGE, "seq", "l", "t", "r", "b"]
+
+
+def centre_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (i, o) of boxes of a page of which the centre of `inner` may lie in `outer`: all such pairs, and few others.
+
+    A box of `outer` is put into the cells that it touches of a grid as wide as itself (a power of two), four at most; one of
+    `inner` looks up the cell of its centre in each grid that can hold a box to cover it. So pairs are those of places, not of pages. Boxes that
+    are turned around share no area with any.
+    """
+    proper = (F.col("r") > F.col("l")) & (F.col("t") > F.col("b"))
+    grid = F.ceil(F.log2(F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b")))).cast("int")
+    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level))
+    o = outer.select(*BOX, "item_type").where(proper).withColumn("_grid", grid)
+    top = o.groupBy(*PAGE).agg(F.max("_grid").alias("_top"))
+    for name, low, high in (("_x", "l", "r"), ("_y", "b", "t")):
+        o = o.withColumn(name, F.explode(F.sequence(cell(F.col(low), F.col("_grid")), cell(F.col(high), F.col("_grid")))))
+    i = inner.select(*BOX, "item_type").where(proper).withColumn("_low", grid - 1).alias("i").join(top.alias("o"), _same_page()).where("_low <= _top").select("i.*", "_top")
+    i = i.withColumn("_grid", F.explode(F.sequence("_low", "_top")))
+    i = i.withColumn("_x", cell((F.col("l") + F.col("r")) / 2, F.col("_grid"))).withColumn("_y", cell((F.col("b") + F.col("t")) / 2, F.col("_grid")))
+    return i.alias("i").join(o.alias("o"), reduce(Column.__and__, [F.col(f"i.{k}") == F.col(f"o.{k}") for k in ("_grid", "_x", "_y")], _same_page()))
+
+
+def _same_page() -> Column:
+    return F.col("i.doc_id").eqNullSafe(F.col("o.doc_id")) & F.col("i.page_no").eqNullSafe(F.col("o.page_no"))
+
+
+def _without(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`items` that are not the first of any of the pairs."""
+    gone = pairs.select(*[F.col(f"i.{k}").alias(k) for k in BOX]).distinct().alias("o")
+    return items.alias("i").join(gone, reduce(Column.__and__, [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in BOX]), "left_anti")
+
+
 def drop_contained(items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Without boxes of which a larger box of the page covers `threshold` or more; boxes that go still cover others."""
-    big = items.alias("o")
-    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in PAGE]
-    covered = (F.col("i.seq") != F.col("o.seq")) & (g.area("o") > g.area("i")) & (g.area("i") > 0) & (g.intersection("i", "o") >= threshold * g.area("i"))
-    return items.alias("i").join(big, same[0] & same[1] & covered, "left_anti")
+    """Without boxes of which a larger box of the page covers `threshold` or more; boxes that go still cover others.
+
+    More than half of each side is covered where more than half of the area is, so the larger box holds the centre; for lower thresholds all pairs of a page are compared.
+    """
+    pairs = centre_pairs(items, items) if threshold > 0.5 else items.alias("i").join(items.alias("o"), _same_page())
+    return _without(items, pairs.where((F.col("i.seq") != F.col("o.seq")) & (g.area("o") > g.area("i")) & (g.area("i") > 0) & (g.intersection("i", "o") >= threshold * g.area("i"))))
 
 
 def drop_duplicate_pictures(items: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Without pictures that a table of the page covers, and that cover it, by `threshold` or more."""
-    tables = items.where("item_type = 'table'").alias("o")
-    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in PAGE]
+    """Without pictures that a table of the page covers, and that cover it, by `threshold` (over a half) or more."""
     inter = g.intersection("i", "o")
-    twin = (F.col("i.item_type") == "picture") & (g.area("i") > 0) & (g.area("o") > 0) & (inter >= threshold * g.area("i")) & (inter >= threshold * g.area("o"))
-    return items.alias("i").join(tables, same[0] & same[1] & twin, "left_anti")
+    pairs = centre_pairs(items.where("item_type = 'picture'"), items.where("item_type = 'table'"))
+    return _without(items, pairs.where((g.area("i") > 0) & (g.area("o") > 0) & (inter >= threshold * g.area("i")) & (inter >= threshold * g.area("o"))))
 
 
 def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
@@ -67,17 +102,17 @@ def heading_stacks(items: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page_no", *reading())
     rows = items.withColumn("_n", F.row_number().over(order))
 
-    def fold(heads: pd.DataFrame) -> pd.DataFrame:
+    def begin() -> Callable[[int | None, str], list[str]]:
         stack: list[str] = []
-        out = []
-        for n, level, text in heads.sort_values("_n")[["_n", "level", "text"]].itertuples(index=False):
-            stack = [*stack[: max(0 if pd.isna(level) else int(level), 0)], text]
-            out.append(stack)
-        return heads.sort_values("_n")[["doc_id", "_n"]].assign(_stack=out)
-
-    heads = rows.where(head).select("doc_id", "_n", "level", "text")
-    kind = T.StructType([*heads.select("doc_id", "_n").schema.fields, T.StructField("_stack", T.ArrayType(T.StringType()))])
-    stacks = heads.groupBy("doc_id").applyInPandas(fold, kind)
+
+        def step(level: int | None, text: str) -> list[str]:
+            nonlocal stack
+            stack = [*stack[: max(level or 0, 0)], text]
+            return stack
+
+        return step
+
+    stacks = ordered_fold(rows.where(head), ["doc_id"], "_n", ["level", "text"], begin, "_stack", T.ArrayType(T.StringType()))
     upto = Window.partitionBy("doc_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_stack", ignorenulls=True).over(upto)
     return rows.join(stacks, ["doc_id", "_n"], "left").withColumn("headings", F.coalesce(found, F.array().cast("array<string>"))).drop("_n", "_stack")

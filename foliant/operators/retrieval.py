@@ -2,12 +2,13 @@
 
 points have point_id, doc_id, text, dense and payload columns; queries have query_id, query, qvec
 and document_ids (null or empty: all documents). The document filter acts before each branch's cut.
-Queries are a batch that a job holds in memory; their number is checked against MAX_QUERIES.
+There may be any number of queries: dense search takes them in blocks, keyword search joins their terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,12 @@ from pyspark.sql.window import Window
 from foliant.functions import text as tx
 from foliant.functions import vectors as vx
 
-MAX_QUERIES = 10_000
+#: Queries whose vectors are broadcast at once; more are taken in parts, each with a pass over the points.
+PASS_QUERIES = 10_000
 #: Queries whose products with a batch of points are held at once.
 QUERY_BLOCK = 256
+#: Rows of a few narrow columns that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 K1, B, RRF_K0 = 1.2, 0.75, 60
 
 
@@ -41,18 +45,17 @@ def in_scope(scope: Column, doc: Column) -> Column:
     return scope.isNull() | (F.size(scope) == 0) | F.array_contains(scope, doc)
 
 
-def _bounded(queries: DataFrame) -> DataFrame:
-    """`queries`, whose number is checked, so that they may be broadcast."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one batch; run them in parts")
-    return queries
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` of narrow columns, marked for broadcast if they are counted to be no more than `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def _batch(queries: DataFrame) -> pd.DataFrame:
-    got = queries.limit(MAX_QUERIES + 1).toPandas()
-    if len(got) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one batch; run them in parts")
-    return got
+def in_parts(queries: DataFrame, most: int) -> list[DataFrame]:
+    """`queries` cut by a hash of their id into as many parts as keep each at about `most` rows."""
+    n = queries.select("query_id").count()
+    # a part has half of `most` rows on average, so that chance does not fill one
+    parts = 1 if n <= most else -(-2 * n // most)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -61,13 +64,19 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_topk(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
+def dense_topk(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, metric: str = "cosine", pass_queries: int = PASS_QUERIES) -> DataFrame:
     """(query_id, point_id, score, rank) of the k most similar points of each query.
 
-    Points stream once through block products with blocks of query vectors, which are broadcast, and each block keeps its
+    Points stream through block products with blocks of query vectors, which are broadcast, and each block keeps its
     k best a query, so what is shuffled is a few rows a task whatever the number of points. Queries of one scope share its test.
+    More than `pass_queries` queries are taken in parts by a hash of their id, with one pass over the points each.
     """
-    q = _batch(queries.select("query_id", "qvec", "document_ids"))
+    parts = [_dense_part(points, q, k, threshold, metric) for q in in_parts(queries, pass_queries)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dense_part(points: DataFrame, queries: DataFrame, k: int, threshold: float | None, metric: str) -> DataFrame:
+    q = queries.select("query_id", "qvec", "document_ids").toPandas()
     vectors = np.array([v for v in q["qvec"]], np.float64).reshape(len(q), -1)
     if metric == "cosine":
         vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-300)
@@ -139,19 +148,18 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int, mode: str = "bm25
     """(query_id, point_id, score, rank) by keywords.
 
     `bm25`: Robertson-Zaragoza with idf. `tf_dot`: the product of saturated weights of both sides, without idf.
-    Only terms of the queries are looked up: texts' terms are filtered by those of the batch, which are broadcast, before they
-    are counted and shuffled; a text's length comes from the same pass.
+    Only terms of the queries are looked up: texts' terms are filtered by those of the queries before they are counted and
+    shuffled; a text's length comes from the same pass. Tables of terms are broadcast only where their counted rows are few.
     """
-    qt = _bounded(queries).select("query_id", "document_ids", vx.terms(F.col("query")).alias("ts")).withColumn("qdl", F.size("ts"))
+    qt = queries.select("query_id", "document_ids", vx.terms(F.col("query")).alias("ts")).withColumn("qdl", F.size("ts"))
     qt = qt.select("query_id", "document_ids", "qdl", F.explode("ts").alias("term")).groupBy("query_id", "document_ids", "qdl", "term").agg(F.count("*").alias("qtf"))
-    asked = F.broadcast(qt.select("term").distinct())
     t = points.select("point_id", "doc_id", vx.terms(F.col("text")).alias("ts")).select("point_id", "doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    p = t.join(asked, "term", "left_semi").groupBy("point_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    hits = _with_stats(p.join(F.broadcast(qt), "term").where(in_scope(F.col("document_ids"), F.col("doc_id"))), points)
+    p = t.join(small(qt.select("term").distinct()), "term", "left_semi").groupBy("point_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = _with_stats(p.join(small(qt), "term").where(in_scope(F.col("document_ids"), F.col("doc_id"))), points)
     w = _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     if mode == "bm25":
-        # a row a term of the batch
-        hits = hits.join(F.broadcast(p.groupBy("term").agg(F.count("*").alias("df"))), "term")
+        # counting tf instead of rows keeps this shuffle of the texts' terms the same as that of the hits, so that it is made once
+        hits = hits.join(p.groupBy("term").agg(F.count("tf").alias("df")), "term")
         w = w * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")
     else:
         w = w * _weight(F.col("qtf"), F.col("qdl"), F.col("avgdl"))
@@ -189,7 +197,7 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 def rerank(candidates: DataFrame, queries: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """The k best candidates by the scorer's value of (query, text); ties keep their order, and without a score the first k stay."""
-    scored = candidates.join(F.broadcast(_bounded(queries.select("query_id", "query"))), "query_id").withColumn("rerank_score", scorer(F.col("query"), F.col("text"))).drop("query")
+    scored = candidates.join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", scorer(F.col("query"), F.col("text"))).drop("query")
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     return scored.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant.operators import chunks as ch
 from foliant.operators import retrieval as rt
 from foliant.plans import models as md
+from foliant.sources import html
 
 
 def retrieve(points: DataFrame, queries: DataFrame, models: md.Models | None = None, k: int = 30, final: int = 5) -> dict[str, DataFrame]:
@@ -35,13 +36,19 @@ def ingest(items: DataFrame, vlm: DataFrame, formulas: DataFrame, regions: DataF
     return out.select(F.lit(collection).alias("collection"), point_id(collection).alias("point_id"), "doc_id", "ord", "chunk_type", "text", "page_no", "headings", "dense")
 
 
-def quick(items: DataFrame) -> DataFrame:
-    """Chunks from layout alone: no vision results, formulas or regions, no vectors and no batch state; any error may be tried again by the caller."""
+def quick(items: DataFrame, vlm: DataFrame | None = None) -> DataFrame:
+    """Chunks from layout alone: no vision results (unless there are some of tables), formulas or regions, no vectors and no batch state; any error may be tried again by the caller."""
     page = items.select("doc_id", "page_no", "seq").limit(0)
-    vlm = items.select("doc_id", "page_no", "seq", "t").limit(0).selectExpr("*", "'table' AS kind", "false AS success", "'' AS markdown", "false AS relevant", "'' AS description", "'' AS figure_type", "'' AS caption")
+    none = items.select("doc_id", "page_no", "seq", "t").limit(0).selectExpr("*", "'table' AS kind", "false AS success", "'' AS markdown", "false AS relevant", "'' AS description", "'' AS figure_type", "'' AS caption")
     formulas = page.selectExpr("*", "'' AS formula_id", "'' AS latex", "'' AS equation_number", "0 AS after_box", "'' AS description")
     regions = page.selectExpr("*", "0 AS start_box", "0 AS last_box", "'' AS formatted_text")
-    return ch.merge_small(ch.build_chunks(items, vlm, formulas, regions))
+    return ch.merge_small(ch.build_chunks(items, none if vlm is None else vlm, formulas, regions))
+
+
+def web_chunks(pages: DataFrame) -> DataFrame:
+    """Chunks of raw web pages (page_id, html), with their tables as they stand there."""
+    items = html.html_items(pages)
+    return quick(items, html.table_results(items))
 
 
 def remerge(points: DataFrame, collection: str, models: md.Models | None = None) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under spark.checkpoint.dir; a local session without that setting, as in tests, gets a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="foliant-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cpus: int | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """local[cpus] in UTC with adaptive execution; `conf` overrides (dots written as two underscores)."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))

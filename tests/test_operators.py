@@ -178,3 +178,29 @@ def test_batch_facts(spark):
     done = bt.mark_complete(bt.mark_processing(bt.submit("n", spark.createDataFrame([("/a/x.pdf",)], "path string")), spark.createDataFrame([("n", "x")], "batch_id string, doc_id string"), 1.0), spark.createDataFrame([("n", "x")], "batch_id string, doc_id string"), 3.5).first()
     assert (done.state, done.duration) == ("complete", 2.5)
     assert bt.timing_summary(s.withColumn("state", F.lit("complete"))).first().n == 0
+
+
+def test_overlaps_by_place(spark):
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for seq in range(400):
+        w, h, x, y = r.choice([3, 20, 90, 400]), r.choice([2, 15, 60, 300]), r.randrange(-50, 500), r.randrange(-50, 700)
+        rows.append((seq, r.choice(["text", "table", "picture"]), float(x), float(x + w), float(y + h), float(y)))
+        if seq % 3 == 0:
+            rows.append((1000 + seq, r.choice(["picture", "table"]), x + 0.02 * w, x + w * 1.0, y + h * 0.99, float(y)))
+    rows += [(5000, "text", 9.0, 3.0, 1.0, 8.0), (5001, "text", 1.0, 1.0, 5.0, 2.0), (5002, "picture", -1e9, 1e9, 1e9, -1e9)]
+    area = lambda b: (b[3] - b[2]) * (b[4] - b[5])
+    inter = lambda a, b: max(0, min(a[3], b[3]) - max(a[2], b[2])) * max(0, min(a[4], b[4]) - max(a[5], b[5]))
+    covered = {a[0] for a in rows for b in rows if a[0] != b[0] and area(b) > area(a) > 0 and inter(a, b) >= 0.8 * area(a)}
+    twins = {a[0] for a in rows for b in rows if a[1] == "picture" and b[1] == "table" and area(a) > 0 and area(b) > 0 and inter(a, b) >= 0.9 * max(area(a), area(b))}
+    got = items(spark, *rows)
+    assert sorted(set(seqs(ly.drop_contained(got)))) == sorted({x[0] for x in rows} - covered) and len(covered) > 50
+    assert sorted(set(seqs(ly.drop_duplicate_pictures(got)))) == sorted({x[0] for x in rows} - twins) and len(twins) > 5
+
+
+def test_pairs_of_a_full_page_are_linear(spark):
+    page = lambda n: spark.range(n).selectExpr("'d' AS doc_id", "cast(id AS int) AS seq", "'text' AS item_type", "1 AS page_no", "cast(id % 100 * 10 AS double) AS l", "cast(floor(id / 100) * 10 + 8 AS double) AS t", "cast(id % 100 * 10 + 8 AS double) AS r", "cast(floor(id / 100) * 10 AS double) AS b")
+    few, many = (ly.centre_pairs(page(n), page(n)).count() for n in (1000, 10_000))
+    assert many <= 11 * few and many < 100_000
