@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from foliant.domain import ctes, table
 from foliant.functions import geometry as g
 from foliant.functions import text as tx
+from foliant.functions import vectors as vx
 from foliant.operators import batch as bt
 from foliant.operators import chunks as ch
 from foliant.operators import layout as ly
@@ -180,29 +182,83 @@ def context_blocks(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    """Every assistant turn as an answer to the question of its conversation's number; one in seven breaks off."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     block = F.when(F.col("conv_id") % 5 == 4, F.lit("\n```sources\n[{bad json]\n```")).otherwise(
         F.concat(F.lit('\n```Sources\n[{"ref": '), F.col("conv_id") % 4 + 1, F.lit(', "document_id": "'), F.when(F.col("conv_id") % 2 == 0, "").otherwise("own"), F.lit('", "page_no": '), F.when(F.col("conv_id") % 3 == 0, "null").otherwise("0"), F.lit(', "chunk_type": "", "excerpt": ""}]\n```'))
     )
-    return c.select(F.col("conv_id").alias("query_id"), F.concat("t", block).alias("answer"))
+    error = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat(F.lit("no answer after turn "), "turn"))
+    return c.select(F.col("conv_id").alias("query_id"), "turn", F.concat("text", block).alias("answer"), error.alias("error"))
 
 
-@register(
-    f"""{_CHAIN}, a AS (SELECT conv_id AS query_id FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 4 GROUP BY conv_id)
-    SELECT a.query_id, 0 AS seq, CAST(a.query_id % 4 + 1 AS VARCHAR) AS ref, CASE WHEN a.query_id % 2 = 0 THEN r.document_id ELSE 'own' END AS document_id, CASE WHEN a.query_id % 3 = 0 THEN r.page_no ELSE 0 END AS page_no, r.chunk_type, left(r.text, 120) AS excerpt
-    FROM a LEFT JOIN ranked r ON r.query_id = a.query_id AND r.final_rank = a.query_id % 4 + 1""",
-    ("points",),
-)
+_CITED = """a AS (SELECT conv_id AS query_id, turn, text FROM conversations WHERE role = 'assistant'),
+ci AS (SELECT a.query_id, a.turn, 0 AS seq, CAST(a.query_id % 4 + 1 AS VARCHAR) AS ref, CASE WHEN a.query_id % 2 = 0 THEN coalesce(r.document_id, '') ELSE 'own' END AS document_id, CASE WHEN a.query_id % 3 = 0 THEN r.page_no ELSE 0 END AS page_no,
+  coalesce(r.chunk_type, 'text') AS chunk_type, coalesce(left(r.text, 120), '') AS excerpt FROM a LEFT JOIN ranked r ON r.query_id = a.query_id AND r.final_rank = a.query_id % 4 + 1 WHERE a.query_id % 5 <> 4)"""
+
+
+@register(f"{_CHAIN}, {_CITED} SELECT * FROM ci", ("points",))
 def citations_enriched(spark, sf_dir):
     q, cand, ranked = _ranked(spark, sf_dir)
-    return rt.citations(_answers(spark, sf_dir), ranked)
+    return rt.citations(_answers(spark, sf_dir).drop("error"), ranked)
 
 
-@register()
+@register(
+    rf"""{_CHAIN}, {_CITED}, w AS (SELECT query_id, turn, regexp_extract_all(text || chr(10), '\S+\s*') AS w FROM a),
+    js AS (SELECT query_id, turn, '{{"ref":' || to_json(ref) || ',"document_id":' || to_json(document_id) || ',"page_no":' || coalesce(CAST(page_no AS VARCHAR), 'null') || ',"chunk_type":' || to_json(chunk_type) || ',"excerpt":' || to_json(excerpt) || '}}' AS j FROM ci)
+    SELECT query_id, turn, CAST(generate_subscripts(w, 1) - 1 AS INT) AS seq, 'data: {{"token":' || to_json(unnest(w)) || '}}' || chr(10) || chr(10) AS event FROM w
+    UNION ALL SELECT a.query_id, a.turn, 1073741824, 'data: ' || CASE WHEN (a.query_id + a.turn) % 7 = 0 THEN '{{"error":"no answer after turn ' || a.turn || '"}}' ELSE '{{"sources":[' || coalesce(j, '') || ']}}' END || chr(10) || chr(10) FROM a LEFT JOIN js ON js.query_id = a.query_id AND js.turn = a.turn
+    UNION ALL SELECT query_id, turn, 1073741825, 'data: [DONE]' || chr(10) || chr(10) FROM a""",
+    ("points",),
+)
 def event_frames(spark, sf_dir):
     return rt.events(_answers(spark, sf_dir), _ranked(spark, sf_dir)[2])
 
 
+@register(
+    f"""{_CHAIN}, parts AS (SELECT query_id, final_rank, '[' || final_rank || '] Document: ' || document_id || ' | Page: ' || page_no || ' | Type: ' || chunk_type || chr(10) || '     Section: ' || array_to_string(headings, ' > ') || chr(10) || repeat('-', 40) || chr(10) || trim(text, ' ') || chr(10) AS x FROM ranked),
+    cx AS (SELECT query_id, 'CONTEXT CHUNKS (use these and only these to answer):' || chr(10) || repeat('=', 70) || chr(10) || string_agg(x, chr(10) ORDER BY final_rank) || chr(10) || repeat('=', 70) AS context FROM parts GROUP BY query_id)
+    SELECT query_id, context || chr(10) || chr(10) || 'QUESTION: ' || query || chr(10) || chr(10) || 'ANSWER (cite every claim with [N], output SOURCES block at the end):' AS prompt, 1 AS cited FROM cx JOIN q USING (query_id)""",
+    ("points",),
+)
+def prompted_answers(spark, sf_dir):
+    """The prompt of each question, and how many sources the answer to it cites."""
+    q, _, ranked = _ranked(spark, sf_dir)
+    p = rt.prompts(q, rt.context_blocks(ranked))
+    return p.select("query_id", "prompt", F.size(tx.sources(md.generate(F.col("prompt"), md.Offline()))).alias("cited"))
+
+
+@register("SELECT doc_id AS point_id, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE 64 END AS dimensions, CASE WHEN text IS NULL OR trim(regexp_replace(text, '\\s', '', 'g')) = '' THEN 0 ELSE 1 END AS length FROM documents")
+def embedded_points(spark, sf_dir):
+    """Vectors of all texts in batches: their dimensions, and their length, which is 1."""
+    v = table(spark, sf_dir, "points").select("point_id", md.embed(F.col("text"), md.Offline(), batch=64).alias("v"))
+    return v.select("point_id", F.size("v").alias("dimensions"), F.round(F.sqrt(vx.dot(F.col("v"), F.col("v")))).cast("int").alias("length"))
+
+
+@register("SELECT a.vec_id, 16 AS dimensions, round(list_cosine_similarity(CAST(a.embedding[1:16] AS DOUBLE[]), CAST(b.embedding[1:16] AS DOUBLE[])), 5) + 0.0 AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_functions(spark, sf_dir):
+    """Each vector, cut to 16 dimensions, against the next."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vx.truncated(F.col("embedding"), 16).alias("v"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", F.size("v").alias("dimensions"), (F.round(vx.cosine(F.col("v"), F.col("w")), 5) + 0.0).alias("cosine"))
+
+
+@register("SELECT item_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS logged FROM benchmark")
+def query_log(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.short_query(F.col("text")).alias("logged"))
+
+
+@register("SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND CAST(props->>'k' AS BIGINT) = 7 AND json_type(props, '$.k') IN ('BIGINT', 'UBIGINT')")
+def payload_variant_filter(spark, sf_dir):
+    """A filter on a stored column, which reaches the scan, and on a key of the free payload."""
+    e = table(spark, sf_dir, "events").withColumn("payload", F.try_parse_json("props"))
+    return rt.free_filters(e, {"event_type": "click", "k": 7}).select("event_id", "event_type", "value")
+
+
+@register("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, CASE WHEN json_exists(props, '$.k') THEN CAST(props->>'k' AS BIGINT) % 2 = 0 END AS even FROM events")
+def payload_hot_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("payload", F.try_parse_json("props"))
+    return rt.with_hot_keys(e, {"k": "bigint"}).select("event_id", "k", (F.col("k") % 2 == 0).alias("even"))
+
+
 @register("SELECT point_id, page_no, chunk_type, text FROM points WHERE doc_id = 'src3'", ("points",))
 def document_fetch(spark, sf_dir):
     return rt.document(_points(spark, sf_dir).withColumn("ord", F.col("point_id")), "src3").select("point_id", "page_no", "chunk_type", "text")
@@ -381,6 +437,29 @@ def table_candidates(spark, sf_dir):
     return ly.table_candidates(items, _detected(items))
 
 
+_FIGURES = "fg AS (SELECT doc_id, page_no, 'figure' AS kind, 'figure_' || row_number() OVER (PARTITION BY doc_id ORDER BY page_no, t DESC, seq) AS id, l, t, r, b FROM items WHERE item_type = 'picture' AND l IS NOT NULL AND abs(r - l) * abs(t - b) < 50000), fp AS (SELECT DISTINCT doc_id, page_no, 'formula_page' AS kind, 'page_' || page_no AS id, CAST(NULL AS DOUBLE) AS l, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS r, CAST(NULL AS DOUBLE) AS b FROM items WHERE contains(lower(label), 'formula'))"
+
+
+@register(f"WITH {_CANDIDATES}, {_FIGURES} SELECT doc_id, page_no, 'table' AS kind, 'table_' || n AS id, l, t, r, b FROM ids UNION ALL SELECT * FROM fg UNION ALL SELECT * FROM fp", ("items",))
+def extract_all(spark, sf_dir):
+    items = _titled(_items(spark, sf_dir))
+    return ly.extract(items, _detected(items))
+
+
+@register(f"WITH {_FIGURES} SELECT * FROM fg", ("items",))
+def extract_figures_only(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return ly.extract(items, _detected(items), tables=False, formula_pages_too=False)
+
+
+@register("WITH n AS (SELECT *, lead(seq) OVER w AS s2, lead(l) OVER w AS l2, lead(t) OVER w AS t2, lead(r) OVER w AS r2, lead(b) OVER w AS b2 FROM items WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT doc_id, seq, NOT (r < l2 OR l > r2 OR t < b2 OR b > t2) AS overlaps FROM n WHERE s2 IS NOT NULL", ("items",))
+def label_overlaps(spark, sf_dir):
+    """Whether the box of each item and that of the next overlap."""
+    box = F.struct("l", "t", "r", "b")
+    nxt = F.lead(box).over(Window.partitionBy("doc_id").orderBy("seq"))
+    return _items(spark, sf_dir).select("doc_id", "seq", box.alias("x"), nxt.alias("y")).where("y is not null").select("doc_id", "seq", g.overlaps("x", "y").alias("overlaps"))
+
+
 @register(f"WITH {_CANDIDATES} SELECT doc_id, count(*) AS n_tables, count(*) FILTER (WHERE source = 'detected') AS n_detected, count(*) FILTER (WHERE source = 'missed') AS n_missed, count(*) FILTER (WHERE source = 'continuation') AS n_continuation, count(*) FILTER (WHERE source = 'picture_table') AS n_picture_table FROM cand GROUP BY doc_id", ("items",))
 def source_counts(spark, sf_dir):
     items = _titled(_items(spark, sf_dir))
@@ -458,6 +537,19 @@ def merge_target(spark, sf_dir):
     return ch.merge_to_target(_chunks(spark, sf_dir)).select("doc_id", "ord", "text", F.array_join("original_orders", ",").alias("orders"), "merged")
 
 
+@register(
+    f"""WITH {_GROUPS}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY ord) AS n, length(text) AS size FROM grp),
+    f AS (SELECT doc_id, grp, n, 1 AS gid, size FROM c WHERE n = 1
+      UNION ALL SELECT c.doc_id, c.grp, c.n, f.gid + CASE WHEN f.size < 512 AND f.size + c.size + 2 <= 2000 THEN 0 ELSE 1 END, CASE WHEN f.size < 512 AND f.size + c.size + 2 <= 2000 THEN f.size + c.size + 2 ELSE c.size END FROM f JOIN c ON c.doc_id = f.doc_id AND c.grp = f.grp AND c.n = f.n + 1),
+    gs AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id, grp, gid), mg AS (SELECT doc_id, count(*) AS text_after, count(*) FILTER (WHERE n > 1) AS rewritten FROM gs GROUP BY doc_id),
+    b AS (SELECT doc_id, count(*) FILTER (WHERE chunk_type = 'text') AS text_before, count(*) FILTER (WHERE chunk_type <> 'text') AS non_text FROM chunks GROUP BY doc_id)
+    SELECT b.doc_id, text_before, coalesce(text_after, 0) AS text_after, text_before - coalesce(text_after, 0) AS deleted, coalesce(rewritten, 0) AS rewritten, non_text FROM b LEFT JOIN mg USING (doc_id)""",
+    ("chunks",),
+)
+def remerge_dry_run(spark, sf_dir):
+    return pl.remerge_plan(_chunks(spark, sf_dir))
+
+
 @register("SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, CASE WHEN seq % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE t END DESC, seq) - 1 AS ord FROM items", ("items",))
 def renumber(spark, sf_dir):
     return ch.renumber(_items(spark, sf_dir).withColumn("t", F.when(F.col("seq") % 11 != 0, F.col("t")))).select("doc_id", "seq", "ord")
@@ -550,7 +642,20 @@ def real_tables(spark, sf_dir):
     return odd.where(tb.is_real_table(F.col("markdown"))).select("doc_id", "seq")
 
 
-@register()
+@register(
+    r"""WITH tp AS (SELECT *, [trim(x, ' ') FOR x IN string_split(markdown, chr(10)) IF starts_with(trim(x, ' '), '|')] AS bars FROM vlm WHERE success AND markdown <> ''),
+    ts AS (SELECT *, list_position([regexp_matches(x, '^\|[|:\- ]*$') AND contains(x, '-') FOR x IN bars], TRUE) AS sep FROM tp),
+    tc AS (SELECT *, CASE WHEN sep > 1 THEN bars[sep - 1] END AS head, CASE WHEN sep > 0 THEN bars[sep] END AS rule, len(string_split(trim(bars[CASE WHEN sep > 0 THEN sep ELSE 1 END], '|'), '|')) AS cc, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY t DESC, seq) AS rk FROM ts),
+    pg AS (SELECT doc_id, page_no, list(cc ORDER BY rk)[1] AS fcc, list(t ORDER BY rk)[1] AS ft, list(cc ORDER BY rk)[-1] AS lcc, list(head ORDER BY rk)[-1] AS lh, list(rule ORDER BY rk)[-1] AS lr FROM tc GROUP BY doc_id, page_no),
+    nx AS (SELECT *, row_number() OVER w AS n, lag(page_no) OVER w AS pp, lag(lcc) OVER w AS pcc, lag(lh) OVER w AS ph, lag(lr) OVER w AS pr FROM pg WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)),
+    fx AS (SELECT *, coalesce(pp = page_no - 1 AND pcc = fcc AND fcc >= 3 AND ft >= 650, FALSE) AS fits, ph IS NOT NULL AND pr IS NOT NULL AS own FROM nx),
+    ch AS (SELECT doc_id, n, page_no, CAST(NULL AS VARCHAR) AS h, CAST(NULL AS VARCHAR) AS r, CAST(NULL AS INT) AS o FROM fx WHERE n = 1
+      UNION ALL SELECT fx.doc_id, fx.n, fx.page_no, CASE WHEN fits AND o IS NOT NULL THEN h WHEN fits AND own THEN ph END, CASE WHEN fits AND o IS NOT NULL THEN r WHEN fits AND own THEN pr END, CASE WHEN fits AND o IS NOT NULL THEN o WHEN fits AND own THEN pp END FROM ch JOIN fx ON fx.doc_id = ch.doc_id AND fx.n = ch.n + 1),
+    dt AS (SELECT tc.*, h, r, o, [x FOR x IN bars IF NOT (regexp_matches(x, '^\|[|:\- ]*$') AND contains(x, '-'))] AS d FROM tc JOIN ch USING (doc_id, page_no)),
+    cl AS (SELECT *, CASE WHEN list_max([length(trim(c, ' ')) FOR c IN string_split(trim(d[1], '|'), '|')]) <= 35 THEN d[2:] ELSE d END AS dd FROM dt)
+    SELECT doc_id, page_no, seq, CASE WHEN rk = 1 AND o IS NOT NULL THEN array_to_string(list_concat(CASE WHEN doc_id % 3 = 0 THEN ['Title'] ELSE [] END, [h, r], dd), chr(10)) ELSE markdown END AS markdown, CASE WHEN rk = 1 THEN o END AS continuation_of FROM cl""",
+    ("vlm",),
+)
 def link_tables(spark, sf_dir):
     return tb.link_pages(tb.linkable(table(spark, sf_dir, "vlm"))).select("doc_id", "page_no", "seq", "markdown", "continuation_of")
 
@@ -587,6 +692,32 @@ def _runs(spark, sf_dir):
     return s.where("state in ('complete', 'failed')").select(F.concat(F.lit("tool"), F.col("batch") % 3).alias("tool"), (F.col("state") == "complete").alias("ok"), F.col("duration").alias("seconds"), (F.col("doc_id") % 5000).alias("chars"), "pages")
 
 
+def _strict(content: bytes) -> list[str]:
+    if len(content) > 4000:
+        raise ValueError("too long")
+    return [content.decode()]
+
+
+@register(
+    """WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT 'lines' AS tool, count(*) AS n_ok, 0 AS n_failed, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS pages, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS chars FROM d
+    UNION ALL SELECT 'strict', count(*) FILTER (WHERE n <= 4000), count(*) FILTER (WHERE n > 4000), count(*) FILTER (WHERE n <= 4000), CAST(sum(CASE WHEN n <= 4000 THEN length(text) ELSE 0 END) AS BIGINT) FROM d"""
+)
+def tool_comparison(spark, sf_dir):
+    """Two parsers over the bytes of every document."""
+    files = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.encode("text", "UTF-8").alias("content"))
+    runs = rd.extract_by_tool(files, {"lines": lambda x: x.decode().split("\n"), "strict": _strict})
+    pages = runs.groupBy("tool").agg(F.sum("pages").alias("pages"))
+    return ql.tool_summary(runs).join(pages, "tool").select("tool", "n_ok", "n_failed", "pages", "chars")
+
+
+@register("SELECT CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' ELSE 'formula' END AS kind, count(*) AS n, count(*) FILTER (WHERE state = 'complete') AS n_ok, CAST(sum(doc_id % 900) AS BIGINT) AS tokens_in, CAST(sum(doc_id % 300) AS BIGINT) AS tokens_out FROM state GROUP BY 1", ("state",))
+def usage_by_kind(spark, sf_dir):
+    s = table(spark, sf_dir, "state")
+    k = F.col("doc_id")
+    return ql.usage_by_kind(s.select(F.when(k % 3 == 0, "table").when(k % 3 == 1, "picture").otherwise("formula").alias("kind"), (F.col("state") == "complete").alias("success"), (k % 900).alias("tokens_in"), (k % 300).alias("tokens_out")))
+
+
 @register("SELECT 'tool' || (batch % 3) AS tool, round(sum(duration), 3) AS seconds, CAST(sum(doc_id % 5000) AS BIGINT) AS chars, count(*) FILTER (WHERE state = 'complete') AS n_ok, count(*) FILTER (WHERE state = 'failed') AS n_failed, round(sum(CASE WHEN state = 'complete' THEN duration END) / greatest(count(*) FILTER (WHERE state = 'complete'), 1), 4) AS avg_seconds FROM state WHERE state IN ('complete', 'failed') GROUP BY 1", ("state",))
 def tool_summary(spark, sf_dir):
     return ql.tool_summary(_runs(spark, sf_dir))
@@ -905,10 +1036,17 @@ def rerank_model(spark, sf_dir):
     return rt.rerank(cand, q, 5, md.rerank_scorer(md.Offline())).select("query_id", "point_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
-@register(f"{_CHAIN} SELECT query_id, point_id, rank, document_id, page_no, chunk_type, lang, CAST(NULL AS VARCHAR) AS figure_type, FALSE AS is_complex_table, 0 AS ord FROM cand JOIN (SELECT point_id, lang FROM points) USING (point_id)", ("points",))
+@register(
+    f"""{_CHAIN} SELECT query_id, point_id, rank, document_id, page_no, chunk_type, CASE WHEN point_id % 4 = 0 THEN 'chart' END AS figure_type, CASE WHEN point_id % 5 = 0 THEN FALSE ELSE point_id % 3 = 0 END AS is_complex_table,
+    CASE WHEN point_id % 7 = 0 THEN 0 ELSE CAST(point_id % 100 AS INT) END AS ord FROM cand""",
+    ("points",),
+)
 def hit_payload(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    return _ranked(spark, sf_dir)[1].join(p.select("point_id", "lang"), "point_id").select("query_id", "point_id", "rank", "document_id", "page_no", "chunk_type", "lang", "figure_type", "is_complex_table", "ord")
+    """Hits with payload columns that some points lack."""
+    k = F.col("point_id")
+    p = _points(spark, sf_dir).withColumns({"figure_type": F.when(k % 4 == 0, "chart"), "is_complex_table": F.when(k % 5 > 0, k % 3 == 0), "ord": F.when(k % 7 > 0, (k % 100).cast("int"))})
+    hits = rt.with_payload(rt.hybrid(p, _queries(spark, sf_dir, scoped=True), K), p)
+    return hits.select("query_id", "point_id", "rank", "document_id", "page_no", "chunk_type", "figure_type", "is_complex_table", "ord")
 
 
 @register("SELECT point_id, page_no, text FROM points WHERE doc_id = (SELECT min(doc_id) FROM points WHERE chunk_type = 'table') AND chunk_type = 'table'", ("points",))

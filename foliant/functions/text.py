@@ -127,7 +127,7 @@ def sources(answer: Column) -> Column:
 
 def sse(payload: Column) -> Column:
     """One event-stream frame of a struct."""
-    return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))
+    return F.concat(F.lit("data: "), F.to_json(payload, {"ignoreNullFields": "false"}), F.lit("\n\n"))
 
 
 def model_json(text: Column, schema: str) -> Column:

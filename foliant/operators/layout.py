@@ -192,6 +192,22 @@ def table_candidates(items: DataFrame, detected: DataFrame) -> DataFrame:
     return in_reading_order(every.withColumn("n", n)).withColumn("table_id", F.concat(F.lit("table_"), "n")).drop("n")
 
 
+def extract(items: DataFrame, detected: DataFrame, tables: bool = True, figures: bool = True, formula_pages_too: bool = True) -> DataFrame:
+    """What goes to a vision model, (doc_id, page_no, kind, id, l, t, r, b): tables of every source, figures that are no table candidates, and whole pages with formulas; each kind can be left out."""
+    cols = ["doc_id", "page_no", "kind", "id", "l", "t", "r", "b"]
+    parts = []
+    if tables:
+        parts.append(table_candidates(items, detected).select("*", F.lit("table").alias("kind"), F.col("table_id").alias("id")).select(*cols))
+    if figures:
+        pictures = items.where("item_type = 'picture' and l is not null").where(~g.is_table_picture())
+        n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", *reading()))
+        parts.append(pictures.select("*", F.lit("figure").alias("kind"), F.concat(F.lit("figure_"), n).alias("id")).select(*cols))
+    if formula_pages_too:
+        none = [F.lit(None).cast("double").alias(k) for k in "ltrb"]
+        parts.append(formula_pages(items).select("*", F.lit("formula_page").alias("kind"), F.concat(F.lit("page_"), "page_no").alias("id"), *none).select(*cols))
+    return reduce(DataFrame.unionByName, parts) if parts else items.select(*PAGE, F.lit("").alias("kind"), F.lit("").alias("id"), "l", "t", "r", "b").limit(0)
+
+
 def in_reading_order(tables: DataFrame) -> DataFrame:
     """`place` from 1 in a document: by page, from the top down."""
     w = Window.partitionBy("doc_id").orderBy("page_no", F.desc("t"), *[c for c in ("n", "seq") if c in tables.columns])

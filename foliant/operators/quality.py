@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import text as tx
@@ -16,8 +16,14 @@ def page_quality(pages: DataFrame) -> DataFrame:
 
 def document_quality(pages: DataFrame, garbled_share: float = 0.30) -> DataFrame:
     """Pages by class, and needs_ocr: more than `garbled_share` of the pages that are not empty are garbled."""
+    return rollup(page_quality(pages), garbled_share)
+
+
+def rollup(classified: DataFrame, garbled_share: float = 0.30, *more: Column) -> DataFrame:
+    """document_quality() of pages that are classified already, with `more` aggregates of them."""
     n = lambda k: F.count_if(F.col("page_class") == k)
-    out = page_quality(pages).groupBy("doc_id").agg(F.count("*").alias("pages"), n("ok").alias("ok_pages"), n("empty").alias("empty_pages"), n("garbled").alias("garbled_pages"), F.sum("alphanum").alias("alphanum_chars"))
+    counts = [F.count("*").alias("pages"), n("ok").alias("ok_pages"), n("empty").alias("empty_pages"), n("garbled").alias("garbled_pages"), F.sum("alphanum").alias("alphanum_chars")]
+    out = classified.groupBy("doc_id").agg(*counts, *more)
     full = F.col("pages") - F.col("empty_pages")
     return out.withColumn("needs_ocr", (full > 0) & (F.col("garbled_pages") / full > garbled_share))
 
@@ -37,7 +43,8 @@ def stratified_sample(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     bucket = F.when(F.col("pages") <= 20, "small").when(F.col("pages") <= 100, "medium").otherwise("large")
     ranked = docs.where("pages > 0").withColumn("bucket", bucket).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)))), "doc_id")))
     third = n // 3
-    return ranked.where(F.col("rank") <= F.when(F.col("bucket") == "large", n - 2 * third).otherwise(third))
+    # a plain bound first, so that each task cuts its ranks before the shuffle
+    return ranked.where(F.col("rank") <= max(third, n - 2 * third)).where(F.col("rank") <= F.when(F.col("bucket") == "large", n - 2 * third).otherwise(third))
 
 
 def tool_summary(runs: DataFrame) -> DataFrame:
@@ -45,6 +52,11 @@ def tool_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("tool").agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.sum("chars").alias("chars"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.round(F.sum(F.when(F.col("ok"), F.col("seconds"))) / F.greatest(F.count_if("ok"), F.lit(1)), 4).alias("avg_seconds"))
 
 
+def usage_by_kind(usage: DataFrame) -> DataFrame:
+    """Calls of a model (kind, success, tokens_in, tokens_out) by kind: how many, how many were good, and their tokens."""
+    return usage.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("success").alias("n_ok"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+
+
 def cost_summary(usage: DataFrame, price_in: float = 0.06, price_out: float = 0.24, project_to: int = 1000) -> DataFrame:
     """Token usage (success, tokens_in, tokens_out) priced per million tokens, with averages a document and a projection."""
     cost = F.sum("tokens_in") / 1e6 * price_in + F.sum("tokens_out") / 1e6 * price_out

@@ -41,6 +41,31 @@ def equal_filters(points: DataFrame, filters: dict[str, object]) -> DataFrame:
     return points
 
 
+_KINDS = {"boolean": "^BOOLEAN$", "bigint": "^BIGINT$", "double": "^(DOUBLE|FLOAT|DECIMAL.*|BIGINT)$", "string": "^STRING$"}
+_VARIANT = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+
+
+def in_payload(key: str, kind: str, payload: str = "payload") -> Column:
+    """A key of a free payload (variant); null where it is not there or of another kind."""
+    path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    # a variant would turn "7" and 7.5 into whole numbers
+    own = F.schema_of_variant(F.try_variant_get(payload, path, "variant")).rlike(_KINDS[kind])
+    return F.when(own, F.try_variant_get(payload, path, kind))
+
+
+def free_filters(points: DataFrame, filters: dict[str, object], payload: str = "payload") -> DataFrame:
+    """Rows that equal every given value, in a column of the name where there is one, which reaches the scan, else in the free payload."""
+    for key, value in filters.items():
+        found = F.col(f"`{key}`") if key in points.columns else in_payload(key, _VARIANT[type(value)], payload)
+        points = points.where(found == F.lit(value))
+    return points
+
+
+def with_hot_keys(points: DataFrame, keys: dict[str, str], payload: str = "payload") -> DataFrame:
+    """`points` with keys of the payload that filters often name as columns (name: type), to be stored with it."""
+    return points.withColumns({k: in_payload(k, kind, payload) for k, kind in keys.items()})
+
+
 def in_scope(scope: Column, doc: Column) -> Column:
     return scope.isNull() | (F.size(scope) == 0) | F.array_contains(scope, doc)
 
@@ -233,24 +258,43 @@ def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return queries.select("query_id", "query").join(contexts, "query_id").select("query_id", text.alias("prompt"))
 
 
+def _keys(answers: DataFrame) -> list[str]:
+    """What names an answer: its query, and whatever else the table has beside the text."""
+    return [c for c in answers.columns if c not in ("answer", "error")]
+
+
 def citations(answers: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Sources that the answers (query_id, answer) cite, with what the cited chunk adds where they are empty (a page only where it is null)."""
-    cited = answers.select("query_id", F.posexplode(tx.sources(F.col("answer"))).alias("seq", "s")).select("query_id", "seq", "s.*")
-    chunk = ranked.select("query_id", F.col("final_rank").cast("string").alias("ref"), F.col("document_id").alias("d"), F.col("page_no").alias("p"), F.col("chunk_type").alias("c"), F.left("text", F.lit(120)).alias("e"))
+    """Sources that the answers (query_id, answer, other keys) cite, with what the cited chunk adds where they are empty (a page only where it is null).
+
+    A source whose chunk is not there keeps what it says; excerpts are cut to 120 characters.
+    """
+    keys = _keys(answers)
+    cited = answers.select(*keys, F.posexplode(tx.sources(F.col("answer"))).alias("seq", "s")).select(*keys, "seq", "s.*")
+    chunk = ranked.select("query_id", F.col("final_rank").cast("string").alias("ref"), F.col("document_id").alias("d"), F.col("page_no").alias("p"), F.col("chunk_type").alias("c"), F.col("text").alias("e"))
     both = cited.join(chunk, ["query_id", "ref"], "left")
-    pick = lambda own, other: F.when(tx.falsy(F.col(own)), F.col(other)).otherwise(F.col(own)).alias(own)
-    return both.select("query_id", "seq", "ref", pick("document_id", "d"), F.coalesce("page_no", "p").alias("page_no"), pick("chunk_type", "c"), pick("excerpt", "e"))
+    pick = lambda own, other, none: F.when(tx.falsy(F.col(own)), F.coalesce(other, F.lit(none))).otherwise(F.col(own))
+    excerpt = F.left(pick("excerpt", "e", ""), F.lit(120)).alias("excerpt")
+    return both.select(*keys, "seq", "ref", pick("document_id", "d", "").alias("document_id"), F.coalesce("page_no", "p").alias("page_no"), pick("chunk_type", "c", "text").alias("chunk_type"), excerpt)
 
 
 def events(answers: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(query_id, seq, event): a token frame for each word, one frame of sources, and the end."""
+    """(query_id, other keys, seq, event): a token frame for each word, one frame of sources (perhaps of none), and the end.
+
+    An answer whose `error` is not null broke off: its words are followed by a frame of the error instead.
+    """
+    keys = _keys(answers)
+    error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+    every = answers.withColumn("error", error)
     words = F.regexp_extract_all(F.regexp_replace("answer", tx.SOURCES_BLOCK, ""), F.lit(r"\S+\s*"), F.lit(0))
-    tokens = answers.select("query_id", F.posexplode(words).alias("seq", "w")).select("query_id", "seq", tx.sse(F.struct(F.col("w").alias("token"))).alias("event"))
-    cited = citations(answers, ranked).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.struct("ref", "document_id", "page_no", "chunk_type", "excerpt").alias("s")))).alias("x"))
+    tokens = every.select(*keys, F.posexplode(words).alias("seq", "w")).select(*keys, "seq", tx.sse(F.struct(F.col("w").alias("token"))).alias("event"))
+    source = F.struct("ref", "document_id", "page_no", "chunk_type", "excerpt")
+    cited = citations(answers.select(*keys, "answer"), ranked).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", source.alias("s")))).alias("x"))
     last = F.lit(1 << 30)
-    sources = answers.select("query_id").join(cited, "query_id", "left").where("x is not null").select("query_id", last.alias("seq"), tx.sse(F.struct(F.transform("x", lambda v: v["s"]).alias("sources"))).alias("event"))
-    done = answers.select("query_id", (last + 1).alias("seq"), F.lit("data: [DONE]\n\n").alias("event"))
-    return tokens.unionByName(sources).unionByName(done)
+    listed = F.coalesce(F.transform("x", lambda v: v["s"]), F.array().cast(tx.SOURCES_TYPE))
+    frame = F.when(F.col("error").isNotNull(), tx.sse(F.struct("error"))).otherwise(tx.sse(F.struct(listed.alias("sources"))))
+    closing = every.select(*keys, "error").join(cited, keys, "left").select(*keys, last.alias("seq"), frame.alias("event"))
+    done = every.select(*keys, (last + 1).alias("seq"), F.lit("data: [DONE]\n\n").alias("event"))
+    return tokens.unionByName(closing).unionByName(done)
 
 
 def document(points: DataFrame, doc_id: object, chunk_type: str | None = None) -> DataFrame:

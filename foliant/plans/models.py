@@ -99,6 +99,32 @@ def embed(text: Column, models: Models, batch: int = 512) -> Column:
     return F.pandas_udf(run, "array<float>")(text)
 
 
+def _one_by_one(models: Models, texts: list[str]) -> list[list[float]]:
+    """Vectors of a batch; if it fails each text is tried alone, and only those that fail then have none."""
+    try:
+        return models.embed(texts)
+    except Exception:
+        return [[]] if len(texts) == 1 else [_one_by_one(models, [t])[0] for t in texts]
+
+
+def timed_embed(text: Column, models: Models, batch: int = 512) -> Column:
+    """Struct of the vector of embed() and the text's share of the seconds that its batch took."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            vectors: list[list[float]] = []
+            seconds: list[float] = []
+            for i in range(0, len(s), batch):
+                texts = s.iloc[i : i + batch].fillna("").tolist()
+                began = time.perf_counter()
+                got = _one_by_one(models, texts)
+                seconds += [(time.perf_counter() - began) / len(texts)] * len(texts)
+                vectors += [[] if not t else v for t, v in zip(texts, got, strict=True)]
+            yield pd.DataFrame({"vector": vectors, "seconds": seconds})
+
+    return F.pandas_udf(run, "vector array<float>, seconds double")(text)
+
+
 def rerank_scorer(models: Models):
     """A scorer for operators.retrieval.rerank(); a failing batch has no scores."""
 

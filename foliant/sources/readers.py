@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,6 +44,25 @@ def extract(files: DataFrame, parser: Callable[[bytes], list[str]]) -> DataFrame
     return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page_texts array<string>, error string")
 
 
+def extract_by_tool(files: DataFrame, parsers: dict[str, Callable[[bytes], list[str]]]) -> DataFrame:
+    """(tool, doc_id, ok, seconds, pages, chars, error): every parser over every file, each file read once; for quality.tool_summary()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, content in zip(b["doc_id"], b["content"], strict=True):
+                for tool, parser in parsers.items():
+                    began = time.perf_counter()
+                    try:
+                        texts, error = parser(content), None
+                    except Exception as e:
+                        texts, error = [], f"{type(e).__name__}: {e}"
+                    rows.append((tool, doc, error is None, time.perf_counter() - began, len(texts), sum(map(len, texts)), error))
+            yield pd.DataFrame(rows, columns=["tool", "doc_id", "ok", "seconds", "pages", "chars", "error"])
+
+    return files.select("doc_id", "content").mapInPandas(run, "tool string, doc_id string, ok boolean, seconds double, pages long, chars long, error string")
+
+
 def pages_of(parsed: DataFrame) -> DataFrame:
     """(doc_id, page_no, text) with soft hyphens removed; pages count from 1."""
     return parsed.select("doc_id", F.posexplode("page_texts").alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_no"), tx.clean_hyphens(F.col("text")).alias("text"))
@@ -146,24 +166,27 @@ def search_pages(spark: SparkSession, fetch: Callable[[int], list[tuple]], schem
     return spark.read.format("foliant_search").load()
 
 
-def layout(files: DataFrame, parser: Callable[[bytes, bool], list[tuple]], item: str, wanted: DataFrame | None = None, images: bool = True) -> DataFrame:
-    """(doc_id, items, error) by a layout model of (bytes, with images); a file that fails, or a document of `wanted` without a file, has an error."""
+def layout(files: DataFrame, parser: Callable[[bytes, bool], list[tuple]], item: str, wanted: DataFrame | None = None, images: bool = True, timed: bool = False) -> DataFrame:
+    """(doc_id, items, error, with `timed` also seconds) by a layout model of (bytes, with images); a file that fails, or a document of `wanted` without a file, has an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, content in zip(b["doc_id"], b["content"], strict=True):
+                began = time.perf_counter()
                 try:
-                    rows.append((doc, parser(content, images), None))
+                    found, error = parser(content, images), None
                 except Exception as e:
-                    rows.append((doc, None, str(e)))
-            yield pd.DataFrame(rows, columns=["doc_id", "items", "error"])
+                    found, error = None, str(e)
+                rows.append((doc, found, error, time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["doc_id", "items", "error", "seconds"])
 
-    got = files.select("doc_id", "content").mapInPandas(run, f"doc_id string, items array<struct<{item}>>, error string")
+    got = files.select("doc_id", "content").mapInPandas(run, f"doc_id string, items array<struct<{item}>>, error string, seconds double")
+    got = got if timed else got.drop("seconds")
     if wanted is None:
         return got
     whole = wanted.select("doc_id").join(got.withColumn("there", F.lit(True)), "doc_id", "left")
-    return whole.select("doc_id", "items", F.when(F.col("there").isNull(), "File not found").otherwise(F.col("error")).alias("error"))
+    return whole.select("doc_id", "items", F.when(F.col("there").isNull(), "File not found").otherwise(F.col("error")).alias("error"), *(["seconds"] if timed else []))
 
 
 def points(spark: SparkSession, path: str) -> DataFrame:
@@ -187,17 +210,22 @@ def unseen(found: DataFrame, there: DataFrame, min_mb: float = 0.0, max_mb: floa
     return sized.dropDuplicates(["doc_id"]).join(there.select("doc_id"), "doc_id", "left_anti")
 
 
+#: Characters of the piece of an id by which stems are looked up.
+GRAM = 8
+
+
 def find_pdf(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(document_id, path): the file of that stem, else the least path whose stem contains the id.
 
-    For the second, stems are taken apart into the substrings of the lengths that the ids left over have, and joined by equality.
+    For the second, the ids left over meet the stems that have their first GRAM characters (of a shorter id, all) somewhere, and are then
+    looked for whole; so a stem gives at most GRAM rows a character, whatever lengths ids have.
     """
     f = files.select("path", tx.stem(F.col("path")).alias("stem"))
     exact = wanted.select("document_id").distinct().join(f, F.col("document_id") == F.col("stem"), "left").groupBy("document_id").agg(F.min("path").alias("path"))
     rest = exact.where("path is null").select("document_id")
-    sizes = rest.agg(F.collect_set(F.length("document_id")).alias("sizes")).withColumn("one", F.lit(1))
-    part = lambda k: F.transform(F.sequence(F.lit(1), F.length("stem") - k + 1), lambda i: F.substring("stem", i, k))
-    fits = F.filter("sizes", lambda k: (k > 0) & (k <= F.length("stem")))
-    parts = f.withColumn("one", F.lit(1)).join(F.broadcast(sizes), "one").select("path", F.explode(F.array_distinct(F.flatten(F.transform(fits, part)))).alias("document_id"))
-    loose = rest.join(parts, "document_id").groupBy("document_id").agg(F.min("path").alias("loose"))
+    ids = rest.where(F.length("document_id") > 0).withColumn("gram", F.left("document_id", F.lit(GRAM)))
+    lengths = ids.select(F.length("gram").alias("k"), F.lit(1).alias("one")).distinct()  # at most GRAM rows
+    grams = F.transform(F.sequence(F.lit(1), F.length("stem") - F.col("k") + 1), lambda i: F.substring(F.col("stem"), i, F.col("k")))
+    parts = f.withColumn("one", F.lit(1)).join(F.broadcast(lengths), "one").where(F.length("stem") >= F.col("k")).select("path", "stem", F.explode(F.array_distinct(grams)).alias("gram"))
+    loose = ids.join(parts, "gram").where(F.col("stem").contains(F.col("document_id"))).groupBy("document_id").agg(F.min("path").alias("loose"))
     return exact.join(loose, "document_id", "left").select("document_id", F.coalesce("path", "loose").alias("path"))

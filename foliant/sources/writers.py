@@ -13,6 +13,14 @@ def create_collection(spark: SparkSession, name: str, schema: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}, bucket INT) USING parquet PARTITIONED BY (bucket)")
 
 
+def store_bucketed(points: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The points as a bucketed table at `path`, sorted by document; tables of as many buckets join on doc_id without a shuffle."""
+    files = points.repartition(buckets, "doc_id")
+    sort = [c for c in ("doc_id", "ord") if c in points.columns]
+    files.write.mode("overwrite").format("parquet").bucketBy(buckets, "doc_id").sortBy(*sort).option("path", path).saveAsTable(name)
+    return points.sparkSession.table(name)
+
+
 def drop_collection(spark: SparkSession, name: str) -> bool:
     """True if there was one."""
     there = spark.catalog.tableExists(name)
@@ -120,5 +128,10 @@ def encoded(values: DataFrame) -> DataFrame:
     return values.select(*[as_text(f).alias(f.name) for f in values.schema])
 
 
+def write_env(spark: SparkSession, settings: dict[str, object], path: str) -> None:
+    """The settings as a text file of KEY=value lines, which readers.settings() reads."""
+    spark.createDataFrame([(env_lines(settings).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def env_lines(settings: dict[str, object]) -> str:
     return "".join(f"{k}={v}\n" for k, v in settings.items())

@@ -10,7 +10,7 @@ document to Parquet folders by route and language:
 * `ocr`: more are, so the whole document goes to optical character recognition
 * `empty`: no page has enough letters and digits
 
-Running it again replaces the output by the same rows. Rows of one doc_id are pages of one document, in the order of their texts; those without
+Running it again replaces the output by the same rows. Rows of one doc_id are one document, whose pages count together; those without
 an id are left out and counted in the log; a null or empty text has no pages and its route is `empty`.
 """
 
@@ -20,7 +20,6 @@ import argparse
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from foliant.operators import quality
 from jobs.common import config, log, started
@@ -29,21 +28,20 @@ SCHEMA = "doc_id long, source string, pages long, ok_pages long, empty_pages lon
 
 
 def pages(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, page_no, text): the texts in pieces of `size` characters, numbered from 1 in each document."""
-    cut = documents.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("at", "page"))
-    order = Window.partitionBy("doc_id").orderBy("text", "at")
-    return cut.select("doc_id", F.row_number().over(order).alias("page_no"), F.col("page").alias("text"))
+    """(doc_id, page_no, text): the texts in pieces of `size` characters, numbered from 1."""
+    cut = documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("at", "text"))
+    return cut.select("doc_id", (F.col("at") + 1).alias("page_no"), "text")
 
 
 def triage(documents: DataFrame, settings: dict[str, Any]) -> DataFrame:
     """One row a document, with its route."""
     known = documents.where("doc_id is not null")
-    paged = pages(known, settings["page_chars"])
-    judged = quality.document_quality(paged, settings["garbled_share"])
-    bad = quality.page_quality(paged).where("page_class = 'garbled'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("page_no")), ",").alias("ocr_pages"))
+    bad = F.collect_list(F.when(F.col("page_class") == "garbled", F.col("page_no")))
+    judged = quality.rollup(quality.page_quality(pages(known, settings["page_chars"])), settings["garbled_share"], F.array_join(F.sort_array(bad), ",").alias("ocr_pages"))
     counts = ["pages", "ok_pages", "empty_pages", "garbled_pages", "alphanum_chars"]
+    # documents without a page have no class, but a row
     one = known.groupBy("doc_id").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
-    out = one.join(judged, "doc_id", "left").join(bad, "doc_id", "left").na.fill(0, counts).na.fill("", ["ocr_pages"])
+    out = one.join(judged, "doc_id", "left").na.fill(0, counts).na.fill("", ["ocr_pages"])
     route = F.when(F.col("pages") == F.col("empty_pages"), "empty").when(F.col("needs_ocr"), "ocr").when(F.col("garbled_pages") > 0, "partial").otherwise("text")
     return out.select("doc_id", "source", *counts, "ocr_pages", route.alias("route"), "lang")
 

@@ -174,3 +174,65 @@ def test_ingest_stream_and_retrieve(spark, tmp_path):
     assert last.event == "data: [DONE]\n\n"
     every, changes = pl.remerge(points.drop("epoch"), "c")
     assert every.count() == 2 and changes.count() == 0
+
+
+def test_process_gives_a_row_for_every_document(spark):
+    item = "seq int, item_type string, label string, level int, text string, page_no int, l double, t double, r double, b double"
+    line = lambda k, text: (k, "text", "text", 0, text, 1, 50.0, 700.0 - 40 * k, 550.0, 670.0 - 40 * k)
+
+    def parser(content, images):
+        if content == b"broken":
+            raise ValueError("not a document")
+        return [line(k, t) for k, t in enumerate(content.decode().split("|")) if t]
+
+    class Picky(md.Offline):
+        def embed(self, texts):
+            if any("refuse" in t for t in texts):
+                raise RuntimeError("no")
+            return super().embed(texts)
+
+    long = "words of a text " * 20
+    files = spark.createDataFrame([("good", f"{long}|{long}".encode()), ("bad", b"broken"), ("none", b""), ("half", f"refuse {long}".encode())], "doc_id string, content binary").repartition(4, "doc_id")
+    points, results = pl.process(files, parser, item, "c", Picky())
+    got = {r.doc_id: r for r in results.collect()}
+    assert {k: (r.success, r.error) for k, r in got.items()} == {"good": (True, None), "bad": (False, "not a document"), "none": (False, "no items"), "half": (False, "1 chunks without a vector")}
+    assert got["good"].points == got["good"].chunks == 2 and got["good"].layout_s > 0 and got["good"].total_s >= got["good"].layout_s
+    assert [r.doc_id for r in points.collect()] == ["good", "good"]
+    for held in results.held:
+        held.unpersist()
+
+
+def test_bucketed_points_join_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('d', id % 40) AS doc_id", "cast(id AS int) AS ord", "'x' AS text")
+    a, b = (wr.store_bucketed(rows, f"bucketed_{k}_{tmp_path.name.replace('-', '_')}", str(tmp_path / k), 8) for k in "ab")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b.select("doc_id", "ord").withColumnRenamed("ord", "o"), "doc_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_settings_and_payload_filters(spark, tmp_path):
+    from foliant.operators import retrieval as rt
+
+    wr.write_env(spark, {"A": 1, "B": "x=y"}, str(tmp_path / "env"))
+    assert {r.key: r.value for r in rd.settings(spark.read.text(str(tmp_path / "env"), wholetext=True)).collect()} == {"A": "1", "B": "x=y"}
+    rows = [(1, "en", '{"k": 7, "a.b": true, "it\'s": "q"}'), (2, "en", '{"k": "7"}'), (3, "de", '{"k": 7}'), (4, "en", "no json"), (5, "en", None), (6, "en", '{"k": 7.5}')]
+    p = spark.createDataFrame(rows, "point_id long, lang string, raw string").withColumn("payload", F.try_parse_json("raw"))
+    ids = lambda **x: sorted(r.point_id for r in rt.free_filters(p, x).collect())
+    assert ids(k=7, lang="en") == [1] and ids(lang="de") == [3] and ids(**{"a.b": True}) == [1] and ids(**{"it's": "q"}) == [1] and ids(gone=1) == []
+    rt.with_hot_keys(p, {"k": "bigint"}).drop("payload").write.parquet(str(tmp_path / "hot"))
+    plan = rt.free_filters(spark.read.parquet(str(tmp_path / "hot")), {"k": 7})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,7)" in plan
+
+
+def test_error_frames(spark):
+    from foliant.operators import retrieval as rt
+
+    answers = spark.createDataFrame([("q", 1, "half an", "lost"), ("q", 2, "all", None)], "query_id string, turn int, answer string, error string")
+    ranked = spark.createDataFrame([], "query_id string, final_rank int, document_id string, page_no int, chunk_type string, text string")
+    got = {t: [r.event for r in rt.events(answers, ranked).where(F.col("turn") == t).orderBy("seq").collect()] for t in (1, 2)}
+    assert got[1] == ['data: {"token":"half "}\n\n', 'data: {"token":"an"}\n\n', 'data: {"error":"lost"}\n\n', "data: [DONE]\n\n"]
+    assert got[2] == ['data: {"token":"all"}\n\n', 'data: {"sources":[]}\n\n', "data: [DONE]\n\n"]
