@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as tx
 from foliant.operators.folds import ordered_fold
+from foliant.session import stored
 
 MIN_SIZE, MAX_SIZE, TARGET = 150, 2000, 512
 
@@ -172,7 +173,8 @@ def build_chunks(items: DataFrame, vlm: DataFrame, formulas: DataFrame, regions:
     from foliant.operators import layout, tables
 
     stacks = layout.heading_stacks(layout.eligible(items)).select("doc_id", "seq", "headings")
-    boxes = layout.number_boxes(items).join(stacks, ["doc_id", "seq"], "left")
+    # every kind of chunk asks for the numbered boxes
+    boxes = stored(layout.number_boxes(items).join(stacks, ["doc_id", "seq"], "left"), "boxes")
     matched = tables.match_vision(boxes, vlm)
     texts = cover_regions(boxes.where("item_type = 'text'").where(~tx.falsy(F.trim("text"))), regions)
     flow = texts.select("doc_id", "seq", "page_no", "t", "box_num", F.lit("text").alias("chunk_type"), "text", "headings")

@@ -36,22 +36,20 @@ def not_formula(items: DataFrame) -> DataFrame:
 BOX = [*PAGE, "seq", "l", "t", "r", "b"]
 
 
-def centre_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs (i, o) of boxes of a page of which the centre of `inner` may lie in `outer`: all such pairs, and few others.
+def centre_pairs(items: DataFrame, inner: str = "true", outer: str = "true") -> DataFrame:
+    """Pairs (i, o) of boxes of a page of which the centre of `i` (where `inner` holds) may lie in `o` (where `outer` holds): all such pairs, and few others.
 
-    A box of `outer` is put into the cells that it touches of a grid as wide as itself (a power of two), four at most; one of
-    `inner` looks up the cell of its centre in each grid that can hold a box to cover it. So pairs are those of places, not of pages. Boxes that
-    are turned around share no area with any.
+    A box is put into the cells that it touches of a grid as wide as itself (a power of two), four at most; its
+    centre looks up its cell in each grid of the page that can hold a box to cover it. So pairs are those of places, not of pages. Boxes that
+    are turned around share no area with any. Both sides come from one shuffle by page.
     """
-    proper = (F.col("r") > F.col("l")) & (F.col("t") > F.col("b"))
     grid = F.ceil(F.log2(F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b")))).cast("int")
     cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level))
-    o = outer.select(*BOX, "item_type").where(proper).withColumn("_grid", grid)
-    top = o.groupBy(*PAGE).agg(F.max("_grid").alias("_top"))
+    boxes = items.select(*BOX, "item_type").where("r > l and t > b").withColumn("_grid", grid).withColumn("_top", F.max("_grid").over(Window.partitionBy(*PAGE)))
+    o = boxes.where(outer)
     for name, low, high in (("_x", "l", "r"), ("_y", "b", "t")):
         o = o.withColumn(name, F.explode(F.sequence(cell(F.col(low), F.col("_grid")), cell(F.col(high), F.col("_grid")))))
-    i = inner.select(*BOX, "item_type").where(proper).withColumn("_low", grid - 1).alias("i").join(top.alias("o"), _same_page()).where("_low <= _top").select("i.*", "_top")
-    i = i.withColumn("_grid", F.explode(F.sequence("_low", "_top")))
+    i = boxes.where(inner).withColumn("_grid", F.explode(F.sequence(F.col("_grid") - 1, F.col("_top"))))
     i = i.withColumn("_x", cell((F.col("l") + F.col("r")) / 2, F.col("_grid"))).withColumn("_y", cell((F.col("b") + F.col("t")) / 2, F.col("_grid")))
     return i.alias("i").join(o.alias("o"), reduce(Column.__and__, [F.col(f"i.{k}") == F.col(f"o.{k}") for k in ("_grid", "_x", "_y")], _same_page()))
 
@@ -60,10 +58,23 @@ def _same_page() -> Column:
     return F.col("i.doc_id").eqNullSafe(F.col("o.doc_id")) & F.col("i.page_no").eqNullSafe(F.col("o.page_no"))
 
 
-def _without(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`items` that are not the first of any of the pairs."""
-    gone = pairs.select(*[F.col(f"i.{k}").alias(k) for k in BOX]).distinct().alias("o")
-    return items.alias("i").join(gone, reduce(Column.__and__, [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in BOX]), "left_anti")
+def _ends(pairs: DataFrame, side: str = "i") -> DataFrame:
+    return pairs.select(*[F.col(f"{side}.{k}").alias(k) for k in BOX]).distinct()
+
+
+def _without(items: DataFrame, gone: DataFrame) -> DataFrame:
+    """`items` but for the boxes in `gone`, each there once. An outer join, since an anti join would be pushed into each branch of a union, and all that `gone` takes with it."""
+    same = reduce(Column.__and__, [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in BOX])
+    return items.alias("i").join(gone.withColumn("_gone", F.lit(True)).alias("o"), same, "left").where("o._gone is null").select("i.*")
+
+
+def _covered(threshold: float) -> Column:
+    return (F.col("i.seq") != F.col("o.seq")) & (g.area("o") > g.area("i")) & (g.area("i") > 0) & (g.intersection("i", "o") >= threshold * g.area("i"))
+
+
+def _twin(threshold: float) -> Column:
+    inter = g.intersection("i", "o")
+    return (F.col("i.item_type") == "picture") & (F.col("o.item_type") == "table") & (g.area("i") > 0) & (g.area("o") > 0) & (inter >= threshold * g.area("i")) & (inter >= threshold * g.area("o"))
 
 
 def drop_contained(items: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -71,15 +82,22 @@ def drop_contained(items: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     More than half of each side is covered where more than half of the area is, so the larger box holds the centre; for lower thresholds all pairs of a page are compared.
     """
-    pairs = centre_pairs(items, items) if threshold > 0.5 else items.alias("i").join(items.alias("o"), _same_page())
-    return _without(items, pairs.where((F.col("i.seq") != F.col("o.seq")) & (g.area("o") > g.area("i")) & (g.area("i") > 0) & (g.intersection("i", "o") >= threshold * g.area("i"))))
+    pairs = centre_pairs(items) if threshold > 0.5 else items.alias("i").join(items.alias("o"), _same_page())
+    return _without(items, _ends(pairs.where(_covered(threshold))))
 
 
 def drop_duplicate_pictures(items: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Without pictures that a table of the page covers, and that cover it, by `threshold` (over a half) or more."""
-    inter = g.intersection("i", "o")
-    pairs = centre_pairs(items.where("item_type = 'picture'"), items.where("item_type = 'table'"))
-    return _without(items, pairs.where((g.area("i") > 0) & (g.area("o") > 0) & (inter >= threshold * g.area("i")) & (inter >= threshold * g.area("o"))))
+    return _without(items, _ends(centre_pairs(items, "item_type = 'picture'", "item_type = 'table'").where(_twin(threshold))))
+
+
+def drop_overlaps(items: DataFrame, contained: float = 0.8, twin: float = 0.9) -> DataFrame:
+    """drop_duplicate_pictures(drop_contained(items)) from one set of pairs: a picture goes for a table that is not contained in another box itself."""
+    pairs = centre_pairs(items)
+    covered = _ends(pairs.where(_covered(contained)))
+    twins = pairs.where(_twin(twin)).select(*[F.col(f"{x}.{k}").alias(f"{x}_{k}") for x in "io" for k in BOX]).alias("p")
+    kept = twins.join(covered.alias("c"), reduce(Column.__and__, [F.col(f"p.o_{k}").eqNullSafe(F.col(f"c.{k}")) for k in BOX]), "left_anti")
+    return _without(items, covered.union(kept.select(*[F.col(f"i_{k}").alias(k) for k in BOX])).distinct())
 
 
 def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
@@ -89,7 +107,7 @@ def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
     """
     kept = eligible(items)
     kept = kept if formulas_absorb else not_formula(kept)
-    kept = not_formula(drop_duplicate_pictures(drop_contained(kept)))
+    kept = not_formula(drop_overlaps(kept))
     return kept.withColumn("box_num", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*reading())))
 
 

@@ -47,7 +47,10 @@ _VARIANT = {bool: "boolean", int: "bigint", float: "double", str: "string"}
 
 def in_payload(key: str, kind: str, payload: str = "payload") -> Column:
     """A key of a free payload (variant); null where it is not there or of another kind."""
-    path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    mark = '"' if "'" in key else "'"
+    if mark in key:
+        raise ValueError(f"a payload key with both kinds of quotes: {key}")
+    path = f"$[{mark}{key}{mark}]"
     # a variant would turn "7" and 7.5 into whole numbers
     own = F.schema_of_variant(F.try_variant_get(payload, path, "variant")).rlike(_KINDS[kind])
     return F.when(own, F.try_variant_get(payload, path, kind))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant.operators import chunks as ch
 from foliant.operators import retrieval as rt
 from foliant.plans import models as md
+from foliant.session import stored
 from foliant.sources import html, readers
 
 
@@ -68,8 +69,11 @@ def process(files: DataFrame, parser: Callable[[bytes, bool], list[tuple]], item
 
 
 def web_chunks(pages: DataFrame) -> DataFrame:
-    """Chunks of raw web pages (page_id, html), with their tables as they stand there."""
-    items = html.html_items(pages)
+    """Chunks of raw web pages (page_id, html), with their tables as they stand there.
+
+    The pages are read once: their items are written to a folder under spark.checkpoint.dir, from which the steps of layout go on.
+    """
+    items = stored(html.html_items(pages), "web-items")
     return quick(items, html.table_results(items))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -25,6 +25,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` computed once, as a table in a new folder under spark.checkpoint.dir, for plans that read it many times."""
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def local_session(cpus: int | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """local[cpus] in UTC with adaptive execution; `conf` overrides (dots written as two underscores)."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))

@@ -32,6 +32,8 @@ RAW = ("script", "style")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 ALT = re.compile(r"""\balt\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
+#: Items that are handed on together, if a batch of pages has as many.
+OUT_ROWS = 5000
 ITEMS = "doc_id long, seq int, item_type string, label string, level int, text string, page_no int, l double, t double, r double, b double"
 
 
@@ -153,15 +155,20 @@ def html_items(pages: DataFrame, around: frozenset[str] = AROUND) -> DataFrame:
     """Items (doc_id, seq, item_type, label, level, text, page_no and a box) of pages (page_id, html)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "item_type", "label", "level", "text", "seq", "n"]
         for b in batches:
+            rows: list[tuple] = []
             for i, page in zip(b["page_id"], b["html"], strict=True):
                 found = list(blocks(page, around))
-                out = pd.DataFrame([(i, *x, k, len(found)) for k, x in enumerate(found)], columns=names)
-                if len(out):
-                    top = (out["n"] - out["seq"]) * 20.0
-                    yield out.assign(page_no=1, l=50.0, t=top, r=550.0, b=top - 15.0)[[c.split()[0] for c in ITEMS.split(", ")]]
-
+                for k, (kind, label, level, text) in enumerate(found):
+                    top = (len(found) - k) * 20.0
+                    rows.append((i, k, kind, label, level, text, 1, 50.0, top, 550.0, top - 15.0))
+                if len(rows) >= OUT_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    names = [c.split()[0] for c in ITEMS.split(", ")]
     known = pages.where("page_id is not null and html is not null").select(F.col("page_id").cast("long").alias("page_id"), "html")
     return known.mapInPandas(run, ITEMS)
 
