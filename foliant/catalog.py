@@ -1101,9 +1101,20 @@ def html_chunks(spark, sf_dir):
     return pl.web_chunks(table(spark, sf_dir, "pages")).select("doc_id", "ord", "text", F.array_join("headings", " > ").alias("heading"))
 
 
-@register()
+@register(
+    f"""WITH {_ELIGIBLE}, {_J1}, {_J2}, od AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, t DESC, seq) AS n FROM ok),
+    walk AS (SELECT doc_id, n, seq, CASE WHEN label = 'section_header' AND text <> '' THEN [text] ELSE CAST([] AS VARCHAR[]) END AS headings FROM od WHERE n = 1
+      UNION ALL SELECT od.doc_id, od.n, od.seq, CASE WHEN label = 'section_header' AND text <> '' THEN list_concat(headings[1:level], [text]) ELSE headings END FROM walk JOIN od ON od.doc_id = walk.doc_id AND od.n = walk.n + 1),
+    bx AS (SELECT j2.*, array_to_string(headings, ' > ') AS path FROM j2 LEFT JOIN walk ON walk.doc_id = j2.doc_id AND walk.seq = j2.seq WHERE NOT contains(lower(label), 'formula')),
+    fl AS (SELECT doc_id, seq, page_no, t, item_type AS chunk_type, CASE item_type WHEN 'table' THEN '[Table]' WHEN 'picture' THEN '[Figure]' ELSE text END AS text, path FROM bx WHERE item_type <> 'text' OR trim(text, ' ') <> ''),
+    rn AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, t DESC, seq) - 1 AS INT) AS ord FROM fl),
+    mk AS (SELECT *, CASE WHEN chunk_type = 'text' AND length(text) < 150 AND coalesce(lag(chunk_type) OVER w = 'text', FALSE) THEN 0 ELSE 1 END AS starts FROM rn WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+    gp AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY ord) AS gid FROM mk)
+    SELECT doc_id, min(ord) AS ord, arg_min(chunk_type, ord) AS chunk_type, string_agg(text, chr(10) ORDER BY ord) AS text, arg_min(page_no, ord) AS page_no, arg_min(path, ord) AS path FROM gp GROUP BY doc_id, gid""",
+    ("items",),
+)
 def quick_chunks(spark, sf_dir):
-    return pl.quick(_items(spark, sf_dir))
+    return pl.quick(_items(spark, sf_dir)).select("doc_id", "ord", "chunk_type", "text", "page_no", F.array_join("headings", " > ").alias("path"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

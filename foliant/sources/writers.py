@@ -122,6 +122,15 @@ def images(tables: DataFrame, limit: int) -> DataFrame:
     return tables.where("image_base64 is not null").orderBy("table_id").limit(limit).select("table_id", F.unbase64("image_base64").alias("png"), F.concat("table_id", F.lit(".png")).alias("file"))
 
 
+def write_images(tables: DataFrame, path: str, limit: int) -> None:
+    """images() with their bytes as Parquet, and beside it the manifest as JSON lines: id, file name, size and whether the bytes begin as a PNG file does."""
+    rows = images(tables, limit)
+    rows.write.mode("overwrite").parquet(f"{path}/images")
+    stored = tables.sparkSession.read.schema(rows.schema).parquet(f"{path}/images")
+    head = F.substring("png", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))
+    stored.select("table_id", "file", F.length("png").alias("bytes"), head.alias("is_png")).coalesce(1).sortWithinPartitions("table_id").write.mode("overwrite").json(f"{path}/manifest")
+
+
 def encoded(values: DataFrame) -> DataFrame:
     """Nested values of a record as JSON, others as text."""
     as_text = lambda f: F.to_json(f.name) if f.dataType.typeName() in ("struct", "map", "array") else F.col(f.name).cast("string")

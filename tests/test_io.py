@@ -236,3 +236,14 @@ def test_error_frames(spark):
     got = {t: [r.event for r in rt.events(answers, ranked).where(F.col("turn") == t).orderBy("seq").collect()] for t in (1, 2)}
     assert got[1] == ['data: {"token":"half "}\n\n', 'data: {"token":"an"}\n\n', 'data: {"error":"lost"}\n\n', "data: [DONE]\n\n"]
     assert got[2] == ['data: {"token":"all"}\n\n', 'data: {"sources":[]}\n\n', "data: [DONE]\n\n"]
+
+
+def test_images_with_their_manifest(spark, tmp_path):
+    import base64
+
+    png = b"\x89PNG\r\n\x1a\n" + b"data"
+    rows = [(f"t{k}", base64.b64encode(png if k else b"other").decode() if k < 3 else None) for k in range(4)]
+    wr.write_images(spark.createDataFrame(rows, "table_id string, image_base64 string"), str(tmp_path), 2)
+    got = spark.read.json(f"{tmp_path}/manifest").orderBy("table_id").collect()
+    assert [(r.table_id, r.file, r.bytes, r.is_png) for r in got] == [("t0", "t0.png", 5, False), ("t1", "t1.png", 12, True)]
+    assert {bytes(r.png) for r in spark.read.parquet(f"{tmp_path}/images").collect()} == {b"other", png}
