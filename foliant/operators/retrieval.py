@@ -143,11 +143,44 @@ def _dense_part(points: DataFrame, queries: DataFrame, k: int, threshold: float
     return _ranked(slim.mapInPandas(block, f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double"), k)
 
 
+def _counts(terms: Column) -> Column:
+    """(term, tf) of the terms of a sorted array, in order: where a run of equal ones begins, and how far it is to the next."""
+    starts = F.array_compact(F.transform(terms, lambda t, i: F.when((i == 0) | (t != F.get(terms, i - 1)), i)))
+    # an array of one binds the starts, which are asked for once a term
+    runs = lambda a: F.transform(a, lambda at, j: F.struct(F.get(terms, at).alias("term"), (F.coalesce(F.get(a, j + 1), F.size(terms)) - at).cast("long").alias("tf")))
+    return F.get(F.transform(F.array(starts), runs), 0)
+
+
+def repeated_ids(points: DataFrame) -> DataFrame | None:
+    """(point_id) of the points that have several rows, if there are any."""
+    twice = points.groupBy("point_id").agg(F.count("*").alias("n")).where("n > 1").select("point_id")
+    return None if twice.isEmpty() else twice
+
+
+def counted(points: DataFrame, twice: DataFrame | None) -> DataFrame:
+    """(point_id, doc_id, dl, rows, counts): a row for each point, with its terms and how often they stand in it.
+
+    Terms are counted in the row, so texts are not shuffled. Only rows of the ids in `twice`, which are repeated_ids(), are put
+    together: those of one doc_id and length are one row here, and `rows` says how many they were.
+    """
+    each = points.select("point_id", "doc_id", vx.terms(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
+    same, one = ["point_id", "doc_id", "dl"], F.lit(1).cast("long").alias("rows")
+    rows = each.select(*same, one, "ts")
+    if twice is not None:
+        split = lambda how: each.alias("e").join(small(twice).alias("w"), F.col("e.point_id").eqNullSafe(F.col("w.point_id")), how)
+        again = split("left_semi").groupBy(*same).agg(F.count("*").alias("rows"), F.flatten(F.collect_list("ts")).alias("ts"))
+        rows = split("left_anti").select(*same, one, "ts").unionByName(again)
+    return rows.select(*same, "rows", F.sort_array("ts").alias("ts")).select(*same, "rows", _counts(F.col("ts")).alias("counts"))
+
+
+def exploded(counts: DataFrame) -> DataFrame:
+    """(point_id, doc_id, dl, term, tf) of counted() points."""
+    return counts.select("point_id", "doc_id", "dl", F.explode("counts").alias("x")).select("point_id", "doc_id", "dl", "x.term", "x.tf")
+
+
 def postings(points: DataFrame) -> DataFrame:
     """(point_id, doc_id, term, tf, dl): one row a term of a point."""
-    t = points.select("point_id", "doc_id", vx.terms(F.col("text")).alias("ts"))
-    t = t.select("point_id", "doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return t.groupBy("point_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return exploded(counted(points, repeated_ids(points)))
 
 
 def corpus_stats(points: DataFrame) -> DataFrame:
@@ -166,10 +199,14 @@ def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def sparse_vectors(points: DataFrame) -> DataFrame:
-    """(point_id, sparse): saturated term weights by term."""
-    p = _with_stats(postings(points), points)
-    w = p.withColumn("w", F.round(_weight(F.col("tf"), F.col("dl"), F.col("avgdl")), 6))
-    return w.groupBy("point_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("sparse"))
+    """(point_id, sparse): saturated term weights by term, of points with terms; nothing is shuffled but the rows of repeated ids."""
+    twice = repeated_ids(points)
+    p = _with_stats(counted(points.where(F.col("text").rlike(r"[\p{L}\p{N}]")), twice), points)
+    w = F.transform("counts", lambda x: F.struct(x["term"].alias("term"), F.round(_weight(x["tf"], F.col("dl"), F.col("avgdl")), 6).alias("w")))
+    ws = p.select("point_id", w.alias("ws"))
+    if twice is not None:
+        ws = ws.groupBy("point_id").agg(F.sort_array(F.flatten(F.collect_list("ws"))).alias("ws"))
+    return ws.select("point_id", F.map_from_entries("ws").alias("sparse"))
 
 
 def sparse_topk(points: DataFrame, queries: DataFrame, k: int, mode: str = "bm25") -> DataFrame:
