@@ -119,7 +119,7 @@ def sparse_topk_tf(spark, sf_dir):
 @register(f"WITH {_Q_SCOPED},{_BM25} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
 def keyword_index_topk(spark, sf_dir):
     """The search of sparse_topk_bm25 in a stored index of two batches, the second of which replaces points of the first."""
-    points, path = _points(spark, sf_dir), fresh_folder(spark, "keyword-index")
+    points, path = table(spark, sf_dir, "points"), fresh_folder(spark, "keyword-index")
     old = points.where("point_id % 10 = 1").withColumn("text", F.concat(F.lit("outdated words "), F.reverse("text")))
     ki.write_batch(points.where("point_id % 2 = 0").unionByName(old), path, 0)
     ki.write_batch(points.where("point_id % 2 = 1"), path, 1, removed=old)

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import vectors as vx
 from foliant.operators import retrieval as rt
-from foliant.session import exists
+from foliant.session import exists, stored
 
 #: Postings of one stored row, on average at most.
 BLOCK = 512
@@ -38,26 +38,36 @@ def write_batch(points: DataFrame, path: str, batch: int, removed: DataFrame | N
 
     `removed` are points (point_id, doc_id, text) of earlier batches, as they were stored, that are gone or come again in this batch.
     """
-    part = lambda name: f"{path}/{name}/batch={batch}"
-    p = rt.postings(points)
-    lengths = lambda rows, sign: rows.select(F.size(vx.terms(F.col("text"))).alias("dl")).agg((sign * F.count("*")).alias("n"), (sign * F.count("dl")).alias("n_dl"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("dl"))
-    stats, terms = lengths(points, 1), p.groupBy("term").agg(F.count("*").alias("df"))
+    spark, part = points.sparkSession, lambda name: f"{path}/{name}/batch={batch}"
+    # texts are cut into terms once; all that is stored comes from their counts
+    counts = stored(rt.counted(points, rt.repeated_ids(points)), "counts")
+    stats = _lengths(counts, 1)
     if removed is not None:
-        stats = stats.unionByName(lengths(removed, -1))
-        terms = terms.unionByName(rt.postings(removed).groupBy("term").agg((-F.count("*")).alias("df")))
-        removed.select("point_id").distinct().write.mode("overwrite").parquet(part("removed"))
+        gone = stored(rt.counted(removed, rt.repeated_ids(removed)), "counts")
+        stats = stats.unionByName(_lengths(gone, -1))
+        gone.select("point_id").distinct().write.mode("overwrite").parquet(part("removed"))
     stats.coalesce(1).write.mode("overwrite").parquet(part("stats"))
-    terms.groupBy(_bucket(F.col("term")).alias("bucket"), "term").agg(F.sum("df").alias("df")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(part("terms"))
-    mean = points.sparkSession.read.parquet(part("stats")).agg(F.try_divide(F.sum("dl"), F.sum("n_dl"))).first()[0] or 1.0
+    mean = spark.read.parquet(part("stats")).agg(F.try_divide(F.sum("dl"), F.sum("n_dl"))).first()[0] or 1.0
     share = rt._weight(F.col("tf"), F.col("dl"), F.lit(max(float(mean), 1.0))) / (rt.K1 + 1)
-    p = p.withColumn("level", F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int"))
+    p = rt.exploded(counts).withColumn("level", F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int"))
     sizes = p.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     sizes.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(part("levels"))
+    sizes = spark.read.schema("term string, level int, n long, bucket int").parquet(part("levels"))
+    terms = sizes.select("bucket", "term", F.col("n").alias("df"))
+    if removed is not None:
+        terms = terms.unionByName(rt.exploded(gone).groupBy("term").agg((-F.count("*")).alias("df")).select(_bucket(F.col("term")).alias("bucket"), "term", "df"))
+    terms.groupBy("bucket", "term").agg(F.sum("df").alias("df")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(part("terms"))
     # a hot term's level is cut into rows by a hash of the point, so no task gathers it
-    cuts = sizes.where(F.col("n") > BLOCK).select("term", "level", F.ceil(F.col("n") / BLOCK).alias("cuts"))
+    cuts = rt.small(sizes.where(F.col("n") > BLOCK).select("term", "level", F.ceil(F.col("n") / BLOCK).alias("cuts")))
     cut = p.join(cuts, ["term", "level"], "left").withColumn("cut", F.pmod(F.xxhash64("point_id"), F.coalesce("cuts", F.lit(1))).cast("int"))
     rows = cut.groupBy("term", "level", "cut").agg(F.collect_list(F.struct("point_id", "doc_id", F.col("tf").cast("int").alias("tf"), "dl")).alias("postings"))
-    rows.drop("cut").withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket", "term").sortWithinPartitions("bucket", "term", "level").write.mode("overwrite").partitionBy("bucket").parquet(part("postings"))
+    rows.drop("cut").withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "level").write.mode("overwrite").partitionBy("bucket").parquet(part("postings"))
+
+
+def _lengths(counts: DataFrame, sign: int) -> DataFrame:
+    """(n, n_dl, dl) of counted points: rows, those with a text, and the sum of their lengths, times `sign`."""
+    n, texts = F.col("rows"), F.when(F.col("dl").isNotNull(), F.col("rows"))
+    return counts.agg(*[(sign * F.coalesce(F.sum(x), F.lit(0))).alias(name) for name, x in (("n", n), ("n_dl", texts), ("dl", n * F.col("dl")))])
 
 
 class Index:
@@ -111,7 +121,7 @@ def _scores(index: Index, levels: DataFrame) -> DataFrame:
 
 def needed_levels(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """asked_levels(), with `needed`: whether a point with a posting of the level can be among a query's k best."""
-    levels = asked_levels(index, queries)
+    levels = stored(asked_levels(index, queries), "levels")
     before = F.sum("n").over(Window.partitionBy("query_id", "term").orderBy(F.desc("bound"), "level").rowsBetween(Window.unboundedPreceding, -1))
     first = levels.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
     last = rt._ranked(_scores(index, first), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
@@ -120,4 +130,6 @@ def needed_levels(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, point_id, score, rank): the rows of retrieval.sparse_topk() over the stored points, with fewer postings read."""
-    return rt._ranked(_scores(index, needed_levels(index, queries, k).where("needed")), k)
+    needed = needed_levels(index, queries, k).where("needed")
+    # two steps ask for the levels, and the first search behind them is made once
+    return rt._ranked(_scores(index, stored(needed, "levels")), k)

@@ -127,6 +127,19 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     assert ki.search(ki.Index(spark, str(tmp_path / "i")), questions(spark), 10).count() == 0
 
 
+def test_texts_are_cut_into_terms_once_for_a_stored_index(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        asked.add(1)
+        return text
+
+    points = spark.sql(WORDS)
+    ki.write_batch(points.withColumn("text", seen("text")), str(tmp_path / "i"), 0)
+    assert asked.value == points.count()
+
+
 def test_terms_are_counted_where_their_texts_are(spark):
     points = spark.sql("select * from values (1L, 'd', 'b a, B'), (2L, 'd', ''), (3L, 'd', null), (4L, 'd', '?'), (5L, 'd', 'x') as t(point_id, doc_id, text)")
     assert {(r.point_id, r.term, r.tf, r.dl) for r in rt.postings(points).collect()} == {(1, "a", 1, 3), (1, "b", 2, 3), (5, "x", 1, 1)}
@@ -135,8 +148,12 @@ def test_terms_are_counted_where_their_texts_are(spark):
     assert {r.point_id: sorted(r.sparse) for r in made.collect()} == {1: ["a", "b"], 5: ["x"]}
 
 
-def test_rows_that_repeat_an_id_are_postings_of_one_point(spark):
+def test_rows_that_repeat_an_id_are_postings_of_one_point(spark, tmp_path):
     points = spark.sql("select * from values (1L, 'd', 'a b'), (1L, 'd', 'a c'), (1L, 'e', 'f'), (2L, 'd', 'a'), (null, 'd', 'a'), (null, 'd', 'z'), (3L, 'd', null), (3L, 'd', null) as t(point_id, doc_id, text)")
     want = {(1, "d", "a", 2, 2), (1, "d", "b", 1, 2), (1, "d", "c", 1, 2), (1, "e", "f", 1, 1), (2, "d", "a", 1, 1), (None, "d", "a", 1, 1), (None, "d", "z", 1, 1)}
     assert {(r.point_id, r.doc_id, r.term, r.tf, r.dl) for r in rt.postings(points).collect()} == want
     assert {r.point_id: sorted(r.sparse) for r in rt.sparse_vectors(points).collect()} == {1: ["a", "b", "c", "f"], 2: ["a"], None: ["a", "z"]}
+    ki.write_batch(points, str(tmp_path / "i"), 0)
+    index = ki.Index(spark, str(tmp_path / "i"))
+    assert index.stats.select("n", "n_dl", "dl").collect() == [(8, 6, 8)]
+    assert {(r.term, r.df) for r in index.terms.collect()} == {("a", 3), ("b", 1), ("c", 1), ("f", 1), ("z", 1)}
