@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import time
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -13,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+#: Line ends, tabs and spaces of every width.
+BLANKS = "\t\n\f\r" + "".join(c for c in map(chr, range(0x3001)) if unicodedata.category(c) == "Zs")
+
+
 class Models(Protocol):
     """What a deployment provides; each method takes and gives lists of one batch."""
 
@@ -23,17 +28,23 @@ class Models(Protocol):
 
 
 class Offline:
-    """Hashed bag-of-words vectors, word overlap, and an extractive answer that cites the first chunk."""
+    """Hashed bag-of-words vectors, word overlap, and an extractive answer that cites the first chunk.
+
+    Every text with more than spaces, tabs and line ends has a vector of length 1: one whose words cancel out, or that has only other blanks, gets the place of its hash.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
+        hashed = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = hashed(w)
                 out[i, h % self.dim] += 1 if h >> 63 else -1
+            if not out[i].any() and (t or "").strip(BLANKS):
+                out[i, hashed(t.lower()) % self.dim] = 1
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
     def rerank(self, queries: list[str], texts: list[str]) -> list[float]:

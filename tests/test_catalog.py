@@ -44,6 +44,20 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_embedded_points_whose_words_cancel_out(spark, tmp_path):
+    from foliant.plans.models import Offline
+
+    words = [f"w{i}" for i in range(200)]
+    vectors = dict(zip(words, Offline().embed(words), strict=True))
+    pair = next(f"{a} {b}" for a in words for b in words if [-x for x in vectors[a]] == vectors[b])
+    texts = [pair, f"{pair}\n{pair}", "\u00a0", "\u2003\n", "\u000b", "\u0085", " \t\r\n\f", "", None, "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["embedded_points"](spark, str(tmp_path)).select("point_id", "dimensions", "length").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"select point_id, dimensions, length from ({catalog.ORACLE_SQL['embedded_points']})").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
