@@ -132,17 +132,25 @@ def merge_stats(before: DataFrame, after: DataFrame, key: str = "point_id") -> D
     return out.withColumn("text_after", F.col("text_before") - F.col("deleted") + F.col("created"))
 
 
-def cover_regions(boxes: DataFrame, regions: DataFrame) -> DataFrame:
-    """Text boxes with the inline region that covers each, if any: the last region wins; its text stands at its first box and the others vanish.
+def covering(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """(doc_id, page_no, box_num, region) of the boxes that an inline region covers: the last region wins.
 
     A null first box counts as 0 and so matches no box.
     """
     page = ["doc_id", "page_no"]
     r = regions.select(*page, F.col("seq").alias("rseq"), F.coalesce("start_box", F.lit(0)).alias("lo"), F.coalesce("last_box", "start_box", F.lit(0)).alias("hi"), "formatted_text")
-    hit = boxes.select(*page, "box_num").join(r, page).where("box_num between lo and hi").groupBy(*page, "box_num").agg(F.max_by(F.struct("lo", "hi", "formatted_text"), "rseq").alias("region"))
-    out = boxes.join(hit, [*page, "box_num"], "left")
-    text = F.when(F.col("region").isNull(), F.col("text")).when(F.col("box_num") == F.col("region.lo"), F.coalesce("region.formatted_text", "text"))
-    return out.withColumn("text", text).where(F.col("text").isNotNull())
+    return boxes.select(*page, "box_num").join(r, page).where("box_num between lo and hi").groupBy(*page, "box_num").agg(F.max_by(F.struct("lo", "hi", "formatted_text"), "rseq").alias("region"))
+
+
+def region_text(region: str = "region", box: str = "box_num") -> Column:
+    """The text of a box under a region (perhaps none): the region's stands at its first box and the others vanish."""
+    return F.when(F.col(region).isNull(), F.col("text")).when(F.col(box) == F.col(f"{region}.lo"), F.coalesce(f"{region}.formatted_text", "text"))
+
+
+def cover_regions(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """Text boxes with the inline region that covers each, if any, and the text that stands there."""
+    out = boxes.join(covering(boxes, regions), ["doc_id", "page_no", "box_num"], "left")
+    return out.withColumn("text", region_text()).where(F.col("text").isNotNull())
 
 
 def id_changes(before: DataFrame, after: DataFrame, key: str = "point_id") -> DataFrame:
@@ -169,16 +177,28 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
 
 
 def build_chunks(items: DataFrame, vlm: DataFrame, formulas: DataFrame, regions: DataFrame) -> DataFrame:
-    """Chunks of whole documents: overlaps, numbering, headings, table and picture texts, regions and formulas, in reading order."""
+    """Chunks of whole documents: overlaps, numbering, headings, table and picture texts, regions and formulas, in reading order.
+
+    What becomes of each box is found without its text and headings. It then comes to the items as a row, a mark, of the one shuffle
+    by document in which they get their headings and numbers.
+    """
     from foliant.operators import layout, tables
 
-    stacks = layout.heading_stacks(layout.eligible(items)).select("doc_id", "seq", "headings")
+    at = ["doc_id", "page_no", "seq"]
     # every kind of chunk asks for the numbered boxes
-    boxes = stored(layout.number_boxes(items).join(stacks, ["doc_id", "seq"], "left"), "boxes")
-    matched = tables.match_vision(boxes, vlm)
-    texts = cover_regions(boxes.where("item_type = 'text'").where(~tx.falsy(F.trim("text"))), regions)
-    flow = texts.select("doc_id", "seq", "page_no", "t", "box_num", F.lit("text").alias("chunk_type"), "text", "headings")
-    flow = flow.unionByName(matched.where("item_type in ('table', 'picture')").select("doc_id", "seq", "page_no", "t", "box_num", F.col("item_type").alias("chunk_type"), F.col("chunk_text").alias("text"), "headings"))
+    narrow = items.select(*at, "item_type", "label", "l", "t", "r", "b", (~tx.falsy(F.trim("text"))).alias("said"))
+    boxes = stored(layout.number_boxes(narrow).drop("label"), "boxes")
+    texts = boxes.where("item_type = 'text' and said")
+    texts = texts.join(covering(texts, regions), ["doc_id", "page_no", "box_num"], "left").where("region is null or box_num = region.lo")
+    texts = texts.select(*at, F.lit("text").alias("kind"), "box_num", "region", F.lit(None).cast("string").alias("chunk_text"))
+    seen = tables.match_vision(boxes, vlm).select(*at, F.col("item_type").alias("kind"), "box_num", F.lit(None).cast(texts.schema["region"].dataType).alias("region"), "chunk_text")
+    marks = texts.unionByName(seen).select(*at, F.struct("kind", "box_num", "region", "chunk_text").alias("mark"))
     placed = place_formulas(boxes, formulas)
-    f = placed.select("doc_id", F.col("seq").cast("int").alias("seq"), "page_no", "t", F.col("after_box").alias("box_num"), F.lit("formula").alias("chunk_type"), "text", F.array().cast("array<string>").alias("headings"))
-    return renumber(flow.unionByName(f)).drop("seq", "box_num")
+    f = placed.select("doc_id", "page_no", F.col("seq").cast("int").alias("seq"), "t", "text", F.lit("formula").alias("chunk_type"))
+    own = layout.eligible(items).select(*at, "t", "text", "label", "level", F.lit("box").alias("chunk_type"))
+    rows = layout.heading_stacks(own.unionByName(f, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True))
+    rows = rows.withColumn("mark", F.max("mark").over(Window.partitionBy(*at))).where("chunk_type = 'formula' or (chunk_type = 'box' and mark is not null)")
+    formula = F.col("chunk_type") == "formula"
+    text = F.when(formula, F.col("text")).when(F.col("mark.kind") == "text", region_text("mark.region", "mark.box_num")).otherwise(F.col("mark.chunk_text"))
+    chunks = rows.select("doc_id", "seq", "page_no", "t", F.when(formula, "formula").otherwise(F.col("mark.kind")).alias("chunk_type"), text.alias("text"), F.when(formula, F.array().cast("array<string>")).otherwise(F.col("headings")).alias("headings"))
+    return renumber(chunks).drop("seq")

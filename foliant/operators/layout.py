@@ -114,11 +114,12 @@ def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
 def heading_stacks(items: DataFrame) -> DataFrame:
     """`headings`: at a section header the stack is cut to its level and its text put on top; other items take the last stack.
 
-    Only headers are folded in order, in one pass over those of a document; a window carries the stacks to the items after.
+    Only headers are folded in order, in one pass over those of a document. Their stacks come to the items as rows of the same shuffle,
+    numbered like the headers, and a window over the number of headers so far hands them on; so items are shuffled once, by document.
     """
-    head = (F.lower("label") == "section_header") & ~tx.falsy(F.col("text"))
+    head = F.coalesce((F.lower("label") == "section_header") & ~tx.falsy(F.col("text")), F.lit(False))
     order = Window.partitionBy("doc_id").orderBy("page_no", *reading())
-    rows = items.withColumn("_n", F.row_number().over(order))
+    headers = items.where(head).withColumn("_n", F.row_number().over(order).cast("long"))
 
     def begin() -> Callable[[int | None, str], list[str]]:
         stack: list[str] = []
@@ -130,10 +131,12 @@ def heading_stacks(items: DataFrame) -> DataFrame:
 
         return step
 
-    stacks = ordered_fold(rows.where(head), ["doc_id"], "_n", ["level", "text"], begin, "_stack", T.ArrayType(T.StringType()))
-    upto = Window.partitionBy("doc_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_stack", ignorenulls=True).over(upto)
-    return rows.join(stacks, ["doc_id", "_n"], "left").withColumn("headings", F.coalesce(found, F.array().cast("array<string>"))).drop("_n", "_stack")
+    stacks = ordered_fold(headers, ["doc_id"], "_n", ["level", "text"], begin, "_stack", T.ArrayType(T.StringType()))
+    rows = items.withColumn("_head", head.cast("int")).unionByName(stacks, allowMissingColumns=True)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.coalesce("_n", F.sum("_head").over(upto)))
+    found = F.max("_stack").over(Window.partitionBy("doc_id", "_n"))
+    return rows.withColumn("headings", F.coalesce(found, F.array().cast("array<string>"))).where("_head is not null").drop("_n", "_head", "_stack")
 
 
 def missed_tables(items: DataFrame, detected: DataFrame, band: float = 50.0) -> DataFrame:

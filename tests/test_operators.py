@@ -205,3 +205,23 @@ def test_pairs_of_a_full_page_are_linear(spark):
     page = lambda n: spark.range(n).selectExpr("'d' AS doc_id", "cast(id AS int) AS seq", "'text' AS item_type", "1 AS page_no", "cast(id % 100 * 10 AS double) AS l", "cast(floor(id / 100) * 10 + 8 AS double) AS t", "cast(id % 100 * 10 + 8 AS double) AS r", "cast(floor(id / 100) * 10 AS double) AS b")
     few, many = (ly.centre_pairs(page(n)).count() for n in (1000, 10_000))
     assert many <= 11 * few and many < 100_000
+
+
+def test_headings_of_chunks_are_found_after_the_last_shuffle(spark):
+    import re
+
+    rows = [(d, s, "text", "section_header" if s % 3 == 0 else "text", s % 2, f"t{s}" if s % 4 else None, 1, 50.0, 700.0 - 30 * s, 550.0, 680.0 - 30 * s) for d in (1, 2, None) for s in range(8)]
+    items = spark.createDataFrame(rows, "doc_id long, seq int, item_type string, label string, level int, text string, page_no int, l double, t double, r double, b double")
+    page = items.select("doc_id", "page_no", "seq").limit(0)
+    vlm = items.select("doc_id", "page_no", "seq", "t").limit(0).selectExpr("*", "'table' AS kind", "false AS success", "'' AS markdown", "false AS relevant", "'' AS description", "'' AS figure_type", "'' AS caption")
+    formulas = page.selectExpr("*", "'' AS formula_id", "'' AS latex", "'' AS equation_number", "0 AS after_box", "'' AS description")
+    regions = page.selectExpr("*", "0 AS start_box", "0 AS last_box", "'' AS formatted_text").unionByName(spark.sql("select 2L doc_id, 1 page_no, 0 seq, 4 start_box, 6 last_box, 'R' formatted_text"))
+    made = ch.build_chunks(items, vlm, formulas, regions)
+    plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert moved and not [x for x in moved if "headings#" in x]
+    got = {d: [(r.ord, r.text, tuple(r.headings)) for r in made.where(F.col("doc_id").eqNullSafe(F.lit(d))).orderBy("ord").collect()] for d in (1, 2, None)}
+    one = [(0, "t1", ()), (1, "t2", ()), (2, "t3", ("t3",)), (3, "t5", ("t3",)), (4, "t6", ("t6",)), (5, "t7", ("t6",))]
+    assert got[1] == one and [x[:2] for x in got[None]] == [x[:2] for x in one]
+    # the region stands at its first box, 4, whose place is that of t3, and 5 and 6 vanish; boxes without a text have numbers too
+    assert got[2] == [(0, "t1", ()), (1, "t2", ()), (2, "R", ("t3",)), (3, "t6", ("t6",)), (4, "t7", ("t6",))]
