@@ -225,3 +225,14 @@ def test_headings_of_chunks_are_found_after_the_last_shuffle(spark):
     assert got[1] == one and [x[:2] for x in got[None]] == [x[:2] for x in one]
     # the region stands at its first box, 4, whose place is that of t3, and 5 and 6 vanish; boxes without a text have numbers too
     assert got[2] == [(0, "t1", ()), (1, "t2", ()), (2, "R", ("t3",)), (3, "t6", ("t6",)), (4, "t7", ("t6",))]
+
+
+def test_quick_chunks_move_no_headings(spark):
+    from foliant.plans import pipelines as pl
+
+    rows = [(1, s, "text", "section_header" if s == 2 else "text", 0, f"t{s}", 1, 50.0, 700.0 - 30 * s, 550.0, 680.0 - 30 * s) for s in range(5)]
+    items = spark.createDataFrame(rows, "doc_id long, seq int, item_type string, label string, level int, text string, page_no int, l double, t double, r double, b double")
+    made = pl.quick(items)
+    plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert not [x for x in plan.split("\n\n") if ") Exchange\n" in x and "headings#" in x]
+    assert [(r.ord, r.text, r.headings) for r in made.collect()] == [(0, "t0\nt1\nt2\nt3\nt4", [])]
