@@ -44,12 +44,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(rf"{_NUMBER}|{_LETTER}+"), F.lit(0))
 
 
+def _hash(words: Column, at: Column, width: int) -> Column:
+    """Hash of `width` words from a place on; it is that of their slice, without making one."""
+    return F.xxhash64(*[F.get(words, at + j) for j in range(width)])
+
+
 def windows(template: Column) -> Column:
     """Hashes of the windows, by place from 0; `template` is evaluated once, outside the lambda that uses it."""
 
     def of(t: Column) -> Column:
         n = F.size(t) - WINDOW
-        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice(t, i + 1, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: _hash(t, i, WINDOW))).otherwise(F.array().cast("array<bigint>"))
 
     return F.transform(F.array(template), of)[0]
 
@@ -66,7 +71,7 @@ def _item_windows(items: DataFrame) -> DataFrame:
 
 def _placed(words: Column, width: int) -> Column:
     """Place, width and hash of the windows of one width."""
-    of = lambda i: F.struct(i.alias("dpos"), F.lit(width).alias("width"), F.xxhash64(F.slice(words, i + 1, F.lit(width))).alias("h"))
+    of = lambda i: F.struct(i.alias("dpos"), F.lit(width).alias("width"), _hash(words, i, width).alias("h"))
     n = F.size(words) - width
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), of)).otherwise(F.array().cast("array<struct<dpos:int,width:int,h:bigint>>"))
 

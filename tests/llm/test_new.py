@@ -159,3 +159,15 @@ def test_a_long_labelled_text_does_not_end_the_fit(spark):
         docs = spark.createDataFrame([(k, t * 100 if k == long else t, g) for k, t, g in rows], "doc_id long, text string, lang string")
         got = sample(docs, marks, 100, 2000)
         assert set(got["doc_id"]) == {k for k in range(40) if k != long and zlib.crc32(str(k).encode()) % 3 != 1}
+
+
+def test_windows_are_hashed_as_their_slices_were(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.llm import decontaminate as dc
+
+    words = spark.createDataFrame([([f"w{i}" for i in range(9)],)], "t array<string>")
+    made = words.select(dc.windows(F.col("t")).alias("h"), F.array(*[F.xxhash64(F.slice("t", i + 1, dc.WINDOW)) for i in range(5)]).alias("w"))
+    assert "slice" not in words.select(dc.windows(F.col("t")).alias("h"))._jdf.queryExecution().analyzed().toString()
+    got = made.first()
+    assert got.h == got.w
