@@ -25,38 +25,61 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from foliant.llm import textbytes as tb
 from foliant.llm import unigram as ug
 from foliant.llm.components import cut, fresh, others, quoted
-from foliant.llm.token_counts import MODEL, _strings
+from foliant.llm.token_counts import MODEL
 
 #: Characters of a chunk; texts of two chunks and more are spread over tasks. BLOCK chunks are combined at a time.
 CHUNK_CHARS, BLOCK = 1 << 14, 64
-#: Rows of a batch sent to Python that keep its memory small: a row holds a whole text and its ids.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch sent to Python that keep its memory small: a row holds a whole text and its ids.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows and bytes of the texts that are encoded together, and words that a worker remembers from one batch to the next.
+PART_ROWS, PART_BYTES, REMEMBER = 500, 1 << 20, 60_000
 _NONE = -(1 << 62)
 
 
 class Encoder:
-    """Ids of texts as bytes; those of islands are remembered up to a bound."""
+    """Ids of texts as bytes. The different islands of a batch of texts are solved together, and remembered up to a bound.
 
-    def __init__(self, model: ug.Unigram, room: int = ug.CACHE):
-        self.model = model
-        self.words = ug.Memory(lambda word: np.array(model.solve(ug.SPACE + word), np.int32).tobytes(), room)
+    An island goes by its word, without the one mark that it begins with; others go by themselves, with a mark before them if they have none.
+    """
+
+    def __init__(self, model: ug.Unigram, room: int = REMEMBER):
+        self.model, self.room = model, room
+        self.words: dict[str, bytes] = {}
 
-    def prepared(self, s: str) -> bytes:
-        """Ids of a prepared text, or of a part between two cuts."""
-        if self.model.cuts and s.startswith(ug.SPACE):
+    def _words(self, s: str) -> list[str]:
+        if s.startswith(ug.SPACE):
             words = s[1:].split(ug.SPACE)
             if "" not in words:
-                return b"".join(map(self.words.__getitem__, words))
-        return np.array([i for x in self.model.islands(s) for i in self.model.solve(x)], np.int32).tobytes()
+                return words
+        one = lambda x: x[1:] if x[1:2] not in ("", ug.SPACE) else x
+        return [one(x) if x.startswith(ug.SPACE) else ug.SPACE + x for x in self.model.islands(s)]
+
+    def prepared(self, texts: list[str]) -> list[bytes]:
+        """Ids of prepared texts, or of parts between two cuts."""
+        if not self.model.cuts:
+            return [np.array([i for x in self.model.islands(s) for i in self.model.solve(x)], np.int32).tobytes() for s in texts]
+        split = [self._words(s) for s in texts]
+        wanted = set().union(*split)
+        new = wanted - self.words.keys()
+        if len(self.words) + len(new) > self.room:
+            self.words = {w: self.words[w] for w in wanted - new}
+        solved = self.model.solve_all([ug.SPACE + w if not w.startswith(ug.SPACE) else w[1:] if w[1:2] not in ("", ug.SPACE) else w for w in new])
+        self.words.update(zip(new, solved, strict=True))
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > ug.REMEMBERED:
+                del self.words[w]
+        return out
 
-    def text(self, text: str) -> bytes:
-        return self.prepared(self.model.prepare(text)) if text else b""
+    def texts(self, texts: list[str]) -> list[bytes]:
+        return self.prepared([self.model.prepare(x) if x else "" for x in texts])
 
 
 class ChunkLattice:
@@ -108,7 +131,7 @@ class ChunkLattice:
             return
         best, back = m.lattice(self.s[: self.head], None, {o: x for o, x in starts.items() if o <= self.head})
         path, begin = m.trace(self.s[: self.head], back, self.head)
-        front = pack(path) + encoder.prepared(self.s[self.head : self.tail])
+        front = pack(path) + encoder.prepared([self.s[self.head : self.tail]])[0]
         s = self.s[self.tail :]
         best, back = m.lattice(s, self.n - self.tail)
         for o, x in enumerate(self._ends(best, self.tail)):
@@ -137,6 +160,16 @@ def scan_entries(first: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarr
     return out
 
 
+def parts_of(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of rows in order, of at most PART_ROWS rows and PART_BYTES bytes or one text."""
+    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    i = 0
+    while i < len(column):
+        j = min(max(i + 1, int(np.searchsorted(size, size[i] + PART_BYTES, "right")) - 1), i + PART_ROWS)
+        yield i, j
+        i = j
+
+
 def _start(states: int) -> np.ndarray:
     v = np.full(states, _NONE, np.int64)
     v[0] = 0
@@ -260,9 +293,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into:
         model = ug.shared(sent.value)
         encoder = Encoder(model)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                ids = [encoder.text(x) for x in _strings(part.column(column))]
+            for i, j in parts_of(b.column(column)):
+                part = b.slice(i, j - i)
+                ids = encoder.texts([x or "" for x in part.column(column).to_pylist()])
                 back = [] if decoded is None else [pa.array([model.decode(unpack(x)) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), *back], [*own, *made])
 
@@ -296,10 +329,11 @@ def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "ids", int
 
 
 def small_batches(spark: SparkSession) -> None:
-    """For applications: sets the session's Arrow batches to BATCH_ROWS rows at most, which bounds the memory of Python workers."""
+    """For applications: sets the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes at most, which bounds the memory of Python workers and of what is sent to them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def unpack(ids: bytes | None) -> list[int]:

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
+import numpy as np
 
 SPACE = "▁"
 BLOCKED = -1e8
@@ -26,6 +28,11 @@ CACHE = 150_000
 #: Longest island that is remembered, in characters, so that the bound on islands bounds memory.
 REMEMBERED = 64
 
+#: Places (words x longest word) that solve_all() takes at a time.
+PLACES = 1 << 15
+#: What stands behind a word's end where words of several lengths are in one array.
+_PAST = 0x110000
+
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -66,8 +73,9 @@ class Unigram:
         self.longest = max((len(p) for p, *_ in usable), default=1)
         self.found = ahocorasick.Automaton()
         self.single: set[str] = set()
-        for p, i, _, _ in usable:
-            self.found.add_word(p, (len(p), i, round(score[p] * self.scale)))
+        self.weights = {p: (i, round(score[p] * self.scale)) for p, i, _, _ in usable}
+        for p, (i, weight) in self.weights.items():
+            self.found.add_word(p, (len(p), i, weight))
             if len(p) == 1:
                 self.single.add(p)
         self.found.make_automaton()
@@ -157,6 +165,29 @@ class Unigram:
             n = start[n]
         return out[::-1]
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self)
+
+    def solve_all(self, islands: list[str]) -> list[bytes]:
+        """solve() of each island, as bytes, for many at once: one array step for each place and size of piece instead of a loop for each island.
+
+        Long islands are solved alone, so that arrays have few places that no island reaches.
+        """
+        out = [b""] * len(islands)
+        lens = np.fromiter(map(len, islands), np.int64, len(islands))
+        for k in np.flatnonzero(lens > REMEMBERED + 1).tolist():
+            out[k] = np.array(self.solve(islands[k]), np.int32).tobytes()
+        order = np.argsort(-lens, kind="stable")
+        order = order[(lens[order] > 0) & (lens[order] <= REMEMBERED + 1)].tolist()
+        at = 0
+        while at < len(order):
+            part = order[at : at + max(1, PLACES // len(islands[order[at]]))]
+            for k, ids in zip(part, self.trie.solve([islands[k] for k in part]), strict=True):
+                out[k] = ids
+            at += len(part)
+        return out
+
     def score(self, prepared: str) -> int:
         """Best score of a whole text."""
         return sum(self.lattice(x)[0][-1] or 0 for x in self.islands(prepared))
@@ -169,6 +200,114 @@ class Unigram:
         return out.decode("utf-8", "replace")
 
 
+class Trie:
+    """The pieces as nodes of a trie in arrays. Node 0 is none, and the last one stands for an unknown character."""
+
+    def __init__(self, model: Unigram):
+        self.model = model
+        step: dict[int, int] = {}
+        piece, score = [-1, -1], [float("-inf")] * 2
+        for p, (i, weight) in model.weights.items():
+            node = 1
+            for c in p:
+                key = node << 21 | ord(c)
+                node = step.setdefault(key, len(piece))
+                if node == len(piece):
+                    piece.append(-1)
+                    score.append(float("-inf"))
+            piece[node], score[node] = i, float(weight)
+        self.unknown = len(piece)
+        self.piece, self.score = np.array([*piece, -1], np.int32), np.array([*score, float(model.unk_score)])
+        self.first = np.zeros(_PAST + 1, np.int32)
+        for key, node in step.items():
+            if key >> 21 == 1:
+                self.first[key & (1 << 21) - 1] = node
+        self.keys = np.array(sorted(step) or [-1], np.int64)
+        self.to = np.array([step.get(int(k), 0) for k in self.keys], np.int32)
+        self.inner = np.zeros(len(self.piece), bool)
+        self.inner[[k >> 21 for k in step]] = True
+
+    def nodes(self, chars: np.ndarray) -> np.ndarray:
+        """The piece (a node, or 0) of each size less 1 that starts at each place (character, word)."""
+        length, width = chars.shape
+        out = np.zeros((min(self.model.longest, length), length, width), np.int32)
+        flat = chars.ravel()
+        node = self.first[flat]
+        out[0] = np.where(self.piece[node] >= 0, node, np.where(flat < _PAST, self.unknown, 0)).reshape(length, width)
+        at = np.flatnonzero(node)
+        node = node[at]
+        for size in range(1, len(out)):
+            inside = (at < (length - size) * width) & self.inner[node]
+            at, node = at[inside], node[inside]
+            key = node.astype(np.int64) << 21 | flat[at + size * width]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            at, node = at[hit], self.to[found[hit]]
+            if not len(at):
+                break
+            whole = self.piece[node] >= 0
+            out[size].ravel()[at[whole]] = node[whole]
+        return out
+
+    def solve(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are given from the longest to the shortest. Larger sizes come first, so that a shorter piece wins only if it is better."""
+        width, lens = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        length = int(lens[0])
+        chars = np.full((width, length), _PAST, np.int64)
+        chars[np.arange(length) < lens[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        chars = np.ascontiguousarray(chars.T)
+        nodes = self.nodes(chars)
+        best, took = np.zeros((length + 1, width)), np.zeros((length + 1, width), np.int64)
+        reach = width - np.searchsorted(lens[::-1], np.arange(length + 1))
+        for e in range(1, length + 1):
+            k = reach[e]
+            top, came = np.full(k, -np.inf), np.zeros(k, np.int64)
+            for size in range(min(e, len(nodes)), 0, -1):
+                node = nodes[size - 1, e - size, :k]
+                some = np.flatnonzero(node)
+                x = best[e - size, some] + self.score[node[some]]
+                better = x > top[some]
+                some = some[better]
+                top[some], came[some] = x[better], size
+            best[e, :k], took[e, :k] = top, came
+        path = np.zeros((length + 1, width), np.int32)
+        at, word = lens.copy(), np.arange(width)
+        while len(word):
+            size = took[at, word]
+            path[at, word] = nodes[size - 1, at - size, word]
+            at = at - size
+            word, at = word[at > 0], at[at > 0]
+        path = path.T
+        owner, end = np.nonzero(path)
+        node = path[owner, end]
+        ids, owner = self._written(self.piece[node], owner, chars[end - 1, owner], node == self.unknown)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=width)))) * 4
+        blob = ids.tobytes()
+        return [blob[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _written(self, ids: np.ndarray, owner: np.ndarray, char: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ids() makes of unknown characters."""
+        m = self.model
+        if not unknown.any():
+            return ids, owner
+        if not (m.vocabulary.byte_fallback and len(m.byte_ids) == 256):
+            again = np.concatenate(([False], unknown[1:] & unknown[:-1] & (owner[1:] == owner[:-1])))
+            return np.where(unknown, m.unk_id, ids).astype(np.int32)[~again], owner[~again]
+        at = np.flatnonzero(unknown)
+        each, which = np.unique(char[at], return_inverse=True)
+        spelt = [[m.byte_ids[b] for b in chr(c).encode()] for c in each]
+        many = np.array([len(x) for x in spelt])
+        table = np.array([x + [0] * (4 - len(x)) for x in spelt], np.int32)
+        times = np.ones(len(ids), np.int64)
+        times[at] = many[which]
+        begin = (np.cumsum(times) - times)[at]
+        out = np.repeat(ids, times)
+        for k in range(4):
+            has = many[which] > k
+            out[begin[has] + k] = table[which[has], k]
+        return out, np.repeat(owner, times)
+
+
 class Memory(dict):
     """What was found for words, the latest `room` and the `room` before; words that come back stay."""
 

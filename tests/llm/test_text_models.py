@@ -182,6 +182,38 @@ def test_parallel_scan_equals_the_whole_path(model, which, letters):
         assert all(by_chunks(m, t, size) == want for size in (1, 2, 5, 9, 50))
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_words_of_a_batch_are_solved_together(model, monkeypatch, fallback):
+    m = model if fallback else ug.Unigram(ug.Vocabulary(tuple(p for p in TIES.pieces if ug.SPACE not in p[0][1:] and p[0] != "bb▁"), True, False))
+    r = random.Random(7)
+    rows = ["", "▁", " ", "  a", "a  ", "a" * 65, "b" * 200 + " c", *("".join(r.choice("aabb ce▁é梦😀\n th") for _ in range(r.randint(0, 60))) for _ in range(800))]
+    want = [[i for x in m.islands(m.prepare(t)) for i in m.solve(x)] for t in rows]
+    alone = []
+    solve = m.solve
+    monkeypatch.setattr(m, "solve", lambda x: alone.append(x) or solve(x))
+    encoder = sc.Encoder(m, room=50)
+    got = [ids for i in range(0, len(rows), 100) for ids in encoder.texts(rows[i : i + 100])]
+    assert [sc.unpack(x) for x in got] == want
+    assert all(len(x) > ug.REMEMBERED for x in alone) and len(encoder.words) < 4000
+    encoder.texts(["a b"])
+    assert len(encoder.words) <= 50
+
+
+def test_texts_of_a_batch_are_bounded_in_rows_and_bytes(monkeypatch, spark):
+    monkeypatch.setattr(sc, "PART_BYTES", 10)
+    monkeypatch.setattr(sc, "PART_ROWS", 3)
+    assert list(sc.parts_of(pa.array(["x" * 6, "x" * 4, "é" * 9, None, "", "", "", "x"]))) == [(0, 2), (2, 3), (3, 6), (6, 8)]
+    assert list(sc.parts_of(pa.array([], pa.string()))) == []
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        sc.small_batches(spark)
+        assert spark.conf.get(keys[1]) == str(sc.BATCH_BYTES)
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_max_plus_products_are_associative():
     r = np.random.default_rng(1)
     a, b, c = (np.where(r.random((4, 4)) < 0.3, sc._NONE, r.integers(-50, 0, (4, 4))) for _ in range(3))
