@@ -17,6 +17,8 @@ from foliant.operators.folds import ordered_fold
 from foliant.session import stored
 
 MIN_SIZE, MAX_SIZE, TARGET = 150, 2000, 512
+#: Boxes of a task in which build_chunks() sorts whole texts: five sorts of so many stay in a task's memory, where partitions of a fixed number would grow and spill.
+TASK_BOXES = 50_000
 
 
 def in_order(value: Column, order: Column, sep: str) -> Column:
@@ -180,7 +182,7 @@ def build_chunks(items: DataFrame, vlm: DataFrame, formulas: DataFrame, regions:
     """Chunks of whole documents: overlaps, numbering, headings, table and picture texts, regions and formulas, in reading order.
 
     What becomes of each box is found without its text and headings. It then comes to the items as a row, a mark, of the one shuffle
-    by document in which they get their headings and numbers.
+    by document in which they get their headings and numbers. The partitions of that shuffle grow in number with the boxes, and so not in size.
     """
     from foliant.operators import layout, tables
 
@@ -196,7 +198,9 @@ def build_chunks(items: DataFrame, vlm: DataFrame, formulas: DataFrame, regions:
     placed = place_formulas(boxes, formulas)
     f = placed.select("doc_id", "page_no", F.col("seq").cast("int").alias("seq"), "t", "text", F.lit("formula").alias("chunk_type"))
     own = layout.eligible(items).select(*at, "t", "text", "label", "level", F.lit("box").alias("chunk_type"))
-    rows = layout.heading_stacks(own.unionByName(f, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True))
+    fewest = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(fewest, -(-boxes.count() // TASK_BOXES))
+    rows = layout.heading_stacks(own.unionByName(f, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True), tasks)
     rows = rows.withColumn("mark", F.max("mark").over(Window.partitionBy(*at))).where("chunk_type = 'formula' or (chunk_type = 'box' and mark is not null)")
     formula = F.col("chunk_type") == "formula"
     text = F.when(formula, F.col("text")).when(F.col("mark.kind") == "text", region_text("mark.region", "mark.box_num")).otherwise(F.col("mark.chunk_text"))

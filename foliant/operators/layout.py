@@ -111,11 +111,11 @@ def number_boxes(items: DataFrame, formulas_absorb: bool = True) -> DataFrame:
     return kept.withColumn("box_num", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*reading())))
 
 
-def heading_stacks(items: DataFrame) -> DataFrame:
+def heading_stacks(items: DataFrame, tasks: int | None = None) -> DataFrame:
     """`headings`: at a section header the stack is cut to its level and its text put on top; other items take the last stack.
 
     Only headers are folded in order, in one pass over those of a document. Their stacks come to the items as rows of the same shuffle,
-    numbered like the headers, and a window over the number of headers so far hands them on; so items are shuffled once, by document.
+    numbered like the headers, and a window over the number of headers so far hands them on; so items are shuffled once, by document, into `tasks` partitions if they are given.
     """
     head = F.coalesce((F.lower("label") == "section_header") & ~tx.falsy(F.col("text")), F.lit(False))
     order = Window.partitionBy("doc_id").orderBy("page_no", *reading())
@@ -133,6 +133,7 @@ def heading_stacks(items: DataFrame) -> DataFrame:
 
     stacks = ordered_fold(headers, ["doc_id"], "_n", ["level", "text"], begin, "_stack", T.ArrayType(T.StringType()))
     rows = items.withColumn("_head", head.cast("int")).unionByName(stacks, allowMissingColumns=True)
+    rows = rows if tasks is None else rows.repartition(tasks, "doc_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_n", F.coalesce("_n", F.sum("_head").over(upto)))
     found = F.max("_stack").over(Window.partitionBy("doc_id", "_n"))

@@ -236,3 +236,15 @@ def test_quick_chunks_move_no_headings(spark):
     plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert not [x for x in plan.split("\n\n") if ") Exchange\n" in x and "headings#" in x]
     assert [(r.ord, r.text, r.headings) for r in made.collect()] == [(0, "t0\nt1\nt2\nt3\nt4", [])]
+
+
+def test_partitions_of_texts_grow_with_the_boxes(spark, monkeypatch):
+    from foliant.plans import pipelines as pl
+
+    rows = [(d, s, "text", "section_header" if s == 2 else "text", 0, f"t{s}", 1, 50.0, 700.0 - 30 * s, 550.0, 680.0 - 30 * s) for d in range(20) for s in range(5)]
+    items = spark.createDataFrame(rows, "doc_id long, seq int, item_type string, label string, level int, text string, page_no int, l double, t double, r double, b double")
+    monkeypatch.setattr(ch, "TASK_BOXES", 4)
+    made = pl.quick(items)
+    plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "REPARTITION_BY_NUM" in plan and ", 25), REPARTITION_BY_NUM" in plan
+    assert sorted((r.doc_id, r.ord, r.text) for r in made.collect()) == [(d, 0, "t0\nt1\nt2\nt3\nt4") for d in range(20)]
