@@ -98,6 +98,28 @@ def test_coded_links_lose_none_and_stay_few(spark):
         assert len(set(want.values())) > n // 20, len(set(want.values()))
 
 
+def test_coded_links_of_unrelated_sets_make_few_pairs(spark, monkeypatch):
+    r, made = random.Random(5), {}
+
+    def cut(df, old=cp.cut):
+        made[tuple(df.columns)] = out = old(df)
+        made[tuple(df.columns), "rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(cp, "cut", cut)
+    # sets of one bucket and no centre, from so few elements that each shares rare ones with many; two are linked
+    sets = {i: set(r.sample(range(400), 150)) for i in range(200)}
+    sets[200] = {*sorted(sets[0])[5:], 1000, 1001}
+    own = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, set array<long>")
+    search = lambda component, ids=sets: cp.coded_links(
+        spark.createDataFrame([(5, i, component(i), None) for i in ids], "bucket long, id long, component long, centre long"), lambda x: own.join(x, "id", "left_semi"), 80
+    )
+    assert {tuple(sorted(x)) for x in search(lambda i: i).collect()} == {(0, 200)}
+    assert made[("va", "vb"), "rows"] == 1
+    # edits of one component alone are not looked up at all
+    assert search(lambda i: 0).count() == 0 and made[("t", "f"), "rows"] == 0
+
+
 def near_copies():
     """A family of copies of one text with more and more other words, a chain, hot equal texts and odd rows."""
     r = random.Random(9)
