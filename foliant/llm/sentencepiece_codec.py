@@ -21,9 +21,9 @@ columns of `docs` are kept, but for one named like the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
@@ -34,6 +34,9 @@ from foliant.llm import unigram as ug
 from foliant.llm.components import cut, fresh, others, quoted
 from foliant.llm.token_counts import MODEL
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Characters of a chunk; texts of two chunks and more are spread over tasks. BLOCK chunks are combined at a time.
 CHUNK_CHARS, BLOCK = 1 << 14, 64
 #: Rows and bytes of a batch sent to Python that keep its memory small: a row holds a whole text and its ids.
@@ -182,6 +185,8 @@ def _vec(blob: bytes, states: int) -> np.ndarray:
 
 def encode_long(texts: DataFrame, sent: Broadcast, chunk_chars: int = CHUNK_CHARS, block: int = BLOCK) -> DataFrame:
     """Ids of distinct long texts: (digest, text) to (digest, ids binary)."""
+    import pandas as pd  # here, as it would take some 40 MB of each worker that encodes short texts alone
+
     size = max(chunk_chars, 1)
 
     @tb.tidied

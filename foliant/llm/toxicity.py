@@ -18,18 +18,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from foliant.llm import textbytes as tb
 from foliant.llm.components import bounded, fresh, others, quoted
 
+if TYPE_CHECKING:  # Python workers import this module, and pandas would take some 40 MB of each
+    import pandas as pd
+
 #: Bounds of the fit's sample: labelled rows of each class, and characters of all its texts, which are taken whole; scoring takes all texts.
 FIT_ROWS, FIT_CHARS = 2000, 12_000_000
 BUCKETS, DIM, FILTERS, WIDTHS, GRAMS = 1 << 15, 16, 16, (1, 2, 3), (5, 7)
+#: Bytes of the texts that a worker scores at a time; its arrays take some 80 bytes for each.
+SCORE_BYTES = 1 << 18
 #: score at which `predicted` is 1
 CUT = 0.7
 #: Range that language thresholds are kept in, and the labels of each class that a language needs for its own.
@@ -172,6 +177,17 @@ def _scores(net: Net, texts: list[str]) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0)
 
 
+def judged(net: Net, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch in parts of about SCORE_BYTES of text, with their scores."""
+    for i, j, buf, offs in tb.chunks(batch.column("text"), SCORE_BYTES):
+        yield batch.slice(i, j - i), net.score(buf, offs)
+
+
+def _keys(spark: SparkSession, rows: pd.DataFrame) -> DataFrame:
+    """(doc_id, key) of `rows` as a local table, for which no Python worker starts."""
+    return spark.createDataFrame(pa.table([pa.array(rows[c].to_numpy(np.int64)) for c in ("doc_id", "key")], ["doc_id", "key"]))
+
+
 def best_cut(score: np.ndarray, y: np.ndarray, default: float) -> float:
     """The threshold of the fewest errors, in the middle of its gap; THRESHOLDS bounds it."""
     if len(y) == 0 or min((y == 1).sum(), (y == 0).sum()) < LEAST_LABELS:
@@ -263,7 +279,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) ->
     by = F.xxhash64("doc_id").alias("h")
     sizes = texts.select(by, "doc_id", "key", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct().orderBy("h", "doc_id", "key").limit(3 * 2 * fit_rows).toPandas()
     sizes = sizes.loc[fitting(sizes, fit_rows, fit_chars // 2)]
-    chosen = docs.sparkSession.createDataFrame([(int(i), int(k)) for i, k in zip(sizes["doc_id"], sizes["key"], strict=True)], "doc_id long, key long")
+    chosen = _keys(docs.sparkSession, sizes)
     found = texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).toPandas()
     return found.sort_values(["doc_id", "key"], kind="stable")
 
@@ -271,7 +287,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) ->
 def thresholds(docs: DataFrame, labels: DataFrame, net: Net, trained: pd.DataFrame) -> dict[str | None, float]:
     """Thresholds by language from all labelled rows that are neither held out nor among `trained` (doc_id, key). The key None holds the threshold of all."""
     spark = docs.sparkSession
-    used = spark.createDataFrame([(int(i), int(k)) for i, k in zip(trained["doc_id"], trained["key"], strict=True)], "doc_id long, key long")
+    used = _keys(spark, trained)
     rows = docs.select("doc_id", "text", "lang").join(bounded(seen_labels(labels)), "doc_id").withColumn("key", F.xxhash64("text"))
     rows = rows.join(F.broadcast(used.distinct()), ["doc_id", "key"], "left_anti").select("text", F.coalesce("lang", F.lit("\0")).alias("lang"), "y")
     sc = spark.sparkContext.broadcast(net)
@@ -279,9 +295,8 @@ def thresholds(docs: DataFrame, labels: DataFrame, net: Net, trained: pd.DataFra
     @tb.tidied
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, offs in tb.chunks(b.column("text")):
-                at = np.clip(np.floor(sc.value.score(buf, offs) * STEPS), 0, STEPS - 1).astype(np.int32)
-                cut = b.slice(i, j - i)
+            for cut, p in judged(sc.value, b):
+                at = np.clip(np.floor(p * STEPS), 0, STEPS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([cut.column("lang"), cut.column("y"), pa.array(at)], ["lang", "y", "step"])
 
     counts: dict[str, np.ndarray] = {}
@@ -305,9 +320,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            for i, j, buf, offs in tb.chunks(b.column("text")):
-                cut = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(sc.value.score(buf, offs))], [*names, into])
+            for cut, p in judged(sc.value, b):
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(p)], [*names, into])
 
     own = others(docs, "held_out", "score", "predicted", "threshold", "rejected")
     (into,) = fresh(docs.columns, "_score")

@@ -171,3 +171,43 @@ def test_windows_are_hashed_as_their_slices_were(spark):
     assert "slice" not in words.select(dc.windows(F.col("t")).alias("h"))._jdf.queryExecution().analyzed().toString()
     got = made.first()
     assert got.h == got.w
+
+
+def test_workers_of_the_pipeline_models_do_without_pandas(spark):
+    """A worker that unpickles the scoring or encoding function imports its module, and keeps all that this one imports."""
+    import subprocess
+    import sys
+
+    code = "import sys, foliant.llm.toxicity, foliant.llm.sentencepiece_codec; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+    import pandas as pd
+
+    from foliant.llm.toxicity import _keys
+
+    rows = pd.DataFrame({"doc_id": [3, -(1 << 62)], "key": [1 << 62, 0], "y": [0, 1]})
+    table = _keys(spark, rows)
+    assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+    assert table.collect() == [(3, 1 << 62), (-(1 << 62), 0)] and _keys(spark, rows.iloc[:0]).count() == 0
+
+
+def test_toxicity_scores_a_batch_in_small_parts():
+    """Peak of the arrays while a batch of 6 MB is scored: 6 MB, and 23 MB in parts of 1 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from foliant.llm import toxicity as tx
+
+    net, text = tx.Net.new(), " ".join(f"word{k % 997}" for k in range(2_500))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([text, None, ""] * 100)], ["doc_id", "text"])
+    batch = pa.concat_batches([batch] * 3)
+    net.score(np.zeros(0, np.uint8), np.zeros(2, np.int64))
+    tracemalloc.start()
+    got = [(part.num_rows, len(p), p.copy()) for part, p in tx.judged(net, batch)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    assert sum(n for n, _, _ in got) == 900 and all(n == m for n, m, _ in got)
+    whole = tx._scores(net, batch.column("text").to_pylist())
+    assert np.allclose(np.concatenate([p for _, _, p in got]), whole, atol=1e-6)
