@@ -211,3 +211,26 @@ def test_toxicity_scores_a_batch_in_small_parts():
     assert sum(n for n, _, _ in got) == 900 and all(n == m for n, m, _ in got)
     whole = tx._scores(net, batch.column("text").to_pylist())
     assert np.allclose(np.concatenate([p for _, _, p in got]), whole, atol=1e-6)
+
+
+def test_buckets_in_portions_give_the_same_links(spark, monkeypatch):
+    """Each portion's shuffle is let go before the next one, and the rows of all are one table."""
+    from pyspark.sql import functions as F
+
+    from foliant.llm import components
+
+    rows = [(b * 7919 - (1 << 40), i, 0) for b in range(60) for i in ({b, b + 1, b * b % 50} if b % 3 else {b})]
+    confirm = lambda pairs: pairs.select("a", "b", (F.abs(F.col("a") - F.col("b")) < 9).alias("linked"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(9).alias("na"), F.lit(9).alias("nb"))
+    let_go, release = [], components.release
+    monkeypatch.setattr(components, "release", lambda s: (let_go.append(s), release(s)))
+
+    def run(portions):
+        let_go.clear()
+        members = spark.createDataFrame(rows, "bucket long, id long, n int")
+        got = components.bucket_links(members, confirm, lambda ids: ids.select("id", F.array(F.col("id")).alias("set")), 80, portions=portions)
+        return sorted(map(tuple, got.select("id", "component").collect())), len(let_go)
+
+    (one, few), (four, many) = run(1), run(4)
+    assert one == four and len(one) > 20 and many == few + 3
+    table = spark.range(3)
+    assert sorted(r.id for r in components.cut(table, table.where("id > 5"), table.where("id > 1")).collect()) == [0, 1, 2, 2]
