@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 
+import duckdb
+
+from foliant import catalog
 from foliant.plans import pipelines as pl
 from foliant.sources import html as hm
 from foliant.sources import search_source as ss
@@ -94,6 +97,25 @@ def test_no_text_is_lost_or_twice():
         assert sorted(w for w in got.replace("|", " ").replace("-", " ").split()) == sorted(words), page
 
 
+#: Titles as a cut leaves them, and whole ones.
+CUT = ["token = &quot", "token = &quo", "R &amp", "R &am", "&copy", "&quot;a&quot; &copy; R &amp; D", "&amp;quot; &ampcopy;", "a &amp &quot b"]
+
+
+def cut_titles(spark, folder):
+    pages = [(i, "u", f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p>{t}<br>x</p></article></body></html>") for i, t in enumerate(CUT)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+def test_html_items_keep_what_is_no_whole_entity(spark, tmp_path):
+    con, q = cut_titles(spark, tmp_path), "select doc_id, seq, label, text from"
+    got = catalog.QUERIES["html_items"](spark, str(tmp_path)).select("doc_id", "seq", "label", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"{q} ({catalog.ORACLE_SQL['html_items']})").fetchall())
+    assert [x[3] for x in hm.blocks("<p>&lt;&#39;&#x41;&nosuch; &notit; &eacute;&eacute")] == ["<'A&nosuch; &notit; é&eacute"]
+
+
 def test_pages_become_chunks(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (None, PAGE), (4, "<p>" + "long " * 100)], "page_id long, html string")
     got = [(r.doc_id, r.ord, r.chunk_type, r.headings) for r in pl.web_chunks(pages).orderBy("doc_id", "ord").collect()]
