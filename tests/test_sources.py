@@ -121,3 +121,9 @@ def test_pages_become_chunks(spark):
     got = [(r.doc_id, r.ord, r.chunk_type, r.headings) for r in pl.web_chunks(pages).orderBy("doc_id", "ord").collect()]
     assert [x[2] for x in got if x[0] == 1] == ["text", "table", "text", "picture", "text"]
     assert {x[0] for x in got} == {1, 4} and next(x[3] for x in got if x[2] == "table") == ["Top & head", "Part", "Sub"]
+
+
+def test_headings_of_chunks_keep_what_is_no_whole_entity(spark, tmp_path):
+    con, q = cut_titles(spark, tmp_path), "select doc_id, ord, text, heading from"
+    got = catalog.QUERIES["html_chunks"](spark, str(tmp_path)).select("doc_id", "ord", "text", "heading").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"{q} ({catalog.ORACLE_SQL['html_chunks']})").fetchall())
