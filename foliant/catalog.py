@@ -21,7 +21,7 @@ from foliant.operators import vector_index as vi
 from foliant.operators import viewing as vw
 from foliant.plans import models as md
 from foliant.plans import pipelines as pl
-from foliant.session import fresh_folder
+from foliant.session import fresh_folder, stored
 from foliant.sources import html as hm
 from foliant.sources import keyword_index as ki
 from foliant.sources import readers as rd
@@ -108,12 +108,12 @@ def dense_topk_threshold(spark, sf_dir):
 
 @register(f"WITH {_Q_SCOPED},{_BM25} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
 def sparse_topk_bm25(spark, sf_dir):
-    return rt.sparse_topk(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
+    return rt.sparse_topk(table(spark, sf_dir, "points"), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
 
 
 @register(f"WITH {_Q_ALL},{_TF} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
 def sparse_topk_tf(spark, sf_dir):
-    return rt.sparse_topk(_points(spark, sf_dir), _queries(spark, sf_dir), K, mode="tf_dot").select(*_HITS)
+    return rt.sparse_topk(table(spark, sf_dir, "points"), _queries(spark, sf_dir), K, mode="tf_dot").select(*_HITS)
 
 
 @register(f"WITH {_Q_SCOPED},{_BM25} SELECT query_id, point_id, score, rank FROM sparse_hits", ("points",))
@@ -128,7 +128,7 @@ def keyword_index_topk(spark, sf_dir):
 
 def _ranked(spark, sf_dir):
     p, q = _points(spark, sf_dir), _queries(spark, sf_dir, scoped=True)
-    cand = rt.with_payload(rt.hybrid(p, q, K), p)
+    cand = rt.with_payload(rt.hybrid(p, q, K, texts=table(spark, sf_dir, "points")), p)
     return q, cand, rt.rerank(cand, q, 5)
 
 
@@ -137,7 +137,7 @@ _CHAIN = f"WITH {_Q_SCOPED},{_DENSE},{_BM25},{_FUSED},{_RERANKED}"
 
 @register(f"WITH {_Q_SCOPED},{_DENSE},{_BM25},{_FUSED} SELECT query_id, point_id, score, rank FROM fused", ("points",))
 def hybrid_rrf(spark, sf_dir):
-    return rt.hybrid(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K).select(*_HITS)
+    return rt.hybrid(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K, texts=table(spark, sf_dir, "points")).select(*_HITS)
 
 
 @register(f"{_CHAIN} SELECT query_id, point_id, document_id, page_no, chunk_type, rerank_score, final_rank FROM ranked", ("points",))
@@ -158,7 +158,8 @@ def rerank_fallback(spark, sf_dir):
     ("points",),
 )
 def rerank_score_merge(spark, sf_dir):
-    cand = rt.hybrid(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K)
+    # both sides of the merge read the candidates
+    cand = stored(rt.hybrid(_points(spark, sf_dir), _queries(spark, sf_dir, scoped=True), K, texts=table(spark, sf_dir, "points")), "candidates")
     scores = cand.where("query_id % 3 > 0 and point_id % 2 = 0").select("query_id", "point_id", F.round(F.col("point_id") / 1000.0, 6).alias("rerank_score"))
     return rt.merge_scores(cand, scores, 3).select("query_id", "point_id", "rerank_score", "final_rank")
 

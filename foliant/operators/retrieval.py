@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as tx
 from foliant.functions import vectors as vx
+from foliant.session import stored
 
 #: Queries whose vectors are broadcast at once; more are taken in parts, each with a pass over the points.
 PASS_QUERIES = 10_000
@@ -24,6 +25,8 @@ PASS_QUERIES = 10_000
 QUERY_BLOCK = 256
 #: Rows of a few narrow columns that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Scores of points for queries that a task of keyword search holds, at most: partitions of a fixed number would grow and spill.
+TASK_PAIRS = 1_000_000
 K1, B, RRF_K0 = 1.2, 0.75, 60
 
 
@@ -174,8 +177,11 @@ def counted(points: DataFrame, twice: DataFrame | None) -> DataFrame:
 
 
 def exploded(counts: DataFrame) -> DataFrame:
-    """(point_id, doc_id, dl, term, tf) of counted() points."""
-    return counts.select("point_id", "doc_id", "dl", F.explode("counts").alias("x")).select("point_id", "doc_id", "dl", "x.term", "x.tf")
+    """(point_id, doc_id, dl, term, tf) of counted() points.
+
+    From explode() Spark would infer a filter of points without terms, in which the terms of a text are sorted again for each of them.
+    """
+    return counts.select("point_id", "doc_id", "dl", F.explode_outer("counts").alias("x")).where("x is not null").select("point_id", "doc_id", "dl", "x.term", "x.tf")
 
 
 def postings(points: DataFrame) -> DataFrame:
@@ -213,18 +219,23 @@ def sparse_topk(points: DataFrame, queries: DataFrame, k: int, mode: str = "bm25
     """(query_id, point_id, score, rank) by keywords.
 
     `bm25`: Robertson-Zaragoza with idf. `tf_dot`: the product of saturated weights of both sides, without idf.
-    Only terms of the queries are looked up: texts' terms are filtered by those of the queries before they are counted and
-    shuffled; a text's length comes from the same pass. Tables of terms are broadcast only where their counted rows are few.
+    Terms are counted in a text's row, and those of the queries are kept as a table that the document counts and the search read. Its rows are shuffled by point
+    alone, once, so that a point's scores are sums within a task and k rows a query and task are all that is shuffled after them. What a query's term
+    adds beside a text's is joined to the queries' terms first. Tables of terms are broadcast only where their counted rows are few.
     """
+    spark = points.sparkSession
     qt = queries.select("query_id", "document_ids", vx.terms(F.col("query")).alias("ts")).withColumn("qdl", F.size("ts"))
     qt = qt.select("query_id", "document_ids", "qdl", F.explode("ts").alias("term")).groupBy("query_id", "document_ids", "qdl", "term").agg(F.count("*").alias("qtf"))
-    t = points.select("point_id", "doc_id", vx.terms(F.col("text")).alias("ts")).select("point_id", "doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    p = t.join(small(qt.select("term").distinct()), "term", "left_semi").groupBy("point_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    hits = _with_stats(p.join(small(qt), "term").where(in_scope(F.col("document_ids"), F.col("doc_id"))), points)
+    counts = counted(points, repeated_ids(points))
+    p = stored(exploded(counts).join(small(qt.select("term").distinct()), "term", "left_semi"), "terms")
+    if mode == "bm25":
+        qt = qt.join(p.groupBy("term").agg(F.count("*").alias("df")), "term")
+    pairs = points.count() * queries.select("query_id").count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+    hits = p.repartition(tasks, "point_id").join(small(stored(qt, "query-terms")), "term").where(in_scope(F.col("document_ids"), F.col("doc_id")))
+    hits = _with_stats(hits, points)
     w = _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     if mode == "bm25":
-        # counting tf instead of rows keeps this shuffle of the texts' terms the same as that of the hits, so that it is made once
-        hits = hits.join(p.groupBy("term").agg(F.count("tf").alias("df")), "term")
         w = w * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")
     else:
         w = w * _weight(F.col("qtf"), F.col("qdl"), F.col("avgdl"))
@@ -240,8 +251,9 @@ def fuse(branches: list[DataFrame], k: int, k0: int = RRF_K0) -> DataFrame:
     return _ranked(every.groupBy("query_id", "point_id").agg(score.alias("score")), k)
 
 
-def hybrid(points: DataFrame, queries: DataFrame, k: int = 30, k0: int = RRF_K0, mode: str = "bm25") -> DataFrame:
-    return fuse([dense_topk(points, queries, k), sparse_topk(points, queries, k, mode)], k, k0)
+def hybrid(points: DataFrame, queries: DataFrame, k: int = 30, k0: int = RRF_K0, mode: str = "bm25", texts: DataFrame | None = None) -> DataFrame:
+    """Both searches fused; keywords are looked up in `texts`, the points without their vectors, if that table is at hand and spares a join."""
+    return fuse([dense_topk(points, queries, k), sparse_topk(points if texts is None else texts, queries, k, mode)], k, k0)
 
 
 def with_payload(hits: DataFrame, points: DataFrame) -> DataFrame:

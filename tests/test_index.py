@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +161,30 @@ def test_rows_that_repeat_an_id_are_postings_of_one_point(spark, tmp_path):
     index = ki.Index(spark, str(tmp_path / "i"))
     assert index.stats.select("n", "n_dl", "dl").collect() == [(8, 6, 8)]
     assert {(r.term, r.df) for r in index.terms.collect()} == {("a", 3), ("b", 1), ("c", 1), ("f", 1), ("z", 1)}
+
+
+def test_scores_of_points_are_summed_where_their_terms_are(spark):
+    rows = [(1, "d", "b a b"), (2, "d", "a"), (2, "d", "a c a"), (4, "e", "b c")]
+    points = spark.createDataFrame(rows, "point_id long, doc_id string, text string")
+    asked = [("q", "a b b", None), ("r", "c x", ["e"]), ("s", "", None)]
+    queries = spark.createDataFrame(asked, "query_id string, query string, document_ids array<string>")
+    found = rt.sparse_topk(points, queries, 2)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, point_id#", found._jdf.queryExecution().executedPlan().toString())
+    df = Counter(t for _, _, text in rows for t in set(text.split()))
+    avg = sum(len(text.split()) for _, _, text in rows) / len(rows)
+    want = []
+    for q, query, scope in asked:
+        scores = Counter()
+        for i, doc, text in rows:
+            for t in query.split() if scope is None or doc in scope else []:
+                tf = text.split().count(t)
+                scores[i] += tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(text.split()) / avg)) * math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5))
+        best = sorted((-round(x, 6), i) for i, x in scores.items() if x)[:2]
+        want += [(q, i, -x, n + 1) for n, (x, i) in enumerate(best)]
+    assert sorted((r.query_id, r.point_id, r.score, r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_terms_of_a_text_are_counted_once(spark):
+    points = spark.createDataFrame([(1, "d", "b a b")], "point_id long, doc_id string, text string")
+    plan = rt.exploded(rt.counted(points, None))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
