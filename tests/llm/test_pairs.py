@@ -341,3 +341,24 @@ def test_parse_levels():
     assert cf.parse("> > deep words here\n> outer words here\nmine")[1] == [(2, "deep words here"), (1, "outer words here")]
     assert cf.parse("no quotation > here") == ("no quotation > here", [])
     assert cf.parse("> first half of\n> a paragraph")[1][-1] == (1, "first half of a paragraph")
+
+
+def test_lines_are_shuffled_in_portions(spark, monkeypatch):
+    import hashlib
+
+    from foliant.llm import line_dedup as ld
+
+    made, whole = [], ld.cut
+
+    def spy(df, *more):
+        if "bucket" in df.columns:
+            made.append([{r.id for r in x.select("id").collect()} for x in (df, *more)])
+        return whole(df, *more)
+
+    monkeypatch.setattr(ld, "cut", spy)
+    lines = [hashlib.sha256(b"%d" % k).hexdigest() for k in range(400)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::-1]))], "doc_id long, text string")
+    want = {r.id for r in spark.createDataFrame([(x,) for x in lines], "norm string").selectExpr("xxhash64(norm) as id").collect()}
+    got = {r.doc_id: r.removed_lines for r in ld.line_dedup(docs).collect()}
+    assert len(made) == 1 and len(made[0]) == ld.PORTIONS and sum(map(len, made[0])) == 400 and max(map(len, made[0])) < 200
+    assert set().union(*made[0]) == want and got == {1: [], 2: list(range(400))}
